@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The analyzed system reads its event logs in batch only (no stream source, no
+watermark, no state), so there is no streaming operator to provide. Event
+logs that arrive continuously can be appended to the input folder and the
+batch pipelines re-run; the lifecycle fold is a plain max-aggregate and
+would port to a stateful streaming aggregation unchanged if ever needed.
+"""
