@@ -75,3 +75,31 @@ SELECT j.jobid, j.arrive, j.schedule, j.evict, j.fail, j.kill, j.lost, j.general
 FROM job_lc j JOIN job_ev e ON e.jobid = j.jobid AND e.evtype = 0
 WHERE j.fail = 0"""),
     }
+
+
+def summary_sql() -> dict[str, str]:
+    prof = " UNION ALL ".join(
+        f"SELECT '{n}' AS name, count(*) AS rows FROM {t}"
+        for n, t in [("task_events", "task_ev"), ("job_events", "job_ev"), ("task_lifecycle", "task_lc"),
+                     ("job_lifecycle", "job_lc"), ("task_lifecycle_meta", "task_meta"),
+                     ("job_lifecycle_meta", "job_meta")]
+    )
+    hist = """
+hv AS (SELECT CAST(size AS DOUBLE) AS v FROM task_meta WHERE size IS NOT NULL),
+hs AS (SELECT min(v) AS lo, max(v) AS hi, CASE WHEN max(v) = min(v) THEN 1 ELSE 5 END AS nb FROM hv),
+hb AS (SELECT CASE WHEN hs.hi = hs.lo THEN 0
+                   ELSE least(CAST(floor((hv.v - hs.lo) / (hs.hi - hs.lo) * 5.0) AS INTEGER), 4) END AS bucket
+       FROM hv, hs),
+hc AS (SELECT bucket, count(*) AS count FROM hb GROUP BY bucket),
+hg AS (SELECT CAST(range AS INTEGER) AS bucket FROM range(5))"""
+    return {
+        "csv_task_events": with_ctes(TRACE, final="SELECT * FROM task_ev"),
+        "csv_job_events": with_ctes(TRACE, final="SELECT * FROM job_ev"),
+        "trace_profile": with_ctes(*BASE_META, final=prof),
+        "size_histogram": with_ctes(*BASE_META, hist, final="""
+SELECT hg.bucket, hs.lo + hg.bucket * ((hs.hi - hs.lo) / 5.0) AS lo,
+       CASE WHEN hg.bucket = hs.nb - 1 THEN hs.hi ELSE hs.lo + (hg.bucket + 1) * ((hs.hi - hs.lo) / 5.0) END AS hi,
+       coalesce(hc.count, 0) AS count
+FROM hg CROSS JOIN hs LEFT JOIN hc ON hc.bucket = hg.bucket
+WHERE hg.bucket < hs.nb"""),
+    }

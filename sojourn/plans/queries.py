@@ -33,3 +33,41 @@ def lifecycle_queries() -> dict[str, Query]:
         "task_meta_join": lambda s, d: md.join_task_metadata(lc.task_lifecycle(te(s, d)), te(s, d)),
         "job_meta_join": lambda s, d: md.join_job_metadata(lc.job_lifecycle(je(s, d)), je(s, d)),
     }
+
+
+def _scratch(spark: SparkSession, what: str) -> str:
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def csv_task_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the trace's task events as gzip CSV into the shared scratch
+    folder, read them back with the trace reader."""
+    from ..sources import csv_events
+
+    path = _scratch(spark, "task_events_csv")
+    csv_events.write_task_events_csv(adapter.task_events(spark, sf_dir), path)
+    return csv_events.read_task_events(spark, path)
+
+
+def csv_job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources import csv_events
+
+    path = _scratch(spark, "job_events_csv")
+    csv_events.write_job_events_csv(adapter.job_events(spark, sf_dir), path)
+    return csv_events.read_job_events(spark, path)
+
+
+def summary_queries() -> dict[str, Query]:
+    from ..operators import summary as sm
+
+    te, je = adapter.task_events, adapter.job_events
+    return {
+        "csv_task_events": csv_task_events,
+        "csv_job_events": csv_job_events,
+        "trace_profile": lambda s, d: sm.trace_profile(te(s, d), je(s, d)),
+        "size_histogram": lambda s, d: sm.histogram(md.task_lifecycle_meta(te(s, d)), "size", 5),
+    }

@@ -10,12 +10,14 @@ from . import oracle, queries as q
 def queries() -> dict:
     out = {}
     out.update(q.lifecycle_queries())
+    out.update(q.summary_queries())
     return out
 
 
 def oracle_sql() -> dict[str, str]:
     out = {}
     out.update(oracle.lifecycle_sql())
+    out.update(oracle.summary_sql())
     return out
 
 
