@@ -29,39 +29,44 @@ def ordered_index(
     prefix_col: str = "pre",
     prev_of: str | None = None,
     prev_col: str = "prev",
+    first_of: str | None = None,
+    first_col: str = "first",
     block_rows: int = DEFAULT_BLOCK_ROWS,
 ) -> DataFrame:
     """Add ``idx_col`` = 0-based rank of the row inside its group under
     ``order_cols`` (ties broken arbitrarily: pass a unique order).
 
     Optional: ``prefix_col`` = sum of ``sum_col`` over the rows strictly before
-    (0 for the first row), and ``prev_col`` = ``prev_of`` of the previous row
-    (NULL for the first row).
-
-    ``order_cols[0]`` must be integral; it defines the blocks.
+    (0 for the first row); ``prev_col`` = ``prev_of`` of the previous row
+    (NULL for the first row); ``first_col`` = ``first_of`` of the group's
+    first row.
+
+    ``order_cols[0]`` must be integral; it defines the blocks. The block width
+    is one global value, (max - min) / (rows / block_rows), taken from a
+    single scalar subquery: a group holding a fraction f of all rows gets
+    about f * block_rows rows per block when rows spread evenly over the key.
     """
     g = list(group_cols)
     o = list(order_cols)
     first = o[0]
 
-    # 1. per group range and size -> block width with about block_rows rows
-    stats = df.groupBy(*g).agg(
-        F.min(first).alias("_lo"), F.max(first).alias("_hi"), F.count(F.lit(1)).alias("_n")
-    )
-    nblocks = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("_n") / F.lit(block_rows)).cast("long"))
-    stats = stats.select(
-        *g, "_lo", (F.expr("(_hi - _lo)") .cast("long") / nblocks).cast("long").alias("_w0")
-    ).select(*g, "_lo", (F.col("_w0") + 1).alias("_width"))
-    d = df.join(stats, g).withColumn(
-        "_blk", F.expr(f"(`{first}` - _lo) div _width")
-    ).drop("_lo", "_width")
+    # 1. one global block width, inlined as a scalar subquery (no join)
+    rng = df.agg(
+        F.struct(F.min(first).alias("lo"), F.max(first).alias("hi"), F.count(F.lit(1)).alias("n")).alias("s")
+    ).scalar()
+    nblocks = F.greatest(F.lit(1).cast("long"), F.ceil(rng.getField("n") / F.lit(block_rows)).cast("long"))
+    width = ((rng.getField("hi") - rng.getField("lo")).cast("long") / nblocks).cast("long") + 1
+    d = df.withColumn("_blk", ((F.col(first) - rng.getField("lo")) / width).cast("long"))
 
     # 2. block summary: rows, sum, last value; offsets by a window over blocks
+    key = F.struct(*[F.col(c) for c in o])
     aggs = [F.count(F.lit(1)).alias("_bn")]
     if sum_col is not None:
         aggs.append(F.sum(sum_col).alias("_bs"))
     if prev_of is not None:
-        aggs.append(F.max_by(F.col(prev_of), F.struct(*[F.col(c) for c in o])).alias("_bl"))
+        aggs.append(F.max_by(F.col(prev_of), key).alias("_bl"))
+    if first_of is not None:
+        aggs.append(F.min_by(F.col(first_of), key).alias("_bf"))
     bsum = d.groupBy(*g, "_blk").agg(*aggs)
     wb = Window.partitionBy(*g).orderBy("_blk")
     before = wb.rowsBetween(Window.unboundedPreceding, -1)
@@ -70,6 +75,8 @@ def ordered_index(
         cols.append(F.coalesce(F.sum("_bs").over(before), F.lit(0)).alias("_soff"))
     if prev_of is not None:
         cols.append(F.lag("_bl").over(wb).alias("_pl"))
+    if first_of is not None:
+        cols.append(F.first("_bf").over(wb.rowsBetween(Window.unboundedPreceding, 0)).alias(first_col))
     boff = bsum.select(*cols)
 
     # 3. row level, per (group, block)
@@ -85,6 +92,15 @@ def ordered_index(
     return d.drop("_blk", "_off", "_soff", "_pl")
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into ``spark.checkpoint.dir`` (survives executor
+    loss, cuts lineage). Used where a frame feeds several later passes."""
+    from ..session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def geo_mean(a: Column, b: Column) -> Column:
     """exp((ln a + ln b) / 2): the log-scale midpoint of a bracket."""
     return F.exp((F.log(a) + F.log(b)) / 2.0)

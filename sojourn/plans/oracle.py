@@ -103,3 +103,82 @@ SELECT hg.bucket, hs.lo + hg.bucket * ((hs.hi - hs.lo) / 5.0) AS lo,
 FROM hg CROSS JOIN hs LEFT JOIN hc ON hc.bucket = hg.bucket
 WHERE hg.bucket < hs.nb"""),
     }
+
+
+HEAVY = 100
+MUS_SQL = "(VALUES " + ", ".join(f"(CAST({m} AS DOUBLE))" for m in (1.2, 1.4, 1.6, 2.0, 3.0, 4.0, 5.0, 6.0)) + ") mus(mu)"
+
+PROC = f"""
+jobs_ok AS (SELECT * FROM job_meta WHERE fail = 0),
+heavy AS (SELECT username, count(*) AS count FROM jobs_ok GROUP BY username HAVING count(*) > {HEAVY}),
+arr_seq AS (
+  SELECT username, arrive,
+         row_number() OVER (PARTITION BY username ORDER BY arrive, jobid) - 1 AS k,
+         arrive - lag(arrive, 1, 0) OVER (PARTITION BY username ORDER BY arrive, jobid) AS raw
+  FROM jobs_ok WHERE username IN (SELECT username FROM heavy)
+),
+arr_st AS (SELECT username, count(*) - 1 AS n, min(arrive) AS lo, max(arrive) AS hi
+           FROM arr_seq GROUP BY username HAVING count(*) > 1),
+arr AS (
+  SELECT s.username, s.k - 1 AS idx, s.raw,
+         s.raw / (1.0 * CAST((t.hi - t.lo) // t.n AS DOUBLE)) AS x,
+         s.arrive - s.raw - t.lo AS pre, t.n AS n, 1.0 * CAST((t.hi - t.lo) // t.n AS DOUBLE) AS c
+  FROM arr_seq s JOIN arr_st t USING (username) WHERE s.k >= 1
+),
+svc_rank AS (
+  SELECT username, jobid, arrive, size, row_number() OVER (PARTITION BY jobid ORDER BY taskix) AS rk
+  FROM task_meta WHERE size >= 0 AND username IN (SELECT username FROM heavy)
+),
+svc_seq AS (
+  SELECT username, jobid, arrive, size,
+         row_number() OVER (PARTITION BY username ORDER BY arrive, jobid) - 1 AS idx,
+         coalesce(sum(size) OVER (PARTITION BY username ORDER BY arrive, jobid
+                                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pre
+  FROM svc_rank WHERE rk = 1
+),
+svc_st AS (SELECT username, count(*) AS n, sum(size) AS s FROM svc_seq GROUP BY username),
+svc AS (
+  SELECT q.username, q.idx, q.size AS raw, q.size / (1.0 * CAST(t.s // t.n AS DOUBLE)) AS x,
+         CAST(q.pre AS BIGINT) AS pre, t.n AS n, CAST(t.s AS DOUBLE) / t.n AS mean_raw
+  FROM svc_seq q JOIN svc_st t USING (username)
+),
+tia_seq AS (
+  SELECT username,
+         row_number() OVER (PARTITION BY username ORDER BY arrive, jobid, taskix) - 2 AS idx,
+         arrive - lag(arrive) OVER (PARTITION BY username ORDER BY arrive, jobid, taskix) AS interarrival
+  FROM task_meta WHERE username IN (SELECT username FROM heavy)
+),
+tia AS (SELECT * FROM tia_seq WHERE idx >= 0)"""
+
+ANALYSIS = (*BASE_META, PROC)
+
+
+def process_sql() -> dict[str, str]:
+    return {
+        "heavy_users": with_ctes(*ANALYSIS, final="SELECT * FROM heavy"),
+        "jobs_per_user": with_ctes(*ANALYSIS, final="SELECT username, count(*) AS count FROM jobs_ok GROUP BY username"),
+        "arrival_process": with_ctes(*ANALYSIS, final="SELECT username, idx, raw, x FROM arr"),
+        "service_process": with_ctes(*ANALYSIS, final="SELECT username, idx, raw, x FROM svc"),
+        "renormalized_services": with_ctes(*ANALYSIS, final=f"""
+SELECT username, mu, idx, raw, raw / (mu * mean_raw) AS x FROM svc CROSS JOIN {MUS_SQL}"""),
+        "normalized_arrivals": with_ctes(*ANALYSIS, """
+na AS (SELECT s.username, s.arrive, s.raw FROM arr_seq s JOIN arr_st t USING (username) WHERE s.arrive > t.lo),
+na_m AS (SELECT username, avg(raw) AS m FROM na GROUP BY username)""", final="""
+SELECT na.username, na.arrive, na.raw AS interarrival, na.raw / (1.0 * na_m.m) AS interarrivalN
+FROM na JOIN na_m USING (username)"""),
+        "normalized_services": with_ctes(*ANALYSIS, """
+ns AS (SELECT username, arrive, size FROM task_meta
+       WHERE fail = 0 AND taskix = 0 AND username IN (SELECT username FROM heavy)),
+ns_m AS (SELECT username, avg(size) AS m FROM ns GROUP BY username)""", final="""
+SELECT ns.username, ns.arrive, ns.size, ns.size / (1.0 * ns_m.m) AS sizeN FROM ns JOIN ns_m USING (username)"""),
+        "task_interarrivals": with_ctes(*ANALYSIS, final="SELECT username, idx, interarrival FROM tia"),
+        "arrival_autocorr": with_ctes(*ANALYSIS, """
+tm AS (SELECT username, avg(interarrival) AS m FROM tia GROUP BY username),
+tc AS (SELECT t.username, t.idx, t.interarrival - tm.m AS y FROM tia t JOIN tm USING (username)),
+den AS (SELECT username, sum(y * y) AS d FROM tc GROUP BY username),
+lags AS (SELECT CAST(range AS INTEGER) AS lag FROM range(1, 101)),
+num AS (SELECT a.username, l.lag, sum(a.y * b.y) AS s
+        FROM tc a CROSS JOIN lags l JOIN tc b ON b.username = a.username AND b.idx = a.idx + l.lag
+        GROUP BY a.username, l.lag)""", final="""
+SELECT num.username, num.lag, round(num.s / den.d, 9) AS acf FROM num JOIN den USING (username)"""),
+    }

@@ -71,3 +71,72 @@ def summary_queries() -> dict[str, Query]:
         "trace_profile": lambda s, d: sm.trace_profile(te(s, d), je(s, d)),
         "size_histogram": lambda s, d: sm.histogram(md.task_lifecycle_meta(te(s, d)), "size", 5),
     }
+
+
+# --- test parameters ---------------------------------------------------------
+HEAVY = 100
+MAX_L = 40
+CROSS_LAGS = (1, 20, 40)
+ACF_LAGS = 100
+R6 = 6  # decimals kept for MGF-derived values
+R9 = 9  # decimals kept for sums of products
+
+
+def analysis_inputs(spark: SparkSession, sf_dir: str, heavy: int = HEAVY):
+    """(jobs with fail = 0, tasks, heavy users), all with metadata."""
+    from ..operators import users as us
+
+    jobs = md.job_lifecycle_meta(adapter.job_events(spark, sf_dir)).where("fail = 0")
+    tasks = md.task_lifecycle_meta(adapter.task_events(spark, sf_dir))
+    return jobs, tasks, us.heavy_users(jobs, heavy)
+
+
+def process_queries() -> dict[str, Query]:
+    from pyspark.sql import functions as F
+
+    from ..operators import process as pr
+    from ..operators import users as us
+
+    def heavy(s, d):
+        return analysis_inputs(s, d)[2]
+
+    def arrivals(s, d):
+        jobs, _, users = analysis_inputs(s, d)
+        return pr.arrival_process(jobs, users)[0].select("username", "idx", "raw", "x")
+
+    def services(s, d):
+        _, tasks, users = analysis_inputs(s, d)
+        return pr.service_process(tasks, users)[0].select("username", "idx", "raw", "x")
+
+    def renorm(s, d):
+        _, tasks, users = analysis_inputs(s, d)
+        return pr.renormalized_services(pr.service_process(tasks, users)[0])
+
+    def norm_arr(s, d):
+        jobs, _, users = analysis_inputs(s, d)
+        return pr.normalized_arrivals(jobs, users)
+
+    def norm_svc(s, d):
+        _, tasks, users = analysis_inputs(s, d)
+        return pr.normalized_services(tasks, users)
+
+    def tia(s, d):
+        _, tasks, users = analysis_inputs(s, d)
+        return pr.task_interarrivals(tasks, users)
+
+    def acf(s, d):
+        _, tasks, users = analysis_inputs(s, d)
+        a = pr.autocorrelation(pr.task_interarrivals(tasks, users), "interarrival", ACF_LAGS)
+        return a.select("username", "lag", F.round("acf", R9).alias("acf"))
+
+    return {
+        "heavy_users": heavy,
+        "jobs_per_user": lambda s, d: us.jobs_per_user(analysis_inputs(s, d)[0]),
+        "arrival_process": arrivals,
+        "service_process": services,
+        "renormalized_services": renorm,
+        "normalized_arrivals": norm_arr,
+        "normalized_services": norm_svc,
+        "task_interarrivals": tia,
+        "arrival_autocorr": acf,
+    }

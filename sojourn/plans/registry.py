@@ -11,6 +11,7 @@ def queries() -> dict:
     out = {}
     out.update(q.lifecycle_queries())
     out.update(q.summary_queries())
+    out.update(q.process_queries())
     return out
 
 
@@ -18,6 +19,7 @@ def oracle_sql() -> dict[str, str]:
     out = {}
     out.update(oracle.lifecycle_sql())
     out.update(oracle.summary_sql())
+    out.update(oracle.process_sql())
     return out
 
 
