@@ -122,7 +122,8 @@ arr_st AS (SELECT username, count(*) - 1 AS n, min(arrive) AS lo, max(arrive) AS
 arr AS (
   SELECT s.username, s.k - 1 AS idx, s.raw,
          s.raw / (1.0 * CAST((t.hi - t.lo) // t.n AS DOUBLE)) AS x,
-         s.arrive - s.raw - t.lo AS pre, t.n AS n, 1.0 * CAST((t.hi - t.lo) // t.n AS DOUBLE) AS c
+         s.arrive - s.raw - t.lo AS pre, t.n AS n, 1.0 * CAST((t.hi - t.lo) // t.n AS DOUBLE) AS c,
+         CAST(0 AS BIGINT) AS r0
   FROM arr_seq s JOIN arr_st t USING (username) WHERE s.k >= 1
 ),
 svc_rank AS (
@@ -131,6 +132,7 @@ svc_rank AS (
 ),
 svc_seq AS (
   SELECT username, jobid, arrive, size,
+         first_value(size) OVER (PARTITION BY username ORDER BY arrive, jobid) AS r0,
          row_number() OVER (PARTITION BY username ORDER BY arrive, jobid) - 1 AS idx,
          coalesce(sum(size) OVER (PARTITION BY username ORDER BY arrive, jobid
                                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pre
@@ -139,7 +141,8 @@ svc_seq AS (
 svc_st AS (SELECT username, count(*) AS n, sum(size) AS s FROM svc_seq GROUP BY username),
 svc AS (
   SELECT q.username, q.idx, q.size AS raw, q.size / (1.0 * CAST(t.s // t.n AS DOUBLE)) AS x,
-         CAST(q.pre AS BIGINT) AS pre, t.n AS n, CAST(t.s AS DOUBLE) / t.n AS mean_raw
+         CAST(q.pre AS BIGINT) AS pre, t.n AS n, CAST(t.s AS DOUBLE) / t.n AS mean_raw,
+         1.0 * CAST(t.s // t.n AS DOUBLE) AS c, q.r0
   FROM svc_seq q JOIN svc_st t USING (username)
 ),
 tia_seq AS (
@@ -182,3 +185,75 @@ num AS (SELECT a.username, l.lag, sum(a.y * b.y) AS s
         GROUP BY a.username, l.lag)""", final="""
 SELECT num.username, num.lag, round(num.s / den.d, 9) AS acf FROM num JOIN den USING (username)"""),
     }
+
+
+MAX_L = 40
+
+
+def theta_values(pairs) -> str:
+    return "(VALUES " + ", ".join(f"({k}, CAST({t} AS DOUBLE))" for k, t in pairs) + ") th(tkey, theta0)"
+
+
+def mgf_curve_cte(name: str, src: str, kind: str, semantics: str, thetas, max_l: int = MAX_L) -> str:
+    """CTE ``name`` (username, tkey, theta, lag, mgf) over valid lags, naive self-join."""
+    if semantics == "reference":
+        a, b, r0 = (0, 1, "") if kind == "arrival" else (1, 2, "p.r0 + ")
+    else:
+        a, b, r0 = (0, 0, "") if kind == "arrival" else (0, 1, "")
+    gap = max_l if kind == "arrival" else max_l + 1
+    sign = "-abs(th.theta0)" if kind == "arrival" else "abs(th.theta0)"
+    cut = 1 if semantics == "reference" else 0
+    return f"""
+{name}_x AS (
+  SELECT p.username, l.lag, p.c, {r0}q.pre - p.pre AS x
+  FROM {src} p CROSS JOIN (SELECT CAST(range AS INTEGER) AS lag FROM range(1, {max_l})) l
+  JOIN {src} q ON q.username = p.username AND q.idx = p.idx - {a} + l.lag + {b}
+  WHERE p.idx - {a} >= 0 AND p.idx - {a} < p.n - {gap}
+),
+{name}_agg AS (
+  SELECT x.username, th.tkey, {sign} AS theta, x.lag, avg(exp({sign} / x.c * x.x)) AS mgf
+  FROM {name}_x x CROSS JOIN {theta_values(thetas)}
+  GROUP BY x.username, th.tkey, th.theta0, x.lag
+),
+{name}_b AS (
+  SELECT *, coalesce(min(CASE WHEN mgf = 0 OR isinf(mgf) OR isnan(mgf) THEN lag END)
+                     OVER (PARTITION BY username, tkey), {max_l}) AS b
+  FROM {name}_agg
+),
+{name} AS (SELECT username, tkey, theta, lag, mgf, ln(mgf) / theta AS logmgf FROM {name}_b WHERE lag < b - {cut})"""
+
+
+def lagsum_sql() -> dict[str, str]:
+    th = [(0, 0.5), (1, 0.9)]
+    return {
+        "sliding_sum": with_ctes(*ANALYSIS, final="""
+SELECT p.username, p.idx, round((q.pre - p.pre) / p.c, 9) AS lagsum
+FROM arr p JOIN arr q ON q.username = p.username AND q.idx = p.idx + 20"""),
+        "lag_sums": with_ctes(*ANALYSIS, final=f"""
+SELECT p.username, l.lag, p.idx, round((q.pre - p.pre) / p.c, 9) AS lagsum
+FROM arr p CROSS JOIN (SELECT CAST(range AS INTEGER) AS lag FROM range(0, {MAX_L})) l
+JOIN arr q ON q.username = p.username AND q.idx = p.idx + l.lag + 1
+WHERE p.idx < p.n - {MAX_L}"""),
+        "mgf_single_lag": with_ctes(*ANALYSIS, """
+sl AS (
+  SELECT 'arrival' AS kind, p.username, CAST(-0.5 AS DOUBLE) AS theta, p.c, q.pre - p.pre AS x
+  FROM arr p JOIN arr q ON q.username = p.username AND q.idx = p.idx + 20
+  UNION ALL
+  SELECT 'service' AS kind, p.username, CAST(0.5 AS DOUBLE) AS theta, p.c, q.pre - p.pre AS x
+  FROM svc p JOIN svc q ON q.username = p.username AND q.idx = p.idx + 21
+)""", final="""
+SELECT username, kind, theta, round(ln(avg(exp(theta / c * x))) / theta, 6) AS logmgf
+FROM sl GROUP BY username, kind, theta"""),
+        "mgf_curve_arrival": with_ctes(*ANALYSIS, mgf_curve_cte("ca", "arr", "arrival", "reference", th),
+                                       final="SELECT username, theta, lag, round(logmgf, 6) AS logmgf FROM ca"),
+        "mgf_curve_service": with_ctes(*ANALYSIS, mgf_curve_cte("cs", "svc", "service", "reference", th),
+                                       final="SELECT username, theta, lag, round(logmgf, 6) AS logmgf FROM cs"),
+        "mgf_curve_documented": with_ctes(
+            *ANALYSIS,
+            mgf_curve_cte("da", "arr", "arrival", "documented", [(0, 0.5)]),
+            mgf_curve_cte("ds", "svc", "service", "documented", [(0, 0.5)]),
+            final="""
+SELECT 'arrival' AS kind, username, theta, lag, round(logmgf, 6) AS logmgf FROM da
+UNION ALL
+SELECT 'service' AS kind, username, theta, lag, round(logmgf, 6) AS logmgf FROM ds"""),
+    }

@@ -140,3 +140,54 @@ def process_queries() -> dict[str, Query]:
         "task_interarrivals": tia,
         "arrival_autocorr": acf,
     }
+
+
+def processes(spark: SparkSession, sf_dir: str, heavy: int = HEAVY):
+    """((arrival proc, stats), (service proc, stats)) for the heavy users."""
+    from ..operators import process as pr
+
+    jobs, tasks, users = analysis_inputs(spark, sf_dir, heavy)
+    return pr.arrival_process(jobs, users), pr.service_process(tasks, users)
+
+
+def lagsum_queries() -> dict[str, Query]:
+    from pyspark.sql import functions as F
+
+    from ..operators import lagsums as ls
+    from ..operators import mgf
+
+    def sliding(s, d):
+        (ap, ast), _ = processes(s, d)
+        return ls.sliding_sum(ap, ast, 20).select("username", "idx", F.round("lagsum", R9).alias("lagsum"))
+
+    def lagmat(s, d):
+        (ap, ast), _ = processes(s, d)
+        return ls.lag_sums(ap, ast, MAX_L).select("username", "lag", "idx", F.round("lagsum", R9).alias("lagsum"))
+
+    def single(s, d):
+        (ap, ast), (sp, sst) = processes(s, d)
+        a = ls.window_mgf(ap, ast, 20, [-0.5]).select("username", F.lit("arrival").alias("kind"), "theta", "logmgf")
+        b = ls.window_mgf(sp, sst, 21, [0.5]).select("username", F.lit("service").alias("kind"), "theta", "logmgf")
+        return a.unionByName(b).select("username", "kind", "theta", F.round("logmgf", R6).alias("logmgf"))
+
+    def curve(kind, thetas, semantics="reference", method="kernel"):
+        def q(s, d):
+            (ap, ast), (sp, sst) = processes(s, d)
+            p, st = (ap, ast) if kind == "arrival" else (sp, sst)
+            c = mgf.mgf_curves(p, st, thetas, kind=kind, max_l=MAX_L, semantics=semantics, method=method)
+            return c.select("username", "theta", "lag", F.round("logmgf", R6).alias("logmgf"))
+        return q
+
+    def documented(s, d):
+        a = curve("arrival", [0.5], "documented")(s, d).select(F.lit("arrival").alias("kind"), "*")
+        b = curve("service", [0.5], "documented")(s, d).select(F.lit("service").alias("kind"), "*")
+        return a.unionByName(b)
+
+    return {
+        "sliding_sum": sliding,
+        "lag_sums": lagmat,
+        "mgf_single_lag": single,
+        "mgf_curve_arrival": curve("arrival", [0.5, 0.9]),
+        "mgf_curve_service": curve("service", [0.5, 0.9]),
+        "mgf_curve_documented": documented,
+    }

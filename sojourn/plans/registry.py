@@ -12,6 +12,7 @@ def queries() -> dict:
     out.update(q.lifecycle_queries())
     out.update(q.summary_queries())
     out.update(q.process_queries())
+    out.update(q.lagsum_queries())
     return out
 
 
@@ -20,6 +21,7 @@ def oracle_sql() -> dict[str, str]:
     out.update(oracle.lifecycle_sql())
     out.update(oracle.summary_sql())
     out.update(oracle.process_sql())
+    out.update(oracle.lagsum_sql())
     return out
 
 
