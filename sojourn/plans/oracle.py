@@ -257,3 +257,44 @@ SELECT 'arrival' AS kind, username, theta, lag, round(logmgf, 6) AS logmgf FROM
 UNION ALL
 SELECT 'service' AS kind, username, theta, lag, round(logmgf, 6) AS logmgf FROM ds"""),
     }
+
+
+def linearity_sql() -> dict[str, str]:
+    from ..operators.linearity import theta_grid
+
+    grid = list(enumerate(theta_grid(False)))
+    curves = (
+        mgf_curve_cte("la", "arr", "arrival", "reference", grid),
+        mgf_curve_cte("ls", "svc", "service", "reference", grid),
+        """lc AS (SELECT 'arrival' AS kind, * FROM la UNION ALL SELECT 'service' AS kind, * FROM ls)""",
+    )
+    w = int(0.25 * MAX_L)
+    return {
+        "linearity_r2": with_ctes(*ANALYSIS, *curves, final="""
+SELECT username, kind, theta,
+       round(CASE WHEN count(*) <= 10 THEN 0.0 ELSE regr_r2(logmgf, CAST(lag AS DOUBLE)) END, 6) AS r2
+FROM lc GROUP BY username, kind, tkey, theta"""),
+        "linearity_span": with_ctes(*ANALYSIS, *curves, f"""
+lw AS (
+  SELECT username, kind, tkey, theta,
+         count(*) OVER (PARTITION BY username, kind, tkey) AS len,
+         row_number() OVER (PARTITION BY username, kind, tkey ORDER BY lag) - 1 AS pos,
+         regr_slope(logmgf, CAST(lag AS DOUBLE)) OVER (PARTITION BY username, kind, tkey ORDER BY lag
+                                                      ROWS BETWEEN CURRENT ROW AND {w - 1} FOLLOWING) AS b
+  FROM lc
+),
+lm AS (
+  SELECT username, kind, tkey, theta, max(len) AS len,
+         min(CASE WHEN pos < len - {w} THEN b END) AS mn, max(CASE WHEN pos < len - {w} THEN b END) AS mx
+  FROM lw GROUP BY username, kind, tkey, theta
+),
+lz AS (
+  SELECT username, kind, theta,
+         CASE WHEN len < {w + 10} THEN 0.0 ELSE mn END AS min_b,
+         CASE WHEN len < {w + 10} THEN 0.0 ELSE mx END AS max_b
+  FROM lm
+)""", final="""
+SELECT username, kind, theta, round(min_b, 6) AS min_b, round(max_b, 6) AS max_b,
+       round(atan(max_b) - atan(min_b), 6) AS angle
+FROM lz"""),
+    }

@@ -191,3 +191,27 @@ def lagsum_queries() -> dict[str, Query]:
         "mgf_curve_service": curve("service", [0.5, 0.9]),
         "mgf_curve_documented": documented,
     }
+
+
+def linearity_queries() -> dict[str, Query]:
+    from pyspark.sql import functions as F
+
+    from ..operators import linearity as lin
+
+    def both(fn):
+        def q(s, d):
+            (ap, ast), (sp, sst) = processes(s, d)
+            a = fn(ap, ast, "arrival", max_l=MAX_L).select(F.lit("arrival").alias("kind"), "*")
+            b = fn(sp, sst, "service", max_l=MAX_L).select(F.lit("service").alias("kind"), "*")
+            return a.unionByName(b).drop("tkey")
+        return q
+
+    def r2(s, d):
+        return both(lin.linearity_r2)(s, d).select("username", "kind", "theta", F.round("r2", R6).alias("r2"))
+
+    def span(s, d):
+        return both(lin.linearity_span)(s, d).select(
+            "username", "kind", "theta", *[F.round(c, R6).alias(c) for c in ("min_b", "max_b", "angle")]
+        )
+
+    return {"linearity_r2": r2, "linearity_span": span}

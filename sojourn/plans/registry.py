@@ -13,6 +13,7 @@ def queries() -> dict:
     out.update(q.summary_queries())
     out.update(q.process_queries())
     out.update(q.lagsum_queries())
+    out.update(q.linearity_queries())
     return out
 
 
@@ -22,6 +23,7 @@ def oracle_sql() -> dict[str, str]:
     out.update(oracle.summary_sql())
     out.update(oracle.process_sql())
     out.update(oracle.lagsum_sql())
+    out.update(oracle.linearity_sql())
     return out
 
 
