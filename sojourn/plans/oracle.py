@@ -298,3 +298,77 @@ SELECT username, kind, theta, round(min_b, 6) AS min_b, round(max_b, 6) AS max_b
        round(atan(max_b) - atan(min_b), 6) AS angle
 FROM lz"""),
     }
+
+
+CROSS_LAGS = (1, 20, 40)
+
+
+def crossing_cte(arr: str = "arr", svc: str = "svc", variant: str = "lag", lags=CROSS_LAGS) -> tuple[str, ...]:
+    """Recursive CTE ``cx_final`` (username, mu, l, theta, found): one bisection
+    step per recursion level, means from correlated aggregates."""
+    if variant == "lag":
+        sx, right, adiv, sdiv = 1, "10.0 - 1e-5", "CAST(l AS DOUBLE)", "CAST(l + 1 AS DOUBLE)"
+    else:
+        sx, right, adiv, sdiv = 0, "1.0 - 1e-5", "1.0", "1.0"
+    lag_list = ", ".join(f"({x})" for x in lags)
+    wa = f"""
+cx_lags AS (SELECT * FROM (VALUES {lag_list}) t(l)),
+cx_a AS (SELECT p.username, g.l, CAST(q.pre - p.pre AS DOUBLE) AS xsum, p.c
+         FROM {arr} p CROSS JOIN cx_lags g JOIN {arr} q ON q.username = p.username AND q.idx = p.idx + g.l),
+cx_s AS (SELECT p.username, mus.mu, g.l, CAST(q.pre - p.pre AS DOUBLE) AS xsum, mus.mu * p.mean_raw AS c
+         FROM {svc} p CROSS JOIN cx_lags g CROSS JOIN {MUS_SQL}
+         JOIN {svc} q ON q.username = p.username AND q.idx = p.idx + g.l + {sx}),
+cx_keys AS (SELECT DISTINCT a.username, mus.mu, g.l FROM {arr} a JOIN {svc} s ON s.username = a.username
+            CROSS JOIN {MUS_SQL} CROSS JOIN cx_lags g)"""
+    mm = lambda th: f"""
+           (SELECT avg(exp(-{th} / a.c * a.xsum)) FROM cx_a a WHERE a.username = k.username AND a.l = k.l) AS mma,
+           (SELECT avg(exp({th} / s.c * s.xsum)) FROM cx_s s
+             WHERE s.username = k.username AND s.mu = k.mu AND s.l = k.l) AS mms"""
+    rec = f"""
+cx(username, mu, l, lt, rt, theta, rhoa, rhos, ct, last, found, done) AS (
+  SELECT username, mu, l, lt, rt, theta, rhoa, rhos, ct, last, found,
+         NOT (coalesce(abs(rhoa - rhos) > 1e-4 AND NOT isnan(abs(rhoa - rhos)), false) AND ct < 5000) AS done
+  FROM (
+    SELECT username, mu, l, 1e-10 AS lt, {right} AS rt, 1e-10 AS theta,
+           CASE WHEN mma = 0 THEN 'inf'::DOUBLE ELSE ln(mma) / (-1e-10 * {adiv}) END AS rhoa,
+           ln(mms) / (1e-10 * {sdiv}) AS rhos, 0 AS ct, 1e-10 AS last, false AS found
+    FROM (SELECT k.username, k.mu, k.l, {mm('1e-10')} FROM cx_keys k) i0
+  ) i1
+  UNION ALL
+  SELECT username, mu, l, lt, rt, theta, rhoa, rhos, ct, last, found,
+         NOT (coalesce(abs(rhoa - rhos) > 1e-4 AND NOT isnan(abs(rhoa - rhos)), false) AND ct < 5000) AS done
+  FROM (
+    SELECT username, mu, l, lt, rt, nt AS theta, rhoa, rhos,
+           CASE WHEN abs(nt - last) < 1e-10 THEN 5000 ELSE ct + 1 END AS ct, nt AS last, found
+    FROM (
+      SELECT username, mu, l, lt, rt, rhoa, rhos, ct, last, found,
+             exp((ln(rt) + ln(lt)) / 2) AS nt
+      FROM (
+        SELECT username, mu, l, ct, last,
+               CASE WHEN go_right THEN lt0 ELSE theta END AS lt,
+               CASE WHEN go_right THEN theta ELSE rt0 END AS rt,
+               CASE WHEN bad THEN rhoa0 ELSE ra END AS rhoa,
+               CASE WHEN bad THEN rhos0 ELSE rs END AS rhos,
+               found0 OR (NOT bad AND coalesce(rs > ra AND NOT isnan(rs) AND NOT isnan(ra), false)) AS found
+        FROM (
+          SELECT *, bad OR coalesce(rs > ra AND NOT isnan(rs) AND NOT isnan(ra), false) AS go_right
+          FROM (
+            SELECT username, mu, l, lt AS lt0, rt AS rt0, theta, rhoa AS rhoa0, rhos AS rhos0, ct, last,
+                   found AS found0,
+                   coalesce(mma = 0 OR isinf(mms), false) AS bad,
+                   ln(mma) / (-theta * {adiv}) AS ra, ln(mms) / (theta * {sdiv}) AS rs
+            FROM (SELECT k.*, {mm('k.theta')} FROM cx k WHERE NOT k.done) e0
+          ) e1
+        ) e2
+      ) e3
+    ) e4
+  ) e5
+),
+cx_final AS (SELECT username, mu, l, theta, found FROM cx WHERE done)"""
+    return (wa, rec)
+
+
+def crossing_sql() -> dict[str, str]:
+    wa, rec = crossing_cte()
+    sql = with_ctes(*ANALYSIS, wa, rec, final="SELECT username, mu, l, round(theta, 6) AS theta, found FROM cx_final")
+    return {"crossing_theta": sql.replace("WITH ", "WITH RECURSIVE ", 1)}

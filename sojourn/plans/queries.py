@@ -215,3 +215,19 @@ def linearity_queries() -> dict[str, Query]:
         )
 
     return {"linearity_r2": r2, "linearity_span": span}
+
+
+def crossing_queries() -> dict[str, Query]:
+    from pyspark.sql import functions as F
+
+    from ..operators import crossing as cr
+    from ..operators import process as pr
+
+    def lag_variant(s, d):
+        jobs, tasks, users = analysis_inputs(s, d)
+        ap, ast = pr.arrival_process(jobs, users)
+        sp, sst = pr.service_process(tasks, users)
+        out = cr.crossing_theta(ap, ast, sp, sst, CROSS_LAGS, pr.DEFAULT_MUS)
+        return out.select("username", "mu", "l", F.round("theta", R6).alias("theta"), "found")
+
+    return {"crossing_theta": lag_variant}

@@ -14,6 +14,7 @@ def queries() -> dict:
     out.update(q.process_queries())
     out.update(q.lagsum_queries())
     out.update(q.linearity_queries())
+    out.update(q.crossing_queries())
     return out
 
 
@@ -24,6 +25,7 @@ def oracle_sql() -> dict[str, str]:
     out.update(oracle.process_sql())
     out.update(oracle.lagsum_sql())
     out.update(oracle.linearity_sql())
+    out.update(oracle.crossing_sql())
     return out
 
 
