@@ -93,12 +93,16 @@ def ordered_index(
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into ``spark.checkpoint.dir`` (survives executor
-    loss, cuts lineage). Used where a frame feeds several later passes."""
+    """Write ``df`` as parquet into the shared ``spark.checkpoint.dir`` folder
+    and read it back: one computation, survives executor loss, cuts lineage.
+    Used where a frame feeds several later passes."""
+    import uuid
+
     from ..session import ensure_checkpoint_dir
 
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/mat-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def geo_mean(a: Column, b: Column) -> Column:

@@ -77,56 +77,78 @@ def node_tree(states: DataFrame, depth: int) -> DataFrame:
     return out.select(*KEY, "node", "theta")
 
 
-def _walk(states: DataFrame, ev: DataFrame, depth: int, a_div, s_div) -> DataFrame:
-    """Apply ``depth`` bisection steps using the evaluated node table ``ev``
-    (key, node, bad, ra, rs); ``a_div``/``s_div`` are the rho divisors."""
-    m = ev.groupBy(*KEY).agg(
-        F.map_from_entries(F.collect_list(F.struct("node", F.struct("bad", "ra", "rs")))).alias("ev")
-    )
+STATE_SCHEMA = (
+    "username string, mu double, l int, lt double, rt double, theta double, rhoa double, rhos double, "
+    "ct int, last double, found boolean, done boolean, steps int, init boolean"
+)
+
+
+def _walk_fn(depth: int):
+    """Per state: ``depth`` bisection steps, reading every theta from the node
+    table (so the thetas equal the ones evaluated) and the two rhos of every
+    evaluated node. Runs over the small state frame only."""
+    nan = float("nan")
+
+    def walk(it):
+        import math
+
+        import pandas as pd
+
+        for pdf in it:
+            out = []
+            for r in pdf.itertuples(index=False):
+                tree = {}
+                for e in (r.ev if r.ev is not None else []):
+                    tree[int(e["node"])] = (e["theta"], e["bad"], e["ra"], e["rs"])
+                lt, rt, theta, rhoa, rhos = r.lt, r.rt, r.theta, r.rhoa, r.rhos
+                ct, last, found, done, steps = int(r.ct), r.last, bool(r.found), bool(r.done), int(r.steps)
+                rhoa = nan if rhoa is None else rhoa
+                rhos = nan if rhos is None else rhos
+                if r.init:
+                    _, _, ra, rs = tree.get(1, (theta, False, nan, nan))
+                    rhoa = nan if ra is None else ra
+                    rhos = nan if rs is None else rs
+                    done = not (abs(rhoa - rhos) > THRESHOLD and ct < MAX_STEPS)
+                node = 1
+                for _ in range(depth):
+                    if done:
+                        break
+                    _, bad, ra, rs = tree.get(node, (theta, False, nan, nan))
+                    ra = nan if ra is None else ra
+                    rs = nan if rs is None else rs
+                    if bad is None or bad:
+                        rt, go_left = theta, False
+                    else:
+                        rhoa, rhos = ra, rs
+                        if rhos > rhoa:
+                            rt, go_left, found = theta, False, True
+                        else:
+                            lt, go_left = theta, True
+                    node = 2 * node + (1 if go_left else 0)
+                    nxt = tree.get(node)
+                    theta = nxt[0] if nxt is not None else math.exp((math.log(rt) + math.log(lt)) / 2)
+                    ct += 1
+                    steps += 1
+                    if abs(theta - last) < THETA_PROGRESS:
+                        ct = MAX_STEPS
+                    last = theta
+                    done = not (abs(rhoa - rhos) > THRESHOLD and ct < MAX_STEPS)
+                out.append((r.username, r.mu, r.l, lt, rt, theta, rhoa, rhos, ct, last, found, done, steps, False))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in STATE_SCHEMA.split(", ")])
+
+    return walk
+
+
+def _walk(states: DataFrame, tree: DataFrame, ev: DataFrame, depth: int) -> DataFrame:
+    """Give each state its evaluated nodes (first ``depth`` levels, with
+    thetas) and the thetas of level depth+1, then walk."""
+    last = tree.where(F.col("node") >= 2 ** depth).select(
+        *KEY, "node", "theta", F.lit(None).cast("boolean").alias("bad"),
+        F.lit(None).cast("double").alias("ra"), F.lit(None).cast("double").alias("rs"))
+    t = ev.select(*KEY, "node", "theta", "bad", "ra", "rs").unionByName(last)
+    m = t.groupBy(*KEY).agg(F.collect_list(F.struct("node", "theta", "bad", "ra", "rs")).alias("ev"))
     s = states.join(m, KEY, "left")
-    cols = ["lt", "rt", "theta", "rhoa", "rhos", "ct", "last", "found", "done", "steps"]
-    # first pass: rho at the starting theta, then the loop test
-    e1 = F.element_at(F.col("ev"), F.lit(1).cast("long"))
-    init = F.col("init")
-    rhoa0 = F.when(init, e1.getField("ra")).otherwise(F.col("rhoa"))
-    rhos0 = F.when(init, e1.getField("rs")).otherwise(F.col("rhos"))
-    cont0 = _gt(F.abs(rhoa0 - rhos0), F.lit(THRESHOLD)) & (F.col("ct") < MAX_STEPS)
-    s = s.select(*KEY, "ev", "lt", "rt", "theta", rhoa0.alias("rhoa"), rhos0.alias("rhos"), "ct", "last",
-                 "found", F.when(init, ~cont0).otherwise(F.col("done")).alias("done"), "steps",
-                 F.lit(1).cast("long").alias("node"))
-    for _ in range(depth):
-        e = F.element_at(F.col("ev"), F.col("node"))
-        act = ~F.col("done") & e.isNotNull()
-        bad = F.coalesce(e.getField("bad"), F.lit(True))
-        ra, rs = e.getField("ra"), e.getField("rs")
-        ok = act & ~bad
-        crossed = ok & _gt(rs, ra)
-        right = act & (bad | crossed)
-        left = act & ~right
-        rhoa = F.when(ok, ra).otherwise(F.col("rhoa"))
-        rhos = F.when(ok, rs).otherwise(F.col("rhos"))
-        lt = F.when(left, F.col("theta")).otherwise(F.col("lt"))
-        rt = F.when(right, F.col("theta")).otherwise(F.col("rt"))
-        s = s.select(*KEY, "ev", "node", "theta", "last", "ct", "found", "done", "steps",
-                     lt.alias("lt"), rt.alias("rt"), rhoa.alias("rhoa"), rhos.alias("rhos"),
-                     act.alias("_act"), left.alias("_left"), crossed.alias("_cr"))
-        nt = geo_mean(F.col("rt"), F.col("lt"))
-        s = s.select(*KEY, "ev", "lt", "rt", "rhoa", "rhos", "_act", "_left", "_cr",
-                     F.when(F.col("_act"), nt).otherwise(F.col("theta")).alias("theta"),
-                     "last", "ct", "found", "done", "steps", "node")
-        ct1 = F.when(F.abs(F.col("theta") - F.col("last")) < THETA_PROGRESS, F.lit(MAX_STEPS)).otherwise(F.col("ct") + 1)
-        ct1 = F.when(F.col("_act"), ct1).otherwise(F.col("ct"))
-        s = s.select(*KEY, "ev", "lt", "rt", "rhoa", "rhos", "theta",
-                     F.when(F.col("_act"), F.col("theta")).otherwise(F.col("last")).alias("last"),
-                     ct1.alias("ct"),
-                     (F.col("found") | F.col("_cr")).alias("found"),
-                     F.when(F.col("_act"), F.col("steps") + 1).otherwise(F.col("steps")).alias("steps"),
-                     F.when(F.col("_act"), F.col("node") * 2 + F.col("_left").cast("long"))
-                     .otherwise(F.col("node")).alias("node"),
-                     "done", "_act")
-        cont = _gt(F.abs(F.col("rhoa") - F.col("rhos")), F.lit(THRESHOLD)) & (F.col("ct") < MAX_STEPS)
-        s = s.withColumn("done", F.when(F.col("_act"), ~cont).otherwise(F.col("done"))).drop("_act")
-    return s.select(*KEY, *cols, F.lit(False).alias("init"))
+    return s.mapInPandas(_walk_fn(depth), STATE_SCHEMA)
 
 
 def initial_states(keys: DataFrame, right: float) -> DataFrame:
@@ -137,14 +159,14 @@ def initial_states(keys: DataFrame, right: float) -> DataFrame:
         F.lit(None).cast("double").alias("rhoa"), F.lit(None).cast("double").alias("rhos"),
         F.lit(0).alias("ct"), F.lit(LEFT).alias("last"), F.lit(False).alias("found"),
         F.lit(False).alias("done"), F.lit(0).alias("steps"), F.lit(True).alias("init"),
-    )
+    ).select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in STATE_SCHEMA.split(", ")])
 
 
 def _maybe_broadcast(df: DataFrame, rows: int, limit: int = NODE_BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
-def bisect(states: DataFrame, evaluate, a_div, s_div, depth: int = 5, max_passes: int | None = None) -> DataFrame:
+def bisect(states: DataFrame, evaluate, depth: int = 5, max_passes: int | None = None) -> DataFrame:
     """Run passes until every state is done. ``evaluate(nodes)`` returns
     (key, node, bad, ra, rs) for the node thetas it is given."""
     max_passes = max_passes or -(-MAX_STEPS // depth)
@@ -154,25 +176,26 @@ def bisect(states: DataFrame, evaluate, a_div, s_div, depth: int = 5, max_passes
         n_active = active.count()
         if n_active == 0:
             break
-        nodes = node_tree(active, depth)
+        tree = node_tree(active, depth + 1)
+        nodes = tree.where(F.col("node") < 2 ** depth)
         nodes = _maybe_broadcast(nodes, n_active * (2 ** depth - 1))
-        ev = evaluate(nodes)
-        stepped = _walk(active, ev, depth, a_div, s_div)
+        stepped = _walk(active, tree, evaluate(nodes), depth)
         states = materialize(states.where(F.col("done")).unionByName(stepped))
     return states
 
 
-def _evaluator(a_sums: DataFrame, s_sums: DataFrame, a_div, s_div):
-    """a_sums (username, l, xsum, c) and s_sums (username, mu, l, xsum, c):
-    raw window sums with each row's scale c."""
+def _evaluator(sums: DataFrame, a_div, s_div):
+    """``sums`` (username, mu, l, side, xsum, c): raw window sums of the
+    arrivals (side 0, repeated per mu) and services (side 1) with each row's
+    scale c. One broadcast join with the node thetas, one aggregate."""
 
     def evaluate(nodes: DataFrame) -> DataFrame:
-        na = nodes.join(a_sums, ["username", "l"])
-        ma = na.groupBy(*KEY, "node", "theta").agg(
-            F.avg(F.exp(-F.col("theta") / F.col("c") * F.col("xsum"))).alias("mma"))
-        ns = nodes.join(s_sums, ["username", "mu", "l"])
-        ms = ns.groupBy(*KEY, "node").agg(F.avg(F.exp(F.col("theta") / F.col("c") * F.col("xsum"))).alias("mms"))
-        j = ma.join(ms, [*KEY, "node"], "full")
+        j = nodes.join(sums, KEY)
+        arg = F.col("theta") / F.col("c") * F.col("xsum")
+        agg = j.groupBy(*KEY, "node", "theta").agg(
+            F.avg(F.when(F.col("side") == 0, F.exp(-arg))).alias("mma"),
+            F.avg(F.when(F.col("side") == 1, F.exp(arg))).alias("mms"),
+        )
         bad = (F.col("mma") == 0) | (F.abs(F.col("mms")) == F.lit(float("inf")))
         # ln(0) is -inf in the analyzed code (NULL in Spark): rhoA = +inf then
         ra = F.when(F.col("mma") == 0, F.lit(float("inf"))).otherwise(
@@ -180,8 +203,8 @@ def _evaluator(a_sums: DataFrame, s_sums: DataFrame, a_div, s_div):
         rs = F.try_divide(F.log("mms"), F.col("theta") * s_div)
         # a missing mean (no window at all) is NaN in the analyzed code
         nan = F.lit(float("nan"))
-        return j.select(*KEY, "node", F.coalesce(bad, F.lit(False)).alias("bad"),
-                        F.coalesce(ra, nan).alias("ra"), F.coalesce(rs, nan).alias("rs"))
+        return agg.select(*KEY, "node", "theta", F.coalesce(bad, F.lit(False)).alias("bad"),
+                          F.coalesce(ra, nan).alias("ra"), F.coalesce(rs, nan).alias("rs"))
 
     return evaluate
 
@@ -206,15 +229,15 @@ def crossing_theta(
         raise ValueError(variant)
     mu_col = F.explode(F.array(*[F.lit(float(m)) for m in mus])).alias("mu")
     a = window_sums(arr_proc, lags).join(arr_stats.select("username", "c"), "username").select(
-        "username", F.col("w").alias("l"), "xsum", "c")
+        "username", mu_col, F.col("w").alias("l"), F.lit(0).alias("side"), "xsum", "c")
     s = window_sums(svc_proc, [x + s_extra for x in lags]).join(
         svc_stats.select("username", "mean_raw"), "username").select(
-        "username", mu_col, (F.col("w") - s_extra).alias("l"), "xsum", "mean_raw")
-    s = s.select("username", "mu", "l", "xsum", (F.col("mu") * F.col("mean_raw")).alias("c"))
-    a, s = materialize(a), materialize(s)
+        "username", mu_col, (F.col("w") - s_extra).alias("l"), F.lit(1).alias("side"), "xsum",
+        (F.col("mu") * F.col("mean_raw")).alias("c"))
+    sums = materialize(a.unionByName(s))
     users = arr_stats.select("username").join(svc_stats.select("username"), "username")
     keys = users.select("username", mu_col).select(
         "username", "mu", F.explode(F.array(*[F.lit(x) for x in lags])).alias("l"))
-    out = bisect(initial_states(keys, right), _evaluator(a, s, a_div, s_div), a_div, s_div, depth)
+    out = bisect(initial_states(keys, right), _evaluator(sums, a_div, s_div), depth)
     conv = ~_gt(F.abs(F.col("rhoa") - F.col("rhos")), F.lit(THRESHOLD))
     return out.select(*KEY, "theta", "found", conv.alias("converged"), "steps")

@@ -48,7 +48,10 @@ def theta_frame(stats: DataFrame, thetas) -> DataFrame:
     or a DataFrame (username, tkey, theta) already per user.
     """
     if isinstance(thetas, DataFrame):
-        return thetas.select("username", F.col("tkey").cast("long").alias("tkey"), F.col("theta").cast("double"))
+        cols = ["username", F.col("tkey").cast("long").alias("tkey"), F.col("theta").cast("double")]
+        if "c" in thetas.columns:
+            cols.append(F.col("c").cast("double"))
+        return thetas.select(*cols)
     grid = F.explode(F.arrays_zip(
         F.array(*[F.lit(i).cast("long") for i in range(len(thetas))]).alias("tkey"),
         F.array(*[F.lit(float(t)) for t in thetas]).alias("theta"),
@@ -86,10 +89,9 @@ def _kernel(kind: str, semantics: str, min_l: int, max_l: int, block: int):
         pre = rows["pre"].to_numpy(dtype=np.int64)
         m = int(rows["m"].iloc[0])
         r0 = int(rows["r0"].iloc[0]) if use_r0 else 0
-        c = float(rows["c"].iloc[0])
         lo, hi = blk * block, min(blk * block + block, m)
         st = np.arange(lo, hi, dtype=np.int64) - base
-        coef = ths["theta"].to_numpy(dtype=np.float64) / c
+        coef = ths["theta"].to_numpy(dtype=np.float64) / ths["c"].to_numpy(dtype=np.float64)
         tkeys = ths["tkey"].to_numpy(dtype=np.int64)
         nt, lags = len(coef), list(range(min_l, max_l))
         sums = np.empty((len(lags), nt))
@@ -113,18 +115,18 @@ def _partial_sums_kernel(proc, stats, th, kind, semantics, min_l, max_l, block):
     halo = max_l + 2
     block = max(int(block), halo)
     gap = _starts(kind, max_l)
-    users = stats.select("username", (F.col("n") - gap).alias("m"), "r0", "c").where(F.col("m") >= 1)
+    users = stats.select("username", (F.col("n") - gap).alias("m"), "r0").where(F.col("m") >= 1)
     nb = F.ceil(F.col("m") / F.lit(block)).cast("long")
     k = F.col("idx")
     first_b = F.greatest(F.lit(0).cast("long"), F.ceil((k - block - halo + 1) / F.lit(block)).cast("long"))
     last_b = F.least(F.floor(k / F.lit(block)).cast("long"), nb - 1)
     rows = proc.select("username", "idx", "pre").join(users, "username").where(first_b <= last_b).select(
-        "username", F.explode(F.sequence(first_b, last_b)).alias("blk"), "idx", "pre", "m", "r0", "c"
+        "username", F.explode(F.sequence(first_b, last_b)).alias("blk"), "idx", "pre", "m", "r0"
     )
     blocks = users.select("username", F.explode(F.sequence(F.lit(0).cast("long"), nb - 1)).alias("blk"))
     # fresh key attributes on the theta side: both sides descend from ``stats``
     tb = blocks.join(th, "username").select(
-        F.col("username").alias("_u"), F.col("blk").alias("_b"), "tkey", "theta"
+        F.col("username").alias("_u"), F.col("blk").alias("_b"), "tkey", "theta", "c"
     )
     fn = _kernel(kind, semantics, min_l, max_l, block)
     part = rows.groupBy("username", "blk").cogroup(tb.groupBy("_u", "_b")).applyInPandas(fn, KERNEL_SCHEMA)
@@ -134,14 +136,14 @@ def _partial_sums_kernel(proc, stats, th, kind, semantics, min_l, max_l, block):
 def _partial_sums_join(proc, stats, th, kind, semantics, min_l, max_l):
     a, b, use_r0 = _offsets(kind, semantics)
     gap = _starts(kind, max_l)
-    users = stats.select("username", (F.col("n") - gap).alias("m"), "r0", "c").where(F.col("m") >= 1)
+    users = stats.select("username", (F.col("n") - gap).alias("m"), "r0").where(F.col("m") >= 1)
     lag = F.explode(F.sequence(F.lit(min_l), F.lit(max_l - 1))).alias("lag")
     left = proc.select("username", (F.col("idx") - a).alias("i"), F.col("pre").alias("p0")).join(users, "username")
-    left = left.where((F.col("i") >= 0) & (F.col("i") < F.col("m"))).select("username", "i", "p0", "r0", "c", lag)
-    left = left.select("username", "lag", "p0", "r0", "c", (F.col("i") + F.col("lag") + b).alias("idx"))
+    left = left.where((F.col("i") >= 0) & (F.col("i") < F.col("m"))).select("username", "i", "p0", "r0", lag)
+    left = left.select("username", "lag", "p0", "r0", (F.col("i") + F.col("lag") + b).alias("idx"))
     right = proc.select("username", "idx", F.col("pre").alias("p1"))
     pairs = left.join(right, ["username", "idx"]).select(
-        "username", "lag", "c", (F.col("p1") - F.col("p0") + (F.col("r0") if use_r0 else F.lit(0))).alias("x")
+        "username", "lag", (F.col("p1") - F.col("p0") + (F.col("r0") if use_r0 else F.lit(0))).alias("x")
     )
     e = pairs.join(th, "username")
     agg = e.groupBy("username", "tkey", "lag").agg(
@@ -165,19 +167,23 @@ def mgf_curves(
     """(username, tkey, theta, lag, mgf, logmgf) over the valid lags.
 
     ``proc`` (username, idx, pre) and ``stats`` (username, n, c, r0) are a
-    process and its per-user constants (see ``operators.process``).
+    process and its per-user constants (see ``operators.process``). A theta
+    frame may carry its own scale ``c`` per theta (e.g. services rescaled per
+    mu): the exponent is then theta / c * raw sum.
     """
     if kind not in ("arrival", "service"):
         raise ValueError(kind)
     th = theta_frame(stats, thetas)
-    th = th.select("username", "tkey", _signed(F.col("theta"), kind).alias("theta"))
+    if "c" not in th.columns:
+        th = th.join(stats.select("username", "c"), "username")
+    th = th.select("username", "tkey", _signed(F.col("theta"), kind).alias("theta"), "c")
     if method == "kernel":
         part = _partial_sums_kernel(proc, stats, th, kind, semantics, min_l, max_l, block_rows)
     elif method == "join":
         part = _partial_sums_join(proc, stats, th, kind, semantics, min_l, max_l)
     else:
         raise ValueError(method)
-    cur = part.join(th, ["username", "tkey"]).select(
+    cur = part.join(th.drop("c"), ["username", "tkey"]).select(
         "username", "tkey", "theta", "lag", (F.col("s") / F.col("cnt")).alias("mgf")
     )
     bad = (F.col("mgf") == 0) | (F.col("mgf") == F.lit(float("inf"))) | F.isnan("mgf")

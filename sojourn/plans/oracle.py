@@ -7,6 +7,8 @@ sums, ``regr_*`` aggregates for regressions. Shared steps are CTEs.
 
 from __future__ import annotations
 
+import math
+
 from ..sources.adapter import ORACLE_TRACE_CTE
 
 
@@ -372,3 +374,170 @@ def crossing_sql() -> dict[str, str]:
     wa, rec = crossing_cte()
     sql = with_ctes(*ANALYSIS, wa, rec, final="SELECT username, mu, l, round(theta, 6) AS theta, found FROM cx_final")
     return {"crossing_theta": sql.replace("WITH ", "WITH RECURSIVE ", 1)}
+
+
+LN_EPS = math.log(1e-6)
+LN_K = math.log(16.0)
+
+
+def cand_curves_cte(cand: str, semantics: str = "reference", max_l: int = MAX_L) -> str:
+    """CTE ``cc`` (username, mu, cand, theta, kind, p, f) from a candidate CTE
+    (username, mu, cand, theta): both log-MGF curves, naive self-join."""
+    ref = semantics == "reference"
+    a_off, s_a, s_b, r0 = (1, 1, 2, "p.r0 + ") if ref else (0, 0, 1, "")
+    cut = 1 if ref else 0
+    return f"""
+cc_lags AS (SELECT CAST(range AS INTEGER) AS lag FROM range(1, {max_l})),
+cc_xa AS (
+  SELECT p.username, l.lag, p.c, CAST(q.pre - p.pre AS DOUBLE) AS x
+  FROM arr p CROSS JOIN cc_lags l JOIN arr q ON q.username = p.username AND q.idx = p.idx + l.lag + {a_off}
+  WHERE p.idx < p.n - {max_l}
+),
+cc_xs AS (
+  SELECT p.username, l.lag, p.mean_raw, CAST({r0}q.pre - p.pre AS DOUBLE) AS x
+  FROM svc p CROSS JOIN cc_lags l JOIN svc q ON q.username = p.username AND q.idx = p.idx - {s_a} + l.lag + {s_b}
+  WHERE p.idx - {s_a} >= 0 AND p.idx - {s_a} < p.n - {max_l + 1}
+),
+cc_m AS (
+  SELECT x.username, k.mu, k.cand, k.theta, 'A' AS kind, x.lag, -abs(k.theta) AS st,
+         avg(exp(-abs(k.theta) / x.c * x.x)) AS mgf
+  FROM cc_xa x JOIN {cand} k ON k.username = x.username GROUP BY x.username, k.mu, k.cand, k.theta, x.lag
+  UNION ALL
+  SELECT x.username, k.mu, k.cand, k.theta, 'S' AS kind, x.lag, abs(k.theta) AS st,
+         avg(exp(abs(k.theta) / (k.mu * x.mean_raw) * x.x)) AS mgf
+  FROM cc_xs x JOIN {cand} k ON k.username = x.username GROUP BY x.username, k.mu, k.cand, k.theta, x.lag
+),
+cc_b AS (
+  SELECT *, coalesce(min(CASE WHEN mgf = 0 OR isinf(mgf) OR isnan(mgf) THEN lag END)
+                     OVER (PARTITION BY username, mu, cand, kind), {max_l}) AS b
+  FROM cc_m
+),
+cc AS (SELECT username, mu, cand, theta, kind, lag - 1 AS p, ln(mgf) / st AS f FROM cc_b WHERE lag < b - {cut})"""
+
+
+def envelope_cte(semantics: str = "reference") -> str:
+    """CTE ``env`` (username, mu, cand, s_line, a_line, sigmaa, rhoa, sigmas, rhos, theta, alpha) from ``cc``."""
+    head = """
+e_len AS (
+  SELECT username, mu, cand, theta, count(*) FILTER (WHERE kind = 'A') AS len_a,
+         count(*) FILTER (WHERE kind = 'S') AS len_s
+  FROM cc GROUP BY username, mu, cand, theta
+),
+e_n AS (SELECT *, least(len_a, len_s) AS n, least(len_a, len_s) // 10 AS lwin FROM e_len WHERE least(len_a, len_s) >= 10),
+e_sl AS (
+  SELECT a.username, a.mu, a.cand, a.kind, (b.f - a.f) / n.lwin AS b
+  FROM cc a JOIN e_n n ON n.username = a.username AND n.mu = a.mu AND n.cand = a.cand
+  JOIN cc b ON b.username = a.username AND b.mu = a.mu AND b.cand = a.cand AND b.kind = a.kind AND b.p = a.p + n.lwin
+  WHERE a.p < n.n - n.lwin
+),
+e_r0 AS (
+  SELECT username, mu, cand, min(b) FILTER (WHERE kind = 'A') AS mina, max(b) FILTER (WHERE kind = 'A') AS maxa,
+         min(b) FILTER (WHERE kind = 'S') AS mins, max(b) FILTER (WHERE kind = 'S') AS maxs
+  FROM e_sl GROUP BY username, mu, cand
+),
+e_ok AS (
+  SELECT r.username, r.mu, r.cand, n.theta, n.n,
+         greatest(least(1e99, r.mina), least(1e99, r.mins)) AS min_rhoa, greatest(CAST(0 AS DOUBLE), r.maxa) AS max_rhoa,
+         least(1e99, r.mins) AS min_rhos, greatest(CAST(0 AS DOUBLE), r.maxs) AS max_rhos
+  FROM e_r0 r JOIN e_n n ON n.username = r.username AND n.mu = r.mu AND n.cand = r.cand
+),
+e_grid AS (
+  SELECT o.*, g.s_line, o.min_rhos + (o.max_rhos - o.min_rhos) * (CAST(g.s_line AS DOUBLE) / CAST(10 AS DOUBLE)) AS rhos
+  FROM e_ok o CROSS JOIN (SELECT CAST(range AS INTEGER) AS s_line FROM range(0, 10)) g
+  WHERE NOT (o.min_rhoa > o.max_rhoa OR o.min_rhos > o.max_rhos)
+),
+e_a AS (SELECT CAST(range AS INTEGER) AS a_line FROM range(1, 11)),"""
+    if semantics == "reference":
+        body = """
+e_sig AS (
+  SELECT g.username, g.mu, g.cand, g.s_line, max(c.f - c.p * g.rhos) AS ms,
+         max(CASE WHEN c.p < g.n THEN c.p * g.rhos - c.f END) AS sigmaa
+  FROM e_grid g JOIN cc c ON c.username = g.username AND c.mu = g.mu AND c.cand = g.cand AND c.kind = 'S'
+  GROUP BY g.username, g.mu, g.cand, g.s_line
+),
+e_env AS (
+  SELECT g.username, g.mu, g.cand, g.s_line, a.a_line, s.sigmaa,
+         g.min_rhoa + (g.max_rhoa - g.min_rhoa) * (CAST(a.a_line AS DOUBLE) / CAST(10 AS DOUBLE)) AS rhoa,
+         s.ms - g.rhos AS sigmas, g.rhos AS rhos_used, g.min_rhos AS rhos, g.theta
+  FROM e_grid g JOIN e_sig s ON s.username = g.username AND s.mu = g.mu AND s.cand = g.cand AND s.s_line = g.s_line
+  CROSS JOIN e_a a
+),"""
+    else:
+        body = """
+e_sig AS (
+  SELECT g.username, g.mu, g.cand, g.s_line, max(c.f - (c.p + 2) * g.rhos) AS sigmas
+  FROM e_grid g JOIN cc c ON c.username = g.username AND c.mu = g.mu AND c.cand = g.cand AND c.kind = 'S'
+  GROUP BY g.username, g.mu, g.cand, g.s_line
+),
+e_ra AS (
+  SELECT g.username, g.mu, g.cand, g.s_line, a.a_line, g.rhos, g.theta, s.sigmas,
+         g.min_rhoa + (g.max_rhoa - g.min_rhoa) * (CAST(a.a_line AS DOUBLE) / CAST(10 AS DOUBLE)) AS rhoa
+  FROM e_grid g JOIN e_sig s ON s.username = g.username AND s.mu = g.mu AND s.cand = g.cand AND s.s_line = g.s_line
+  CROSS JOIN e_a a
+),
+e_env AS (
+  SELECT r.username, r.mu, r.cand, r.s_line, r.a_line, max((c.p + 1) * r.rhoa - c.f) AS sigmaa, r.rhoa,
+         r.sigmas, r.rhos AS rhos_used, r.rhos, r.theta
+  FROM e_ra r JOIN cc c ON c.username = r.username AND c.mu = r.mu AND c.cand = r.cand AND c.kind = 'A'
+  GROUP BY r.username, r.mu, r.cand, r.s_line, r.a_line, r.rhoa, r.sigmas, r.rhos, r.theta
+),"""
+    tail = """
+env AS (
+  SELECT username, mu, cand, s_line, a_line, sigmaa, rhoa, sigmas, rhos, theta,
+         CASE WHEN den = 0 THEN (CASE WHEN num > 0 THEN 'inf'::DOUBLE WHEN num < 0 THEN '-inf'::DOUBLE ELSE 'nan'::DOUBLE END)
+              ELSE num / den END AS alpha
+  FROM (SELECT *, exp(theta * (sigmaa + sigmas)) AS num, 1.0 - exp(-theta * (rhoa - rhos_used)) AS den FROM e_env) z
+)"""
+    return head + body + tail
+
+
+LN_ALPHA = "CASE WHEN alpha < 0 THEN 'nan'::DOUBLE WHEN alpha = 0 THEN '-inf'::DOUBLE ELSE ln(alpha) END"
+
+
+def tau_cte() -> str:
+    return f"""
+taus AS (
+  SELECT *,
+    CASE WHEN coalesce(rhoa > rhos AND NOT isnan(rhoa) AND NOT isnan(rhos), false)
+         THEN ({LN_EPS!r} - ({LN_ALPHA}) - theta * rhos) / (-theta) ELSE 0.0 END AS tau1,
+    CASE WHEN coalesce(rhoa > rhos AND NOT isnan(rhoa) AND NOT isnan(rhos), false)
+         THEN ({LN_EPS!r} - ({LN_ALPHA}) - {LN_K!r} - theta * rhos) / (-theta) ELSE 0.0 END AS tauk
+  FROM env
+)"""
+
+
+def envelope_sql() -> dict[str, str]:
+    fixed = f"""
+fixed_cand AS (
+  SELECT h.username, m.mu, 0 AS cand, CAST(0.3 AS DOUBLE) AS theta
+  FROM heavy h CROSS JOIN (VALUES (CAST(1.2 AS DOUBLE)), (CAST(2.0 AS DOUBLE))) m(mu)
+)"""
+    env_cols = f"""
+SELECT username, mu, s_line, a_line, round(sigmaa, 6) AS sigmaa, round(rhoa, 6) AS rhoa,
+       round(sigmas, 6) AS sigmas, round(rhos, 6) AS rhos, round({LN_ALPHA}, 6) AS ln_alpha
+FROM env"""
+    wa, rec = crossing_cte()
+    cands = """
+cand_x AS (
+  SELECT f.username, f.mu, CAST(i.i * 3 + (CASE f.l WHEN 1 THEN 0 WHEN 20 THEN 1 ELSE 2 END) AS INTEGER) AS cand,
+         CASE WHEN i.i = 0 THEN f.theta ELSE pow(0.98, CAST(i.i AS DOUBLE)) * f.theta END AS theta
+  FROM cx_final f CROSS JOIN (SELECT CAST(range AS INTEGER) AS i FROM range(0, 11)) i
+)"""
+    rec_sql = lambda *extra, final: with_ctes(*ANALYSIS, wa, rec, *extra, final=final).replace("WITH ", "WITH RECURSIVE ", 1)
+    return {
+        "theta_candidates": rec_sql(cands, final="SELECT username, mu, cand, round(theta, 6) AS theta FROM cand_x"),
+        "envelope_fit": with_ctes(*ANALYSIS, fixed, cand_curves_cte("fixed_cand"), envelope_cte(), final=env_cols),
+        "envelope_fit_documented": with_ctes(*ANALYSIS, fixed, cand_curves_cte("fixed_cand", "documented"),
+                                             envelope_cte("documented"), final=env_cols),
+        "tau_quantiles": with_ctes(*ANALYSIS, fixed, cand_curves_cte("fixed_cand"), envelope_cte(), tau_cte(), final="""
+SELECT username, mu, s_line, a_line, round(tau1, 6) AS tau1, round(tauk, 6) AS tauk FROM taus"""),
+        "bound_report": rec_sql(cands, cand_curves_cte("cand_x"), envelope_cte(), tau_cte(), """
+best AS (
+  SELECT username, mu, min(struct_pack(tau1 := tau1, cand := cand, s_line := s_line, a_line := a_line,
+                                       tauk := tauk, theta := theta)) AS b
+  FROM taus
+  WHERE NOT isinf(alpha) AND coalesce(tau1 > 0 AND NOT isnan(tau1), false)
+  GROUP BY username, mu
+)""", final="""
+SELECT username, mu, round(b.theta, 6) AS theta, round(b.tau1, 6) AS tau1, round(b.tauk, 6) AS tauk FROM best"""),
+    }

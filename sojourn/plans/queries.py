@@ -231,3 +231,62 @@ def crossing_queries() -> dict[str, Query]:
         return out.select("username", "mu", "l", F.round("theta", R6).alias("theta"), "found")
 
     return {"crossing_theta": lag_variant}
+
+
+ENV_THETA = 0.3
+ENV_MUS = (1.2, 2.0)
+
+
+def _fixed_candidates(users, theta=ENV_THETA, mus=ENV_MUS):
+    from pyspark.sql import functions as F
+
+    mu = F.explode(F.array(*[F.lit(float(m)) for m in mus])).alias("mu")
+    return users.select("username", mu, F.lit(0).alias("cand"), F.lit(float(theta)).alias("theta"))
+
+
+def envelope_queries() -> dict[str, Query]:
+    from pyspark.sql import functions as F
+
+    from ..operators import bounds as bd
+    from ..operators import crossing as cr
+    from ..operators import envelope as ev
+    from ..operators import process as pr
+
+    def inputs(s, d):
+        jobs, tasks, users = analysis_inputs(s, d)
+        return users, pr.arrival_process(jobs, users), pr.service_process(tasks, users)
+
+    def cands(s, d):
+        users, (ap, ast), (sp, sst) = inputs(s, d)
+        cross = cr.crossing_theta(ap, ast, sp, sst, CROSS_LAGS, pr.DEFAULT_MUS)
+        c = ev.theta_candidates(cross, CROSS_LAGS)
+        return c.select("username", "mu", "cand", F.round("theta", R6).alias("theta"))
+
+    def fixed_env(s, d, semantics="reference"):
+        users, (ap, ast), (sp, sst) = inputs(s, d)
+        curves = ev.candidate_curves(_fixed_candidates(users), ap, ast, sp, sst, MAX_L, semantics)
+        return ev.envelope_fit(curves, semantics)
+
+    def env_cols(df):
+        return df.select("username", "mu", "s_line", "a_line",
+                         *[F.round(c, R6).alias(c) for c in ("sigmaa", "rhoa", "sigmas", "rhos")],
+                         F.round(bd.ieee_ln(F.col("alpha")), R6).alias("ln_alpha"))
+
+    def taus(s, d):
+        t = bd.tau_quantiles(fixed_env(s, d))
+        return t.select("username", "mu", "s_line", "a_line", F.round("tau1", R6).alias("tau1"),
+                        F.round("tauk", R6).alias("tauk"))
+
+    def report(s, d):
+        jobs, tasks, _ = analysis_inputs(s, d)
+        r = bd.bound_report(jobs, tasks, heavy_threshold=HEAVY, max_l=MAX_L)
+        return r.select("username", "mu", F.round("theta", R6).alias("theta"), F.round("tau1", R6).alias("tau1"),
+                        F.round("tauk", R6).alias("tauk"))
+
+    return {
+        "theta_candidates": cands,
+        "envelope_fit": lambda s, d: env_cols(fixed_env(s, d)),
+        "envelope_fit_documented": lambda s, d: env_cols(fixed_env(s, d, "documented")),
+        "tau_quantiles": taus,
+        "bound_report": report,
+    }

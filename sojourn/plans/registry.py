@@ -15,6 +15,7 @@ def queries() -> dict:
     out.update(q.lagsum_queries())
     out.update(q.linearity_queries())
     out.update(q.crossing_queries())
+    out.update(q.envelope_queries())
     return out
 
 
@@ -26,6 +27,7 @@ def oracle_sql() -> dict[str, str]:
     out.update(oracle.lagsum_sql())
     out.update(oracle.linearity_sql())
     out.update(oracle.crossing_sql())
+    out.update(oracle.envelope_sql())
     return out
 
 
