@@ -31,5 +31,15 @@ def oracle_sql() -> dict[str, str]:
     return out
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["task_lifecycle_meta"](spark, sf_dir)
+def flagship(spark: SparkSession, sf_dir: str, heavy: int = 10, max_l: int = 16) -> DataFrame:
+    """Bound report (per heavy user and mu: theta, tau1, tauk) with parameters
+    sized for the smallest test tables (users with > 10 jobs, max lag 16:
+    the envelope fit needs at least 10 valid lags)."""
+    from pyspark.sql import functions as F
+
+    from ..operators import bounds as bd
+
+    jobs, tasks, _ = q.analysis_inputs(spark, sf_dir, heavy)
+    r = bd.bound_report(jobs, tasks, heavy_threshold=heavy, max_l=max_l)
+    return r.select("username", "mu", F.round("theta", q.R6).alias("theta"), F.round("tau1", q.R6).alias("tau1"),
+                    F.round("tauk", q.R6).alias("tauk"))
