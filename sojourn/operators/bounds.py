@@ -55,7 +55,7 @@ def best_bounds(taus: DataFrame) -> DataFrame:
 def bound_report(jobs: DataFrame, tasks: DataFrame, heavy_threshold: int = HEAVY_THRESHOLD,
                  mus: Sequence[float] = pr.DEFAULT_MUS, max_l: int = REF_MAX_L,
                  eps: float = EPS, k: int = K, semantics: str = "reference",
-                 crossing_depth: int = 5) -> DataFrame:
+                 crossing_depth: int | None = None) -> DataFrame:
     """Per heavy user and mu: the best (tau1, tauk) bound.
 
     ``jobs``: job lifecycle with metadata and fail = 0; ``tasks``: task

@@ -47,6 +47,19 @@ MAX_STEPS = 5000
 
 KEY = ["username", "mu", "l"]
 NODE_BROADCAST_ROWS = 5_000_000
+# exp evaluations allowed per pass when choosing the tree depth automatically
+EXP_BUDGET = 10_000_000
+MIN_DEPTH, MAX_DEPTH = 5, 10
+
+
+def auto_depth(sum_rows: int, budget: int = EXP_BUDGET) -> int:
+    """Deepest tree whose pass costs at most ``budget`` exp evaluations
+    (each window-sum row is evaluated at every node of its state), kept in
+    [5, 10]: few passes on small inputs, cheap passes on huge ones."""
+    d = MIN_DEPTH
+    while d < MAX_DEPTH and sum_rows * (2 ** (d + 1) - 1) <= budget:
+        d += 1
+    return d
 
 
 def _gt(a, b):
@@ -58,23 +71,26 @@ def node_tree(states: DataFrame, depth: int) -> DataFrame:
     """(key, node, theta) for the 2^depth - 1 nodes of the next steps.
 
     Node 1 is the current theta; child 2k follows "right = theta" at node k,
-    child 2k+1 follows "left = theta".
+    child 2k+1 follows "left = theta". One narrow projection: explode
+    (level j, position q), then fold the j path bits of q (most significant
+    first) over the bracket with a higher-order ``aggregate``.
     """
-    lvl = states.select(*KEY, F.lit(1).cast("long").alias("node"), "lt", "rt", "theta")
-    levels = [lvl]
-    for _ in range(depth - 1):
-        kids = F.array(
-            F.struct((F.col("node") * 2).alias("node"), F.col("lt").alias("lt"), F.col("theta").alias("rt"),
-                     geo_mean(F.col("theta"), F.col("lt")).alias("theta")),
-            F.struct((F.col("node") * 2 + 1).alias("node"), F.col("theta").alias("lt"), F.col("rt").alias("rt"),
-                     geo_mean(F.col("rt"), F.col("theta")).alias("theta")),
-        )
-        lvl = lvl.select(*KEY, F.inline(kids))
-        levels.append(lvl)
-    out = levels[0]
-    for x in levels[1:]:
-        out = out.unionByName(x)
-    return out.select(*KEY, "node", "theta")
+    lvl = F.explode(F.sequence(F.lit(0), F.lit(depth - 1))).alias("_j")
+    t = states.select(*KEY, "lt", "rt", "theta", lvl)
+    p2 = lambda e: F.pow(F.lit(2.0), e).cast("long")  # noqa: E731  (exact for small e)
+    pos = F.explode(F.sequence(F.lit(0).cast("long"), p2(F.col("_j")) - 1)).alias("_q")
+    t = t.select(*KEY, "lt", "rt", "theta", "_j", pos)
+    init = F.struct(F.col("lt").alias("lt"), F.col("rt").alias("rt"), F.col("theta").alias("theta"))
+
+    def step(acc, x):
+        go_left = F.floor(F.col("_q") / p2(F.col("_j") - 1 - x)) % 2 == 1
+        lt, rt, th = acc.getField("lt"), acc.getField("rt"), acc.getField("theta")
+        return F.when(go_left, F.struct(th.alias("lt"), rt.alias("rt"), geo_mean(rt, th).alias("theta"))).otherwise(
+            F.struct(lt.alias("lt"), th.alias("rt"), geo_mean(th, lt).alias("theta")))
+
+    bits = F.filter(F.sequence(F.lit(0), F.lit(depth)), lambda x: x < F.col("_j"))
+    node = (p2(F.col("_j")) + F.col("_q")).alias("node")
+    return t.select(*KEY, node, F.aggregate(bits, init, step).getField("theta").alias("theta"))
 
 
 STATE_SCHEMA = (
@@ -211,7 +227,7 @@ def _evaluator(sums: DataFrame, a_div, s_div):
 
 def crossing_theta(
     arr_proc: DataFrame, arr_stats: DataFrame, svc_proc: DataFrame, svc_stats: DataFrame,
-    lags: Sequence[int], mus: Sequence[float], *, variant: str = "lag", depth: int = 5,
+    lags: Sequence[int], mus: Sequence[float], *, variant: str = "lag", depth: int | None = None,
 ) -> DataFrame:
     """(username, mu, l, theta, found, converged, steps).
 
@@ -235,6 +251,8 @@ def crossing_theta(
         "username", mu_col, (F.col("w") - s_extra).alias("l"), F.lit(1).alias("side"), "xsum",
         (F.col("mu") * F.col("mean_raw")).alias("c"))
     sums = materialize(a.unionByName(s))
+    if depth is None:
+        depth = auto_depth(sums.count())
     users = arr_stats.select("username").join(svc_stats.select("username"), "username")
     keys = users.select("username", mu_col).select(
         "username", "mu", F.explode(F.array(*[F.lit(x) for x in lags])).alias("l"))
