@@ -42,9 +42,14 @@ def _read(spark: SparkSession, paths, fields, keys: Sequence[str], require_keys:
     typed = [
         (F.col(n) if isinstance(t, T.StringType) else F.col(n).try_cast(t)).alias(n) for n, t in fields
     ]
+    # Every column is referenced (strings through a length test Catalyst does
+    # not fold away): with CSV column pruning, a column no later query needs
+    # is not parsed, and a row of wrong arity would no longer be flagged.
     ok = F.col(CORRUPT).isNull()
     for n, t in fields:
-        if not isinstance(t, T.StringType):
+        if isinstance(t, T.StringType):
+            ok = ok & (F.coalesce(F.length(F.col(n)), F.lit(0)) >= 0)
+        else:
             ok = ok & (F.col(n).isNull() | F.col(n).try_cast(t).isNotNull())
     out = raw.where(ok).select(*typed)
     if require_keys:
