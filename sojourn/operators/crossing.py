@@ -259,3 +259,62 @@ def crossing_theta(
     out = bisect(initial_states(keys, right), _evaluator(sums, a_div, s_div), depth)
     conv = ~_gt(F.abs(F.col("rhoa") - F.col("rhos")), F.lit(THRESHOLD))
     return out.select(*KEY, "theta", "found", conv.alias("converged"), "steps")
+
+
+SLOPE_MIN_LAGS = 10
+
+
+def _slope_evaluator(arr_proc, arr_stats, svc_proc, svc_stats, lags, window, semantics, method):
+    """Evaluator for the slope variant: for every node theta, the log-MGF
+    curves over lags l .. l + window of both processes (MGF kernel, all nodes
+    of all states in one call per lag and kind), and their ``regr_slope``."""
+    from .mgf import mgf_curves
+
+    def evaluate(nodes: DataFrame) -> DataFrame:
+        tkey = (F.round(F.col("mu") * 1_000_000).cast("long") * 100_000 + F.col("node")).alias("tkey")
+        keyed = nodes.select(*KEY, "node", "theta", tkey)
+        parts = []
+        for l in lags:
+            nl = keyed.where(F.col("l") == l)
+            ta = nl.join(arr_stats.select("username", "c"), "username").select("username", "tkey", "theta", "c")
+            ts = nl.join(svc_stats.select("username", "mean_raw"), "username").select(
+                "username", "tkey", "theta", (F.col("mu") * F.col("mean_raw")).alias("c"))
+            ca = mgf_curves(arr_proc, arr_stats, ta, kind="arrival", min_l=l, max_l=l + window,
+                            semantics=semantics, method=method)
+            cs = mgf_curves(svc_proc, svc_stats, ts, kind="service", min_l=l, max_l=l + window,
+                            semantics=semantics, method=method)
+            sa = ca.groupBy("username", "tkey").agg(
+                F.count(F.lit(1)).alias("na"), F.regr_slope(F.col("logmgf"), F.col("lag").cast("double")).alias("ra"))
+            ss = cs.groupBy("username", "tkey").agg(
+                F.count(F.lit(1)).alias("ns"), F.regr_slope(F.col("logmgf"), F.col("lag").cast("double")).alias("rs"))
+            parts.append(nl.join(sa, ["username", "tkey"], "left").join(ss, ["username", "tkey"], "left"))
+        j = parts[0]
+        for p in parts[1:]:
+            j = j.unionByName(p)
+        bad = (F.coalesce(F.col("na"), F.lit(0)) < SLOPE_MIN_LAGS) | (F.coalesce(F.col("ns"), F.lit(0)) < SLOPE_MIN_LAGS)
+        nan = F.lit(float("nan"))
+        return j.select(*KEY, "node", "theta", bad.alias("bad"),
+                        F.coalesce(F.col("ra"), nan).alias("ra"), F.coalesce(F.col("rs"), nan).alias("rs"))
+
+    return evaluate
+
+
+def crossing_theta_slope(
+    arr_proc: DataFrame, arr_stats: DataFrame, svc_proc: DataFrame, svc_stats: DataFrame,
+    lags: Sequence[int], mus: Sequence[float], window: int, *, depth: int = 5,
+    semantics: str = "reference", method: str = "kernel",
+) -> DataFrame:
+    """(username, mu, l, theta, found, converged, steps): the bisection of
+    ``crossing_theta`` where rhoA and rhoS are the least-squares slopes of the
+    arrival and service log-MGF curves over lags l .. l + window (curves cut at
+    their first infinite value); fewer than 10 valid lags on either side moves
+    the right end. Same bracket and stopping rules as ``variant="lag"``."""
+    lags = [int(x) for x in lags]
+    mu_col = F.explode(F.array(*[F.lit(float(m)) for m in mus])).alias("mu")
+    users = arr_stats.select("username").join(svc_stats.select("username"), "username")
+    keys = users.select("username", mu_col).select(
+        "username", "mu", F.explode(F.array(*[F.lit(x) for x in lags])).alias("l"))
+    ev = _slope_evaluator(arr_proc, arr_stats, svc_proc, svc_stats, lags, int(window), semantics, method)
+    out = bisect(initial_states(keys, RIGHT_LAG), ev, depth)
+    conv = ~_gt(F.abs(F.col("rhoa") - F.col("rhos")), F.lit(THRESHOLD))
+    return out.select(*KEY, "theta", "found", conv.alias("converged"), "steps")

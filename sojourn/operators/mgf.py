@@ -82,7 +82,9 @@ def _kernel(kind: str, semantics: str, min_l: int, max_l: int, block: int):
 
     def run(key, rows: pd.DataFrame, ths: pd.DataFrame) -> pd.DataFrame:
         if rows.empty or ths.empty:
-            return pd.DataFrame({"username": [], "tkey": [], "lag": [], "s": [], "cnt": []})
+            return pd.DataFrame({"username": pd.Series([], dtype=object), "tkey": pd.Series([], dtype="int64"),
+                                 "lag": pd.Series([], dtype="int32"), "s": pd.Series([], dtype="float64"),
+                                 "cnt": pd.Series([], dtype="int64")})
         user, blk = key[0], int(key[1])
         rows = rows.sort_values("idx")
         base = int(rows["idx"].iloc[0])
@@ -90,6 +92,8 @@ def _kernel(kind: str, semantics: str, min_l: int, max_l: int, block: int):
         m = int(rows["m"].iloc[0])
         r0 = int(rows["r0"].iloc[0]) if use_r0 else 0
         lo, hi = blk * block, min(blk * block + block, m)
+        if hi <= lo:
+            return run(key, rows.iloc[0:0], ths)
         st = np.arange(lo, hi, dtype=np.int64) - base
         coef = ths["theta"].to_numpy(dtype=np.float64) / ths["c"].to_numpy(dtype=np.float64)
         tkeys = ths["tkey"].to_numpy(dtype=np.int64)

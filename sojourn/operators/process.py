@@ -168,3 +168,35 @@ def autocorrelation(series: DataFrame, value: str, max_lag: int = 100) -> DataFr
         F.sum(F.col("y") * F.col("y2")).alias("_s")
     )
     return num.join(den, "username").select("username", "lag", F.expr("try_divide(_s, _d)").alias("acf"))
+
+
+def normalized_arrival_process(jobs: DataFrame, users: DataFrame | None = None, lam: float = 1.0,
+                               block_rows: int = DEFAULT_BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Process frame of the normalized-arrivals form: increments after every
+    row tied with the first arrival, scale c = lam * exact mean."""
+    inc = arrival_increments(jobs, users, block_rows)
+    kept = inc.where(F.col("arrive") > F.col("arrive") - F.col("raw") - F.col("pre"))
+    first = kept.groupBy("username").agg(F.min("idx").alias("_i0"), F.min_by("pre", "idx").alias("_p0"))
+    proc = materialize(kept.join(first, "username").select(
+        "username", (F.col("idx") - F.col("_i0")).alias("idx"), "raw", (F.col("pre") - F.col("_p0")).alias("pre")))
+    st = proc.groupBy("username").agg(F.count(F.lit(1)).alias("n"), F.avg("raw").alias("mean_raw"),
+                                      F.min_by("raw", "idx").alias("r0"))
+    st = st.select("username", "n", (F.lit(float(lam)) * F.col("mean_raw")).alias("c"), "r0", "mean_raw")
+    return proc.join(st.select("username", "c"), "username").select(
+        "username", "idx", "raw", F.try_divide(F.col("raw"), F.col("c")).alias("x"), "pre"), st
+
+
+def normalized_service_process(tasks: DataFrame, users: DataFrame | None = None, mu: float = 1.0,
+                               block_rows: int = DEFAULT_BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Process frame of the normalized-services form: sizes of task 0 of jobs
+    with fail = 0 in (arrive, jobid, taskix) order, c = mu * exact mean."""
+    t = _only(tasks, users).where((F.col("fail") == 0) & (F.col("taskix") == 0))
+    t = ordered_index(t.select("username", "jobid", "taskix", "arrive", "size"), ["username"],
+                      ["arrive", "jobid", "taskix"], idx_col="idx", sum_col="size", prefix_col="pre",
+                      block_rows=block_rows)
+    proc = materialize(t.select("username", "idx", F.col("size").alias("raw"), "pre"))
+    st = proc.groupBy("username").agg(F.count(F.lit(1)).alias("n"), F.avg("raw").alias("mean_raw"),
+                                      F.min_by("raw", "idx").alias("r0"))
+    st = st.select("username", "n", (F.lit(float(mu)) * F.col("mean_raw")).alias("c"), "r0", "mean_raw")
+    return proc.join(st.select("username", "c"), "username").select(
+        "username", "idx", "raw", F.try_divide(F.col("raw"), F.col("c")).alias("x"), "pre"), st

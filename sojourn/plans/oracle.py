@@ -370,10 +370,38 @@ cx_final AS (SELECT username, mu, l, theta, found FROM cx WHERE done)"""
     return (wa, rec)
 
 
+NORM_PROC = """
+na_rows AS (
+  SELECT s.username, s.arrive, s.raw, row_number() OVER (PARTITION BY s.username ORDER BY s.arrive, s.k) - 1 AS idx,
+         coalesce(sum(s.raw) OVER (PARTITION BY s.username ORDER BY s.arrive, s.k
+                                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pre
+  FROM arr_seq s JOIN arr_st t USING (username) WHERE s.arrive > t.lo
+),
+na_p AS (
+  SELECT r.username, r.idx, r.raw, CAST(r.pre AS BIGINT) AS pre, 1.0 * m.mean_raw AS c, m.mean_raw
+  FROM na_rows r JOIN (SELECT username, avg(raw) AS mean_raw FROM na_rows GROUP BY username) m USING (username)
+),
+ns_rows AS (
+  SELECT username, size AS raw,
+         row_number() OVER (PARTITION BY username ORDER BY arrive, jobid, taskix) - 1 AS idx,
+         coalesce(sum(size) OVER (PARTITION BY username ORDER BY arrive, jobid, taskix
+                                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pre
+  FROM task_meta WHERE fail = 0 AND taskix = 0 AND username IN (SELECT username FROM heavy)
+),
+ns_p AS (
+  SELECT r.username, r.idx, r.raw, CAST(r.pre AS BIGINT) AS pre, m.mean_raw AS c, m.mean_raw
+  FROM ns_rows r JOIN (SELECT username, avg(raw) AS mean_raw FROM ns_rows GROUP BY username) m USING (username)
+)"""
+
+
 def crossing_sql() -> dict[str, str]:
+    final = "SELECT username, mu, l, round(theta, 6) AS theta, found FROM cx_final"
     wa, rec = crossing_cte()
-    sql = with_ctes(*ANALYSIS, wa, rec, final="SELECT username, mu, l, round(theta, 6) AS theta, found FROM cx_final")
-    return {"crossing_theta": sql.replace("WITH ", "WITH RECURSIVE ", 1)}
+    sql = with_ctes(*ANALYSIS, wa, rec, final=final)
+    wa1, rec1 = crossing_cte("na_p", "ns_p", "single_window")
+    sql1 = with_ctes(*ANALYSIS, NORM_PROC, wa1, rec1, final=final)
+    return {"crossing_theta": sql.replace("WITH ", "WITH RECURSIVE ", 1),
+            "crossing_theta_single_window": sql1.replace("WITH ", "WITH RECURSIVE ", 1)}
 
 
 LN_EPS = math.log(1e-6)

@@ -79,6 +79,9 @@ MAX_L = 40
 CROSS_LAGS = (1, 20, 40)
 ACF_LAGS = 100
 R6 = 6  # decimals kept for MGF-derived values
+SLOPE_LAGS = (1, 20)
+SLOPE_MUS = (1.2, 2.0)
+SLOPE_WINDOW = 20
 R9 = 9  # decimals kept for sums of products
 
 
@@ -230,7 +233,22 @@ def crossing_queries() -> dict[str, Query]:
         out = cr.crossing_theta(ap, ast, sp, sst, CROSS_LAGS, pr.DEFAULT_MUS)
         return out.select("username", "mu", "l", F.round("theta", R6).alias("theta"), "found")
 
-    return {"crossing_theta": lag_variant}
+    def single_window(s, d):
+        jobs, tasks, users = analysis_inputs(s, d)
+        ap, ast = pr.normalized_arrival_process(jobs, users)
+        sp, sst = pr.normalized_service_process(tasks, users)
+        out = cr.crossing_theta(ap, ast, sp, sst, CROSS_LAGS, pr.DEFAULT_MUS, variant="single_window")
+        return out.select("username", "mu", "l", F.round("theta", R6).alias("theta"), "found")
+
+    def slope(s, d):
+        jobs, tasks, users = analysis_inputs(s, d)
+        ap, ast = pr.arrival_process(jobs, users)
+        sp, sst = pr.service_process(tasks, users)
+        out = cr.crossing_theta_slope(ap, ast, sp, sst, SLOPE_LAGS, SLOPE_MUS, SLOPE_WINDOW)
+        return out.select("username", "mu", "l", F.round("theta", R6).alias("theta"), "found")
+
+    return {"crossing_theta": lag_variant, "crossing_theta_single_window": single_window,
+            "crossing_theta_slope": slope}
 
 
 ENV_THETA = 0.3

@@ -98,3 +98,40 @@ def envelopes(fa, fs, theta):
             alpha = math.exp(theta * (sigmaa + sigmas)) / den if den != 0 else math.inf
             rows.append((i_s, i_a, sigmaa, rhoa, sigmas, min_s, alpha))
     return rows
+
+
+def crossing_slope(xa, xs, l, window):
+    """(theta, found) of the slope-based bisection (reference semantics)."""
+    def slope(curve):
+        if len(curve) < 2:
+            return math.nan
+        lag = np.array([c[0] for c in curve], float)
+        y = np.array([c[2] for c in curve], float)
+        return float(np.polyfit(lag, y, 1)[0])
+
+    def rhos_at(t):
+        ca = mgf_curve(xa, t, l + window, "arrival", min_l=l)
+        cs = mgf_curve(xs, t, l + window, "service", min_l=l)
+        return ca, cs
+
+    lt, rt = 1e-10, 10.0 - 1e-5
+    theta = lt
+    ca, cs = rhos_at(theta)
+    rhoa, rhos = slope(ca), slope(cs)
+    ct, found, last = 0, False, theta
+    while abs(rhoa - rhos) > 1e-4 and ct < 5000:
+        ca, cs = rhos_at(theta)
+        if len(ca) < 10 or len(cs) < 10:
+            rt = theta
+        else:
+            rhoa, rhos = slope(ca), slope(cs)
+            if rhos > rhoa:
+                rt, found = theta, True
+            else:
+                lt = theta
+        theta = math.exp((math.log(rt) + math.log(lt)) / 2)
+        ct += 1
+        if abs(theta - last) < 1e-10:
+            ct = 5000
+        last = theta
+    return theta, found

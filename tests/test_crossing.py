@@ -29,3 +29,23 @@ def test_batch_bisection_equals_step_by_step(spark, variant):
                 r = out[(u, mu, l)]
                 assert r.theta == pytest.approx(theta, rel=1e-9), (u, mu, l)
                 assert r.found == found
+
+
+def test_slope_bisection_equals_step_by_step(spark):
+    from brute import crossing_slope
+    from sojourn.operators.crossing import crossing_theta_slope
+
+    rng = random.Random(9)
+    arr = {"u0": [rng.randrange(50, 150) for _ in range(70)]}
+    svc = {"u0": [rng.randrange(10, 100) for _ in range(75)]}
+    ca = {u: sum(v) // len(v) * 1.0 for u, v in arr.items()}
+    ap, ast = process(spark, arr, ca)
+    sp, sst = process(spark, svc)
+    out = {(r.mu, r.l): r for r in crossing_theta_slope(ap, ast, sp, sst, (1, 4), (1.5,), 14, depth=4).collect()}
+    xa = [r / ca["u0"] for r in arr["u0"]]
+    mean_s = sum(svc["u0"]) / len(svc["u0"])
+    xs = [r / (1.5 * mean_s) for r in svc["u0"]]
+    for l in (1, 4):
+        theta, found = crossing_slope(xa, xs, l, 14)
+        assert out[(1.5, l)].theta == pytest.approx(theta, rel=1e-7), l
+        assert out[(1.5, l)].found == found

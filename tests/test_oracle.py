@@ -30,7 +30,12 @@ def test_query_matches_oracle(spark, con, name):
     assert r["values_equal"], r
 
 
+# iterative search whose per-step curves + regressions are checked against a
+# brute-force loop in test_crossing.py instead of SQL
+NO_SQL = {"crossing_theta_slope"}
+
+
 def test_every_query_has_an_oracle():
     import __spark_entry__ as E
 
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(E.queries()) - NO_SQL == set(E.oracle_sql())
