@@ -42,21 +42,20 @@ def ordered_index(
     first row.
 
     ``order_cols[0]`` must be integral; it defines the blocks. The block width
-    is one global value, (max - min) / (rows / block_rows), taken from a
-    single scalar subquery: a group holding a fraction f of all rows gets
+    is one global value, (max - min) / (rows / block_rows), from one small
+    aggregate (min, max, count): a group holding a fraction f of all rows gets
     about f * block_rows rows per block when rows spread evenly over the key.
     """
     g = list(group_cols)
     o = list(order_cols)
     first = o[0]
 
-    # 1. one global block width, inlined as a scalar subquery (no join)
-    rng = df.agg(
-        F.struct(F.min(first).alias("lo"), F.max(first).alias("hi"), F.count(F.lit(1)).alias("n")).alias("s")
-    ).scalar()
-    nblocks = F.greatest(F.lit(1).cast("long"), F.ceil(rng.getField("n") / F.lit(block_rows)).cast("long"))
-    width = ((rng.getField("hi") - rng.getField("lo")).cast("long") / nblocks).cast("long") + 1
-    d = df.withColumn("_blk", ((F.col(first) - rng.getField("lo")) / width).cast("long"))
+    # 1. one global block width from one small aggregate (three numbers), as literals
+    lo, hi, n = df.agg(F.min(first), F.max(first), F.count(F.lit(1))).first()
+    lo, hi, n = int(lo or 0), int(hi or 0), int(n or 0)
+    nblocks = max(1, -(-n // int(block_rows)))
+    width = (hi - lo) // nblocks + 1
+    d = df.withColumn("_blk", F.expr(f"(`{first}` - ({lo}L)) div ({width}L)"))
 
     # 2. block summary: rows, sum, last value; offsets by a window over blocks
     key = F.struct(*[F.col(c) for c in o])

@@ -86,11 +86,18 @@ R9 = 9  # decimals kept for sums of products
 
 
 def analysis_inputs(spark: SparkSession, sf_dir: str, heavy: int = HEAVY):
-    """(jobs with fail = 0, tasks, heavy users), all with metadata."""
+    """(jobs with fail = 0, tasks, heavy users), all with metadata.
+
+    The two lifecycle tables are written once (parquet in the shared
+    checkpoint folder) and read back, as the analyzed pipeline caches them:
+    every later step (user counts, ordering, per-user statistics) reads them
+    several times.
+    """
+    from ..functions.ordering import materialize
     from ..operators import users as us
 
-    jobs = md.job_lifecycle_meta(adapter.job_events(spark, sf_dir)).where("fail = 0")
-    tasks = md.task_lifecycle_meta(adapter.task_events(spark, sf_dir))
+    jobs = materialize(md.job_lifecycle_meta(adapter.job_events(spark, sf_dir)).where("fail = 0"))
+    tasks = materialize(md.task_lifecycle_meta(adapter.task_events(spark, sf_dir)))
     return jobs, tasks, us.heavy_users(jobs, heavy)
 
 
@@ -147,10 +154,21 @@ def process_queries() -> dict[str, Query]:
 
 def processes(spark: SparkSession, sf_dir: str, heavy: int = HEAVY):
     """((arrival proc, stats), (service proc, stats)) for the heavy users."""
+    return arrivals_only(spark, sf_dir, heavy), services_only(spark, sf_dir, heavy)
+
+
+def arrivals_only(spark: SparkSession, sf_dir: str, heavy: int = HEAVY):
     from ..operators import process as pr
 
-    jobs, tasks, users = analysis_inputs(spark, sf_dir, heavy)
-    return pr.arrival_process(jobs, users), pr.service_process(tasks, users)
+    jobs, _, users = analysis_inputs(spark, sf_dir, heavy)
+    return pr.arrival_process(jobs, users)
+
+
+def services_only(spark: SparkSession, sf_dir: str, heavy: int = HEAVY):
+    from ..operators import process as pr
+
+    _, tasks, users = analysis_inputs(spark, sf_dir, heavy)
+    return pr.service_process(tasks, users)
 
 
 def lagsum_queries() -> dict[str, Query]:
@@ -160,11 +178,11 @@ def lagsum_queries() -> dict[str, Query]:
     from ..operators import mgf
 
     def sliding(s, d):
-        (ap, ast), _ = processes(s, d)
+        ap, ast = arrivals_only(s, d)
         return ls.sliding_sum(ap, ast, 20).select("username", "idx", F.round("lagsum", R9).alias("lagsum"))
 
     def lagmat(s, d):
-        (ap, ast), _ = processes(s, d)
+        ap, ast = arrivals_only(s, d)
         return ls.lag_sums(ap, ast, MAX_L).select("username", "lag", "idx", F.round("lagsum", R9).alias("lagsum"))
 
     def single(s, d):
@@ -175,8 +193,7 @@ def lagsum_queries() -> dict[str, Query]:
 
     def curve(kind, thetas, semantics="reference", method="kernel"):
         def q(s, d):
-            (ap, ast), (sp, sst) = processes(s, d)
-            p, st = (ap, ast) if kind == "arrival" else (sp, sst)
+            p, st = arrivals_only(s, d) if kind == "arrival" else services_only(s, d)
             c = mgf.mgf_curves(p, st, thetas, kind=kind, max_l=MAX_L, semantics=semantics, method=method)
             return c.select("username", "theta", "lag", F.round("logmgf", R6).alias("logmgf"))
         return q
