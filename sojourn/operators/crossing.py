@@ -68,7 +68,7 @@ def _gt(a, b):
 
 
 def node_tree(states: DataFrame, depth: int) -> DataFrame:
-    """(key, node, theta) for the 2^depth - 1 nodes of the next steps.
+    """(sid, node, theta) for the 2^depth - 1 nodes of the next steps.
 
     Node 1 is the current theta; child 2k follows "right = theta" at node k,
     child 2k+1 follows "left = theta". One narrow projection: explode
@@ -76,10 +76,10 @@ def node_tree(states: DataFrame, depth: int) -> DataFrame:
     first) over the bracket with a higher-order ``aggregate``.
     """
     lvl = F.explode(F.sequence(F.lit(0), F.lit(depth - 1))).alias("_j")
-    t = states.select(*KEY, "lt", "rt", "theta", lvl)
+    t = states.select("sid", "lt", "rt", "theta", lvl)
     p2 = lambda e: F.pow(F.lit(2.0), e).cast("long")  # noqa: E731  (exact for small e)
     pos = F.explode(F.sequence(F.lit(0).cast("long"), p2(F.col("_j")) - 1)).alias("_q")
-    t = t.select(*KEY, "lt", "rt", "theta", "_j", pos)
+    t = t.select("sid", "lt", "rt", "theta", "_j", pos)
     init = F.struct(F.col("lt").alias("lt"), F.col("rt").alias("rt"), F.col("theta").alias("theta"))
 
     def step(acc, x):
@@ -90,11 +90,11 @@ def node_tree(states: DataFrame, depth: int) -> DataFrame:
 
     bits = F.filter(F.sequence(F.lit(0), F.lit(depth)), lambda x: x < F.col("_j"))
     node = (p2(F.col("_j")) + F.col("_q")).alias("node")
-    return t.select(*KEY, node, F.aggregate(bits, init, step).getField("theta").alias("theta"))
+    return t.select("sid", node, F.aggregate(bits, init, step).getField("theta").alias("theta"))
 
 
 STATE_SCHEMA = (
-    "username string, mu double, l int, lt double, rt double, theta double, rhoa double, rhos double, "
+    "sid long, username string, mu double, l int, lt double, rt double, theta double, rhoa double, rhos double, "
     "ct int, last double, found boolean, done boolean, steps int, init boolean"
 )
 
@@ -149,7 +149,8 @@ def _walk_fn(depth: int):
                         ct = MAX_STEPS
                     last = theta
                     done = not (abs(rhoa - rhos) > THRESHOLD and ct < MAX_STEPS)
-                out.append((r.username, r.mu, r.l, lt, rt, theta, rhoa, rhos, ct, last, found, done, steps, False))
+                out.append((r.sid, r.username, r.mu, r.l, lt, rt, theta, rhoa, rhos, ct, last, found, done, steps,
+                            False))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in STATE_SCHEMA.split(", ")])
 
     return walk
@@ -159,18 +160,18 @@ def _walk(states: DataFrame, tree: DataFrame, ev: DataFrame, depth: int) -> Data
     """Give each state its evaluated nodes (first ``depth`` levels, with
     thetas) and the thetas of level depth+1, then walk."""
     last = tree.where(F.col("node") >= 2 ** depth).select(
-        *KEY, "node", "theta", F.lit(None).cast("boolean").alias("bad"),
+        "sid", "node", "theta", F.lit(None).cast("boolean").alias("bad"),
         F.lit(None).cast("double").alias("ra"), F.lit(None).cast("double").alias("rs"))
-    t = ev.select(*KEY, "node", "theta", "bad", "ra", "rs").unionByName(last)
-    m = t.groupBy(*KEY).agg(F.collect_list(F.struct("node", "theta", "bad", "ra", "rs")).alias("ev"))
-    s = states.join(m, KEY, "left")
+    t = ev.select("sid", "node", "theta", "bad", "ra", "rs").unionByName(last)
+    m = t.groupBy("sid").agg(F.collect_list(F.struct("node", "theta", "bad", "ra", "rs")).alias("ev"))
+    s = states.join(m, "sid", "left")
     return s.mapInPandas(_walk_fn(depth), STATE_SCHEMA)
 
 
 def initial_states(keys: DataFrame, right: float) -> DataFrame:
-    """States at the left end of the bracket for each (username, mu, l)."""
+    """States at the left end of the bracket for each (sid, username, mu, l)."""
     return keys.select(
-        *KEY,
+        "sid", *KEY,
         F.lit(LEFT).alias("lt"), F.lit(right).alias("rt"), F.lit(LEFT).alias("theta"),
         F.lit(None).cast("double").alias("rhoa"), F.lit(None).cast("double").alias("rhos"),
         F.lit(0).alias("ct"), F.lit(LEFT).alias("last"), F.lit(False).alias("found"),
@@ -201,14 +202,14 @@ def bisect(states: DataFrame, evaluate, depth: int = 5, max_passes: int | None =
 
 
 def _evaluator(sums: DataFrame, a_div, s_div):
-    """``sums`` (username, mu, l, side, xsum, c): raw window sums of the
+    """``sums`` (sid, l, side, xsum, c): raw window sums of the
     arrivals (side 0, repeated per mu) and services (side 1) with each row's
     scale c. One broadcast join with the node thetas, one aggregate."""
 
     def evaluate(nodes: DataFrame) -> DataFrame:
-        j = nodes.join(sums, KEY)
+        j = nodes.join(sums, "sid")
         arg = F.col("theta") / F.col("c") * F.col("xsum")
-        agg = j.groupBy(*KEY, "node", "theta").agg(
+        agg = j.groupBy("sid", "l", "node", "theta").agg(
             F.avg(F.when(F.col("side") == 0, F.exp(-arg))).alias("mma"),
             F.avg(F.when(F.col("side") == 1, F.exp(arg))).alias("mms"),
         )
@@ -219,12 +220,22 @@ def _evaluator(sums: DataFrame, a_div, s_div):
         rs = F.try_divide(F.log("mms"), F.col("theta") * s_div)
         # a missing mean (no window at all) is NaN in the analyzed code
         nan = F.lit(float("nan"))
-        return agg.select(*KEY, "node", "theta", F.coalesce(bad, F.lit(False)).alias("bad"),
+        return agg.select("sid", "node", "theta", F.coalesce(bad, F.lit(False)).alias("bad"),
                           F.coalesce(ra, nan).alias("ra"), F.coalesce(rs, nan).alias("rs"))
 
     return evaluate
 
 
+def _state_keys(arr_stats: DataFrame, svc_stats: DataFrame, lags, mus) -> DataFrame:
+    """(sid, username, mu, l): one row per search, with a compact integer id
+    (written once, so the id is stable)."""
+    mu_col = F.explode(F.array(*[F.lit(float(m)) for m in mus])).alias("mu")
+    users = arr_stats.select("username").join(svc_stats.select("username"), "username")
+    keys = users.select("username", mu_col).select(
+        "username", "mu", F.explode(F.array(*[F.lit(int(x)) for x in lags])).alias("l"))
+    return materialize(keys.select(F.monotonically_increasing_id().alias("sid"), *KEY))
+
+
 def crossing_theta(
     arr_proc: DataFrame, arr_stats: DataFrame, svc_proc: DataFrame, svc_stats: DataFrame,
     lags: Sequence[int], mus: Sequence[float], *, variant: str = "lag", depth: int | None = None,
@@ -250,12 +261,10 @@ def crossing_theta(
         svc_stats.select("username", "mean_raw"), "username").select(
         "username", mu_col, (F.col("w") - s_extra).alias("l"), F.lit(1).alias("side"), "xsum",
         (F.col("mu") * F.col("mean_raw")).alias("c"))
-    sums = materialize(a.unionByName(s))
+    keys = _state_keys(arr_stats, svc_stats, lags, mus)
+    sums = materialize(a.unionByName(s).join(keys, KEY).select("sid", "l", "side", "xsum", "c"))
     if depth is None:
         depth = auto_depth(sums.count())
-    users = arr_stats.select("username").join(svc_stats.select("username"), "username")
-    keys = users.select("username", mu_col).select(
-        "username", "mu", F.explode(F.array(*[F.lit(x) for x in lags])).alias("l"))
     out = bisect(initial_states(keys, right), _evaluator(sums, a_div, s_div), depth)
     conv = ~_gt(F.abs(F.col("rhoa") - F.col("rhos")), F.lit(THRESHOLD))
     return out.select(*KEY, "theta", "found", conv.alias("converged"), "steps")
@@ -264,7 +273,7 @@ def crossing_theta(
 SLOPE_MIN_LAGS = 10
 
 
-def _slope_evaluator(arr_proc, arr_stats, svc_proc, svc_stats, lags, window, semantics, method):
+def _slope_evaluator(keys, arr_proc, arr_stats, svc_proc, svc_stats, lags, window, semantics, method):
     """Evaluator for the slope variant: for every node theta, the log-MGF
     curves over lags l .. l + window of both processes (MGF kernel, all nodes
     of all states in one call per lag and kind), and their ``regr_slope``."""
@@ -272,7 +281,7 @@ def _slope_evaluator(arr_proc, arr_stats, svc_proc, svc_stats, lags, window, sem
 
     def evaluate(nodes: DataFrame) -> DataFrame:
         tkey = (F.round(F.col("mu") * 1_000_000).cast("long") * 100_000 + F.col("node")).alias("tkey")
-        keyed = nodes.select(*KEY, "node", "theta", tkey)
+        keyed = nodes.join(keys, "sid").select("sid", *KEY, "node", "theta", tkey)
         parts = []
         for l in lags:
             nl = keyed.where(F.col("l") == l)
@@ -293,7 +302,7 @@ def _slope_evaluator(arr_proc, arr_stats, svc_proc, svc_stats, lags, window, sem
             j = j.unionByName(p)
         bad = (F.coalesce(F.col("na"), F.lit(0)) < SLOPE_MIN_LAGS) | (F.coalesce(F.col("ns"), F.lit(0)) < SLOPE_MIN_LAGS)
         nan = F.lit(float("nan"))
-        return j.select(*KEY, "node", "theta", bad.alias("bad"),
+        return j.select("sid", "node", "theta", bad.alias("bad"),
                         F.coalesce(F.col("ra"), nan).alias("ra"), F.coalesce(F.col("rs"), nan).alias("rs"))
 
     return evaluate
@@ -310,11 +319,8 @@ def crossing_theta_slope(
     their first infinite value); fewer than 10 valid lags on either side moves
     the right end. Same bracket and stopping rules as ``variant="lag"``."""
     lags = [int(x) for x in lags]
-    mu_col = F.explode(F.array(*[F.lit(float(m)) for m in mus])).alias("mu")
-    users = arr_stats.select("username").join(svc_stats.select("username"), "username")
-    keys = users.select("username", mu_col).select(
-        "username", "mu", F.explode(F.array(*[F.lit(x) for x in lags])).alias("l"))
-    ev = _slope_evaluator(arr_proc, arr_stats, svc_proc, svc_stats, lags, int(window), semantics, method)
+    keys = _state_keys(arr_stats, svc_stats, lags, mus)
+    ev = _slope_evaluator(keys, arr_proc, arr_stats, svc_proc, svc_stats, lags, int(window), semantics, method)
     out = bisect(initial_states(keys, RIGHT_LAG), ev, depth)
     conv = ~_gt(F.abs(F.col("rhoa") - F.col("rhos")), F.lit(THRESHOLD))
     return out.select(*KEY, "theta", "found", conv.alias("converged"), "steps")
