@@ -91,15 +91,26 @@ def ordered_index(
     return d.drop("_blk", "_off", "_soff", "_pl")
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def compute_partitions(spark) -> int:
+    """Partitions for compute-heavy stages whose input is small in bytes
+    (MGF blocks, window sums): two per core, so that AQE's size-based
+    coalescing cannot pack many expensive groups into one task."""
+    return max(2 * spark.sparkContext.defaultParallelism, 2)
+
+
+def materialize(df: DataFrame, spread: bool = False) -> DataFrame:
     """Write ``df`` as parquet into the shared ``spark.checkpoint.dir`` folder
     and read it back: one computation, survives executor loss, cuts lineage.
-    Used where a frame feeds several later passes."""
+    Used where a frame feeds several later passes. ``spread=True`` writes it
+    round-robin into ``compute_partitions`` files, so that later
+    compute-heavy scans of it run on every core."""
     import uuid
 
     from ..session import ensure_checkpoint_dir
 
     path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/mat-{uuid.uuid4().hex}"
+    if spread:
+        df = df.repartition(compute_partitions(df.sparkSession))
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
 

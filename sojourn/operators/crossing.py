@@ -262,7 +262,7 @@ def crossing_theta(
         "username", mu_col, (F.col("w") - s_extra).alias("l"), F.lit(1).alias("side"), "xsum",
         (F.col("mu") * F.col("mean_raw")).alias("c"))
     keys = _state_keys(arr_stats, svc_stats, lags, mus)
-    sums = materialize(a.unionByName(s).join(keys, KEY).select("sid", "l", "side", "xsum", "c"))
+    sums = materialize(a.unionByName(s).join(keys, KEY).select("sid", "l", "side", "xsum", "c"), spread=True)
     if depth is None:
         depth = auto_depth(sums.count())
     out = bisect(initial_states(keys, right), _evaluator(sums, a_div, s_div), depth)

@@ -36,6 +36,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordering import compute_partitions
+
 KERNEL_SCHEMA = "username string, tkey long, lag int, s double, cnt long"
 DEFAULT_MGF_BLOCK = 32768
 THETA_CHUNK = 64
@@ -117,9 +119,15 @@ def _kernel(kind: str, semantics: str, min_l: int, max_l: int, block: int):
 
 def _partial_sums_kernel(proc, stats, th, kind, semantics, min_l, max_l, block):
     halo = max_l + 2
-    block = max(int(block), halo)
     gap = _starts(kind, max_l)
     users = stats.select("username", (F.col("n") - gap).alias("m"), "r0").where(F.col("m") >= 1)
+    if block is None:
+        # about two blocks per core over all starts; at least 4 halos (so a row
+        # feeds at most two blocks), at most DEFAULT_MGF_BLOCK
+        total = users.agg(F.sum("m")).first()[0] or 0
+        per = -(-int(total) // compute_partitions(proc.sparkSession))
+        block = min(DEFAULT_MGF_BLOCK, max(4 * halo, per))
+    block = max(int(block), halo)
     nb = F.ceil(F.col("m") / F.lit(block)).cast("long")
     k = F.col("idx")
     first_b = F.greatest(F.lit(0).cast("long"), F.ceil((k - block - halo + 1) / F.lit(block)).cast("long"))
@@ -133,6 +141,11 @@ def _partial_sums_kernel(proc, stats, th, kind, semantics, min_l, max_l, block):
         F.col("username").alias("_u"), F.col("blk").alias("_b"), "tkey", "theta", "c"
     )
     fn = _kernel(kind, semantics, min_l, max_l, block)
+    # Each (user, block) group is small in bytes but heavy in exp work: an
+    # explicit partition count keeps AQE from packing many groups per task.
+    n = compute_partitions(proc.sparkSession)
+    rows = rows.repartition(n, "username", "blk")
+    tb = tb.repartition(n, "_u", "_b")
     part = rows.groupBy("username", "blk").cogroup(tb.groupBy("_u", "_b")).applyInPandas(fn, KERNEL_SCHEMA)
     return part.groupBy("username", "tkey", "lag").agg(F.sum("s").alias("s"), F.sum("cnt").alias("cnt"))
 
@@ -166,7 +179,7 @@ def mgf_curves(
     min_l: int = 1,
     semantics: str = "reference",
     method: str = "kernel",
-    block_rows: int = DEFAULT_MGF_BLOCK,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """(username, tkey, theta, lag, mgf, logmgf) over the valid lags.
 
