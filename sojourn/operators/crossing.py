@@ -50,6 +50,9 @@ NODE_BROADCAST_ROWS = 5_000_000
 # exp evaluations allowed per pass when choosing the tree depth automatically
 EXP_BUDGET = 10_000_000
 MIN_DEPTH, MAX_DEPTH = 5, 10
+# extra levels of the two straight paths evaluated per pass (a search without
+# a crossing walks one way for ~42 steps)
+CHAIN = 45
 
 
 def auto_depth(sum_rows: int, budget: int = EXP_BUDGET) -> int:
@@ -67,18 +70,26 @@ def _gt(a, b):
     return F.coalesce((a > b) & ~F.isnan(a) & ~F.isnan(b), F.lit(False))
 
 
-def node_tree(states: DataFrame, depth: int) -> DataFrame:
-    """(sid, node, theta) for the 2^depth - 1 nodes of the next steps.
+def node_tree(states: DataFrame, depth: int, chain: int = 0) -> DataFrame:
+    """(sid, node, theta, ev) for the nodes of the next steps.
 
     Node 1 is the current theta; child 2k follows "right = theta" at node k,
-    child 2k+1 follows "left = theta". One narrow projection: explode
-    (level j, position q), then fold the j path bits of q (most significant
-    first) over the bracket with a higher-order ``aggregate``.
+    child 2k+1 follows "left = theta". Levels 0 .. depth are complete (level
+    ``depth`` only supplies thetas: ev = false). With ``chain`` > depth, the
+    all-right and all-left paths from the root continue to level ``chain``
+    (evaluated below it), each with its off-path children (thetas only):
+    searches that keep moving one way finish in one pass. One narrow
+    projection: explode (level j, position q), then fold the j path bits of q
+    (most significant first) over the bracket with a higher-order ``aggregate``.
     """
-    lvl = F.explode(F.sequence(F.lit(0), F.lit(depth - 1))).alias("_j")
+    top = max(depth, chain)
+    p2 = lambda e: F.pow(F.lit(2.0), e).cast("long")  # noqa: E731  (exact below 2^53)
+    lvl = F.explode(F.sequence(F.lit(0), F.lit(top))).alias("_j")
     t = states.select("sid", "lt", "rt", "theta", lvl)
-    p2 = lambda e: F.pow(F.lit(2.0), e).cast("long")  # noqa: E731  (exact for small e)
-    pos = F.explode(F.sequence(F.lit(0).cast("long"), p2(F.col("_j")) - 1)).alias("_q")
+    full = F.sequence(F.lit(0).cast("long"), p2(F.col("_j")) - 1)
+    last = p2(F.col("_j")) - 1
+    ends = F.array_distinct(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"), last - 1, last))
+    pos = F.explode(F.when(F.col("_j") <= depth, full).otherwise(ends)).alias("_q")
     t = t.select("sid", "lt", "rt", "theta", "_j", pos)
     init = F.struct(F.col("lt").alias("lt"), F.col("rt").alias("rt"), F.col("theta").alias("theta"))
 
@@ -88,9 +99,11 @@ def node_tree(states: DataFrame, depth: int) -> DataFrame:
         return F.when(go_left, F.struct(th.alias("lt"), rt.alias("rt"), geo_mean(rt, th).alias("theta"))).otherwise(
             F.struct(lt.alias("lt"), th.alias("rt"), geo_mean(th, lt).alias("theta")))
 
-    bits = F.filter(F.sequence(F.lit(0), F.lit(depth)), lambda x: x < F.col("_j"))
+    bits = F.filter(F.sequence(F.lit(0), F.lit(top)), lambda x: x < F.col("_j"))
     node = (p2(F.col("_j")) + F.col("_q")).alias("node")
-    return t.select("sid", node, F.aggregate(bits, init, step).getField("theta").alias("theta"))
+    on_chain = (F.col("_q") == 0) | (F.col("_q") == p2(F.col("_j")) - 1)
+    ev = (F.col("_j") < depth) | ((F.col("_j") < chain) & on_chain)
+    return t.select("sid", node, F.aggregate(bits, init, step).getField("theta").alias("theta"), ev.alias("ev"))
 
 
 STATE_SCHEMA = (
@@ -100,9 +113,10 @@ STATE_SCHEMA = (
 
 
 def _walk_fn(depth: int):
-    """Per state: ``depth`` bisection steps, reading every theta from the node
-    table (so the thetas equal the ones evaluated) and the two rhos of every
-    evaluated node. Runs over the small state frame only."""
+    """Per state: bisection steps while the current node was evaluated,
+    reading every theta from the node table (so the thetas equal the ones
+    evaluated) and the two rhos of every evaluated node. Runs over the small
+    state frame only."""
     nan = float("nan")
 
     def walk(it):
@@ -126,13 +140,16 @@ def _walk_fn(depth: int):
                     rhos = nan if rs is None else rs
                     done = not (abs(rhoa - rhos) > THRESHOLD and ct < MAX_STEPS)
                 node = 1
-                for _ in range(depth):
-                    if done:
-                        break
-                    _, bad, ra, rs = tree.get(node, (theta, False, nan, nan))
+                while not done:
+                    if node not in tree:
+                        _, bad, ra, rs = (theta, False, nan, nan)
+                    else:
+                        _, bad, ra, rs = tree[node]
+                        if bad is None:        # theta only: the next pass evaluates it
+                            break
                     ra = nan if ra is None else ra
                     rs = nan if rs is None else rs
-                    if bad is None or bad:
+                    if bad:
                         rt, go_left = theta, False
                     else:
                         rhoa, rhos = ra, rs
@@ -159,7 +176,7 @@ def _walk_fn(depth: int):
 def _walk(states: DataFrame, tree: DataFrame, ev: DataFrame, depth: int) -> DataFrame:
     """Give each state its evaluated nodes (first ``depth`` levels, with
     thetas) and the thetas of level depth+1, then walk."""
-    last = tree.where(F.col("node") >= 2 ** depth).select(
+    last = tree.where(~F.col("ev")).select(
         "sid", "node", "theta", F.lit(None).cast("boolean").alias("bad"),
         F.lit(None).cast("double").alias("ra"), F.lit(None).cast("double").alias("rs"))
     t = ev.select("sid", "node", "theta", "bad", "ra", "rs").unionByName(last)
@@ -183,9 +200,9 @@ def _maybe_broadcast(df: DataFrame, rows: int, limit: int = NODE_BROADCAST_ROWS)
     return F.broadcast(df) if rows <= limit else df
 
 
-def bisect(states: DataFrame, evaluate, depth: int = 5, max_passes: int | None = None) -> DataFrame:
+def bisect(states: DataFrame, evaluate, depth: int = 5, max_passes: int | None = None, chain: int = 0) -> DataFrame:
     """Run passes until every state is done. ``evaluate(nodes)`` returns
-    (key, node, bad, ra, rs) for the node thetas it is given."""
+    (sid, node, theta, bad, ra, rs) for the node thetas it is given."""
     max_passes = max_passes or -(-MAX_STEPS // depth)
     states = materialize(states)
     for _ in range(max_passes):
@@ -193,9 +210,9 @@ def bisect(states: DataFrame, evaluate, depth: int = 5, max_passes: int | None =
         n_active = active.count()
         if n_active == 0:
             break
-        tree = node_tree(active, depth + 1)
-        nodes = tree.where(F.col("node") < 2 ** depth)
-        nodes = _maybe_broadcast(nodes, n_active * (2 ** depth - 1))
+        tree = node_tree(active, depth, chain)
+        nodes = tree.where(F.col("ev")).drop("ev")
+        nodes = _maybe_broadcast(nodes, n_active * (2 ** depth - 1 + 2 * max(0, chain - depth)))
         stepped = _walk(active, tree, evaluate(nodes), depth)
         states = materialize(states.where(F.col("done")).unionByName(stepped))
     return states
@@ -265,7 +282,7 @@ def crossing_theta(
     sums = materialize(a.unionByName(s).join(keys, KEY).select("sid", "l", "side", "xsum", "c"), spread=True)
     if depth is None:
         depth = auto_depth(sums.count())
-    out = bisect(initial_states(keys, right), _evaluator(sums, a_div, s_div), depth)
+    out = bisect(initial_states(keys, right), _evaluator(sums, a_div, s_div), depth, chain=depth + CHAIN)
     conv = ~_gt(F.abs(F.col("rhoa") - F.col("rhos")), F.lit(THRESHOLD))
     return out.select(*KEY, "theta", "found", conv.alias("converged"), "steps")
 
