@@ -197,6 +197,10 @@ def initial_states(keys: DataFrame, right: float) -> DataFrame:
 
 
 def _maybe_broadcast(df: DataFrame, rows: int, limit: int = NODE_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast the node table only below ``limit`` rows (its size is known:
+    active states x nodes per state). Above it the join shuffles on the state
+    id; AQE's skew-join splitting then handles a state with very many window
+    sums."""
     return F.broadcast(df) if rows <= limit else df
 
 

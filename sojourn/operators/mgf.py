@@ -40,6 +40,7 @@ from ..functions.ordering import compute_partitions
 
 KERNEL_SCHEMA = "username string, tkey long, lag int, s double, cnt long"
 DEFAULT_MGF_BLOCK = 32768
+MIN_MGF_BLOCK = 8192
 THETA_CHUNK = 64
 
 
@@ -121,13 +122,18 @@ def _partial_sums_kernel(proc, stats, th, kind, semantics, min_l, max_l, block):
     halo = max_l + 2
     gap = _starts(kind, max_l)
     users = stats.select("username", (F.col("n") - gap).alias("m"), "r0").where(F.col("m") >= 1)
+    total, n_users = users.agg(F.sum("m"), F.count(F.lit(1))).first()
+    total, n_users = int(total or 0), int(n_users or 0)
+    cores2 = compute_partitions(proc.sparkSession)
     if block is None:
-        # about two blocks per core over all starts; at least 4 halos (so a row
-        # feeds at most two blocks), at most DEFAULT_MGF_BLOCK
-        total = users.agg(F.sum("m")).first()[0] or 0
-        per = -(-int(total) // compute_partitions(proc.sparkSession))
-        block = min(DEFAULT_MGF_BLOCK, max(4 * halo, per))
+        # about two blocks per core over all starts, within [MIN_MGF_BLOCK,
+        # DEFAULT_MGF_BLOCK] and at least 4 halos (a row feeds <= 2 blocks);
+        # smaller blocks would cost more in per-group overhead than they gain
+        per = -(-total // cores2)
+        block = max(4 * halo, min(DEFAULT_MGF_BLOCK, max(MIN_MGF_BLOCK, per)))
     block = max(int(block), halo)
+    # (user, block) groups are at most total / block + users
+    n_parts = max(1, min(cores2, total // block + n_users))
     nb = F.ceil(F.col("m") / F.lit(block)).cast("long")
     k = F.col("idx")
     first_b = F.greatest(F.lit(0).cast("long"), F.ceil((k - block - halo + 1) / F.lit(block)).cast("long"))
@@ -143,9 +149,8 @@ def _partial_sums_kernel(proc, stats, th, kind, semantics, min_l, max_l, block):
     fn = _kernel(kind, semantics, min_l, max_l, block)
     # Each (user, block) group is small in bytes but heavy in exp work: an
     # explicit partition count keeps AQE from packing many groups per task.
-    n = compute_partitions(proc.sparkSession)
-    rows = rows.repartition(n, "username", "blk")
-    tb = tb.repartition(n, "_u", "_b")
+    rows = rows.repartition(n_parts, "username", "blk")
+    tb = tb.repartition(n_parts, "_u", "_b")
     part = rows.groupBy("username", "blk").cogroup(tb.groupBy("_u", "_b")).applyInPandas(fn, KERNEL_SCHEMA)
     return part.groupBy("username", "tkey", "lag").agg(F.sum("s").alias("s"), F.sum("cnt").alias("cnt"))
 

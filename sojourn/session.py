@@ -6,7 +6,6 @@ one in. ``local_session`` is for tests and the bench only.
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -45,7 +44,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not d:
         d = sc.getCheckpointDir()
     if not d:
-        d = tempfile.mkdtemp(prefix="sojourn-ckpt-", dir=os.environ.get("SOJOURN_SCRATCH", "/tmp"))
+        d = tempfile.mkdtemp(prefix="sojourn-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
