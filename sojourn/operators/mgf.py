@@ -41,6 +41,7 @@ from ..functions.ordering import compute_partitions
 KERNEL_SCHEMA = "username string, tkey long, lag int, s double, cnt long"
 DEFAULT_MGF_BLOCK = 32768
 MIN_MGF_BLOCK = 8192
+SPREAD_KERNEL = True  # explicit partitions for the kernel (see _partial_sums_kernel)
 THETA_CHUNK = 64
 
 
@@ -149,8 +150,9 @@ def _partial_sums_kernel(proc, stats, th, kind, semantics, min_l, max_l, block):
     fn = _kernel(kind, semantics, min_l, max_l, block)
     # Each (user, block) group is small in bytes but heavy in exp work: an
     # explicit partition count keeps AQE from packing many groups per task.
-    rows = rows.repartition(n_parts, "username", "blk")
-    tb = tb.repartition(n_parts, "_u", "_b")
+    if SPREAD_KERNEL:
+        rows = rows.repartition(n_parts, "username", "blk")
+        tb = tb.repartition(n_parts, "_u", "_b")
     part = rows.groupBy("username", "blk").cogroup(tb.groupBy("_u", "_b")).applyInPandas(fn, KERNEL_SCHEMA)
     return part.groupBy("username", "tkey", "lag").agg(F.sum("s").alias("s"), F.sum("cnt").alias("cnt"))
 
