@@ -49,16 +49,19 @@ KEY = ["username", "mu", "l"]
 NODE_BROADCAST_ROWS = 5_000_000
 # exp evaluations allowed per pass when choosing the tree depth automatically
 EXP_BUDGET = 10_000_000
-MIN_DEPTH, MAX_DEPTH = 5, 10
+MIN_DEPTH, MAX_DEPTH = 5, 7
 # extra levels of the two straight paths evaluated per pass (a search without
 # a crossing walks one way for ~42 steps)
 CHAIN = 45
+MAX_LEVEL = 60  # node ids stay below 2^61
 
 
 def auto_depth(sum_rows: int, budget: int = EXP_BUDGET) -> int:
     """Deepest tree whose pass costs at most ``budget`` exp evaluations
     (each window-sum row is evaluated at every node of its state), kept in
-    [5, 10]: few passes on small inputs, cheap passes on huge ones."""
+    [5, 7]: few passes on small inputs, cheap passes on huge ones (the node
+    thetas come from an interpreted higher-order fold, so deeper trees cost
+    more to build than they save)."""
     d = MIN_DEPTH
     while d < MAX_DEPTH and sum_rows * (2 ** (d + 1) - 1) <= budget:
         d += 1
@@ -82,8 +85,9 @@ def node_tree(states: DataFrame, depth: int, chain: int = 0) -> DataFrame:
     projection: explode (level j, position q), then fold the j path bits of q
     (most significant first) over the bracket with a higher-order ``aggregate``.
     """
-    top = max(depth, chain)
-    p2 = lambda e: F.pow(F.lit(2.0), e).cast("long")  # noqa: E731  (exact below 2^53)
+    top = min(max(depth, chain), MAX_LEVEL)
+    chain = min(chain, MAX_LEVEL)
+    p2 = lambda e: F.pow(F.lit(2.0), e).cast("long")  # noqa: E731  (powers of two: exact up to 2^62)
     lvl = F.explode(F.sequence(F.lit(0), F.lit(top))).alias("_j")
     t = states.select("sid", "lt", "rt", "theta", lvl)
     full = F.sequence(F.lit(0).cast("long"), p2(F.col("_j")) - 1)
@@ -94,7 +98,8 @@ def node_tree(states: DataFrame, depth: int, chain: int = 0) -> DataFrame:
     init = F.struct(F.col("lt").alias("lt"), F.col("rt").alias("rt"), F.col("theta").alias("theta"))
 
     def step(acc, x):
-        go_left = F.floor(F.col("_q") / p2(F.col("_j") - 1 - x)) % 2 == 1
+        # bit (j-1-x) of q, in exact integer arithmetic
+        go_left = (F.col("_q") % p2(F.col("_j") - x)) >= p2(F.col("_j") - 1 - x)
         lt, rt, th = acc.getField("lt"), acc.getField("rt"), acc.getField("theta")
         return F.when(go_left, F.struct(th.alias("lt"), rt.alias("rt"), geo_mean(rt, th).alias("theta"))).otherwise(
             F.struct(lt.alias("lt"), th.alias("rt"), geo_mean(th, lt).alias("theta")))

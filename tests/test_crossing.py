@@ -49,3 +49,29 @@ def test_slope_bisection_equals_step_by_step(spark):
         theta, found = crossing_slope(xa, xs, l, 14)
         assert out[(1.5, l)].theta == pytest.approx(theta, rel=1e-7), l
         assert out[(1.5, l)].found == found
+
+
+def test_node_tree_thetas_follow_the_path_bits(spark):
+    """Every node's theta equals the bracket walk along its path bits, also
+    deep on the straight chains (ids far above 2^53)."""
+    import math
+
+    from sojourn.operators.crossing import node_tree
+
+    st = spark.createDataFrame([(7, 1e-10, 10.0 - 1e-5, 1e-10)], "sid long, lt double, rt double, theta double")
+    got = {r.node: r.theta for r in node_tree(st, 3, 58).collect()}
+
+    def walk(node):
+        bits = bin(node)[3:]
+        lt, rt, th = 1e-10, 10.0 - 1e-5, 1e-10
+        for b in bits:
+            if b == "1":
+                lt, th = th, math.exp((math.log(rt) + math.log(th)) / 2)
+            else:
+                rt, th = th, math.exp((math.log(th) + math.log(lt)) / 2)
+        return th
+
+    assert len(got) == 15 + 4 * (58 - 3)
+    for node, th in got.items():
+        assert th == pytest.approx(walk(node), rel=1e-12), node
+    assert (1 << 59) - 1 in got and (1 << 58) in got
