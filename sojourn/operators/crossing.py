@@ -34,7 +34,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordering import geo_mean, materialize
+from ..functions.ordering import materialize
 from .lagsums import window_sums
 
 # fixed values of the search
@@ -73,6 +73,39 @@ def _gt(a, b):
     return F.coalesce((a > b) & ~F.isnan(a) & ~F.isnan(b), F.lit(False))
 
 
+NODE_SCHEMA = "sid long, node long, theta double, ev boolean"
+
+
+def _node_fn(depth: int, chain: int):
+    def gen(it):
+        import math
+
+        import pandas as pd
+
+        def mid(a, b):
+            return math.exp((math.log(a) + math.log(b)) / 2)
+
+        for pdf in it:
+            sid, node, theta, ev = [], [], [], []
+            for r in pdf.itertuples(index=False):
+                level = {1: (r.lt, r.rt, r.theta)}
+                for j in range(0, max(depth, chain) + 1):
+                    nxt = {}
+                    for k, (lt, rt, th) in level.items():
+                        on_chain = k == (1 << j) or k == (1 << (j + 1)) - 1
+                        sid.append(r.sid)
+                        node.append(k)
+                        theta.append(th)
+                        ev.append(j < depth or (j < chain and on_chain))
+                        if j < depth or on_chain:
+                            nxt[2 * k] = (lt, th, mid(th, lt))          # right = theta
+                            nxt[2 * k + 1] = (th, rt, mid(rt, th))      # left = theta
+                    level = nxt
+            yield pd.DataFrame({"sid": sid, "node": node, "theta": theta, "ev": ev})
+
+    return gen
+
+
 def node_tree(states: DataFrame, depth: int, chain: int = 0) -> DataFrame:
     """(sid, node, theta, ev) for the nodes of the next steps.
 
@@ -81,34 +114,12 @@ def node_tree(states: DataFrame, depth: int, chain: int = 0) -> DataFrame:
     ``depth`` only supplies thetas: ev = false). With ``chain`` > depth, the
     all-right and all-left paths from the root continue to level ``chain``
     (evaluated below it), each with its off-path children (thetas only):
-    searches that keep moving one way finish in one pass. One narrow
-    projection: explode (level j, position q), then fold the j path bits of q
-    (most significant first) over the bracket with a higher-order ``aggregate``.
+    searches that keep moving one way finish in one pass. Generated per
+    state by a small ``mapInPandas`` over the (bounded) state frame; both the
+    evaluation and the walk read their thetas from this table.
     """
-    top = min(max(depth, chain), MAX_LEVEL)
     chain = min(chain, MAX_LEVEL)
-    p2 = lambda e: F.pow(F.lit(2.0), e).cast("long")  # noqa: E731  (powers of two: exact up to 2^62)
-    lvl = F.explode(F.sequence(F.lit(0), F.lit(top))).alias("_j")
-    t = states.select("sid", "lt", "rt", "theta", lvl)
-    full = F.sequence(F.lit(0).cast("long"), p2(F.col("_j")) - 1)
-    last = p2(F.col("_j")) - 1
-    ends = F.array_distinct(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"), last - 1, last))
-    pos = F.explode(F.when(F.col("_j") <= depth, full).otherwise(ends)).alias("_q")
-    t = t.select("sid", "lt", "rt", "theta", "_j", pos)
-    init = F.struct(F.col("lt").alias("lt"), F.col("rt").alias("rt"), F.col("theta").alias("theta"))
-
-    def step(acc, x):
-        # bit (j-1-x) of q, in exact integer arithmetic
-        go_left = (F.col("_q") % p2(F.col("_j") - x)) >= p2(F.col("_j") - 1 - x)
-        lt, rt, th = acc.getField("lt"), acc.getField("rt"), acc.getField("theta")
-        return F.when(go_left, F.struct(th.alias("lt"), rt.alias("rt"), geo_mean(rt, th).alias("theta"))).otherwise(
-            F.struct(lt.alias("lt"), th.alias("rt"), geo_mean(th, lt).alias("theta")))
-
-    bits = F.filter(F.sequence(F.lit(0), F.lit(top)), lambda x: x < F.col("_j"))
-    node = (p2(F.col("_j")) + F.col("_q")).alias("node")
-    on_chain = (F.col("_q") == 0) | (F.col("_q") == p2(F.col("_j")) - 1)
-    ev = (F.col("_j") < depth) | ((F.col("_j") < chain) & on_chain)
-    return t.select("sid", node, F.aggregate(bits, init, step).getField("theta").alias("theta"), ev.alias("ev"))
+    return states.select("sid", "lt", "rt", "theta").mapInPandas(_node_fn(depth, chain), NODE_SCHEMA)
 
 
 STATE_SCHEMA = (
