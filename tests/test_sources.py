@@ -51,3 +51,14 @@ def test_exponential_process_moments(spark):
     assert abs(st.mean_raw / st.c - 0.5) < 0.02
     rows = proc.orderBy("idx").select("raw", "pre").collect()
     assert rows[0].pre == 0 and rows[5].pre == sum(r.raw for r in rows[:5])
+
+
+def test_reader_takes_lists_and_globs(spark):
+    a = _write("1,,1,0,1,0,u,0,0,0.1,0.1,0.1,0\n", "part-00000-of-00002.csv.gz")
+    b = _write("2,,2,0,1,0,u,0,0,0.1,0.1,0.1,0\nbad\n", "part-00001-of-00002.csv.gz")
+    assert read_task_events(spark, [a, b]).count() == 2
+    d = os.path.dirname(a)
+    c = os.path.join(d, "part-00001-of-00002.csv.gz")
+    with gzip.open(c, "wt") as f:
+        f.write("3,,3,0,1,0,u,0,0,0.1,0.1,0.1,0\n")
+    assert sorted(r.jobid for r in read_task_events(spark, os.path.join(d, "part-*.csv.gz")).collect()) == [1, 3]
