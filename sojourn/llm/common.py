@@ -81,3 +81,21 @@ def map_batches(df: DataFrame, make: Callable, schema: str | T.StructType) -> Da
                      for n, c in ((n, cols[n]) for n in names)], schema=types)
 
     return df.mapInArrow(run, out)
+
+
+def filter_rows(df: DataFrame, make: Callable, text_col: str = "text") -> DataFrame:
+    """Rows of ``df`` (all columns) for which the function that ``make()``
+    returns, given the texts of a small batch (null: empty), says True."""
+
+    def run(batches):
+        import pyarrow.compute  # noqa: F401
+
+        keep = make()
+        for batch in small_batches(batches, text_col):
+            texts = [t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
+            mask = pa.array([bool(k) for k in keep(texts)], type=pa.bool_())
+            out = batch.filter(mask)
+            if out.num_rows:
+                yield out
+
+    return df.mapInArrow(run, df.schema)
