@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crf_quality, langid, packing
+from . import crf_quality, langid, packing, simhash
 from .common import table
 
 
@@ -23,12 +23,16 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf_quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict:
-    out = {f.__name__: f for f in (op1_packing, op2_language_id, op9_quality)}
+    out = {f.__name__: f for f in (op1_packing, op2_language_id, op7_simhash, op9_quality)}
     return out
 
 
