@@ -1,27 +1,51 @@
 """Corpus pipeline: documents -> quality -> language -> near-dedup ->
-decontamination -> packed sequences."""
+decontamination -> packed sequences. Every stage works on all rows that the one
+before it kept and calls one operator of ``sojourn.llm``."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sojourn.llm import packing
+from sojourn.llm import crf_quality, decontam, langid, packing, simhash
+from sojourn.llm.common import table, written
 from sojourn.llm.queries import tokenizer_path
 
 
-def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score at least 0.3."""
+    return crf_quality.accepted(docs, table(spark, sf_dir, "labels"), threshold=0.3)
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a language is told with a score of at least MIN_LANGUAGE."""
+    return langid.accepted(docs, MIN_LANGUAGE)
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of SimHash (3-word shingles, 2 bits)."""
+    return simhash.keep_one(docs, shingle=3, radius=2)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item occurs."""
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 4096 tokens with their sequences and offsets."""
     return packing.pack(docs, tokenizer_path())
 
 
-STAGES = [("packing", pack_stage)]
+MIN_LANGUAGE = 0.3
+STAGES = [("quality", quality_stage), ("language", language_stage), ("near_dedup", dedup_stage),
+          ("decontamination", decontamination_stage), ("packing", packing_stage)]
 
-#: No SQL: the stages hold trained models and tokenizers (see tests/llm).
+#: The stages hold trained models and a tokenizer, which SQL cannot express; see tests/llm.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from sojourn.llm.common import table, written
-
+    """All stages over ``documents``; what each stage returns is written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)

@@ -33,17 +33,15 @@ def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, max_len: int) -> Dat
     """One row per piece: (doc_id, start, length, ids_crc32, doc_tokens, task, local_rank)."""
 
     def make():
-        import gc
         import zlib
         from array import array
         from collections import defaultdict
 
         from pyspark import TaskContext
 
-        from .word_ids import WordIds
+        from .word_ids import word_ids
 
-        gc.disable()  # the memo holds no cycles
-        words, end = WordIds(tokenizer), array("I", [end_id]).tobytes()
+        words, end = word_ids(tokenizer), array("I", [end_id]).tobytes()
         ranks, task = defaultdict(int), TaskContext.get().partitionId()
         step = 4 * max_len
 

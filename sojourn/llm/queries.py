@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crf_quality, langid, packing, simhash
+from . import crf_quality, decontam, langid, packing, simhash
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -32,7 +36,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    out = {f.__name__: f for f in (op1_packing, op2_language_id, op7_simhash, op9_quality)}
+    out = {f.__name__: f for f in (op1_packing, op2_language_id, op5_decontamination, op7_simhash, op9_quality)}
     return out
 
 

@@ -6,6 +6,7 @@ are the joined ids of its space-separated words."""
 from __future__ import annotations
 
 from array import array
+from functools import lru_cache
 
 #: Entries kept at once; beyond that the memo starts anew (bounded memory).
 MEMO_WORDS = 400_000
@@ -97,3 +98,9 @@ class WordIds:
         else:
             look = self.memo.__getitem__
         return [b"".join(map(look, ws)) for ws in split]
+
+
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One per Python worker: its memo lives on from task to task."""
+    return WordIds(path)
