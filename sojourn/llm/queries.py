@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crf_quality, decontam, langid, packing, simhash
+from . import crf_quality, decontam, langid, packing, simhash, token_counts
 from .common import table
 
 
@@ -35,8 +35,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf_quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def queries() -> dict:
-    out = {f.__name__: f for f in (op1_packing, op2_language_id, op5_decontamination, op7_simhash, op9_quality)}
+    out = {f.__name__: f for f in (op1_packing, op2_language_id, op5_decontamination, op7_simhash, op9_quality, op10_token_counts)}
     return out
 
 
