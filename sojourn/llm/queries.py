@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crf_quality, decontam, langid, packing, simhash, token_counts
+from . import crf_quality, ctph, decontam, langid, packing, simhash, token_counts
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctph.with_edits(table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -40,7 +44,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    out = {f.__name__: f for f in (op1_packing, op2_language_id, op5_decontamination, op7_simhash, op9_quality, op10_token_counts)}
+    out = {f.__name__: f for f in (op1_packing, op2_language_id, op4_fingerprints, op5_decontamination, op7_simhash, op9_quality, op10_token_counts)}
     return out
 
 
