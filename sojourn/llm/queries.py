@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crf_quality, ctph, decontam, langid, packing, simhash, token_counts
+from . import crf_quality, ctph, decontam, langid, packing, pll, simhash, token_counts
 from .common import table
 
 
@@ -31,6 +31,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pll.score(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -44,7 +48,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    out = {f.__name__: f for f in (op1_packing, op2_language_id, op4_fingerprints, op5_decontamination, op7_simhash, op9_quality, op10_token_counts)}
+    out = {f.__name__: f for f in (op1_packing, op2_language_id, op4_fingerprints, op5_decontamination, op6_lm_scoring, op7_simhash, op9_quality, op10_token_counts)}
     return out
 
 
