@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crf_quality, ctph, decontam, langid, packing, pll, simhash, token_counts
+from . import crf_quality, ctph, decontam, langid, licenses, packing, pll, simhash, token_counts
 from .common import table
 
 
@@ -39,6 +39,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(licenses.document_paths(table(spark, sf_dir, "documents")))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf_quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -48,9 +52,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    out = {f.__name__: f for f in (op1_packing, op2_language_id, op4_fingerprints, op5_decontamination, op6_lm_scoring, op7_simhash, op9_quality, op10_token_counts)}
+    out = {f.__name__: f for f in (op1_packing, op2_language_id, op4_fingerprints, op5_decontamination, op6_lm_scoring, op7_simhash, op8_licenses, op9_quality, op10_token_counts)}
     return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_licenses": licenses.documents_sql()}
