@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crf_quality, ctph, decontam, langid, licenses, packing, pll, simhash, token_counts
+from . import crf_quality, ctph, decontam, html_main, langid, licenses, packing, pll, simhash, token_counts
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctph.with_edits(table(spark, sf_dir, "documents"))
 
@@ -52,8 +56,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    out = {f.__name__: f for f in (op1_packing, op2_language_id, op4_fingerprints, op5_decontamination, op6_lm_scoring, op7_simhash, op8_licenses, op9_quality, op10_token_counts)}
-    return out
+    return {f.__name__: f for f in (
+        op1_packing, op2_language_id, op3_html_extraction, op4_fingerprints, op5_decontamination, op6_lm_scoring,
+        op7_simhash, op8_licenses, op9_quality, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
