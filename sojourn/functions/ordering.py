@@ -2,23 +2,35 @@
 whole group into one window task.
 
 A plain ``Window.partitionBy(user).orderBy(t)`` sends every row of a user to a
-single task; one user may own a third of a trace. Here each group is cut into
-order-preserving blocks on its first order column, blocks are summarized
-(count, sum, last value), block offsets come from a window over the small
-summary table, and the final row-level window runs per (group, block). The
-result is exact for any block size; block size only changes parallelism.
+single task; one user may own a third of a trace. Here the rows are range
+partitioned on the group and the full order key, into blocks of about
+``block_rows`` rows each whatever the values are (one outlier or a burst does not
+widen a block); blocks are summarized (count, sum, last value), block offsets come
+from a window over the small summary table, and the final row-level window runs
+per (group, block). The result is exact for any block size; block size only
+changes parallelism.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BLOCK_ROWS = 1 << 16
 
 
+def range_blocks(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str], block_rows: int) -> DataFrame:
+    """``df`` with ``_blk``: blocks of about ``block_rows`` rows that follow the
+    order of (group, order columns), from Spark's sampled range bounds. Only rows of
+    equal full key cannot be told apart. Written once, so that every later use sees
+    the same blocks; the number of blocks grows with the rows."""
+    blocks = max(1, -(-df.count() // int(block_rows)))
+    dealt = df.repartitionByRange(blocks, *group_cols, *order_cols)
+    return materialize(dealt.withColumn("_blk", F.spark_partition_id().cast("long")))
+
+
 def ordered_index(
     df: DataFrame,
     group_cols: Sequence[str],
@@ -40,22 +52,12 @@ def ordered_index(
     (0 for the first row); ``prev_col`` = ``prev_of`` of the previous row
     (NULL for the first row); ``first_col`` = ``first_of`` of the group's
     first row.
-
-    ``order_cols[0]`` must be integral; it defines the blocks. The block width
-    is one global value, (max - min) / (rows / block_rows), from one small
-    aggregate (min, max, count): a group holding a fraction f of all rows gets
-    about f * block_rows rows per block when rows spread evenly over the key.
     """
     g = list(group_cols)
     o = list(order_cols)
-    first = o[0]
 
-    # 1. one global block width from one small aggregate (three numbers), as literals
-    lo, hi, n = df.agg(F.min(first), F.max(first), F.count(F.lit(1))).first()
-    lo, hi, n = int(lo or 0), int(hi or 0), int(n or 0)
-    nblocks = max(1, -(-n // int(block_rows)))
-    width = (hi - lo) // nblocks + 1
-    d = df.withColumn("_blk", F.expr(f"(`{first}` - ({lo}L)) div ({width}L)"))
+    # 1. blocks of bounded size along the order
+    d = range_blocks(df, g, o, block_rows)
 
     # 2. block summary: rows, sum, last value; offsets by a window over blocks
     key = F.struct(*[F.col(c) for c in o])
@@ -91,35 +93,21 @@ def ordered_index(
     return d.drop("_blk", "_off", "_soff", "_pl")
 
 
-def compute_partitions(spark) -> int:
-    """Partitions for compute-heavy stages whose input is small in bytes
-    (MGF blocks, window sums): two per core, so that AQE's size-based
-    coalescing cannot pack many expensive groups into one task."""
-    return max(2 * spark.sparkContext.defaultParallelism, 2)
+def compute_partitions(spark, units: int, per_task: int = 4) -> int:
+    """Partitions for compute-heavy stages whose input is small in bytes, so that
+    AQE's size-based coalescing cannot pack many expensive units into one task:
+    ``per_task`` units of work each, and while there are few units, up to two
+    partitions per core."""
+    return max(1, -(-units // per_task), min(units, 2 * spark.sparkContext.defaultParallelism))
 
 
-def materialize(df: DataFrame, spread: bool = False) -> DataFrame:
+def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as parquet into the shared ``spark.checkpoint.dir`` folder
     and read it back: one computation, survives executor loss, cuts lineage.
-    Used where a frame feeds several later passes. ``spread=True`` writes it
-    round-robin into ``compute_partitions`` files, so that later
-    compute-heavy scans of it run on every core."""
-    import uuid
-
-    from ..session import ensure_checkpoint_dir
+    Used where a frame feeds several later passes. The files are removed when the
+    application ends."""
+    from ..session import scratch_path
 
-    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/mat-{uuid.uuid4().hex}"
-    if spread:
-        df = df.repartition(compute_partitions(df.sparkSession))
+    path = scratch_path(df.sparkSession, "mat")
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
-def geo_mean(a: Column, b: Column) -> Column:
-    """exp((ln a + ln b) / 2): the log-scale midpoint of a bracket."""
-    return F.exp((F.log(a) + F.log(b)) / 2.0)
-
-
-def is_finite(c: Column) -> Column:
-    """True for ordinary numbers; false for NULL, NaN and +-infinity."""
-    return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(float("inf")))
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -67,7 +67,7 @@ def bound_report(jobs: DataFrame, tasks: DataFrame, heavy_threshold: int = HEAVY
     ap, ast = pr.arrival_process(jobs, users)
     sp, sst = pr.service_process(tasks, users)
     lags = (1, max_l // 2, max_l)
-    cross = cr.crossing_theta(ap, ast, sp, sst, lags, mus, depth=crossing_depth)
+    cross = cr.crossing_theta(ap, ast, sp, sst, lags, mus, depth=crossing_depth or cr.DEPTH)
     cands = ev.theta_candidates(cross, lags)
     from ..functions.ordering import materialize
 

@@ -15,26 +15,33 @@ theta, also when no crossing was found (``found`` tells).
 
 ``variant="single_window"``: both sums have l terms, rho is not divided by
 the lag, bracket upper end 1 - 1e-5, data from the normalized frames that
-drop all rows tied with the first arrival.
-
-Plan: a small state frame keyed by (username, mu, l). One pass evaluates
-the whole decision tree of the next ``depth`` steps (2^depth - 1 thetas per
-state; the branch taken depends only on two means, so the thetas on every
-path are known in advance) with one broadcast join of the node thetas to the
-exact integer window sums and one ``avg(exp(...))`` aggregate; then the
-``depth`` steps are walked as column expressions. The thetas visited are
-exactly those of a step-by-step search, in 1/depth of the passes. The state
-frame is checkpointed each pass (reliable, in spark.checkpoint.dir).
+drop all rows tied with the first arrival. ``crossing_theta_slope``: the rhos are
+least-squares slopes of log-MGF curves.
+
+Plan. A small state frame (username, mu, l) goes through a few passes. The branch a
+step takes depends on two means only, so the thetas of the next steps are known in
+advance: a pass evaluates the complete tree of the next ``depth`` steps and the two
+straight paths from the root ``CHAIN`` steps further (a search without a crossing
+walks one way for about 42 steps), then every state walks as far as its nodes were
+evaluated. The thetas visited are those of a step-by-step search. Window sums are
+written once, without mu (mu only scales a theta), in arrays of BLOCK sums;
+thetas that several mus share are evaluated once per (user, lag); each array is reduced
+to one partial sum per theta by NumPy, and partial sums are added by a plain
+aggregate: nothing of the size windows x thetas is ever a row. Users without a scale
+(only zero increments) have no state.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordering import materialize
+from ..functions.ordering import compute_partitions, materialize
 from .lagsums import window_sums
 
 # fixed values of the search
@@ -46,26 +53,14 @@ THETA_PROGRESS = 1e-10
 MAX_STEPS = 5000
 
 KEY = ["username", "mu", "l"]
-NODE_BROADCAST_ROWS = 5_000_000
-# exp evaluations allowed per pass when choosing the tree depth automatically
-EXP_BUDGET = 10_000_000
-MIN_DEPTH, MAX_DEPTH = 5, 7
-# extra levels of the two straight paths evaluated per pass (a search without
-# a crossing walks one way for ~42 steps)
-CHAIN = 45
-MAX_LEVEL = 60  # node ids stay below 2^61
-
-
-def auto_depth(sum_rows: int, budget: int = EXP_BUDGET) -> int:
-    """Deepest tree whose pass costs at most ``budget`` exp evaluations
-    (each window-sum row is evaluated at every node of its state), kept in
-    [5, 7]: few passes on small inputs, cheap passes on huge ones (the node
-    thetas come from an interpreted higher-order fold, so deeper trees cost
-    more to build than they save)."""
-    d = MIN_DEPTH
-    while d < MAX_DEPTH and sum_rows * (2 ** (d + 1) - 1) <= budget:
-        d += 1
-    return d
+#: Steps of the complete tree of one pass (2^DEPTH - 1 thetas for each state), and steps
+#: that the two straight paths go on (2 * CHAIN more). Work of a pass: window sums of a
+#: state times these thetas.
+DEPTH, CHAIN = 6, 45
+#: Window sums in one array.
+BLOCK = 4096
+#: The thetas of a pass are broadcast up to this size, else joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
 
 
 def _gt(a, b):
@@ -73,291 +68,249 @@ def _gt(a, b):
     return F.coalesce((a > b) & ~F.isnan(a) & ~F.isnan(b), F.lit(False))
 
 
-NODE_SCHEMA = "sid long, node long, theta double, ev boolean"
-
-
-def _node_fn(depth: int, chain: int):
-    def gen(it):
-        import math
-
-        import pandas as pd
-
-        def mid(a, b):
-            return math.exp((math.log(a) + math.log(b)) / 2)
-
-        for pdf in it:
-            sid, node, theta, ev = [], [], [], []
-            for r in pdf.itertuples(index=False):
-                level = {1: (r.lt, r.rt, r.theta)}
-                for j in range(0, max(depth, chain) + 1):
-                    nxt = {}
-                    for k, (lt, rt, th) in level.items():
-                        on_chain = k == (1 << j) or k == (1 << (j + 1)) - 1
-                        sid.append(r.sid)
-                        node.append(k)
-                        theta.append(th)
-                        ev.append(j < depth or (j < chain and on_chain))
-                        if j < depth or on_chain:
-                            nxt[2 * k] = (lt, th, mid(th, lt))          # right = theta
-                            nxt[2 * k + 1] = (th, rt, mid(rt, th))      # left = theta
-                    level = nxt
-            yield pd.DataFrame({"sid": sid, "node": node, "theta": theta, "ev": ev})
-
-    return gen
-
-
-def node_tree(states: DataFrame, depth: int, chain: int = 0) -> DataFrame:
-    """(sid, node, theta, ev) for the nodes of the next steps.
-
-    Node 1 is the current theta; child 2k follows "right = theta" at node k,
-    child 2k+1 follows "left = theta". Levels 0 .. depth are complete (level
-    ``depth`` only supplies thetas: ev = false). With ``chain`` > depth, the
-    all-right and all-left paths from the root continue to level ``chain``
-    (evaluated below it), each with its off-path children (thetas only):
-    searches that keep moving one way finish in one pass. Generated per
-    state by a small ``mapInPandas`` over the (bounded) state frame; both the
-    evaluation and the walk read their thetas from this table.
-    """
-    chain = min(chain, MAX_LEVEL)
-    return states.select("sid", "lt", "rt", "theta").mapInPandas(_node_fn(depth, chain), NODE_SCHEMA)
-
-
-STATE_SCHEMA = (
-    "sid long, username string, mu double, l int, lt double, rt double, theta double, rhoa double, rhos double, "
-    "ct int, last double, found boolean, done boolean, steps int, init boolean"
-)
-
-
-def _walk_fn(depth: int):
-    """Per state: bisection steps while the current node was evaluated,
-    reading every theta from the node table (so the thetas equal the ones
-    evaluated) and the two rhos of every evaluated node. Runs over the small
-    state frame only."""
-    nan = float("nan")
-
-    def walk(it):
-        import math
-
-        import pandas as pd
-
-        for pdf in it:
-            out = []
-            for r in pdf.itertuples(index=False):
-                tree = {}
-                for e in (r.ev if r.ev is not None else []):
-                    tree[int(e["node"])] = (e["theta"], e["bad"], e["ra"], e["rs"])
-                lt, rt, theta, rhoa, rhos = r.lt, r.rt, r.theta, r.rhoa, r.rhos
-                ct, last, found, done, steps = int(r.ct), r.last, bool(r.found), bool(r.done), int(r.steps)
-                rhoa = nan if rhoa is None else rhoa
-                rhos = nan if rhos is None else rhos
-                if r.init:
-                    _, _, ra, rs = tree.get(1, (theta, False, nan, nan))
-                    rhoa = nan if ra is None else ra
-                    rhos = nan if rs is None else rs
-                    done = not (abs(rhoa - rhos) > THRESHOLD and ct < MAX_STEPS)
-                node = 1
-                while not done:
-                    if node not in tree:
-                        _, bad, ra, rs = (theta, False, nan, nan)
-                    else:
-                        _, bad, ra, rs = tree[node]
-                        if bad is None:        # theta only: the next pass evaluates it
-                            break
-                    ra = nan if ra is None else ra
-                    rs = nan if rs is None else rs
-                    if bad:
-                        rt, go_left = theta, False
-                    else:
-                        rhoa, rhos = ra, rs
-                        if rhos > rhoa:
-                            rt, go_left, found = theta, False, True
-                        else:
-                            lt, go_left = theta, True
-                    node = 2 * node + (1 if go_left else 0)
-                    nxt = tree.get(node)
-                    theta = nxt[0] if nxt is not None else math.exp((math.log(rt) + math.log(lt)) / 2)
-                    ct += 1
-                    steps += 1
-                    if abs(theta - last) < THETA_PROGRESS:
-                        ct = MAX_STEPS
-                    last = theta
-                    done = not (abs(rhoa - rhos) > THRESHOLD and ct < MAX_STEPS)
-                out.append((r.sid, r.username, r.mu, r.l, lt, rt, theta, rhoa, rhos, ct, last, found, done, steps,
-                            False))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in STATE_SCHEMA.split(", ")])
-
-    return walk
-
-
-def _walk(states: DataFrame, tree: DataFrame, ev: DataFrame, depth: int) -> DataFrame:
-    """Give each state its evaluated nodes (first ``depth`` levels, with
-    thetas) and the thetas of level depth+1, then walk."""
-    last = tree.where(~F.col("ev")).select(
-        "sid", "node", "theta", F.lit(None).cast("boolean").alias("bad"),
-        F.lit(None).cast("double").alias("ra"), F.lit(None).cast("double").alias("rs"))
-    t = ev.select("sid", "node", "theta", "bad", "ra", "rs").unionByName(last)
-    m = t.groupBy("sid").agg(F.collect_list(F.struct("node", "theta", "bad", "ra", "rs")).alias("ev"))
-    s = states.join(m, "sid", "left")
-    return s.mapInPandas(_walk_fn(depth), STATE_SCHEMA)
-
-
-def initial_states(keys: DataFrame, right: float) -> DataFrame:
-    """States at the left end of the bracket for each (sid, username, mu, l)."""
-    return keys.select(
-        "sid", *KEY,
-        F.lit(LEFT).alias("lt"), F.lit(right).alias("rt"), F.lit(LEFT).alias("theta"),
-        F.lit(None).cast("double").alias("rhoa"), F.lit(None).cast("double").alias("rhos"),
-        F.lit(0).alias("ct"), F.lit(LEFT).alias("last"), F.lit(False).alias("found"),
-        F.lit(False).alias("done"), F.lit(0).alias("steps"), F.lit(True).alias("init"),
-    ).select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in STATE_SCHEMA.split(", ")])
-
-
-def _maybe_broadcast(df: DataFrame, rows: int, limit: int = NODE_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast the node table only below ``limit`` rows (its size is known:
-    active states x nodes per state). Above it the join shuffles on the state
-    id; AQE's skew-join splitting then handles a state with very many window
-    sums."""
-    return F.broadcast(df) if rows <= limit else df
-
-
-def bisect(states: DataFrame, evaluate, depth: int = 5, max_passes: int | None = None, chain: int = 0) -> DataFrame:
-    """Run passes until every state is done. ``evaluate(nodes)`` returns
-    (sid, node, theta, bad, ra, rs) for the node thetas it is given."""
-    max_passes = max_passes or -(-MAX_STEPS // depth)
+def mid(a, b):
+    """exp((ln a + ln b) / 2): the log-scale midpoint of a bracket."""
+    return np.exp((np.log(a) + np.log(b)) / 2)
+
+
+def tree_thetas(lt: float, rt: float, theta: float, depth: int, chain: int) -> dict[str, float]:
+    """{path: theta} of the nodes of the next steps; a path has "R" for a step that
+    moves the right end to theta and "L" for one that moves the left end. All paths
+    shorter than ``depth``, and the straight ones shorter than ``depth + chain``."""
+    out, paths = {}, [""]
+    lts, rts, ths = np.array([lt]), np.array([rt]), np.array([theta])
+    for level in range(depth + chain):
+        if level >= depth:  # only the two straight paths go on
+            at = [k for k, p in enumerate(paths) if p in ("R" * level, "L" * level)]
+            paths, lts, rts, ths = [paths[k] for k in at], lts[at], rts[at], ths[at]
+        out.update(zip(paths, ths.tolist()))
+        paths = [p + c for c in "RL" for p in paths]
+        lts, rts, ths = (np.concatenate([lts, ths]), np.concatenate([ths, rts]),
+                         np.concatenate([mid(ths, lts), mid(rts, ths)]))
+    return out
+
+
+STATE = ("username string, mu double, l int, c double, mean_raw double, lt double, rt double, theta double, rhoa double, "
+         "rhos double, last double, found boolean, steps int, stop string")
+STATE_COLUMNS = [c.split()[0] for c in STATE.split(", ")]
+
+
+def why_stop(rhoa: float, rhos: float, moved: float, steps: int) -> str | None:
+    """Why a search ends here: "still" (theta no longer moves), "near" (the rhos
+    meet, or one is NaN), "steps"; None if it goes on."""
+    if moved < THETA_PROGRESS:
+        return "still"
+    if not abs(rhoa - rhos) > THRESHOLD:
+        return "near"
+    return "steps" if steps >= MAX_STEPS else None
+
+
+def walk(state: dict, thetas: dict[str, float], rates: dict[str, tuple[bool, float, float]]) -> dict:
+    """The steps of one search as far as its nodes are known. ``rates``: path ->
+    (bad, rhoA, rhoS); a path in ``thetas`` but not here had no window at all."""
+    s, path, nan = dict(state), "", float("nan")
+    if s["stop"] == "start":  # the rates at the start count as a step's, without a step
+        _, s["rhoa"], s["rhos"] = rates.get("", (False, nan, nan))
+        s["stop"] = why_stop(s["rhoa"], s["rhos"], float("inf"), 0)
+    while s["stop"] is None and path in thetas:
+        bad, rhoa, rhos = rates.get(path, (False, nan, nan))
+        if not bad:
+            s["rhoa"], s["rhos"] = rhoa, rhos
+        if bad or rhos > rhoa:
+            s["rt"], path = s["theta"], path + "R"
+            s["found"] = s["found"] or not bad
+        else:
+            s["lt"], path = s["theta"], path + "L"
+        s["theta"] = float(mid(s["rt"], s["lt"])) if path not in thetas else thetas[path]
+        s["steps"] += 1
+        s["stop"] = why_stop(s["rhoa"], s["rhos"], abs(s["theta"] - s["last"]), s["steps"])
+        s["last"] = s["theta"]
+    return s
+
+
+def initial_states(arr_stats: DataFrame, svc_stats: DataFrame, lags, mus, right: float) -> DataFrame:
+    """One state at the left end of the bracket for each (username, mu, l), with
+    the scales of both processes."""
+    users = arr_stats.select("username", "c").join(svc_stats.select("username", "mean_raw"), "username")
+    users = users.where((F.col("c") > 0) & (F.col("mean_raw") > 0))
+    grid = users.select("*", F.explode(F.array(*[F.lit(float(m)) for m in mus])).alias("mu"))
+    grid = grid.select("*", F.explode(F.array(*[F.lit(int(x)) for x in lags])).alias("l"))
+    nan = F.lit(float("nan"))
+    return grid.select(
+        "username", "mu", "l", "c", "mean_raw", F.lit(LEFT).alias("lt"), F.lit(right).alias("rt"), F.lit(LEFT).alias("theta"),
+        nan.alias("rhoa"), nan.alias("rhos"), F.lit(LEFT).alias("last"), F.lit(False).alias("found"), F.lit(0).alias("steps"),
+        F.lit("start").alias("stop"))
+
+
+def open_states(states: DataFrame) -> DataFrame:
+    return states.where(F.col("stop").isNull() | (F.col("stop") == "start"))
+
+
+def bisect(states: DataFrame, step) -> DataFrame:
+    """Run passes until no state is open. ``step(open, how many)`` returns these
+    states after one pass."""
     states = materialize(states)
-    for _ in range(max_passes):
-        active = states.where(~F.col("done"))
-        n_active = active.count()
-        if n_active == 0:
-            break
-        tree = node_tree(active, depth, chain)
-        nodes = tree.where(F.col("ev")).drop("ev")
-        nodes = _maybe_broadcast(nodes, n_active * (2 ** depth - 1 + 2 * max(0, chain - depth)))
-        stepped = _walk(active, tree, evaluate(nodes), depth)
-        states = materialize(states.where(F.col("done")).unionByName(stepped))
+    while n := open_states(states).count():
+        done = states.where(F.col("stop").isNotNull() & (F.col("stop") != "start"))
+        states = materialize(done.unionByName(step(open_states(states), n)))
     return states
 
 
-def _evaluator(sums: DataFrame, a_div, s_div):
-    """``sums`` (sid, l, side, xsum, c): raw window sums of the
-    arrivals (side 0, repeated per mu) and services (side 1) with each row's
-    scale c. One broadcast join with the node thetas, one aggregate."""
-
-    def evaluate(nodes: DataFrame) -> DataFrame:
-        j = nodes.join(sums, "sid")
-        arg = F.col("theta") / F.col("c") * F.col("xsum")
-        agg = j.groupBy("sid", "l", "node", "theta").agg(
-            F.avg(F.when(F.col("side") == 0, F.exp(-arg))).alias("mma"),
-            F.avg(F.when(F.col("side") == 1, F.exp(arg))).alias("mms"),
-        )
-        bad = (F.col("mma") == 0) | (F.abs(F.col("mms")) == F.lit(float("inf")))
-        # ln(0) is -inf in the analyzed code (NULL in Spark): rhoA = +inf then
-        ra = F.when(F.col("mma") == 0, F.lit(float("inf"))).otherwise(
-            F.try_divide(F.log("mma"), -F.col("theta") * a_div))
-        rs = F.try_divide(F.log("mms"), F.col("theta") * s_div)
-        # a missing mean (no window at all) is NaN in the analyzed code
-        nan = F.lit(float("nan"))
-        return agg.select("sid", "node", "theta", F.coalesce(bad, F.lit(False)).alias("bad"),
-                          F.coalesce(ra, nan).alias("ra"), F.coalesce(rs, nan).alias("rs"))
-
-    return evaluate
-
-
-def _state_keys(arr_stats: DataFrame, svc_stats: DataFrame, lags, mus) -> DataFrame:
-    """(sid, username, mu, l): one row per search, with a compact integer id
-    (written once, so the id is stable)."""
-    mu_col = F.explode(F.array(*[F.lit(float(m)) for m in mus])).alias("mu")
-    users = arr_stats.select("username").join(svc_stats.select("username"), "username")
-    keys = users.select("username", mu_col).select(
-        "username", "mu", F.explode(F.array(*[F.lit(int(x)) for x in lags])).alias("l"))
-    return materialize(keys.select(F.monotonically_increasing_id().alias("sid"), *KEY))
+def _sum_arrays(arr_proc: DataFrame, svc_proc: DataFrame, lags: Sequence[int], s_extra: int) -> DataFrame:
+    """(username, l, side, xs): window sums in arrays of at most BLOCK, written once.
+    Starts of a block are neighbours, so a user of any size is many arrays."""
+    a = window_sums(arr_proc, lags).select("username", F.col("w").alias("l"), F.lit(0).alias("side"), "idx", "xsum")
+    s = window_sums(svc_proc, [x + s_extra for x in lags]).select(
+        "username", (F.col("w") - s_extra).alias("l"), F.lit(1).alias("side"), "idx", "xsum")
+    both = a.unionByName(s).groupBy("username", "l", "side", F.expr(f"idx div {BLOCK}").alias("blk"))
+    return materialize(both.agg(F.collect_list(F.col("xsum").cast("double")).alias("xs")).drop("blk"))
+
+
+def _coefficients(depth: int, chain: int):
+    """Per (username, l): the distinct exponents per unit of raw sum, by side."""
+
+    def run(key, pdf):
+        arr, svc = set(), set()
+        for s in pdf.to_dict("records"):
+            for theta in tree_thetas(s["lt"], s["rt"], s["theta"], depth, chain).values():
+                arr.add(-theta / s["c"])
+                svc.add(theta / (s["mu"] * s["mean_raw"]))
+        return pd.DataFrame({"username": key[0], "l": key[1], "side": [0, 1], "coef": [sorted(arr), sorted(svc)]})
+
+    return run
+
+
+def _partial(batches):
+    """Partial sums of exp(coef * x) over each array, one per coefficient."""
+    for pdf in batches:
+        sums = []
+        for xs, coef in zip(pdf["xs"], pdf["coef"]):
+            x, c = np.asarray(xs), np.asarray(coef)
+            with np.errstate(over="ignore", under="ignore"):
+                sums.append(np.concatenate([np.exp(np.outer(c[k:k + 64], x)).sum(axis=1) for k in range(0, len(c), 64)]))
+        yield pd.DataFrame({"username": pdf["username"], "l": pdf["l"], "side": pdf["side"], "coef": pdf["coef"],
+                            "sums": sums, "n": [len(x) for x in pdf["xs"]]})
+
+
+def _walker(depth: int, chain: int, variant: str):
+    def run(key, states, means):
+        table = {(side, coef): total / n for side, coef, total, n in
+                 zip(means["side"], means["coef"], means["total"], means["n"])}
+        out = []
+        for s in states.to_dict("records"):
+            a_div, s_div = (float(s["l"]), float(s["l"] + 1)) if variant == "lag" else (1.0, 1.0)
+            thetas = tree_thetas(s["lt"], s["rt"], s["theta"], depth, chain)
+            rates = {}
+            for path, theta in thetas.items():
+                a, b = table.get((0, -theta / s["c"])), table.get((1, theta / (s["mu"] * s["mean_raw"])))
+                nan = float("nan")
+                rhoa = nan if a is None else math.inf if a == 0 else math.log(a) / (-theta * a_div)
+                rhos = nan if b is None else math.log(b) / (theta * s_div)
+                rates[path] = (a == 0 or b == math.inf, rhoa, rhos)
+            out.append(walk(s, thetas, rates))
+        return pd.DataFrame(out, columns=STATE_COLUMNS)
+
+    return run
+
+
+def _result(states: DataFrame) -> DataFrame:
+    near = ~_gt(F.abs(F.col("rhoa") - F.col("rhos")), F.lit(THRESHOLD))
+    return states.select(*KEY, "theta", "found", near.alias("converged"), "steps")
 
 
 def crossing_theta(
     arr_proc: DataFrame, arr_stats: DataFrame, svc_proc: DataFrame, svc_stats: DataFrame,
-    lags: Sequence[int], mus: Sequence[float], *, variant: str = "lag", depth: int | None = None,
+    lags: Sequence[int], mus: Sequence[float], *, variant: str = "lag", depth: int = DEPTH, chain: int = CHAIN,
 ) -> DataFrame:
     """(username, mu, l, theta, found, converged, steps).
 
     ``arr_stats`` needs (username, c); ``svc_stats`` (username, mean_raw): the
-    services are rescaled per mu to c = mu * mean_raw.
+    services are rescaled per mu to c = mu * mean_raw. Users with c <= 0 or
+    mean_raw <= 0 are left out.
     """
-    lags = [int(x) for x in lags]
-    if variant == "lag":
-        s_extra, right = 1, RIGHT_LAG
-        a_div, s_div = F.col("l").cast("double"), (F.col("l") + 1).cast("double")
-    elif variant == "single_window":
-        s_extra, right = 0, RIGHT_SINGLE
-        a_div, s_div = F.lit(1.0), F.lit(1.0)
-    else:
+    if variant not in ("lag", "single_window"):
         raise ValueError(variant)
-    mu_col = F.explode(F.array(*[F.lit(float(m)) for m in mus])).alias("mu")
-    a = window_sums(arr_proc, lags).join(arr_stats.select("username", "c"), "username").select(
-        "username", mu_col, F.col("w").alias("l"), F.lit(0).alias("side"), "xsum", "c")
-    s = window_sums(svc_proc, [x + s_extra for x in lags]).join(
-        svc_stats.select("username", "mean_raw"), "username").select(
-        "username", mu_col, (F.col("w") - s_extra).alias("l"), F.lit(1).alias("side"), "xsum",
-        (F.col("mu") * F.col("mean_raw")).alias("c"))
-    keys = _state_keys(arr_stats, svc_stats, lags, mus)
-    sums = materialize(a.unionByName(s).join(keys, KEY).select("sid", "l", "side", "xsum", "c"), spread=True)
-    if depth is None:
-        depth = auto_depth(sums.count())
-    out = bisect(initial_states(keys, right), _evaluator(sums, a_div, s_div), depth, chain=depth + CHAIN)
-    conv = ~_gt(F.abs(F.col("rhoa") - F.col("rhos")), F.lit(THRESHOLD))
-    return out.select(*KEY, "theta", "found", conv.alias("converged"), "steps")
+    lags = [int(x) for x in lags]
+    right = RIGHT_LAG if variant == "lag" else RIGHT_SINGLE
+    arrays = _sum_arrays(arr_proc, svc_proc, lags, 1 if variant == "lag" else 0)
+    spread = compute_partitions(arrays.sparkSession, arrays.count())
+
+    def step(states: DataFrame, n: int) -> DataFrame:
+        coef = states.groupBy("username", "l").applyInPandas(
+            _coefficients(depth, chain), "username string, l int, side int, coef array<double>")
+        if 16 * n * (2 ** depth + 2 * chain) <= BROADCAST_BYTES:
+            coef = F.broadcast(coef)
+        # one array is small in bytes and heavy in exp: an explicit count keeps AQE from packing them
+        joined = arrays.repartition(spread).join(coef, ["username", "l", "side"])
+        parts = joined.mapInPandas(_partial, "username string, l int, side int, coef array<double>, sums array<double>, n long")
+        flat = parts.select("username", "l", "side", "n", F.explode(F.arrays_zip("coef", "sums")).alias("z"))
+        means = flat.groupBy("username", "l", "side", F.col("z.coef").alias("coef")).agg(
+            F.sum("z.sums").alias("total"), F.sum("n").alias("n"))
+        return states.groupBy("username", "l").cogroup(means.groupBy("username", "l")).applyInPandas(
+            _walker(depth, chain, variant), STATE)
+
+    return _result(bisect(initial_states(arr_stats, svc_stats, lags, mus, right), step))
 
 
 SLOPE_MIN_LAGS = 10
 
 
-def _slope_evaluator(keys, arr_proc, arr_stats, svc_proc, svc_stats, lags, window, semantics, method):
-    """Evaluator for the slope variant: for every node theta, the log-MGF
-    curves over lags l .. l + window of both processes (MGF kernel, all nodes
-    of all states in one call per lag and kind), and their ``regr_slope``."""
-    from .mgf import mgf_curves
-
-    def evaluate(nodes: DataFrame) -> DataFrame:
-        tkey = (F.round(F.col("mu") * 1_000_000).cast("long") * 100_000 + F.col("node")).alias("tkey")
-        keyed = nodes.join(keys, "sid").select("sid", *KEY, "node", "theta", tkey)
-        parts = []
-        for l in lags:
-            nl = keyed.where(F.col("l") == l)
-            ta = nl.join(arr_stats.select("username", "c"), "username").select("username", "tkey", "theta", "c")
-            ts = nl.join(svc_stats.select("username", "mean_raw"), "username").select(
-                "username", "tkey", "theta", (F.col("mu") * F.col("mean_raw")).alias("c"))
-            ca = mgf_curves(arr_proc, arr_stats, ta, kind="arrival", min_l=l, max_l=l + window,
-                            semantics=semantics, method=method)
-            cs = mgf_curves(svc_proc, svc_stats, ts, kind="service", min_l=l, max_l=l + window,
-                            semantics=semantics, method=method)
-            sa = ca.groupBy("username", "tkey").agg(
-                F.count(F.lit(1)).alias("na"), F.regr_slope(F.col("logmgf"), F.col("lag").cast("double")).alias("ra"))
-            ss = cs.groupBy("username", "tkey").agg(
-                F.count(F.lit(1)).alias("ns"), F.regr_slope(F.col("logmgf"), F.col("lag").cast("double")).alias("rs"))
-            parts.append(nl.join(sa, ["username", "tkey"], "left").join(ss, ["username", "tkey"], "left"))
-        j = parts[0]
-        for p in parts[1:]:
-            j = j.unionByName(p)
-        bad = (F.coalesce(F.col("na"), F.lit(0)) < SLOPE_MIN_LAGS) | (F.coalesce(F.col("ns"), F.lit(0)) < SLOPE_MIN_LAGS)
-        nan = F.lit(float("nan"))
-        return j.select("sid", "node", "theta", bad.alias("bad"),
-                        F.coalesce(F.col("ra"), nan).alias("ra"), F.coalesce(F.col("rs"), nan).alias("rs"))
-
-    return evaluate
-
-
 def crossing_theta_slope(
     arr_proc: DataFrame, arr_stats: DataFrame, svc_proc: DataFrame, svc_stats: DataFrame,
-    lags: Sequence[int], mus: Sequence[float], window: int, *, depth: int = 5,
+    lags: Sequence[int], mus: Sequence[float], window: int, *, depth: int = DEPTH - 1, chain: int = CHAIN,
     semantics: str = "reference", method: str = "kernel",
 ) -> DataFrame:
     """(username, mu, l, theta, found, converged, steps): the bisection of
     ``crossing_theta`` where rhoA and rhoS are the least-squares slopes of the
     arrival and service log-MGF curves over lags l .. l + window (curves cut at
     their first infinite value); fewer than 10 valid lags on either side moves
-    the right end. Same bracket and stopping rules as ``variant="lag"``."""
-    lags = [int(x) for x in lags]
-    keys = _state_keys(arr_stats, svc_stats, lags, mus)
-    ev = _slope_evaluator(keys, arr_proc, arr_stats, svc_proc, svc_stats, lags, int(window), semantics, method)
-    out = bisect(initial_states(keys, RIGHT_LAG), ev, depth)
-    conv = ~_gt(F.abs(F.col("rhoa") - F.col("rhos")), F.lit(THRESHOLD))
-    return out.select(*KEY, "theta", "found", conv.alias("converged"), "steps")
+    the right end. Same bracket and stopping rules as ``variant="lag"``. A pass calls
+    the MGF kernel once per lag and process, for all open states together."""
+    from .mgf import kernel_plan, mgf_curves
+
+    lags, window = [int(x) for x in lags], int(window)
+    plans = {(kind, l): kernel_plan(stats, kind, l + window)
+             for kind, stats in (("arrival", arr_stats), ("service", svc_stats)) for l in lags} if method == "kernel" else {}
+
+    def nodes_of(pdfs):
+        for pdf in pdfs:
+            rows = []
+            for s in pdf.to_dict("records"):
+                thetas = sorted(set(tree_thetas(s["lt"], s["rt"], s["theta"], depth, chain).values()))
+                rows += [(s["username"], s["l"], round(s["mu"] * 1_000_000) * 1000 + k, t, s["c"], s["mu"] * s["mean_raw"])
+                         for k, t in enumerate(thetas)]
+            yield pd.DataFrame(rows, columns=["username", "l", "tkey", "theta", "ca", "cs"])
+
+    def slopes(nodes: DataFrame, kind: str) -> DataFrame:
+        proc, stats, scale = (arr_proc, arr_stats, "ca") if kind == "arrival" else (svc_proc, svc_stats, "cs")
+        out = None
+        for l in lags:
+            th = nodes.where(F.col("l") == l).select("username", "tkey", "theta", F.col(scale).alias("c"))
+            curve = mgf_curves(proc, stats, th, kind=kind, min_l=l, max_l=l + window, semantics=semantics, method=method,
+                               plan=plans.get((kind, l)))
+            one = curve.groupBy("username", "tkey").agg(
+                F.count(F.lit(1)).alias("n"), F.regr_slope(F.col("logmgf"), F.col("lag").cast("double")).alias("slope")
+            ).select("username", F.lit(l).alias("l"), F.lit(kind).alias("kind"), "tkey", "n", "slope")
+            out = one if out is None else out.unionByName(one)
+        return out
+
+    def walker(key, states, found):
+        table = {(kind, k): (n, slope) for kind, k, n, slope in zip(found["kind"], found["tkey"], found["n"], found["slope"])}
+        out, nan = [], float("nan")
+        for s in states.to_dict("records"):
+            thetas = tree_thetas(s["lt"], s["rt"], s["theta"], depth, chain)
+            place = {t: round(s["mu"] * 1_000_000) * 1000 + k for k, t in enumerate(sorted(set(thetas.values())))}
+            rates = {}
+            for path, theta in thetas.items():
+                (na, a), (ns, b) = (table.get((kind, place[theta]), (0, nan)) for kind in ("arrival", "service"))
+                rates[path] = (na < SLOPE_MIN_LAGS or ns < SLOPE_MIN_LAGS, a, b)
+            out.append(walk(s, thetas, rates))
+        return pd.DataFrame(out, columns=STATE_COLUMNS)
+
+    def step(states: DataFrame, n: int) -> DataFrame:
+        nodes = materialize(states.mapInPandas(
+            nodes_of, "username string, l int, tkey long, theta double, ca double, cs double"))
+        found = slopes(nodes, "arrival").unionByName(slopes(nodes, "service"))
+        return states.groupBy("username", "l").cogroup(found.groupBy("username", "l")).applyInPandas(walker, STATE)
+
+    return _result(bisect(initial_states(arr_stats, svc_stats, lags, mus, RIGHT_LAG), step))

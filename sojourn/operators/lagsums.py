@@ -48,5 +48,5 @@ def window_mgf(proc: DataFrame, stats: DataFrame, width: int, thetas: Sequence[f
     s = window_sums(proc, [width]).join(stats.select("username", "c"), "username")
     th = F.explode(F.array(*[F.lit(float(t)) for t in thetas])).alias("theta")
     e = s.select("username", th, "xsum", "c")
-    agg = e.groupBy("username", "theta").agg(F.avg(F.exp(F.col("theta") / F.col("c") * F.col("xsum"))).alias("mgf"))
+    agg = e.groupBy("username", "theta").agg(F.avg(F.exp(F.try_divide(F.col("theta"), F.col("c")) * F.col("xsum"))).alias("mgf"))
     return agg.select("username", "theta", "mgf", F.try_divide(F.log("mgf"), F.col("theta")).alias("logmgf"))

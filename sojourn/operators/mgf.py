@@ -41,8 +41,6 @@ from ..functions.ordering import compute_partitions
 KERNEL_SCHEMA = "username string, tkey long, lag int, s double, cnt long"
 DEFAULT_MGF_BLOCK = 32768
 MIN_MGF_BLOCK = 8192
-SPREAD_KERNEL = True  # explicit partitions for the kernel (see _partial_sums_kernel)
-THETA_CHUNK = 64
 
 
 def theta_frame(stats: DataFrame, thetas) -> DataFrame:
@@ -103,11 +101,18 @@ def _kernel(kind: str, semantics: str, min_l: int, max_l: int, block: int):
         tkeys = ths["tkey"].to_numpy(dtype=np.int64)
         nt, lags = len(coef), list(range(min_l, max_l))
         sums = np.empty((len(lags), nt))
+        raw = np.diff(pre).astype(np.float64)
+        first = (pre[st + min_l + b] - pre[st + a] + r0).astype(np.float64)
         with np.errstate(over="ignore", under="ignore", invalid="ignore"):
-            for j, l in enumerate(lags):
-                x = (pre[st + l + b] - pre[st + a] + r0).astype(np.float64)
-                for t0 in range(0, nt, THETA_CHUNK):
-                    sums[j, t0:t0 + THETA_CHUNK] = np.exp(np.outer(coef[t0:t0 + THETA_CHUNK], x)).sum(axis=1)
+            for t, k in enumerate(coef):
+                # exp once per row and theta; the next lag's terms are products with one more row
+                grow = np.exp(k * raw)
+                term = np.exp(k * first)
+                sums[0, t] = term.sum()
+                for j in range(1, len(lags)):
+                    at = st[0] + lags[j] + b - 1
+                    term *= grow[at:at + len(st)]
+                    sums[j, t] = term.sum()
         return pd.DataFrame({
             "username": user,
             "tkey": np.tile(tkeys, len(lags)),
@@ -119,22 +124,25 @@ def _kernel(kind: str, semantics: str, min_l: int, max_l: int, block: int):
     return run
 
 
-def _partial_sums_kernel(proc, stats, th, kind, semantics, min_l, max_l, block):
+def kernel_plan(stats: DataFrame, kind: str, max_l: int, block: int | None = None) -> tuple[int, int]:
+    """(starts per block, partitions) for the kernel. Blocks: about two per core over
+    all starts, within [MIN_MGF_BLOCK, DEFAULT_MGF_BLOCK] and at least 4 halos (a row
+    feeds at most two blocks). Partitions grow with the number of blocks."""
+    m = F.col("n") - _starts(kind, max_l)
+    total, users = stats.where(m >= 1).agg(F.sum(m), F.count(F.lit(1))).first()
+    total, users = int(total or 0), int(users or 0)
     halo = max_l + 2
-    gap = _starts(kind, max_l)
-    users = stats.select("username", (F.col("n") - gap).alias("m"), "r0").where(F.col("m") >= 1)
-    total, n_users = users.agg(F.sum("m"), F.count(F.lit(1))).first()
-    total, n_users = int(total or 0), int(n_users or 0)
-    cores2 = compute_partitions(proc.sparkSession)
     if block is None:
-        # about two blocks per core over all starts, within [MIN_MGF_BLOCK,
-        # DEFAULT_MGF_BLOCK] and at least 4 halos (a row feeds <= 2 blocks);
-        # smaller blocks would cost more in per-group overhead than they gain
-        per = -(-total // cores2)
+        per = -(-total // (2 * stats.sparkSession.sparkContext.defaultParallelism))
         block = max(4 * halo, min(DEFAULT_MGF_BLOCK, max(MIN_MGF_BLOCK, per)))
     block = max(int(block), halo)
-    # (user, block) groups are at most total / block + users
-    n_parts = max(1, min(cores2, total // block + n_users))
+    return block, compute_partitions(stats.sparkSession, total // block + users)
+
+
+def _partial_sums_kernel(proc, stats, th, kind, semantics, min_l, max_l, plan):
+    halo = max_l + 2
+    users = stats.select("username", (F.col("n") - _starts(kind, max_l)).alias("m"), "r0").where(F.col("m") >= 1)
+    block, n_parts = plan
     nb = F.ceil(F.col("m") / F.lit(block)).cast("long")
     k = F.col("idx")
     first_b = F.greatest(F.lit(0).cast("long"), F.ceil((k - block - halo + 1) / F.lit(block)).cast("long"))
@@ -148,11 +156,10 @@ def _partial_sums_kernel(proc, stats, th, kind, semantics, min_l, max_l, block):
         F.col("username").alias("_u"), F.col("blk").alias("_b"), "tkey", "theta", "c"
     )
     fn = _kernel(kind, semantics, min_l, max_l, block)
-    # Each (user, block) group is small in bytes but heavy in exp work: an
+    # Each (user, block) group is small in bytes but heavy in work: an
     # explicit partition count keeps AQE from packing many groups per task.
-    if SPREAD_KERNEL:
-        rows = rows.repartition(n_parts, "username", "blk")
-        tb = tb.repartition(n_parts, "_u", "_b")
+    rows = rows.repartition(n_parts, "username", "blk")
+    tb = tb.repartition(n_parts, "_u", "_b")
     part = rows.groupBy("username", "blk").cogroup(tb.groupBy("_u", "_b")).applyInPandas(fn, KERNEL_SCHEMA)
     return part.groupBy("username", "tkey", "lag").agg(F.sum("s").alias("s"), F.sum("cnt").alias("cnt"))
 
@@ -171,7 +178,7 @@ def _partial_sums_join(proc, stats, th, kind, semantics, min_l, max_l):
     )
     e = pairs.join(th, "username")
     agg = e.groupBy("username", "tkey", "lag").agg(
-        F.sum(F.exp(F.col("theta") / F.col("c") * F.col("x"))).alias("s"), F.count(F.lit(1)).alias("cnt")
+        F.sum(F.exp(F.try_divide(F.col("theta"), F.col("c")) * F.col("x"))).alias("s"), F.count(F.lit(1)).alias("cnt")
     )
     return agg
 
@@ -187,13 +194,14 @@ def mgf_curves(
     semantics: str = "reference",
     method: str = "kernel",
     block_rows: int | None = None,
+    plan: tuple[int, int] | None = None,
 ) -> DataFrame:
     """(username, tkey, theta, lag, mgf, logmgf) over the valid lags.
 
     ``proc`` (username, idx, pre) and ``stats`` (username, n, c, r0) are a
     process and its per-user constants (see ``operators.process``). A theta
     frame may carry its own scale ``c`` per theta (e.g. services rescaled per
-    mu): the exponent is then theta / c * raw sum.
+    mu): the exponent is then theta / c * raw sum. ``plan``: a ``kernel_plan`` to reuse.
     """
     if kind not in ("arrival", "service"):
         raise ValueError(kind)
@@ -202,7 +210,8 @@ def mgf_curves(
         th = th.join(stats.select("username", "c"), "username")
     th = th.select("username", "tkey", _signed(F.col("theta"), kind).alias("theta"), "c")
     if method == "kernel":
-        part = _partial_sums_kernel(proc, stats, th, kind, semantics, min_l, max_l, block_rows)
+        part = _partial_sums_kernel(proc, stats, th, kind, semantics, min_l, max_l,
+                                    plan or kernel_plan(stats, kind, max_l, block_rows))
     elif method == "join":
         part = _partial_sums_join(proc, stats, th, kind, semantics, min_l, max_l)
     else:

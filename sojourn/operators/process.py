@@ -67,7 +67,13 @@ def _with_scale(inc: DataFrame, scale: float, exact_mean: bool) -> tuple[DataFra
     proc = inc.join(st.select("username", "c"), "username").select(
         "username", "idx", "raw", F.expr("try_divide(raw, c)").alias("x"), "pre"
     )
-    return proc, st
+    return proc, _scaled(st)
+
+
+def _scaled(stats: DataFrame) -> DataFrame:
+    """Users whose process has a scale: one with only zero increments (c = 0) has
+    no normalized process, hence no curve, search or bound."""
+    return stats.where(F.col("c") > 0)
 
 
 def arrival_process(jobs: DataFrame, users: DataFrame | None = None, lam: float = 1.0,
@@ -183,7 +189,7 @@ def normalized_arrival_process(jobs: DataFrame, users: DataFrame | None = None,
                                       F.min_by("raw", "idx").alias("r0"))
     st = st.select("username", "n", (F.lit(float(lam)) * F.col("mean_raw")).alias("c"), "r0", "mean_raw")
     return proc.join(st.select("username", "c"), "username").select(
-        "username", "idx", "raw", F.try_divide(F.col("raw"), F.col("c")).alias("x"), "pre"), st
+        "username", "idx", "raw", F.try_divide(F.col("raw"), F.col("c")).alias("x"), "pre"), _scaled(st)
 
 
 def normalized_service_process(tasks: DataFrame, users: DataFrame | None = None, mu: float = 1.0,
@@ -199,4 +205,4 @@ def normalized_service_process(tasks: DataFrame, users: DataFrame | None = None,
                                       F.min_by("raw", "idx").alias("r0"))
     st = st.select("username", "n", (F.lit(float(mu)) * F.col("mean_raw")).alias("c"), "r0", "mean_raw")
     return proc.join(st.select("username", "c"), "username").select(
-        "username", "idx", "raw", F.try_divide(F.col("raw"), F.col("c")).alias("x"), "pre"), st
+        "username", "idx", "raw", F.try_divide(F.col("raw"), F.col("c")).alias("x"), "pre"), _scaled(st)

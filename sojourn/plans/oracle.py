@@ -394,13 +394,75 @@ ns_p AS (
 )"""
 
 
+SLOPE_LAGS, SLOPE_MUS, SLOPE_WINDOW = (1, 20), (1.2, 2.0), 20
+
+
+def slope_cte() -> tuple[str, ...]:
+    """Recursive CTE ``sl_final`` (username, mu, l, theta, found): one bisection step per
+    recursion level; the rates are ``regr_slope`` of the naive log-MGF curves at that theta."""
+    lags = ", ".join(f"({x})" for x in SLOPE_LAGS)
+    mus = ", ".join(f"(CAST({m} AS DOUBLE))" for m in SLOPE_MUS)
+    sums = f"""
+sl_l AS (SELECT l, CAST(l + o.range AS INTEGER) AS lag, l + {SLOPE_WINDOW} AS top
+         FROM (VALUES {lags}) t(l) CROSS JOIN range(0, {SLOPE_WINDOW}) o),
+sl_a AS (SELECT p.username, g.l, g.lag, CAST(q.pre - p.pre AS DOUBLE) AS x, p.c
+         FROM arr p CROSS JOIN sl_l g JOIN arr q ON q.username = p.username AND q.idx = p.idx + g.lag + 1
+         WHERE p.idx < p.n - g.top),
+sl_s AS (SELECT p.username, g.l, g.lag, CAST(p.r0 + q.pre - p.pre AS DOUBLE) AS x, p.mean_raw
+         FROM svc p CROSS JOIN sl_l g JOIN svc q ON q.username = p.username AND q.idx = p.idx + g.lag + 1
+         WHERE p.idx >= 1 AND p.idx - 1 < p.n - g.top - 1),
+sl_keys AS (SELECT DISTINCT a.username, m.mu, g.l FROM arr a JOIN svc s ON s.username = a.username
+            CROSS JOIN (VALUES {mus}) m(mu) CROSS JOIN (SELECT DISTINCT l FROM sl_l) g)"""
+
+    def rates(source: str) -> str:
+        """username, mu, l, bad, ra, rs of every row of ``source`` (username, mu, l, theta)."""
+        side = lambda name, table, theta, scale: f"""
+           {name}_m AS (SELECT k.username, k.mu, k.l, x.lag, {theta} AS t, avg(exp({theta} / {scale} * x.x)) AS mgf
+                    FROM k JOIN {table} x ON x.username = k.username AND x.l = k.l GROUP BY k.username, k.mu, k.l, k.theta, x.lag),
+           {name}_b AS (SELECT *, coalesce(min(CASE WHEN mgf = 0 OR isinf(mgf) OR isnan(mgf) THEN lag END)
+                          OVER (PARTITION BY username, mu, l), l + {SLOPE_WINDOW}) AS b FROM {name}_m),
+           {name} AS (SELECT username, mu, l, count(*) AS n, regr_slope(ln(mgf) / t, CAST(lag AS DOUBLE)) AS slope
+                  FROM {name}_b WHERE lag < b - 1 GROUP BY username, mu, l)"""
+        return f"""(WITH k AS ({source}),{side('ca', 'sl_a', '-k.theta', 'x.c')},{side('cs', 'sl_s', 'k.theta', '(k.mu * x.mean_raw)')}
+         SELECT k.username, k.mu, k.l, coalesce(ca.n, 0) < 10 OR coalesce(cs.n, 0) < 10 AS bad, ca.slope AS ra, cs.slope AS rs
+         FROM k LEFT JOIN ca USING (username, mu, l) LEFT JOIN cs USING (username, mu, l))"""
+
+    rec = f"""
+sl(username, mu, l, lt, rt, theta, rhoa, rhos, ct, last, found, done) AS (
+  SELECT username, mu, l, 1e-10, 10.0 - 1e-5, 1e-10, ra, rs, 0, 1e-10, false,
+         NOT coalesce(abs(ra - rs) > 1e-4 AND NOT isnan(abs(ra - rs)), false)
+  FROM {rates("SELECT username, mu, l, CAST(1e-10 AS DOUBLE) AS theta FROM sl_keys")} r0
+  UNION ALL
+  SELECT username, mu, l, lt, rt, nt, rhoa, rhos, CASE WHEN abs(nt - last) < 1e-10 THEN 5000 ELSE ct + 1 END, nt, found,
+         NOT (coalesce(abs(rhoa - rhos) > 1e-4 AND NOT isnan(abs(rhoa - rhos)), false) AND NOT abs(nt - last) < 1e-10 AND ct + 1 < 5000)
+  FROM (
+    SELECT *, exp((ln(rt) + ln(lt)) / 2) AS nt
+    FROM (
+      SELECT username, mu, l, ct, last, CASE WHEN go_right THEN lt0 ELSE theta END AS lt, CASE WHEN go_right THEN theta ELSE rt0 END AS rt,
+             CASE WHEN bad THEN rhoa0 ELSE ra END AS rhoa, CASE WHEN bad THEN rhos0 ELSE rs END AS rhos,
+             found0 OR (NOT bad AND coalesce(rs > ra, false)) AS found
+      FROM (
+        SELECT o.username, o.mu, o.l, o.lt AS lt0, o.rt AS rt0, o.theta, o.rhoa AS rhoa0, o.rhos AS rhos0, o.ct, o.last, o.found AS found0,
+               r.bad, r.ra, r.rs, r.bad OR coalesce(r.rs > r.ra, false) AS go_right
+        FROM sl o JOIN {rates("SELECT username, mu, l, theta FROM sl WHERE NOT done")} r USING (username, mu, l)
+        WHERE NOT o.done
+      ) e1
+    ) e2
+  ) e3
+),
+sl_final AS (SELECT username, mu, l, theta, found FROM sl WHERE done)"""
+    return (sums, rec)
+
+
 def crossing_sql() -> dict[str, str]:
-    final = "SELECT username, mu, l, round(theta, 6) AS theta, found FROM cx_final"
+    final = "SELECT username, mu, l, round(ln(theta), 6) AS ln_theta, found FROM cx_final"
     wa, rec = crossing_cte()
     sql = with_ctes(*ANALYSIS, wa, rec, final=final)
     wa1, rec1 = crossing_cte("na_p", "ns_p", "single_window")
     sql1 = with_ctes(*ANALYSIS, NORM_PROC, wa1, rec1, final=final)
-    return {"crossing_theta": sql.replace("WITH ", "WITH RECURSIVE ", 1),
+    slope = with_ctes(*ANALYSIS, *slope_cte(), final="SELECT username, mu, l, round(ln(theta), 6) AS ln_theta, found FROM sl_final")
+    return {"crossing_theta_slope": slope.replace("WITH ", "WITH RECURSIVE ", 1),
+            "crossing_theta": sql.replace("WITH ", "WITH RECURSIVE ", 1),
             "crossing_theta_single_window": sql1.replace("WITH ", "WITH RECURSIVE ", 1)}
 
 
@@ -553,7 +615,7 @@ cand_x AS (
 )"""
     rec_sql = lambda *extra, final: with_ctes(*ANALYSIS, wa, rec, *extra, final=final).replace("WITH ", "WITH RECURSIVE ", 1)
     return {
-        "theta_candidates": rec_sql(cands, final="SELECT username, mu, cand, round(theta, 6) AS theta FROM cand_x"),
+        "theta_candidates": rec_sql(cands, final="SELECT username, mu, cand, round(ln(theta), 6) AS ln_theta FROM cand_x"),
         "envelope_fit": with_ctes(*ANALYSIS, fixed, cand_curves_cte("fixed_cand"), envelope_cte(), final=env_cols),
         "envelope_fit_documented": with_ctes(*ANALYSIS, fixed, cand_curves_cte("fixed_cand", "documented"),
                                              envelope_cte("documented"), final=env_cols),
@@ -567,5 +629,5 @@ best AS (
   WHERE NOT isinf(alpha) AND coalesce(tau1 > 0 AND NOT isnan(tau1), false)
   GROUP BY username, mu
 )""", final="""
-SELECT username, mu, round(b.theta, 6) AS theta, round(b.tau1, 6) AS tau1, round(b.tauk, 6) AS tauk FROM best"""),
+SELECT username, mu, round(ln(b.theta), 6) AS ln_theta, round(b.tau1, 6) AS tau1, round(b.tauk, 6) AS tauk FROM best"""),
     }

@@ -35,28 +35,22 @@ def lifecycle_queries() -> dict[str, Query]:
     }
 
 
-def _scratch(spark: SparkSession, what: str) -> str:
-    import uuid
-
-    from ..session import ensure_checkpoint_dir
-
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
 def csv_task_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the trace's task events as gzip CSV into the shared scratch
     folder, read them back with the trace reader."""
+    from ..session import scratch_path
     from ..sources import csv_events
 
-    path = _scratch(spark, "task_events_csv")
+    path = scratch_path(spark, "task_events_csv")
     csv_events.write_task_events_csv(adapter.task_events(spark, sf_dir), path)
     return csv_events.read_task_events(spark, path)
 
 
 def csv_job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..session import scratch_path
     from ..sources import csv_events
 
-    path = _scratch(spark, "job_events_csv")
+    path = scratch_path(spark, "job_events_csv")
     csv_events.write_job_events_csv(adapter.job_events(spark, sf_dir), path)
     return csv_events.read_job_events(spark, path)
 
@@ -88,29 +82,28 @@ R9 = 9  # decimals kept for sums of products
 def analysis_inputs(spark: SparkSession, sf_dir: str, heavy: int = HEAVY):
     """(jobs with fail = 0, tasks, heavy users), all with metadata.
 
-    The two lifecycle tables are written once per session and input folder
+    The two lifecycle tables are written once per session and version of the input
     (parquet in the shared checkpoint folder) and read back, as the analyzed
     pipeline keeps them: every later step (user counts, ordering, per-user
     statistics) reads them several times.
     """
-    from ..functions.ordering import materialize
     from ..operators import users as us
-
-    key = (spark.sparkContext.applicationId, sf_dir)
-    paths = _LIFECYCLE.get(key)
-    if paths is None:
-        jobs = materialize(md.job_lifecycle_meta(adapter.job_events(spark, sf_dir)).where("fail = 0"))
-        tasks = materialize(md.task_lifecycle_meta(adapter.task_events(spark, sf_dir)))
-        _LIFECYCLE[key] = (jobs.inputFiles(), tasks.inputFiles())
-    else:
-        jobs, tasks = spark.read.parquet(*paths[0]), spark.read.parquet(*paths[1])
+    from ..session import input_version, scratch_path
+
+    key = (spark.sparkContext.applicationId, sf_dir, input_version(spark, f"{sf_dir}/events.parquet"))
+    if key not in _LIFECYCLE:
+        paths = scratch_path(spark, "jobs"), scratch_path(spark, "tasks")
+        md.job_lifecycle_meta(adapter.job_events(spark, sf_dir)).where("fail = 0").write.mode("overwrite").parquet(paths[0])
+        md.task_lifecycle_meta(adapter.task_events(spark, sf_dir)).write.mode("overwrite").parquet(paths[1])
+        _LIFECYCLE[key] = paths
+    jobs, tasks = (spark.read.parquet(p) for p in _LIFECYCLE[key])
     return jobs, tasks, us.heavy_users(jobs, heavy)
 
 
-# written lifecycle tables per (application, input folder): like the trace
-# input they depend only on the input, and the analyzed pipeline also keeps
-# them for its whole run
-_LIFECYCLE: dict[tuple[str, str], tuple[list[str], list[str]]] = {}
+# folders of the written lifecycle tables per (application, input folder, version of
+# its files): like the trace input they depend only on the input, and the analyzed
+# pipeline also keeps them for its whole run
+_LIFECYCLE: dict[tuple, tuple[str, str]] = {}
 
 
 def process_queries() -> dict[str, Query]:
@@ -260,21 +253,21 @@ def crossing_queries() -> dict[str, Query]:
         ap, ast = pr.arrival_process(jobs, users)
         sp, sst = pr.service_process(tasks, users)
         out = cr.crossing_theta(ap, ast, sp, sst, CROSS_LAGS, pr.DEFAULT_MUS)
-        return out.select("username", "mu", "l", F.round("theta", R6).alias("theta"), "found")
+        return out.select("username", "mu", "l", F.round(F.log("theta"), R6).alias("ln_theta"), "found")
 
     def single_window(s, d):
         jobs, tasks, users = analysis_inputs(s, d)
         ap, ast = pr.normalized_arrival_process(jobs, users)
         sp, sst = pr.normalized_service_process(tasks, users)
         out = cr.crossing_theta(ap, ast, sp, sst, CROSS_LAGS, pr.DEFAULT_MUS, variant="single_window")
-        return out.select("username", "mu", "l", F.round("theta", R6).alias("theta"), "found")
+        return out.select("username", "mu", "l", F.round(F.log("theta"), R6).alias("ln_theta"), "found")
 
     def slope(s, d):
         jobs, tasks, users = analysis_inputs(s, d)
         ap, ast = pr.arrival_process(jobs, users)
         sp, sst = pr.service_process(tasks, users)
         out = cr.crossing_theta_slope(ap, ast, sp, sst, SLOPE_LAGS, SLOPE_MUS, SLOPE_WINDOW)
-        return out.select("username", "mu", "l", F.round("theta", R6).alias("theta"), "found")
+        return out.select("username", "mu", "l", F.round(F.log("theta"), R6).alias("ln_theta"), "found")
 
     return {"crossing_theta": lag_variant, "crossing_theta_single_window": single_window,
             "crossing_theta_slope": slope}
@@ -307,7 +300,7 @@ def envelope_queries() -> dict[str, Query]:
         users, (ap, ast), (sp, sst) = inputs(s, d)
         cross = cr.crossing_theta(ap, ast, sp, sst, CROSS_LAGS, pr.DEFAULT_MUS)
         c = ev.theta_candidates(cross, CROSS_LAGS)
-        return c.select("username", "mu", "cand", F.round("theta", R6).alias("theta"))
+        return c.select("username", "mu", "cand", F.round(F.log("theta"), R6).alias("ln_theta"))
 
     def fixed_env(s, d, semantics="reference"):
         users, (ap, ast), (sp, sst) = inputs(s, d)
@@ -327,7 +320,7 @@ def envelope_queries() -> dict[str, Query]:
     def report(s, d):
         jobs, tasks, _ = analysis_inputs(s, d)
         r = bd.bound_report(jobs, tasks, heavy_threshold=HEAVY, max_l=MAX_L)
-        return r.select("username", "mu", F.round("theta", R6).alias("theta"), F.round("tau1", R6).alias("tau1"),
+        return r.select("username", "mu", F.round(F.log("theta"), R6).alias("ln_theta"), F.round("tau1", R6).alias("tau1"),
                         F.round("tauk", R6).alias("tauk"))
 
     return {

@@ -7,6 +7,7 @@ one in. ``local_session`` is for tests and the bench only.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -35,17 +36,38 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the operator of the cluster sets it (a shared, fault-tolerant
-    file system). Only when it is unset (local tests) do we choose a fresh
-    scratch folder ourselves.
+    On a cluster it must be set (a shared, fault-tolerant file system): a folder of
+    one machine would lose what other executors write, so there is no fallback.
+    Only with a ``local`` master (tests) a fresh scratch folder is chosen.
     """
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
         d = sc.getCheckpointDir()
     if not d:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="sojourn-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
+
+
+def scratch_path(spark: SparkSession, what: str) -> str:
+    """A new path in the checkpoint folder, removed when the application ends."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(conf)
+    fs.mkdirs(target)  # deleteOnExit only takes what exists
+    fs.deleteOnExit(target)
+    return path
+
+
+def input_version(spark: SparkSession, path: str) -> tuple:
+    """(name, length, modification time) of the files at ``path``: changes when they do."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    found = target.getFileSystem(conf).listStatus(target)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found))

@@ -9,7 +9,7 @@ Fixed values (the adapter rule, shared with the SQL oracle):
   seq       = 0-based rank of event_id within g;  prev = event_type of seq-1
   pos       = seq % 4
   timestamp = microseconds from 2024-01-01 00:00:00
-  jobid     = g * 1000000 + seq div 8
+  jobid     = (seq div 8) * 4 + g
   taskix    = (seq div 4) % 2
   machineid = event_id % 100;  username = 'u' || g
   sclass    = event_id % 4;    priority = event_id % 12
@@ -63,7 +63,7 @@ def _trace_rows(events: DataFrame, block_rows: int) -> DataFrame:
     return ev.select(
         F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'{EPOCH}', ts)").cast("long").alias("timestamp"),
         F.lit(None).cast("int").alias("missing"),
-        (F.col("g") * 1000000 + F.expr(f"seq div {JOB_SPAN}")).cast("long").alias("jobid"),
+        (F.expr(f"seq div {JOB_SPAN}") * USERS + F.col("g")).cast("long").alias("jobid"),
         (F.expr(f"seq div {EVENTS_PER_TASK}") % 2).cast("long").alias("taskix"),
         (F.col("event_id") % 100).cast("long").alias("machineid"),
         evtype.cast("int").alias("evtype"),
@@ -78,32 +78,19 @@ def _trace_rows(events: DataFrame, block_rows: int) -> DataFrame:
     )
 
 
-def task_events_from(events: DataFrame, block_rows: int = 1 << 16) -> DataFrame:
-    return _trace_rows(events, block_rows).drop("_pos")
-
-
-def job_events_from(events: DataFrame, block_rows: int = 1 << 16) -> DataFrame:
-    rows = _trace_rows(events, block_rows)
-    return rows.where(~((F.col("taskix") == 1) & (F.col("_pos") == 0))).select(
-        "timestamp", "missing", "jobid", "evtype", "username", "sclass"
-    )
-
-
-_WRITTEN: dict[tuple[str, str], str] = {}
+_WRITTEN: dict[tuple, str] = {}
 
 
 def trace_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Adapter output, written once per session and test folder as parquet in
+    """Adapter output, written once per session and version of the input files as parquet in
     the shared checkpoint folder and read back (a trace arrives as files; this
     also cuts the adapter's lineage so later plans start from a scan)."""
-    from ..session import ensure_checkpoint_dir
+    from ..session import input_version, scratch_path
 
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, input_version(spark, f"{sf_dir}/events.parquet"))
     path = _WRITTEN.get(key)
     if path is None:
-        import uuid
-
-        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/trace-rows-{uuid.uuid4().hex}"
+        path = scratch_path(spark, "trace-rows")
         _trace_rows(table(spark, sf_dir, "events"), 1 << 16).write.mode("overwrite").parquet(path)
         _WRITTEN[key] = path
     return spark.read.parquet(path)
@@ -131,7 +118,7 @@ adapter_ev AS (
 adapter_rows AS (
   SELECT CAST(datediff('microsecond', TIMESTAMP '2024-01-01 00:00:00', ts) AS BIGINT) AS "timestamp",
          CAST(NULL AS INTEGER) AS missing,
-         CAST(g * 1000000 + seq // 8 AS BIGINT) AS jobid,
+         CAST((seq // 8) * 4 + g AS BIGINT) AS jobid,
          CAST((seq // 4) % 2 AS BIGINT) AS taskix,
          CAST(event_id % 100 AS BIGINT) AS machineid,
          CAST(CASE seq % 4

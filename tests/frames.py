@@ -10,7 +10,7 @@ def process(spark, series: dict[str, list[int]], scale: dict[str, float] | None
         pre = 0
         for i, r in enumerate(raw):
             c = (scale or {}).get(u, 1.0)
-            rows.append((u, i, int(r), r / c, pre))
+            rows.append((u, i, int(r), r / c if c else None, pre))
             pre += int(r)
         stats.append((u, len(raw), float((scale or {}).get(u, 1.0)), int(raw[0]), sum(raw) / len(raw)))
     proc = spark.createDataFrame(rows, "username string, idx long, raw long, x double, pre long")

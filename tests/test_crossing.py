@@ -51,27 +51,54 @@ def test_slope_bisection_equals_step_by_step(spark):
         assert out[(1.5, l)].found == found
 
 
-def test_node_tree_thetas_follow_the_path_bits(spark):
-    """Every node's theta equals the bracket walk along its path bits, also
-    deep on the straight chains (ids far above 2^53)."""
+def test_tree_thetas_follow_their_paths():
+    """Every node's theta equals the bracket walk along its path, also deep on the
+    straight paths."""
     import math
 
-    from sojourn.operators.crossing import node_tree
+    from sojourn.operators.crossing import tree_thetas
 
-    st = spark.createDataFrame([(7, 1e-10, 10.0 - 1e-5, 1e-10)], "sid long, lt double, rt double, theta double")
-    got = {r.node: r.theta for r in node_tree(st, 3, 58).collect()}
-
-    def walk(node):
-        bits = bin(node)[3:]
-        lt, rt, th = 1e-10, 10.0 - 1e-5, 1e-10
-        for b in bits:
-            if b == "1":
-                lt, th = th, math.exp((math.log(rt) + math.log(th)) / 2)
+    got = tree_thetas(1e-10, 10 - 1e-5, 1e-10, 3, 55)
+    straight = [c * n for c in "LR" for n in range(3, 58)]
+    assert set(got) == {"", "L", "R", "LL", "LR", "RL", "RR", *straight}
+    for path, theta in got.items():
+        lt, rt, th = 1e-10, 10 - 1e-5, 1e-10
+        for c in path:
+            if c == "R":
+                rt = th
             else:
-                rt, th = th, math.exp((math.log(th) + math.log(lt)) / 2)
-        return th
+                lt = th
+            th = math.exp((math.log(rt) + math.log(lt)) / 2)
+        assert theta == pytest.approx(th, rel=1e-12), path
+
+
+def test_user_with_only_zero_sizes_does_not_stop_the_others(spark):
+    rng = random.Random(3)
+    raw = {"u0": [rng.randrange(50, 150) for _ in range(60)], "zero": [rng.randrange(50, 150) for _ in range(60)]}
+    sizes = {"u0": [rng.randrange(10, 100) for _ in range(60)], "zero": [0] * 60}
+    ap, ast = process(spark, raw, {u: sum(v) // len(v) * 1.0 for u, v in raw.items()})
+    sp, sst = process(spark, sizes, {u: sum(v) / len(v) for u, v in sizes.items()})
+    assert {r.username for r in crossing_theta(ap, ast, sp, sst, (1, 5), (1.5,)).collect()} == {"u0"}
+
+
+def test_bound_report_with_a_poison_user(spark):
+    """A heavy user whose tasks all have size 0 yields no row; the others' rows are as without it."""
+    from sojourn.operators.bounds import bound_report
 
-    assert len(got) == 15 + 4 * (58 - 3)
-    for node, th in got.items():
-        assert th == pytest.approx(walk(node), rel=1e-12), node
-    assert (1 << 59) - 1 in got and (1 << 58) in got
+    rng = random.Random(8)
+    jobs, tasks = [], []
+    for u, zero in (("u0", False), ("zero", True)):
+        t = 1000
+        for j in range(60):
+            t += rng.randrange(50, 150)
+            job = f"{u}-{j}".__hash__() % 10 ** 9
+            size = 0 if zero else rng.randrange(5, 60)
+            jobs.append((job, t, t + 1, t + 1 + size, 0, u))
+            tasks.append((job, 0, t, t + 1, t + 1 + size, 0, size, u))
+    jf = spark.createDataFrame(jobs, "jobid long, arrive long, schedule long, finish long, fail long, username string")
+    tf = spark.createDataFrame(tasks, "jobid long, taskix long, arrive long, schedule long, finish long, fail long, size long, username string")
+    both = sorted(bound_report(jf, tf, heavy_threshold=10, mus=(1.5,), max_l=16).collect())
+    one = sorted(bound_report(jf.where("username = 'u0'"), tf.where("username = 'u0'"), heavy_threshold=10, mus=(1.5,), max_l=16).collect())
+    assert [(r.username, r.mu) for r in both] == [(r.username, r.mu) for r in one]
+    assert all(x == pytest.approx(y, rel=1e-9) for a, b in zip(both, one) for x, y in zip(a[1:], b[1:]))
+    assert "zero" not in {r.username for r in both}

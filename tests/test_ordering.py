@@ -21,3 +21,47 @@ def test_ordered_index_matches_plain_sort_across_blocks(spark):
                 assert got[(g, j)] == (k, pre, prev, mine[0][0]), (block, g, k)
                 pre += v
                 prev = t
+
+
+def test_blocks_hold_a_bounded_number_of_rows(spark):
+    """Neither one far outlier nor a burst within one time slice widens a block."""
+    from pyspark.sql import functions as F
+
+    from sojourn.functions.ordering import compute_partitions, range_blocks
+
+    n, target = 40_000, 2048
+    rows = spark.range(n).select(F.lit("u").alias("g"), (F.col("id") * 10).alias("t"), F.col("id").alias("j"))
+    outlier = rows.unionAll(spark.sql("select 'u' as g, 9223372036854775807 as t, -1L as j"))
+    burst = rows.unionAll(spark.range(n).select(F.lit("u").alias("g"), F.lit(5000).cast("long").alias("t"), (F.col("id") + n).alias("j")))
+    for df, total in ((outlier, n + 1), (burst, 2 * n)):
+        sizes = [r["count"] for r in range_blocks(df, ["g"], ["t", "j"], target).groupBy("_blk").count().collect()]
+        assert sum(sizes) == total and max(sizes) <= 2 * target and len(sizes) >= total // target
+    got = ordered_index(outlier, ["g"], ["t", "j"], prev_of="t", block_rows=target).orderBy(F.desc("idx")).first()
+    assert (got.idx, got.t, got.prev) == (n, 2 ** 63 - 1, (n - 1) * 10)
+
+    assert compute_partitions(spark, 10 ** 6) == 250_000 and compute_partitions(spark, 3) == 3
+
+
+def test_no_local_folder_without_a_local_master():
+    import pytest
+
+    from sojourn.session import ensure_checkpoint_dir
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return Conf()
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(Session())
