@@ -33,10 +33,19 @@ def keyed_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def own_name(df: DataFrame, name: str) -> str:
+    """``name``, or the first of it with underscores that is no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: int = 1 << 22
                   ) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that none holds much more than ``max_bytes`` of
-    ``column``: long texts then never pile up in a Python worker."""
+    ``column``: long texts then never pile up in a Python worker.
+    batch stay within the processor's cache."""
     for batch in batches:
         at, n = 0, batch.num_rows
         if n == 0:

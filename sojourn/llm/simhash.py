@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_text, map_batches, written
+from .common import keyed_text, map_batches, own_name, written
 from .components import components
 
 #: Rows a shard may have before it is dealt into parts.
@@ -215,8 +215,10 @@ def keep_one(docs: DataFrame, shingle: int = 3, seed: int = 42, radius: int = 2)
     all columns. Rows are found again by id and hash of the text."""
     prints = fingerprints(docs, shingle, seed)
     kept = prints.join(classes(prints, radius), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.groupBy("fp", "doc_id").agg(F.min("th").alias("th")).select(
-        F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
-    own = docs.withColumn("_own", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    found = own.join(kept, (F.col("_own") == F.col("_th")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    return found.dropDuplicates(["doc_id", "_own"]).select(*docs.columns)
+    kept = kept.groupBy("fp", "doc_id").agg(F.min("th").alias("th"))
+    names = [own_name(docs, n) for n in ("_id", "_hash", "_kept_id", "_kept_hash")]
+    own = docs.withColumns({names[0]: F.col("doc_id").cast("long"),
+                            names[1]: F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
+    kept = kept.select(F.col("doc_id").alias(names[2]), F.col("th").alias(names[3]))
+    same = F.col(names[0]).eqNullSafe(F.col(names[2])) & (F.col(names[1]) == F.col(names[3]))
+    return own.join(kept, same, "left_semi").dropDuplicates(names[:2]).select(*docs.columns)
