@@ -23,7 +23,10 @@ import unicodedata
 from functools import lru_cache
 
 #: Bounds of what a Python worker keeps.
-MAX_STATES, MAX_WORDS, MAX_WORD_CHARS = 150_000, 400_000, 48
+MAX_STATES, MAX_WORDS, MAX_WORD_CHARS = 150_000, 300_000, 48
+#: Nodes with at most so many tokens below them tell the tokens before them apart by what may follow.
+FEW = 32
+INFINITE = float("inf")
 START = 0
 #: The contractions that the pre-tokenizer's pattern tries first.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
@@ -85,7 +88,11 @@ class Transducer:
 
         self.cutter, self.kinds = Tokenizer.from_file(path).pre_tokenizer, {}
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.below: dict[int, list[int] | None] = {}
+        self.alike: dict[tuple[int, int], int | None] = {}
+        self.classes: dict[tuple[int, int], int] = {}
         self.words: dict[str, int] = {}
+        self.old: dict[str, int] = {}
         self.contraction = {c: self._whole(c) for c in CONTRACTIONS}
         self._clear()
 
@@ -112,7 +119,37 @@ class Transducer:
         if known is None:
             if len(self.pairs) > 2_000_000:
                 self.pairs.clear()
-            known = self.pairs[last, token] = self._stands(last, token, float("inf"))
+            known = self.pairs[last, token] = self._stands(last, token, INFINITE)
+        return known
+
+    def _below(self, node: int) -> list[int] | None:
+        """Tokens that go on from a node of the trie; None if more than FEW."""
+        if node not in self.below:
+            out, open_ = [], list(self.trie[node].values())
+            while open_ and len(out) <= FEW:
+                k = open_.pop()
+                if self.token[k] >= 0:
+                    out.append(self.token[k])
+                open_ += self.trie[k].values()
+            self.below[node] = out if len(out) <= FEW else None
+        return self.below[node]
+
+    def _alike(self, node: int, before: int) -> int | None:
+        """Which token may stand for ``before`` in front of ``node``: one after which the
+        same tokens below the node may follow; None if none may. Merges states."""
+        below = self._below(node)
+        if below is None:
+            return before
+        known = self.alike.get((node, before), -2)
+        if known == -2:
+            if len(self.alike) > 500_000:
+                self.alike.clear()
+            rank, stands = 0, self._stands
+            for k, t in enumerate(below):
+                if before < 0 or stands(before, t, INFINITE):
+                    rank |= 1 << k
+            known = self.classes.setdefault((node, rank), before) if rank else None
+            self.alike[node, before] = known
         return known
 
     def _push(self, frontier: tuple, symbol: int) -> tuple[tuple, int]:
@@ -124,7 +161,7 @@ class Transducer:
                 continue
             if last < 0 and (t := token[child]) >= 0 and self._follows(before, t):
                 last, count = t, rel + 1
-            if trie[child]:
+            if trie[child] and (before := self._alike(child, before)) is not None:
                 open_.append((child, before, rel))
         assert last >= 0, "every byte is a token, so some token always ends here"
         return (*((c, b, rel - count) for c, b, rel in open_), (0, last, 0)), count
@@ -244,32 +281,37 @@ class Transducer:
         return text.split() if not NOT_SPACE.search(text) else [w for w in SPACES.split(text) if w]
 
     def count_words(self, words: list[str]) -> int:
+        """Tokens of words. Counts are kept for two generations of words: one that is
+        met again moves to the young one, so rare words go and frequent ones stay."""
         memo = self.words
         missing = set(words).difference(memo)
         if missing:
             if len(memo) + len(missing) > MAX_WORDS:
-                memo.clear()
-                missing = set(words)
+                self.old, self.words = memo, {}
+                memo, missing = self.words, set(words)
             long = [w for w in missing if len(w) > MAX_WORD_CHARS]
             for w in missing:
-                if w in memo:  # the letters of a word met just before
-                    continue
-                k = w.rstrip(PUNCTUATION)
-                if k and k != w and k[-1].isalpha():  # between a letter and such a sign a word always ends
-                    for part in (k, w[len(k):]):
-                        if part not in memo:
-                            memo[part] = self.word(part)
-                            if len(part) > MAX_WORD_CHARS:
-                                long.append(part)
-                    memo[w] = memo[k] + memo[w[len(k):]]
-                else:
-                    memo[w] = self.word(w)
+                if w not in memo:  # else the letters of a word met just before
+                    k = w.rstrip(PUNCTUATION)
+                    if k and k != w and k[-1].isalpha():  # between a letter and such a sign a word always ends
+                        memo[w] = self._known(k, long) + self._known(w[len(k):], long)
+                    else:
+                        self._known(w, long)
             total = sum(map(memo.__getitem__, words))
             for w in long:
                 memo.pop(w, None)
             return total
         return sum(map(memo.__getitem__, words))
 
+    def _known(self, word: str, long: list[str]) -> int:
+        n = self.words.get(word)
+        if n is None:
+            n = self.old.get(word)
+            n = self.words[word] = self.word(word) if n is None else n
+            if len(word) > MAX_WORD_CHARS:
+                long.append(word)
+        return n
+
     def count(self, text: str) -> int:
         """Tokens of a whole text."""
         if "<" not in text:
