@@ -74,3 +74,16 @@ def bound_report(jobs: DataFrame, tasks: DataFrame, heavy_threshold: int = HEAVY
     curves = materialize(ev.candidate_curves(cands, ap, ast, sp, sst, max_l, semantics))
     env = ev.envelope_fit(curves, semantics)
     return best_bounds(tau_quantiles(env, eps, k))
+
+
+def report_from_files(spark, task_paths, job_paths, **options) -> DataFrame:
+    """``bound_report`` of task and job event logs given as CSV paths, globs or lists;
+    ``options`` as there. The lifecycle tables are written once: the report reads them
+    several times."""
+    from ..functions.ordering import materialize
+    from ..sources import csv_events
+    from . import metadata as md
+
+    jobs = materialize(md.job_lifecycle_meta(csv_events.read_job_events(spark, job_paths)).where("fail = 0"))
+    tasks = materialize(md.task_lifecycle_meta(csv_events.read_task_events(spark, task_paths)))
+    return bound_report(jobs, tasks, **options)

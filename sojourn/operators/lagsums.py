@@ -2,15 +2,19 @@
 
 With pre[i] = raw[0] + ... + raw[i-1] (the process frame's ``pre``), the sum
 of w consecutive increments starting at i is pre[i+w] - pre[i]: an exact
-integer, divided by the user's scale c only at the end. Pairs (i, i+w) come
-from an equi-join on (username, idx), which hash-partitions a large user over
-all tasks instead of sending it to one window task.
+integer, divided by the user's scale c only at the end. For a few widths, pairs
+(i, i+w) come from an equi-join on (username, idx), which hash-partitions a large user
+over all tasks. For the whole lag matrix, rows are dealt to blocks of neighbouring
+positions with a halo (``halo_blocks``): at most two copies of a row are shuffled,
+however many lags there are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,13 +37,36 @@ def sliding_sum(proc: DataFrame, stats: DataFrame, l: int) -> DataFrame:
     return s.select("username", "idx", F.try_divide(F.col("xsum"), F.col("c")).alias("lagsum"))
 
 
-def lag_sums(proc: DataFrame, stats: DataFrame, max_l: int) -> DataFrame:
+#: Positions of a block.
+BLOCK = 16_384
+
+
+def halo_blocks(series: DataFrame, block: int, halo: int) -> DataFrame:
+    """``series`` (username, idx, ...) with ``blk`` = idx div block; the first ``halo``
+    rows of a block (halo <= block) also stand at the end of the block before it."""
+    own = F.expr(f"idx div {int(block)}")
+    early = (F.col("idx") >= block) & (F.col("idx") % block < halo)
+    return series.select("*", F.explode(F.when(early, F.array(own, own - 1)).otherwise(F.array(own))).alias("blk"))
+
+
+def lag_sums(proc: DataFrame, stats: DataFrame, max_l: int, block: int = BLOCK) -> DataFrame:
     """(username, lag, idx, lagsum): the lag-sum matrix, lag = 0 .. max_l-1,
     lagsum = x[idx] + ... + x[idx+lag] (lag + 1 terms), idx = 0 .. n-max_l-1."""
-    s = window_sums(proc, list(range(1, max_l + 1))).join(stats.select("username", "n", "c"), "username")
-    return s.where(F.col("idx") < F.col("n") - max_l).select(
-        "username", (F.col("w") - 1).alias("lag"), "idx", F.try_divide(F.col("xsum"), F.col("c")).alias("lagsum")
-    )
+    block = max(int(block), max_l + 1)
+
+    def run(key, rows):
+        rows = rows.sort_values("idx")
+        idx, pre = rows["idx"].to_numpy(), rows["pre"].to_numpy()
+        n, c = int(rows["n"].iloc[0]), float(rows["c"].iloc[0])
+        m = max(0, min((int(key[1]) + 1) * block, n - max_l) - int(idx[0]))  # starts of this block
+        lags = np.arange(max_l)
+        sums = pre[np.arange(m)[None, :] + lags[:, None] + 1] - pre[None, :m] if m else np.empty((max_l, 0))
+        return pd.DataFrame({"username": np.full(max_l * m, key[0], dtype=object), "lag": np.repeat(lags, m).astype(np.int32),
+                             "idx": np.tile(idx[:m], max_l), "lagsum": (sums / c).ravel()})
+
+    rows = proc.select("username", "idx", "pre").join(stats.select("username", "n", "c"), "username")
+    return halo_blocks(rows, block, max_l + 1).groupBy("username", "blk").applyInPandas(
+        run, "username string, lag int, idx long, lagsum double")
 
 
 def window_mgf(proc: DataFrame, stats: DataFrame, width: int, thetas: Sequence[float]) -> DataFrame:

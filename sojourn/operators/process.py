@@ -23,6 +23,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -156,24 +158,31 @@ def task_interarrivals(tasks: DataFrame, users: DataFrame | None = None,
     )
 
 
-def autocorrelation(series: DataFrame, value: str, max_lag: int = 100) -> DataFrame:
+def autocorrelation(series: DataFrame, value: str, max_lag: int = 100, block: int | None = None) -> DataFrame:
     """(username, lag, acf) for lag 1..max_lag (lags with no pair are absent).
 
     acf(k) = sum_t (x_t - m)(x_{t+k} - m) / sum_t (x_t - m)^2, m the user's
-    mean. Pairs come from an equi-join on (username, idx + k), which spreads
-    a large user over all tasks.
+    mean. Positions are dealt to blocks with a halo of ``max_lag`` rows; each block
+    gives one product sum per lag.
     """
-    m = series.groupBy("username").agg(F.avg(value).alias("_m"))
-    c = series.join(m, "username").select("username", "idx", (F.col(value) - F.col("_m")).alias("y"))
-    den = c.groupBy("username").agg(F.sum(F.col("y") * F.col("y")).alias("_d"))
-    ks = F.explode(F.sequence(F.lit(1), F.lit(max_lag))).alias("lag")
-    ahead = c.select("username", ks, "idx", F.col("y").alias("y2")).select(
-        "username", "lag", (F.col("idx") - F.col("lag")).alias("idx"), "y2"
-    ).where(F.col("idx") >= 0)
-    num = c.join(ahead, ["username", "idx"]).groupBy("username", "lag").agg(
-        F.sum(F.col("y") * F.col("y2")).alias("_s")
-    )
-    return num.join(den, "username").select("username", "lag", F.expr("try_divide(_s, _d)").alias("acf"))
+    from .lagsums import BLOCK, halo_blocks
+
+    block = max(int(block or BLOCK), max_lag)
+    st = series.groupBy("username").agg(F.avg(value).alias("_m"), F.count(F.lit(1)).alias("_n"))
+    c = series.join(st, "username").select("username", "idx", "_n", (F.col(value) - F.col("_m")).alias("y"))
+
+    def run(key, rows):
+        rows = rows.sort_values("idx")
+        y, n = rows["y"].to_numpy(), int(rows["_n"].iloc[0])
+        m = min((int(key[1]) + 1) * block, n) - int(rows["idx"].iloc[0])  # rows of this block itself
+        lags = [k for k in range(max_lag + 1) if len(y) > k]
+        s = [float(y[:min(m, len(y) - k)] @ y[k:k + min(m, len(y) - k)]) for k in lags]
+        return pd.DataFrame({"username": key[0], "lag": np.array(lags, dtype=np.int32), "s": s})
+
+    sums = halo_blocks(c, block, max_lag).groupBy("username", "blk").applyInPandas(
+        run, "username string, lag int, s double").groupBy("username", "lag").agg(F.sum("s").alias("_s"))
+    den = sums.where("lag = 0").select("username", F.col("_s").alias("_d"))
+    return sums.where("lag > 0").join(den, "username").select("username", "lag", F.expr("try_divide(_s, _d)").alias("acf"))
 
 
 def normalized_arrival_process(jobs: DataFrame, users: DataFrame | None = None, lam: float = 1.0,

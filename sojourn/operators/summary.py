@@ -8,9 +8,12 @@ partial aggregate; empty buckets are filled from a ``range(buckets)`` frame.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.schema import SUBMIT
 from .lifecycle import event_type_counts, job_lifecycle, task_lifecycle
 from .metadata import job_lifecycle_meta, task_lifecycle_meta
 
@@ -37,21 +40,27 @@ def histogram(df: DataFrame, col: str, buckets: int = 5) -> DataFrame:
     )
 
 
+def _counts(events: DataFrame, lifecycle, keys: list[str], what: str) -> DataFrame:
+    """Row counts of an event table, its lifecycle and the join with metadata, from one
+    aggregate per key: a lifecycle row joins every SUBMIT of its key."""
+    per_key = events.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("evtype") == SUBMIT, 1)).alias("submits"))
+    valid = lifecycle(events).select(*keys, F.lit(1).alias("valid"))
+    same = [F.col(f"p.{k}").eqNullSafe(F.col(f"v.{k}")) for k in keys]
+    joined = per_key.alias("p").join(valid.alias("v"), same, "left")
+    known = joined.select("n", "valid", F.when(reduce(lambda a, b: a & b, [F.col(f"p.{k}").isNotNull() for k in keys]),
+                                               F.col("submits")).otherwise(0).alias("submits"))
+    total = known.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("events"), F.count("valid").alias("valid"),
+                      F.coalesce(F.sum(F.col("valid") * F.col("submits")), F.lit(0)).alias("meta"))
+    names = ((f"{what}_events", "events"), (f"{what}_lifecycle", "valid"), (f"{what}_lifecycle_meta", "meta"))
+    return total.select(F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(c).cast("long").alias("rows")) for n, c in names)))
+                        .alias("x")).select("x.name", "x.rows")
+
+
 def trace_profile(task_events: DataFrame, job_events: DataFrame) -> DataFrame:
-    """(name, rows): row counts of the inputs and of each derived table."""
-    parts = [
-        ("task_events", task_events),
-        ("job_events", job_events),
-        ("task_lifecycle", task_lifecycle(task_events)),
-        ("job_lifecycle", job_lifecycle(job_events)),
-        ("task_lifecycle_meta", task_lifecycle_meta(task_events)),
-        ("job_lifecycle_meta", job_lifecycle_meta(job_events)),
-    ]
-    frames = [d.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("name"), "rows") for n, d in parts]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    """(name, rows): row counts of the inputs and of each derived table. Two scans of
+    each event table (its keys, and its lifecycle fold), no metadata is read."""
+    return _counts(task_events, task_lifecycle, ["jobid", "taskix"], "task").unionByName(
+        _counts(job_events, job_lifecycle, ["jobid"], "job"))
 
 
 def trace_summary(spark: SparkSession, task_events: DataFrame, job_events: DataFrame) -> dict[str, DataFrame]:
@@ -65,3 +74,10 @@ def trace_summary(spark: SparkSession, task_events: DataFrame, job_events: DataF
         "jobs": job_lifecycle_meta(job_events),
         "size_histogram": histogram(tasks, "size", 5),
     }
+
+
+def summary_from_files(spark: SparkSession, task_paths, job_paths) -> dict[str, DataFrame]:
+    """``trace_summary`` of task and job event logs given as CSV paths, globs or lists."""
+    from ..sources import csv_events
+
+    return trace_summary(spark, csv_events.read_task_events(spark, task_paths), csv_events.read_job_events(spark, job_paths))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -16,6 +16,12 @@ def heavy_users(jobs: DataFrame, threshold: int) -> DataFrame:
 
     ``jobs`` is normally the job lifecycle with metadata, restricted to
     fail = 0; with several SUBMITs per job each SUBMIT row counts.
-    Sort by count descending only for display: ``.orderBy(F.desc("count"))``.
     """
     return jobs_per_user(jobs).where(F.col("count") > F.lit(threshold))
+
+
+def ranked_heavy_users(jobs: DataFrame, threshold: int) -> DataFrame:
+    """(place, username, count): heavy users by falling count, place from 1 (ties:
+    the smaller name first). One row per heavy user is ordered, not one per job."""
+    place = F.row_number().over(Window.orderBy(F.desc("count"), "username"))
+    return heavy_users(jobs, threshold).select(place.alias("place"), "username", "count")

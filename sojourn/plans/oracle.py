@@ -98,6 +98,7 @@ hg AS (SELECT CAST(range AS INTEGER) AS bucket FROM range(5))"""
         "csv_task_events": with_ctes(TRACE, final="SELECT * FROM task_ev"),
         "csv_job_events": with_ctes(TRACE, final="SELECT * FROM job_ev"),
         "trace_profile": with_ctes(*BASE_META, final=prof),
+        "files_profile": with_ctes(*BASE_META, final=prof),
         "size_histogram": with_ctes(*BASE_META, hist, final="""
 SELECT hg.bucket, hs.lo + hg.bucket * ((hs.hi - hs.lo) / 5.0) AS lo,
        CASE WHEN hg.bucket = hs.nb - 1 THEN hs.hi ELSE hs.lo + (hg.bucket + 1) * ((hs.hi - hs.lo) / 5.0) END AS hi,
@@ -161,6 +162,9 @@ ANALYSIS = (*BASE_META, PROC)
 def process_sql() -> dict[str, str]:
     return {
         "heavy_users": with_ctes(*ANALYSIS, final="SELECT * FROM heavy"),
+        "heavy_users_ranked": with_ctes(*ANALYSIS, final="""
+SELECT CAST(row_number() OVER (ORDER BY count DESC, username) AS INTEGER) AS place, username, count
+FROM (SELECT username, count(*) AS count FROM jobs_ok GROUP BY username HAVING count(*) > 235) h"""),
         "jobs_per_user": with_ctes(*ANALYSIS, final="SELECT username, count(*) AS count FROM jobs_ok GROUP BY username"),
         "arrival_process": with_ctes(*ANALYSIS, final="SELECT username, idx, raw, x FROM arr"),
         "service_process": with_ctes(*ANALYSIS, final="SELECT username, idx, raw, x FROM svc"),
@@ -614,14 +618,8 @@ cand_x AS (
   FROM cx_final f CROSS JOIN (SELECT CAST(range AS INTEGER) AS i FROM range(0, 11)) i
 )"""
     rec_sql = lambda *extra, final: with_ctes(*ANALYSIS, wa, rec, *extra, final=final).replace("WITH ", "WITH RECURSIVE ", 1)
-    return {
-        "theta_candidates": rec_sql(cands, final="SELECT username, mu, cand, round(ln(theta), 6) AS ln_theta FROM cand_x"),
-        "envelope_fit": with_ctes(*ANALYSIS, fixed, cand_curves_cte("fixed_cand"), envelope_cte(), final=env_cols),
-        "envelope_fit_documented": with_ctes(*ANALYSIS, fixed, cand_curves_cte("fixed_cand", "documented"),
-                                             envelope_cte("documented"), final=env_cols),
-        "tau_quantiles": with_ctes(*ANALYSIS, fixed, cand_curves_cte("fixed_cand"), envelope_cte(), tau_cte(), final="""
-SELECT username, mu, s_line, a_line, round(tau1, 6) AS tau1, round(tauk, 6) AS tauk FROM taus"""),
-        "bound_report": rec_sql(cands, cand_curves_cte("cand_x"), envelope_cte(), tau_cte(), """
+    report = lambda semantics: rec_sql(
+        cands, cand_curves_cte("cand_x", semantics), envelope_cte(semantics), tau_cte(), """
 best AS (
   SELECT username, mu, min(struct_pack(tau1 := tau1, cand := cand, s_line := s_line, a_line := a_line,
                                        tauk := tauk, theta := theta)) AS b
@@ -629,5 +627,19 @@ best AS (
   WHERE NOT isinf(alpha) AND coalesce(tau1 > 0 AND NOT isnan(tau1), false)
   GROUP BY username, mu
 )""", final="""
-SELECT username, mu, round(ln(b.theta), 6) AS ln_theta, round(b.tau1, 6) AS tau1, round(b.tauk, 6) AS tauk FROM best"""),
+SELECT username, mu, round(ln(b.theta), 6) AS ln_theta, round(b.tau1, 6) AS tau1, round(b.tauk, 6) AS tauk FROM best""")
+
+    return {
+        "theta_candidates": rec_sql(cands, final="SELECT username, mu, cand, round(ln(theta), 6) AS ln_theta FROM cand_x"),
+        "envelope_fit": with_ctes(*ANALYSIS, fixed, cand_curves_cte("fixed_cand"), envelope_cte(), final=env_cols),
+        "envelope_fit_documented": with_ctes(*ANALYSIS, fixed, cand_curves_cte("fixed_cand", "documented"),
+                                             envelope_cte("documented"), final=env_cols),
+        "tau_quantiles": with_ctes(*ANALYSIS, fixed, cand_curves_cte("fixed_cand"), envelope_cte(), tau_cte(), final="""
+SELECT username, mu, s_line, a_line, round(tau1, 6) AS tau1, round(tauk, 6) AS tauk FROM taus"""),
+        "bound_report": report("reference"),
+        "files_bound_report": report("reference"),
+        "bound_report_documented": report("documented"),
+        "envelope_candidates": rec_sql(cands, cand_curves_cte("cand_x"), envelope_cte(), final="SELECT username, mu, cand, "
+            "count(*) AS envelopes, " + ", ".join(f"round({f}({c}), 6) AS {f}_{c}" for f in ("min", "max")
+                                                  for c in ("sigmaa", "rhoa", "sigmas", "rhos")) + " FROM env GROUP BY username, mu, cand"),
     }

@@ -55,6 +55,38 @@ def csv_job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return csv_events.read_job_events(spark, path)
 
 
+def trace_files(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """The trace as task and job event logs: folders of gzip CSV files."""
+    from ..session import scratch_path
+    from ..sources import csv_events
+
+    tasks, jobs = scratch_path(spark, "task_log"), scratch_path(spark, "job_log")
+    csv_events.write_task_events_csv(adapter.task_events(spark, sf_dir), tasks)
+    csv_events.write_job_events_csv(adapter.job_events(spark, sf_dir), jobs)
+    return tasks, jobs
+
+
+def files_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files to trace profile."""
+    from ..operators import summary as sm
+
+    return sm.summary_from_files(spark, *trace_files(spark, sf_dir))["profile"]
+
+
+def files_bound_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files to bound report."""
+    from ..operators import bounds as bd
+
+    return report_columns(bd.report_from_files(spark, *trace_files(spark, sf_dir), heavy_threshold=HEAVY, max_l=MAX_L))
+
+
+def report_columns(report: DataFrame) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    return report.select("username", "mu", F.round(F.log("theta"), R6).alias("ln_theta"), F.round("tau1", R6).alias("tau1"),
+                         F.round("tauk", R6).alias("tauk"))
+
+
 def summary_queries() -> dict[str, Query]:
     from ..operators import summary as sm
 
@@ -62,6 +94,8 @@ def summary_queries() -> dict[str, Query]:
     return {
         "csv_task_events": csv_task_events,
         "csv_job_events": csv_job_events,
+        "files_profile": files_profile,
+        "files_bound_report": files_bound_report,
         "trace_profile": lambda s, d: sm.trace_profile(te(s, d), je(s, d)),
         "size_histogram": lambda s, d: sm.histogram(md.task_lifecycle_meta(te(s, d)), "size", 5),
     }
@@ -69,6 +103,7 @@ def summary_queries() -> dict[str, Query]:
 
 # --- test parameters ---------------------------------------------------------
 HEAVY = 100
+HEAVY_SPLIT = 235  # some of the adapter's users are over it at sf 0.01, some are not
 MAX_L = 40
 CROSS_LAGS = (1, 20, 40)
 ACF_LAGS = 100
@@ -146,6 +181,7 @@ def process_queries() -> dict[str, Query]:
 
     return {
         "heavy_users": heavy,
+        "heavy_users_ranked": lambda s, d: us.ranked_heavy_users(analysis_inputs(s, d)[0], HEAVY_SPLIT),
         "jobs_per_user": lambda s, d: us.jobs_per_user(analysis_inputs(s, d)[0]),
         "arrival_process": arrivals,
         "service_process": services,
@@ -287,6 +323,7 @@ def _fixed_candidates(users, theta=ENV_THETA, mus=ENV_MUS):
 def envelope_queries() -> dict[str, Query]:
     from pyspark.sql import functions as F
 
+    from ..functions.ordering import materialize
     from ..operators import bounds as bd
     from ..operators import crossing as cr
     from ..operators import envelope as ev
@@ -317,16 +354,28 @@ def envelope_queries() -> dict[str, Query]:
         return t.select("username", "mu", "s_line", "a_line", F.round("tau1", R6).alias("tau1"),
                         F.round("tauk", R6).alias("tauk"))
 
-    def report(s, d):
-        jobs, tasks, _ = analysis_inputs(s, d)
-        r = bd.bound_report(jobs, tasks, heavy_threshold=HEAVY, max_l=MAX_L)
-        return r.select("username", "mu", F.round(F.log("theta"), R6).alias("ln_theta"), F.round("tau1", R6).alias("tau1"),
-                        F.round("tauk", R6).alias("tauk"))
+    def report(semantics="reference"):
+        def q(s, d):
+            jobs, tasks, _ = analysis_inputs(s, d)
+            return report_columns(bd.bound_report(jobs, tasks, heavy_threshold=HEAVY, max_l=MAX_L, semantics=semantics))
+        return q
+
+    def cand_env(s, d):
+        """Envelopes of all 33 candidates at all mus, summed up per candidate."""
+        users, (ap, ast), (sp, sst) = inputs(s, d)
+        cross = cr.crossing_theta(ap, ast, sp, sst, CROSS_LAGS, pr.DEFAULT_MUS)
+        curves = materialize(ev.candidate_curves(ev.theta_candidates(cross, CROSS_LAGS), ap, ast, sp, sst, MAX_L))
+        env = ev.envelope_fit(curves)
+        return env.groupBy("username", "mu", "cand").agg(
+            F.count(F.lit(1)).alias("envelopes"), *[F.round(f(c), R6).alias(f"{n}_{c}") for n, f in (("min", F.min), ("max", F.max))
+                                                    for c in ("sigmaa", "rhoa", "sigmas", "rhos")])
 
     return {
         "theta_candidates": cands,
         "envelope_fit": lambda s, d: env_cols(fixed_env(s, d)),
         "envelope_fit_documented": lambda s, d: env_cols(fixed_env(s, d, "documented")),
         "tau_quantiles": taus,
-        "bound_report": report,
+        "bound_report": report(),
+        "bound_report_documented": report("documented"),
+        "envelope_candidates": cand_env,
     }
