@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ensure_checkpoint_dir
+from ..session import scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared ``spark.checkpoint.dir`` and read
-    it back: computed once, lineage cut, survives a lost executor."""
+    it back: computed once, lineage cut, survives a lost executor. Removed when the
+    application ends."""
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = scratch_path(spark, f"llm-{name}")
+    df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -41,10 +41,10 @@ def own_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: int = 1 << 22
+def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: int = 1 << 18
                   ) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that none holds much more than ``max_bytes`` of
-    ``column``: long texts then never pile up in a Python worker.
+    ``column``: long texts then never pile up in a Python worker, and arrays over a
     batch stay within the processor's cache."""
     for batch in batches:
         at, n = 0, batch.num_rows
@@ -71,8 +71,8 @@ def arrow_schema(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
-def map_batches(df: DataFrame, make: Callable, schema: str | T.StructType) -> DataFrame:
-    """``df.mapInArrow`` over small batches. ``make()`` runs once per task and
+def map_batches(df: DataFrame, make: Callable, schema: str | T.StructType, column: str = "text") -> DataFrame:
+    """``df.mapInArrow`` over batches small by ``column``. ``make()`` runs once per task and
     returns a function from a record batch to a dict of columns (or None)."""
     out = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     names = out.names
@@ -82,7 +82,7 @@ def map_batches(df: DataFrame, make: Callable, schema: str | T.StructType) -> Da
 
         types = arrow_schema(out)
         work = make()
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, column):
             cols = work(batch)
             if cols is not None and len(cols[names[0]]):
                 yield pa.RecordBatch.from_arrays(

@@ -143,12 +143,15 @@ class Matcher:
         # a band and the one before it: [b w, b w + 2 w)
         key_text, key_item = np.concatenate([text, text]), np.concatenate([item, item])
         key_band = np.concatenate([band, band - 1])
-        order = np.lexsort((key_band, key_item, key_text))
-        t, i, b = key_text[order], key_item[order], key_band[order]
+        key_place = np.concatenate([self.place[entry], self.place[entry]])
+        order = np.lexsort((key_place, key_band, key_item, key_text))
+        t, i, b, place = key_text[order], key_item[order], key_band[order], key_place[order]
         new = np.ones(len(t), dtype=bool)
         new[1:] = (t[1:] != t[:-1]) | (i[1:] != i[:-1]) | (b[1:] != b[:-1])
+        fresh = new.copy()  # a gram of the item counts once in a band, however often the text repeats it
+        fresh[1:] |= place[1:] != place[:-1]
         heads = np.flatnonzero(new)
-        size = np.diff(np.append(heads, len(t)))
+        size = np.add.reduceat(fresh.astype(np.int64), heads) if len(heads) else heads
         heads = heads[size >= self.bound[i[heads]]]
         for x, n, b in zip(t[heads].tolist(), i[heads].tolist(), b[heads].tolist()):
             if best.get((x, n), (1,))[0] == 0:
