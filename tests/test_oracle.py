@@ -7,7 +7,8 @@ from conftest import SF01
 
 FAST = ["task_event_counts", "task_lifecycle", "job_lifecycle_meta", "job_meta_join", "size_histogram",
         "heavy_users", "arrival_process", "service_process", "normalized_arrivals", "sliding_sum",
-        "mgf_single_lag", "mgf_curve_service", "linearity_span", "envelope_fit"]
+        "mgf_single_lag", "mgf_curve_service", "linearity_span", "envelope_fit", "heavy_users_ranked", "trace_profile",
+        "files_profile", "lag_sums", "arrival_autocorr", "crossing_theta_slope"]
 
 
 @pytest.fixture(scope="module")
@@ -30,12 +31,7 @@ def test_query_matches_oracle(spark, con, name):
     assert r["values_equal"], r
 
 
-# iterative search whose per-step curves + regressions are checked against a
-# brute-force loop in test_crossing.py instead of SQL
-NO_SQL = {"crossing_theta_slope"}
-
-
 def test_every_query_has_an_oracle():
-    import __spark_entry__ as E
+    from sojourn.plans import registry
 
-    assert set(E.queries()) - NO_SQL == set(E.oracle_sql())
+    assert set(registry.queries()) == set(registry.oracle_sql())
