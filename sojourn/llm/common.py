@@ -71,7 +71,8 @@ def arrow_schema(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
-def map_batches(df: DataFrame, make: Callable, schema: str | T.StructType, column: str = "text") -> DataFrame:
+def map_batches(df: DataFrame, make: Callable, schema: str | T.StructType, column: str = "text",
+                max_bytes: int = 1 << 18) -> DataFrame:
     """``df.mapInArrow`` over batches small by ``column``. ``make()`` runs once per task and
     returns a function from a record batch to a dict of columns (or None)."""
     out = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
@@ -82,7 +83,7 @@ def map_batches(df: DataFrame, make: Callable, schema: str | T.StructType, colum
 
         types = arrow_schema(out)
         work = make()
-        for batch in small_batches(batches, column):
+        for batch in small_batches(batches, column, max_bytes):
             cols = work(batch)
             if cols is not None and len(cols[names[0]]):
                 yield pa.RecordBatch.from_arrays(

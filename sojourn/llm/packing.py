@@ -47,8 +47,10 @@ def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, max_len: int) -> Dat
 
         def work(batch):
             out = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "task", "local_rank")}
-            for doc, raw in zip(batch.column(0).to_pylist(), words.encode_texts(batch.column(1).to_pylist())):
-                raw += end
+            ids, sizes = words.encode(batch.column(1).to_pylist())
+            raw_ids, ends = memoryview(ids.astype("<u4").tobytes()), (4 * np.cumsum(sizes)).tolist()
+            for doc, a, b in zip(batch.column(0).to_pylist(), [0, *ends], ends):
+                raw = raw_ids[a:b].tobytes() + end
                 for at in range(0, len(raw), step):
                     piece = raw[at:at + step]
                     n = len(piece) // 4
@@ -64,7 +66,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, max_len: int) -> Dat
 
         return work
 
-    return map_batches(keyed_text(docs), make, PIECES)
+    return map_batches(keyed_text(docs), make, PIECES, max_bytes=1 << 21)  # fewer, larger calls of the library
 
 
 def pack_histogram(counts: dict[int, int], max_len: int) -> list[tuple[int, list[int]]]:

@@ -28,9 +28,27 @@ def test_word_ids_are_the_librarys():
     tok, own = Tokenizer.from_file(tokenizer()), WordIds(tokenizer())
     texts = ["", " ", "Hello, World!! it's 12.5%\n\tÀé x", "a<|endoftext|>b <|startoftext|>", "İstanbul ΑΣ 漢字 é", "x" * 300,
              "foo### bar$$$ (baz) ...", "'s 're don't'"]
+    texts += [" ".join(texts), "\n\n", "a.b c'd e.'f (g) .h İi ĲĳŒǆ ſt K", "Ab1 AB1 ab1 Ab! AB!", "\x1c\x1f\u3000z\t.q"]
     for _ in range(2):  # cold and warm memo
-        for t, raw in zip(texts, own.encode_texts(texts)):
-            assert np.frombuffer(raw, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+        ids, n = own.encode(texts)
+        assert len(n) == len(texts)
+        for t, part in zip(texts, np.split(ids, np.cumsum(n)[:-1])):
+            assert part.tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
+    assert own.encode([])[0].tolist() == [] and own.encode([""])[1].tolist() == [0]
+
+
+def test_random_texts_and_a_small_memo(monkeypatch):
+    from sojourn.llm import word_ids
+
+    from .test_token_counts import random_texts
+
+    monkeypatch.setattr(word_ids, "MEMO_PARTS", 30)
+    tok, own = Tokenizer.from_file(tokenizer()), word_ids.WordIds(tokenizer())
+    texts = random_texts(1500, 11)
+    for k in range(0, len(texts), 100):
+        ids, n = own.encode(texts[k:k + 100])
+        for t, part in zip(texts[k:k + 100], np.split(ids, np.cumsum(n)[:-1])):
+            assert part.tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
 
 
 def check(rows, source, max_len):
