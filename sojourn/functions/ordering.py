@@ -27,6 +27,8 @@ def range_blocks(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[
     equal full key cannot be told apart. Written once, so that every later use sees
     the same blocks; the number of blocks grows with the rows."""
     blocks = max(1, -(-df.count() // int(block_rows)))
+    if blocks == 1:  # nothing to cut, nothing to write
+        return df.withColumn("_blk", F.lit(0).cast("long"))
     dealt = df.repartitionByRange(blocks, *group_cols, *order_cols)
     return materialize(dealt.withColumn("_blk", F.spark_partition_id().cast("long")))
 
