@@ -29,7 +29,6 @@ Two interchangeable plans:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
