@@ -29,7 +29,6 @@ Two interchangeable plans:
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
