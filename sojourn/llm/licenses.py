@@ -29,6 +29,8 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Notices by which licences are declared, under their SPDX names.
 TEMPLATES = {
     "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
@@ -62,7 +64,6 @@ class Weights:
     def __init__(self, templates: dict[str, str], files: int, df: dict[str, int]):
         self.names = sorted(templates)
         counts = {n: Counter(terms_of(templates[n])) for n in self.names}
-        self.unknown = math.log(files + 1) + 1
         self.idf = {t: math.log((files + 1) / (df.get(t, 0) + 1)) + 1 for n in self.names for t in counts[n]}
         self.vector = {n: {t: c * self.idf[t] for t, c in counts[n].items()} for n in self.names}
         self.norm = {n: math.sqrt(sum(w * w for w in v.values())) for n, v in self.vector.items()}
@@ -86,9 +87,12 @@ def matches(base: DataFrame, templates: dict[str, str]) -> DataFrame:
     spark = base.sparkSession
     vocabulary = sorted({t for x in templates.values() for t in terms_of(x)})
     lit = lambda terms: F.array(*map(F.lit, terms))
-    seen = base.select(F.explode(F.concat(F.array_intersect(words("text"), lit(vocabulary)), lit([""]))).alias("term"))
-    df = {r["term"]: r["n"] for r in seen.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}  # the templates' terms
-    weights = Weights(templates, df.pop("", 0), df)
+    # files that hold each term, whatever the term; "" stands for every file
+    seen = base.select(F.explode(F.concat(F.array_distinct(words("text")), lit([""]))).alias("term"))
+    seen = written(seen.groupBy("term").agg(F.count(F.lit(1)).alias("n")), "terms")
+    df = {r["term"]: r["n"] for r in seen.where(F.col("term").isin(*vocabulary, "")).collect()}  # the templates' terms
+    files = df.pop("", 0)
+    weights = Weights(templates, files, df)
 
     anchors = lit(weights.anchors(min(PASSAGE, WHOLE)))
     near = base.where(F.arrays_overlap(words("text"), anchors)).select("key", "text")
@@ -99,12 +103,12 @@ def matches(base: DataFrame, templates: dict[str, str]) -> DataFrame:
     passages = passages.select("key", "x.pos", words(F.col("x.passage")).alias("terms")).where(F.arrays_overlap("terms", anchors))
 
     # repeated rows share a key: their counts are multiples, which no cosine feels
-    table = [(t, weights.idf[t], *(weights.vector[n].get(t, 0.0) for n in weights.names)) for t in vocabulary]
-    columns = "term string, idf double, " + ", ".join(f"t{k} double" for k in range(len(weights.names)))
+    table = [(t, *(weights.vector[n].get(t, 0.0) for n in weights.names)) for t in vocabulary]
+    columns = "term string, " + ", ".join(f"t{k} double" for k in range(len(weights.names)))
     known = F.broadcast(spark.createDataFrame(table, columns))  # the templates' terms
     counted = passages.select("key", "pos", F.explode("terms").alias("term")).groupBy("key", "pos", "term").agg(
-        F.count(F.lit(1)).alias("tf")).join(known, "term", "left")
-    weight = F.col("tf") * F.coalesce("idf", F.lit(weights.unknown))
+        F.count(F.lit(1)).alias("tf")).join(seen, "term").join(known, "term", "left")
+    weight = F.col("tf") * (F.log(F.lit(files + 1.0) / (F.col("n") + 1)) + 1)
     sums = counted.groupBy("key", "pos").agg(F.sum(weight * weight).alias("square"), *(
         F.sum(weight * F.coalesce(f"t{k}", F.lit(0.0))).alias(f"d{k}") for k in range(len(weights.names))))
     best = F.array_max(F.array(*(F.struct(

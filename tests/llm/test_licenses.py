@@ -62,3 +62,20 @@ def test_tf_idf_cosine_by_hand():
     w = k.Weights({"X": "a b b"}, 9, {"a": 4, "b": 1})
     idf = {"a": math.log(10 / 5) + 1, "b": math.log(10 / 2) + 1}
     assert w.idf == pytest.approx(idf) and Counter(w.vector["X"]) == pytest.approx({"a": idf["a"], "b": 2 * idf["b"]})
+
+
+def test_ordinary_words_beside_a_notice_weigh_little(spark):
+    """A word that most files hold has its own document frequency, not that of an unseen word."""
+    filler = [(f"d/f{i}.txt", f"it is and to the in that with on for a file numbered x{i}") for i in range(300)]
+    apache = "It is and to the in that, licensed under the Apache License, Version 2.0 and that is it."
+    mit = "and that is with on for it in Released under the MIT License."
+    rows = [*filler, ("a/x.txt", apache), ("b/y.txt", mit), ("c/z.txt", "zq zr zs zt zu zv zw zx Released under the MIT License.")]
+    got = {r["path"]: (r["licence"], r["score"]) for r in k.scan(files(spark, rows)).collect()}
+    assert got["a/x.txt"][0] == "Apache-2.0" and got["b/y.txt"][0] == "MIT" and got["c/z.txt"] == (None, None)
+
+    texts = [set(k.terms_of(t)) for _, t in rows]
+    idf = lambda t: math.log((len(rows) + 1) / (sum(t in x for x in texts) + 1)) + 1
+    vec = lambda text: {t: c * idf(t) for t, c in Counter(k.terms_of(text)).items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    u, v = vec(apache), vec(APACHE)
+    assert got["a/x.txt"][1] == pytest.approx(sum(x * v.get(t, 0) for t, x in u.items()) / norm(u) / norm(v), abs=1e-6)
