@@ -1,7 +1,8 @@
 """Operator 8, licence scans: sparse TF-IDF cosine to templates, then inheritance
 from the nearest ancestor directory. DataFrame functions only.
 
-A file's text is cut into passages (lines, and sentences within them). Terms are
+A file's text is cut into passages (lines, sentences within them, and windows of
+neighbouring lines). An SPDX-License-Identifier names a licence outright. Terms are
 runs of a-z and 0-9 in lower case; a term's weight is its count times its inverse
 document frequency over all files. A file has a licence of its own if a passage
 (its headers and notices) has a cosine of at least PASSAGE with a template; it is
@@ -11,7 +12,7 @@ nearest directory, its own or an ancestor, that holds a licence file (the best
 match; ties: the smaller path).
 
 Cosines are only taken where they can reach the threshold: a passage that holds
-none of a template's anchors, its heaviest terms, has a cosine below the threshold
+none of a template's anchors, its rarest terms, has a cosine below the threshold
 whatever else it holds (Cauchy-Schwarz). Directories are resolved once each, not
 once per file.
 
@@ -45,6 +46,32 @@ TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "MPL-2.0": "Licensed under the Mozilla Public License, version 2.0.",
 }
+#: Usual file headers, and the passages of licence texts that name them where
+#: no title does (licence#what). Texts of the Apache, GPL, AGPL and MPL licences quote their header.
+GNU = ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by "
+       "the Free Software Foundation, either version {} of the License, or (at your option) any later version.")
+TEXTS = {
+    "AGPL-3.0#header": GNU.format("Affero General Public License", "3"),
+    "Apache-2.0#header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in '
+                         "compliance with the License.",
+    "BSD-3-Clause#text": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+                         "promote products derived from this software without specific prior written permission.",
+    "GPL-2.0#header": GNU.format("General Public License", "2"),
+    "GPL-3.0#header": GNU.format("General Public License", "3"),
+    "LGPL-2.1#header": GNU.format("Lesser General Public License", "2.1"),
+    "LGPL-3.0#header": GNU.format("Lesser General Public License", "3"),
+    "LGPL-3.0#title": "GNU Lesser General Public License Version 3, 29 June 2007",
+    "MIT#text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated '
+                'documentation files (the "Software"), to deal in the Software without restriction, including without limitation '
+                "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and "
+                "to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+    "MPL-2.0#header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL "
+                      "was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+}
+#: Neighbouring lines that are read as one passage, for what is wrapped over lines.
+WINDOWS = (2, 3, 4, 5, 6)
+SPDX_ID = "[A-Za-z0-9](?:[A-Za-z0-9.+-]*[A-Za-z0-9+])?"
+SPDX = f"SPDX-License-Identifier:[ \\t]*\\(?({SPDX_ID}(?: (?:AND|OR|WITH) {SPDX_ID})*)"
 PASSAGE, WHOLE = 0.75, 0.6
 LICENCE_NAME = "^(licen[cs]e|copying|notice)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -73,7 +100,7 @@ class Weights:
         out = set()
         for n, v in self.vector.items():
             rest = self.norm[n] ** 2
-            for t in sorted(v, key=lambda t: (-v[t], t)):
+            for t in sorted(v, key=lambda t: (-self.idf[t], -v[t], t)):  # the rarest first
                 if rest < (threshold * self.norm[n]) ** 2 * (1 - 1e-9):
                     break
                 out.add(t)
@@ -97,9 +124,16 @@ def matches(base: DataFrame, templates: dict[str, str]) -> DataFrame:
     anchors = lit(weights.anchors(min(PASSAGE, WHOLE)))
     near = base.where(F.arrays_overlap(words("text"), anchors)).select("key", "text")
     cut = F.split(F.regexp_replace("text", "([.!?;])[ \t\n\r\f]+", "$1\n"), "\n")
+    lines = F.split("text", "\n")
+
+    def windows(size: int):
+        """Every ``size`` neighbouring lines."""
+        return F.transform(F.when(F.size(lines) >= size, F.sequence(F.lit(1), F.size(lines) - size + 1)).otherwise(F.array().cast("array<int>")),
+                           lambda k: F.struct((k + F.lit(size << 32)).alias("pos"), F.array_join(F.slice(lines, k, size), "\n").alias("passage")))
+
     passages = near.select("key", F.explode(F.concat(
-        F.array(F.struct(F.lit(-1).alias("pos"), F.col("text").alias("passage"))),
-        F.transform(cut, lambda p, k: F.struct(k.alias("pos"), p.alias("passage"))))).alias("x"))
+        F.array(F.struct(F.lit(-1).cast("long").alias("pos"), F.col("text").alias("passage"))),
+        F.transform(cut, lambda p, k: F.struct(k.cast("long").alias("pos"), p.alias("passage"))), *map(windows, WINDOWS))).alias("x"))
     passages = passages.select("key", "x.pos", words(F.col("x.passage")).alias("terms")).where(F.arrays_overlap("terms", anchors))
 
     # repeated rows share a key: their counts are multiples, which no cosine feels
@@ -113,14 +147,16 @@ def matches(base: DataFrame, templates: dict[str, str]) -> DataFrame:
         F.sum(weight * F.coalesce(f"t{k}", F.lit(0.0))).alias(f"d{k}") for k in range(len(weights.names))))
     best = F.array_max(F.array(*(F.struct(
         F.round(F.col(f"d{k}") / F.sqrt("square") / weights.norm[n], 9).alias("score"),
-        F.lit(-k).alias("order"), F.lit(n).alias("licence")) for k, n in enumerate(weights.names))))
+        F.lit(-k).alias("order"), F.lit(n.split("#")[0]).alias("licence")) for k, n in enumerate(weights.names))))
     found = sums.select("key", (F.col("pos") < 0).alias("whole"), best.alias("best"))
     found = found.where(F.col("best.score") >= F.when(F.col("whole"), WHOLE).otherwise(PASSAGE))
-    return found.groupBy("key", "whole").agg(F.max("best").alias("best")).select(
+    declared = base.where(F.col("text").rlike(SPDX)).select("key", F.lit(False).alias("whole"), F.struct(
+        F.lit(1.0).alias("score"), F.lit(1).alias("order"), F.regexp_extract("text", SPDX, 1).alias("licence")).alias("best"))
+    return found.unionByName(declared).groupBy("key", "whole").agg(F.max("best").alias("best")).select(
         "key", "whole", "best.licence", "best.score")
 
 
-def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
+def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES | TEXTS) -> DataFrame:
     """``files`` (doc_id, path, text) -> (doc_id, path, licence, score, origin,
     from_path): origin is "own" or "inherited"; all null without any licence."""
     base = files.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("path").cast("string").alias("path"),

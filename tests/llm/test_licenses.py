@@ -79,3 +79,24 @@ def test_ordinary_words_beside_a_notice_weigh_little(spark):
     norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
     u, v = vec(apache), vec(APACHE)
     assert got["a/x.txt"][1] == pytest.approx(sum(x * v.get(t, 0) for t, x in u.items()) / norm(u) / norm(v), abs=1e-6)
+
+
+def test_headers_licence_texts_and_spdx(spark):
+    code = "".join(f"x{i} = call{i}(y{i})\n" for i in range(40))
+    apache = '# Licensed under the Apache License, Version 2.0 (the "License");\n# you may not use this file except in compliance\n# with the License.\n'
+    gpl = ("/* This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU {}General Public License as "
+           "published by\n * the Free Software Foundation, either version {} of the License, or\n * (at your option) any later version.\n */\n")
+    mit = ('Copyright (c) 2020 Someone\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated '
+           'documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, '
+           "modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to "
+           "do so, subject to the following conditions:\n\nThe above copyright notice shall be included.\n")
+    bsd = ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that:\n{}")
+    neither = ("3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n"
+               "   this software without specific prior written permission.\n")
+    rows = [("a/x.py", apache + code), ("b/x.c", gpl.format("", 3) + code), ("c/x.c", gpl.format("", 2) + code), ("d/x.c", gpl.format("Lesser ", "2.1") + code),
+            ("e/LICENSE", mit), ("e/y.py", code), ("f/LICENSE", bsd.format(neither)), ("g/LICENSE", bsd.format("")), ("h/x.py", "# SPDX-License-Identifier: ISC\n" + code),
+            ("i/x.py", "# SPDX-License-Identifier: (MIT OR Apache-2.0)\n" + code), ("j/x.html", "<!-- SPDX-License-Identifier: GPL-2.0+ -->\n"), ("k/x.py", code)]
+    got = {r["path"]: (r["licence"], r["origin"]) for r in k.scan(files(spark, rows)).collect()}
+    want = {"a/x.py": "Apache-2.0", "b/x.c": "GPL-3.0", "c/x.c": "GPL-2.0", "d/x.c": "LGPL-2.1", "e/LICENSE": "MIT", "f/LICENSE": "BSD-3-Clause",
+            "g/LICENSE": None, "h/x.py": "ISC", "i/x.py": "MIT OR Apache-2.0", "j/x.html": "GPL-2.0+", "k/x.py": None}
+    assert got == {p: (x, x and "own") for p, x in want.items()} | {"e/y.py": ("MIT", "inherited")}
