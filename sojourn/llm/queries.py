@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversations, crf_quality, ctph, decontam, html_main, langid, licenses, packing, periodic, pll, simhash, token_counts
+from . import conversations, crf_quality, ctph, decontam, html_main, langid, licenses, minhash, packing, periodic, pll, simhash, token_counts
 from .common import table
 
 
@@ -63,12 +63,16 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repaired_after_damage(table(spark, sf_dir, "conversations"))
 
 
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_packing, op2_language_id, op3_html_extraction, op4_fingerprints, op5_decontamination, op6_lm_scoring,
         op7_simhash, op8_licenses, op9_quality, op10_token_counts, op11_periodic_runs,
-        op12_conversation_repair)}
+        op12_conversation_repair, op13_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_licenses": licenses.documents_sql()}
+    return {"op8_licenses": licenses.documents_sql(), "op13_minhash": minhash.documents_sql()}
