@@ -11,12 +11,17 @@ with probability 1 - (1 - (1 - (1 - s^PART)^SIDE)^2), 0.9996 at 0.8, over 0.9999
 Sub-keys that no other node has cannot make a shared table key and are left out before pairs
 are formed.
 
-Candidates. In every bucket (nodes of one table key) each node meets the smallest. Nodes take the
-smallest one that any of their buckets offers, this one pair a node is compared on the full
-sets, and links make classes. Then every pair of a bucket that lies in two classes is compared
-as well: rows outside the bucket's main class against all rows of other classes. So what
-shares a key and is similar ends in one class, without the pairs within a class. Members of
-a hot node are dealt by salts. Links between classes join them.
+Candidates. A node's rank is how many nodes share its sub-keys: of a group of copies the
+original ranks highest. In every bucket (nodes of one table key) the node of highest rank leads;
+a node takes the highest leader of its buckets, and that one's leader in turn, so a group
+hangs on one leader. Every node is compared with its leader on the full sets, which also gives
+its difference: what only one of the two sets holds. Two sets of one leader are similar only if
+their own difference is at most (100 - p) / (100 + p) of both sizes, so the differences from the
+leader must overlap by what their sizes exceed that. Where a leader has a member not
+similar to it, members are therefore joined by the rarest elements of their differences (prefix
+and position filter), not with each other. Pairs of one bucket in two classes and of two
+leaders are compared as they are. So what shares a key and is similar ends in one class,
+without the pairs within a class or a leader's group. Members of a hot leader are dealt by salts.
 
 Edge cases. Null text or no word: empty set, ``n_shingles`` 0, a class of its own. One word: that
 word is the set. Null id: compared too; a class's id is its smallest non-null id, else null,
@@ -129,13 +134,16 @@ def prints(docs: DataFrame, side: int, part: int) -> DataFrame:
 
 
 def buckets(nodes: DataFrame, side: int) -> DataFrame:
-    """(key, node, n) of the table keys of nodes whose both sub-keys some other node has."""
+    """(key, node, n, rank) of the table keys of nodes whose both sub-keys some other node has."""
     subs = nodes.select("node", "n", F.posexplode("subs").alias("place", "sub"))
-    shared = subs.groupBy("sub").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("sub")
-    kept = subs.join(shared, "sub").groupBy("node", "n").agg(F.collect_list(F.struct("place", "sub")).alias("s"))  # 2 * side at most
+    shared = subs.groupBy("sub").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    kept = subs.join(shared, "sub").groupBy("node", "n").agg(
+        F.collect_list(F.struct("place", "sub")).alias("s"), F.sum("c").alias("rank"))  # 2 * side sub-keys at most
     one, two = (F.filter("s", lambda x: f(x["place"])) for f in (lambda p: p < side, lambda p: p >= side))
     keys = F.flatten(F.transform(one, lambda a: F.transform(two, lambda b: F.xxhash64(a["sub"], b["sub"]))))
-    return written(kept.select(F.explode(keys).alias("key"), "node", "n"), "buckets")
+    keyed = kept.select(F.explode(keys).alias("key"), "node", "n", "rank")
+    shared = keyed.groupBy("key").agg(F.max(F.struct("rank", "node")).alias("lead"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    return written(keyed.join(shared.select("key", "lead"), "key"), "buckets")
 
 
 def texts_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -147,9 +155,10 @@ def texts_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return written(own.join(which, ["id", "th"]).select("node", "text").dropDuplicates(["node"]), "texts")
 
 
-def compared(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """(u, v) pairs whose sets are similar. Rows of a group follow the text they are compared
-    with; a node with very many pairs is dealt into many groups."""
+def compared(pairs: DataFrame, texts: DataFrame, percent: int, differences: bool = False) -> DataFrame:
+    """(u, v, nu, nv, linked, diff) of the (u, v) pairs whose sets are similar, or, with
+    ``differences``, of all: sizes and what only one of the sets holds. Rows of a group follow the
+    text they are compared with; a node with very many pairs is dealt into many groups."""
     pairs = written(pairs, "pairs")
     salts = max(1, -(-pairs.count() // SALT_ROWS))
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)))
@@ -157,58 +166,95 @@ def compared(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
         "u", "salt", F.lit(0).alias("row"), F.col("u").alias("v"), "text")
     right = salted.join(texts, F.col("v") == F.col("node")).select("u", "salt", F.lit(1).alias("row"), "v", "text")
     dealt = left.unionAll(right).repartition("u", "salt").sortWithinPartitions("u", "salt", "row").select("u", "row", "v", "text")
+    schema = "u long, v long, nu long, nv long, linked boolean, diff array<long>"
 
     def run(batches):
         import pyarrow as pa
         import pyarrow.compute  # noqa: F401
 
         shingles, held = Shingles(), None
-        types = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+        types = pa.schema([(c, pa.int64()) for c in ("u", "v", "nu", "nv")] + [("linked", pa.bool_()), ("diff", pa.list_(pa.int64()))])
         for batch in small_batches(batches):
             out = []
             for u, row, v, text in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3).cast(pa.binary()).to_pylist()):
-                with np.errstate(over="ignore"):
-                    s = shingles.of(text)
+                s = shingles.of(text)
                 if row == 0:
                     held = s
-                elif similar(held, s, percent):
-                    out.append((u, v))
+                elif (linked := similar(held, s, percent)) or differences:
+                    diff = np.setxor1d(held, s, assume_unique=True).view(np.int64) if differences else []
+                    out.append((u, v, len(held), len(s), linked, diff))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=types)
-
-    return written(dealt.mapInArrow(run, "u long, v long"), "links")
-
-
-def first_pairs(table: DataFrame) -> DataFrame:
-    """(u, v): every node v and the smallest node u that one of its buckets offers."""
-    least = table.groupBy("key").agg(F.min("node").alias("u"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "u")
-    return table.join(least, "key").groupBy(F.col("node").alias("v")).agg(F.min("u").alias("u")).where("u < v").select("u", "v")
-
-
-def cross_pairs(table: DataFrame, roots: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
-    """(u, v): pairs of one bucket in two classes, near enough in size, not yet compared."""
-    rows = table.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    several = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), types)], schema=types)
+
+    return written(dealt.mapInArrow(run, schema), "compared")
+
+
+def leaders(table: DataFrame) -> DataFrame:
+    """(node, lead) of every node in ``table``: the highest leader that its buckets offer, and up
+    from there to a node that leads itself."""
+    found = table.groupBy("node").agg(F.max("lead").alias("lead")).select("node", F.col("lead.node").alias("lead"))
+    while True:
+        found = written(found, "leaders")
+        up = found.select(F.col("node").alias("lead"), F.col("lead").alias("above"))
+        if not found.where("node <> lead").join(up, "lead").where("above <> lead").take(1):
+            return found
+        found = found.join(up, "lead").select("node", F.col("above").alias("lead"))
+
+
+def same_lead_pairs(first: DataFrame, percent: int) -> DataFrame:
+    """(u, v) pairs of one leader's members, not both similar to it, whose differences from it can
+    overlap enough."""
+    groups = first.groupBy("u").agg(F.count(F.lit(1)).alias("c"), F.min("linked").alias("all")).where("c > 1 and not all")
+    rows = first.join(groups.select("u"), "u", "left_semi").withColumn("k", F.size("diff"))
+    each = rows.select("u", "v", F.explode("diff").alias("e"))
+    often = each.groupBy("u", "e").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    shared = each.join(often, ["u", "e"]).groupBy("u", "v").agg(F.array_sort(F.collect_list(F.struct("f", "e"))).alias("s"))  # one set's
+    # the overlap that any similar pair with v has at least: by v's size, and if v is similar to
+    # the leader, by what the partner's difference must be at least
+    by_size = F.col("k") - F.col("nv") * (100 - percent) / F.lit(percent)
+    by_lead = (F.col("k") + (F.col("nu") - F.col("nv")) * F.lit((100 - percent) / (100 + percent))) / 2
+    least = F.greatest(F.lit(1.0), by_size, F.when(F.col("linked"), by_lead).otherwise(F.lit(1.0))) - 1e-6
+    rows = rows.select("u", "v", "nv", "linked", "k", least.alias("least")).join(shared, ["u", "v"])
+    rows = rows.withColumn("alone", F.col("k") - F.size("s"))  # elements that no other member has come first
+    rows = rows.select("u", "v", "nv", "linked", "k", "alone", "least", F.posexplode("s").alias("at", "x"))
+    rows = rows.select("u", F.col("x.e").alias("e"), "v", F.col("nv").alias("n"), "linked", "k",
+                       (F.col("k") - F.col("alone") - F.col("at")).alias("left"), "least").where("left >= least").drop("least")
+    rows = written(rows, "differences")
+    other = rows.select("u", "e", *(F.col(c).alias(f"{c}2") for c in ("v", "n", "linked", "k", "left")))
+    near = rows.join(other, ["u", "e"]).where(
+        (F.col("v") < F.col("v2")) & ~(F.col("linked") & F.col("linked2"))
+        & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
+        & (2 * (100 + percent) * F.least("left", "left2") >= (100 + percent) * (F.col("k") + F.col("k2")) - (100 - percent) * (F.col("n") + F.col("n2"))))
+    return near.select(F.col("v").alias("u"), F.col("v2").alias("v")).distinct()
+
+
+def cross_pairs(table: DataFrame, lead: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """(u, v): pairs of one bucket in two classes and of two leaders, near enough in size."""
+    rows = table.select("key", "node", "n").join(lead, "node").join(roots, "node", "left").select(
+        "key", "node", "n", "lead", F.coalesce("root", "node").alias("root"))
+    several = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("lead").alias("l1"),
+                                      F.max("lead").alias("l2")).where("lo < hi and l1 < l2").select("key")
     rows = written(rows.join(several, "key"), "several")
-    main = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(
-        F.max(F.struct("c", "root")).alias("m")).select("key", F.col("m.root").alias("main"))
+    main = rows.groupBy("key", "lead").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(
+        F.max(F.struct("c", "lead")).alias("m")).select("key", F.col("m.lead").alias("main"))
     rows = rows.join(main, "key")
-    rest = rows.where("root <> main").select("key", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
-    pairs = rest.join(rows, "key").where((F.col("rx") != F.col("root")) & ((F.col("root") == F.col("main")) | (F.col("x") < F.col("node"))))
-    pairs = pairs.where(100 * F.least("nx", "n") >= percent * F.greatest("nx", "n"))
-    pairs = pairs.select(F.least("x", "node").alias("u"), F.greatest("x", "node").alias("v")).distinct()
-    return pairs.join(tested, ["u", "v"], "left_anti")
+    rest = rows.where("lead <> main").select("key", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"),
+                                             F.col("lead").alias("lx"))
+    pairs = rest.join(rows, "key").where((F.col("rx") != F.col("root")) & (F.col("lx") != F.col("lead"))
+                                         & ((F.col("lead") == F.col("main")) | (F.col("x") < F.col("node")))
+                                         & (100 * F.least("nx", "n") >= percent * F.greatest("nx", "n")))
+    return pairs.select(F.least("x", "node").alias("u"), F.greatest("x", "node").alias("v")).distinct()
 
 
 def classes(docs: DataFrame, rows: DataFrame, side: int, percent: int) -> DataFrame:
     """(node, component_id) of every distinct set but the empty one."""
     nodes = rows.where("n > 0").groupBy("node", "n", "subs").agg(F.min("doc_id").alias("least"))
     table = buckets(nodes, side)
-    pairs = written(first_pairs(table), "first")
-    several = table.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    texts = texts_of(docs, rows, table.join(several, "key", "left_semi").select("node").distinct())
-    roots = written(components(compared(pairs, texts, percent)), "roots")
-    more = compared(cross_pairs(table, roots, pairs, percent), texts, percent)
+    lead = leaders(table)
+    texts = texts_of(docs, rows, lead.select("node"))
+    first = compared(lead.where("node <> lead").select(F.col("lead").alias("u"), F.col("node").alias("v")), texts, percent, True)
+    roots = written(components(first.where("linked")), "roots")
+    more = compared(same_lead_pairs(first, percent).union(cross_pairs(table, lead, roots, percent)).distinct(), texts, percent)
     named = lambda c, to: roots.select(F.col("node").alias(c), F.col("root").alias(to))
     joined = more.join(named("u", "ru"), "u", "left").join(named("v", "rv"), "v", "left").select(
         F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v"))

@@ -69,8 +69,8 @@ def test_classes_equal_all_pairs(spark):
 
 
 def test_a_bucket_of_several_classes_loses_no_link(spark, monkeypatch):
-    """One minhash a key and one sub-key a side: buckets are far too wide, so the smallest node is
-    mostly the wrong partner; salts of two rows."""
+    """One minhash a sub-key: buckets are far too wide, so a leader is mostly the wrong partner;
+    salts of two rows."""
     monkeypatch.setattr(minhash, "SALT_ROWS", 2)
     rnd = random.Random(5)
     head = [f"h{k}" for k in range(40)]
@@ -88,6 +88,28 @@ def test_a_bucket_of_several_classes_loses_no_link(spark, monkeypatch):
     assert got(minhash.near_duplicates(docs, side=6, part=1)) == brute(rows)
 
 
+def test_members_not_similar_to_their_leader_are_joined_by_differences(spark):
+    """Copies of one text at distances around the threshold, some of them copies of such copies."""
+    rnd = random.Random(11)
+    words = [f"w{k}" for k in range(100)]
+    rows = [(0, " ".join(words))]
+    for k in range(1, 160):
+        near = changed(rnd, words, rnd.choice([1, 4, 7, 9, 12]))
+        rows.append((len(rows), near))
+        for _ in range(rnd.choice([0, 0, 2])):
+            rows.append((len(rows), changed(rnd, near.split(), rnd.choice([1, 3, 6]))))
+    docs = docs_frame(spark, rows)
+    assert got(minhash.near_duplicates(docs)) == brute(rows)
+    prints = minhash.prints(docs, 12, 3)
+    nodes = prints.groupBy("node", "n", "subs").agg(F.min("doc_id").alias("least"))
+    lead = minhash.leaders(minhash.buckets(nodes, 12))
+    assert lead.groupBy("lead").count().agg(F.max("count")).first()[0] > len(rows) // 2
+    pairs = lead.where("node <> lead").select(F.col("lead").alias("u"), F.col("node").alias("v"))
+    first = minhash.compared(pairs, minhash.texts_of(docs, prints, lead.select("node")), 80, True)
+    unlike = first.where("not linked").count()
+    assert unlike > 40 and minhash.same_lead_pairs(first, 80).count() < unlike * len(rows) / 20
+
+
 def test_pairs_are_those_that_share_a_sub_key_of_both_collections(spark):
     docs = docs_frame(spark, [(k, " ".join(f"w{(k % 5) * 10 + j + (j > 17) * k}" for j in range(20))) for k in range(25)])
     rows = minhash.prints(docs, 4, 2)
