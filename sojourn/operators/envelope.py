@@ -16,14 +16,18 @@ shorter length (no rows when n < 10):
   documented: sigmaS = max_lag (fS - (lag + 1) rhoS),  sigmaA = max_lag (lag rhoA - fA),
               stored rho_s = rhoS
   alpha = exp(theta (sigmaA + sigmaS)) / (1 - exp(-theta (rhoA - rhoS)))  (IEEE on x/0).
-Slopes at a data-dependent distance use a self equi-join on (key, p + lwin);
-the 10 x 10 grid is an exploded literal; sigmas are grouped maxima.
+A sigma is the Legendre transform of a curve at a rho: the largest f(p) - p rho lies on the
+upper hull of the points (p, f(p)), the least on the lower hull. Each candidate's two curves
+(at most max_l points each) are one row of arrays; their hulls are taken once and every rho of the grid
+finds its point there by binary search among the hull's slopes. No row is made of a lag and a line.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,62 +82,81 @@ def candidate_curves(cands: DataFrame, arr_proc: DataFrame, arr_stats: DataFrame
         "username", "mu", "cand", "theta", "kind", (F.col("lag") - 1).alias("p"), F.col("logmgf").alias("f"))
 
 
-def envelope_fit(curves: DataFrame, semantics: str = "reference") -> DataFrame:
-    """(username, mu, cand, s_line, a_line, sigmaa, rhoa, sigmas, rhos, theta, alpha)."""
-    key = ["username", "mu", "cand"]
-    lens = curves.groupBy(*key, "theta").agg(
-        F.count(F.when(F.col("kind") == "A", 1)).alias("len_a"),
-        F.count(F.when(F.col("kind") == "S", 1)).alias("len_s"),
-    )
-    lens = lens.select(*key, "theta", "len_a", "len_s", F.least("len_a", "len_s").alias("n")).where(F.col("n") >= 10)
-    lens = lens.withColumn("lwin", F.expr("n div 10"))
-    left = curves.join(lens.select(*key, "n", "lwin"), key).where(F.col("p") < F.col("n") - F.col("lwin"))
-    left = left.select(*key, "kind", "lwin", (F.col("p") + F.col("lwin")).alias("p"), F.col("f").alias("f0"))
-    right = curves.select(*key, "kind", "p", F.col("f").alias("f1"))
-    slope = left.join(right, [*key, "kind", "p"]).select(*key, "kind", ((F.col("f1") - F.col("f0")) / F.col("lwin")).alias("b"))
-    rng = slope.groupBy(*key).agg(
-        F.min(F.when(F.col("kind") == "A", F.col("b"))).alias("_mina"),
-        F.max(F.when(F.col("kind") == "A", F.col("b"))).alias("_maxa"),
-        F.min(F.when(F.col("kind") == "S", F.col("b"))).alias("_mins"),
-        F.max(F.when(F.col("kind") == "S", F.col("b"))).alias("_maxs"),
-    )
-    big = F.lit(1.0e99)
-    rng = rng.select(
-        *key,
-        F.greatest(F.least(big, "_mina"), F.least(big, "_mins")).alias("min_rhoa"),
-        F.greatest(F.lit(0.0), "_maxa").alias("max_rhoa"),
-        F.least(big, "_mins").alias("min_rhos"),
-        F.greatest(F.lit(0.0), "_maxs").alias("max_rhos"),
-    ).where(~((F.col("min_rhoa") > F.col("max_rhoa")) | (F.col("min_rhos") > F.col("max_rhos"))))
-    rng = rng.join(lens.select(*key, "theta", "n"), key)
-
-    s_line = F.explode(F.sequence(F.lit(0), F.lit(NUM_LINES - 1))).alias("s_line")
-    grid = rng.select("*", s_line).withColumn(
-        "rhos", F.col("min_rhos") + (F.col("max_rhos") - F.col("min_rhos")) * (F.col("s_line") / F.lit(float(NUM_LINES))))
-    a_line = F.explode(F.sequence(F.lit(1), F.lit(NUM_LINES))).alias("a_line")
-    rhoa = F.col("min_rhoa") + (F.col("max_rhoa") - F.col("min_rhoa")) * (F.col("a_line") / F.lit(float(NUM_LINES)))
-    svc = curves.where(F.col("kind") == "S").select(*key, "p", "f")
+def upper_hull(f: np.ndarray) -> np.ndarray:
+    """Positions of the vertices of the upper hull of the points (p, f[p])."""
+    hull: list[int] = []
+    y = f.tolist()
+    for p, v in enumerate(y):
+        while len(hull) > 1 and (y[hull[-1]] - y[hull[-2]]) * (p - hull[-1]) <= (v - y[hull[-1]]) * (hull[-1] - hull[-2]):
+            hull.pop()
+        hull.append(p)
+    return np.array(hull)
+
+
+def highest(f: np.ndarray, rho: np.ndarray) -> np.ndarray:
+    """For each rho the position p with the largest f[p] - p rho."""
+    hull = upper_hull(f)
+    slopes = np.diff(f[hull]) / np.diff(hull)  # falling
+    at = np.searchsorted(-slopes, -np.asarray(rho, dtype=np.float64))
+    near = np.clip(at[:, None] + np.arange(-1, 2), 0, len(hull) - 1)  # rounding may move a tie by one vertex
+    value = f[hull[near]] - hull[near] * np.asarray(rho)[:, None]
+    return hull[near[np.arange(len(at)), value.argmax(axis=1)]]
+
+
+LINES = "s_line int, a_line int, sigmaa double, rhoa double, sigmas double, rhos double"
+
+
+def lines_of(fa: np.ndarray, fs: np.ndarray, semantics: str) -> dict[str, np.ndarray] | None:
+    """The 100 lines of one candidate, s_line by a_line; None where there is no envelope."""
+    n = min(len(fa), len(fs))
+    if n < 10:
+        return None
+    lwin = n // 10
+    slope = lambda f: (f[lwin:n] - f[:n - lwin]) / lwin
+    sa, ss = slope(fa), slope(fs)
+    min_s, max_s = min(1.0e99, ss.min()), max(0.0, ss.max())
+    min_a, max_a = max(min(1.0e99, sa.min()), min_s), max(0.0, sa.max())
+    if min_a > max_a or min_s > max_s:
+        return None
+    rhos = min_s + (max_s - min_s) * (np.arange(NUM_LINES) / float(NUM_LINES))
+    rhoa = min_a + (max_a - min_a) * (np.arange(1, NUM_LINES + 1) / float(NUM_LINES))
+    p = highest(fs, rhos)
     if semantics == "reference":
-        g = grid.join(svc, key).groupBy(*key, "s_line").agg(
-            F.max(F.col("f") - F.col("p") * F.col("rhos")).alias("_ms"),
-            F.max(F.when(F.col("p") < F.col("n"), F.col("p") * F.col("rhos") - F.col("f"))).alias("sigmaa"),
-        )
-        env = grid.join(g, [*key, "s_line"]).select(
-            "*", (F.col("_ms") - F.col("rhos")).alias("sigmas"), a_line).withColumn("rhoa", rhoa)
-        stored = F.col("min_rhos")
-    elif semantics == "documented":
-        g = grid.join(svc, key).groupBy(*key, "s_line").agg(
-            F.max(F.col("f") - (F.col("p") + 2) * F.col("rhos")).alias("sigmas"))
-        env = grid.join(g, [*key, "s_line"]).select("*", a_line).withColumn("rhoa", rhoa)
-        arr = curves.where(F.col("kind") == "A").select(*key, "p", "f")
-        ga = env.select(*key, "s_line", "a_line", "rhoa").join(arr, key).groupBy(*key, "s_line", "a_line").agg(
-            F.max((F.col("p") + 1) * F.col("rhoa") - F.col("f")).alias("sigmaa"))
-        env = env.join(ga, [*key, "s_line", "a_line"])
-        stored = F.col("rhos")
+        sigmas = fs[p] - p * rhos - rhos
+        p = highest(-fs[:n], -rhos)
+        sigmaa = np.repeat(p * rhos - fs[p], NUM_LINES)
+        stored = np.full(NUM_LINES, min_s)
     else:
+        sigmas = fs[p] - (p + 2) * rhos
+        p = highest(-fa, -rhoa)
+        sigmaa = np.tile((p + 1) * rhoa - fa[p], NUM_LINES)
+        stored = rhos
+    each = lambda x: np.repeat(x, NUM_LINES)
+    return {"s_line": each(np.arange(NUM_LINES)), "a_line": np.tile(np.arange(1, NUM_LINES + 1), NUM_LINES), "sigmaa": sigmaa,
+            "rhoa": np.tile(rhoa, NUM_LINES), "sigmas": each(sigmas), "rhos": each(stored), "line_rhos": each(rhos)}
+
+
+def envelope_fit(curves: DataFrame, semantics: str = "reference") -> DataFrame:
+    """(username, mu, cand, s_line, a_line, sigmaa, rhoa, sigmas, rhos, theta, alpha)."""
+    if semantics not in ("reference", "documented"):
         raise ValueError(semantics)
+    key = ["username", "mu", "cand"]
+    points = lambda kind: F.transform(F.array_sort(F.collect_list(  # noqa: E731  at most max_l of a curve
+        F.when(F.col("kind") == kind, F.struct("p", "f")))), lambda x: x["f"]).alias(f"f{kind.lower()}")
+    whole = curves.groupBy(*key, "theta").agg(points("A"), points("S"))
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                found = lines_of(np.asarray(row.fa, dtype=np.float64), np.asarray(row.fs, dtype=np.float64), semantics)
+                if found is not None:
+                    out.append(pd.DataFrame({"username": row.username, "mu": row.mu, "cand": row.cand, "theta": row.theta, **found}))
+            if out:
+                yield pd.concat(out)
+
+    env = whole.mapInPandas(run, f"username string, mu double, cand int, theta double, {LINES}, line_rhos double")
     th = F.col("theta")
     alpha = ieee_div(F.exp(th * (F.col("sigmaa") + F.col("sigmas"))),
-                     F.lit(1.0) - F.exp(-th * (F.col("rhoa") - F.col("rhos"))))
-    return env.select(*key, "s_line", "a_line", "sigmaa", "rhoa", "sigmas", stored.alias("rhos"), "theta",
-                      alpha.alias("alpha"))
+                     F.lit(1.0) - F.exp(-th * (F.col("rhoa") - F.col("line_rhos"))))
+    return env.select(*key, "s_line", "a_line", "sigmaa", "rhoa", "sigmas", "rhos", "theta", alpha.alias("alpha"))
