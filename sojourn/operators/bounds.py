@@ -61,16 +61,18 @@ def bound_report(jobs: DataFrame, tasks: DataFrame, heavy_threshold: int = HEAVY
     ``jobs``: job lifecycle with metadata and fail = 0; ``tasks``: task
     lifecycle with metadata. Crossing lags 1, max_l / 2, max_l.
     """
+    from ..functions.ordering import materialize
     from .users import heavy_users
 
-    users = heavy_users(jobs, heavy_threshold)
+    # each is read several times: evaluated once here, as narrow as the report needs it
+    jobs = materialize(jobs.select("username", "jobid", "arrive"))
+    users = materialize(heavy_users(jobs, heavy_threshold))
+    tasks = materialize(tasks.select("username", "jobid", "taskix", "arrive", "size").join(users, "username", "left_semi"))
     ap, ast = pr.arrival_process(jobs, users)
     sp, sst = pr.service_process(tasks, users)
     lags = (1, max_l // 2, max_l)
     cross = cr.crossing_theta(ap, ast, sp, sst, lags, mus, depth=crossing_depth or cr.DEPTH)
     cands = ev.theta_candidates(cross, lags)
-    from ..functions.ordering import materialize
-
     curves = materialize(ev.candidate_curves(cands, ap, ast, sp, sst, max_l, semantics))
     env = ev.envelope_fit(curves, semantics)
     return best_bounds(tau_quantiles(env, eps, k))
@@ -78,12 +80,10 @@ def bound_report(jobs: DataFrame, tasks: DataFrame, heavy_threshold: int = HEAVY
 
 def report_from_files(spark, task_paths, job_paths, **options) -> DataFrame:
     """``bound_report`` of task and job event logs given as CSV paths, globs or lists;
-    ``options`` as there. The lifecycle tables are written once: the report reads them
-    several times."""
-    from ..functions.ordering import materialize
+    ``options`` as there."""
     from ..sources import csv_events
     from . import metadata as md
 
-    jobs = materialize(md.job_lifecycle_meta(csv_events.read_job_events(spark, job_paths)).where("fail = 0"))
-    tasks = materialize(md.task_lifecycle_meta(csv_events.read_task_events(spark, task_paths)))
+    jobs = md.job_lifecycle_meta(csv_events.read_job_events(spark, job_paths)).where("fail = 0")
+    tasks = md.task_lifecycle_meta(csv_events.read_task_events(spark, task_paths))
     return bound_report(jobs, tasks, **options)

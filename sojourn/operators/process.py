@@ -40,7 +40,7 @@ def _only(df: DataFrame, users: DataFrame | None) -> DataFrame:
 
 
 def arrival_increments(jobs: DataFrame, users: DataFrame | None = None,
-                       block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+                       block_rows: int | None = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """(username, idx, raw, pre, arrive): inter-arrival times, first dropped."""
     a = _only(jobs, users).select("username", "jobid", "arrive")
     a = ordered_index(a, ["username"], ["arrive", "jobid"], idx_col="k",
@@ -56,7 +56,7 @@ def arrival_increments(jobs: DataFrame, users: DataFrame | None = None,
 
 
 def _with_scale(inc: DataFrame, scale: float, exact_mean: bool) -> tuple[DataFrame, DataFrame]:
-    inc = materialize(inc)
+    """``inc`` comes from ``ordered_index``, which has written it."""
     st = inc.groupBy("username").agg(
         F.count(F.lit(1)).alias("n"), F.sum("raw").alias("_s"),
         F.max_by("raw", "idx").alias("_last"), F.min_by("raw", "idx").alias("r0"),
@@ -79,7 +79,7 @@ def _scaled(stats: DataFrame) -> DataFrame:
 
 
 def arrival_process(jobs: DataFrame, users: DataFrame | None = None, lam: float = 1.0,
-                    block_rows: int = DEFAULT_BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+                    block_rows: int | None = DEFAULT_BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
     """Normalized inter-arrival process of each user's jobs."""
     inc = arrival_increments(jobs, users, block_rows).drop("arrive")
     return _with_scale(inc, lam, exact_mean=False)
@@ -97,7 +97,7 @@ def first_task_services(tasks: DataFrame, users: DataFrame | None = None) -> Dat
 
 
 def service_increments(tasks: DataFrame, users: DataFrame | None = None,
-                       block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+                       block_rows: int | None = DEFAULT_BLOCK_ROWS) -> DataFrame:
     s = first_task_services(tasks, users)
     s = ordered_index(s, ["username"], ["arrive", "jobid"], idx_col="idx", sum_col="size",
                       prefix_col="pre", block_rows=block_rows)
@@ -105,7 +105,7 @@ def service_increments(tasks: DataFrame, users: DataFrame | None = None,
 
 
 def service_process(tasks: DataFrame, users: DataFrame | None = None, mu: float = 1.0,
-                    block_rows: int = DEFAULT_BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+                    block_rows: int | None = DEFAULT_BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
     """Service process as loaded (truncated-mean normalization)."""
     return _with_scale(service_increments(tasks, users, block_rows), mu, exact_mean=False)
 
@@ -123,7 +123,7 @@ def renormalized_services(services: DataFrame, mus: Sequence[float] = DEFAULT_MU
 
 
 def normalized_arrivals(jobs: DataFrame, users: DataFrame | None = None, lam: float = 1.0,
-                        block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+                        block_rows: int | None = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """(username, arrive, interarrival, interarrivalN).
 
     Drops every row tied with the user's first arrival (not just one row);
@@ -148,7 +148,7 @@ def normalized_services(tasks: DataFrame, users: DataFrame | None = None, mu: fl
 
 
 def task_interarrivals(tasks: DataFrame, users: DataFrame | None = None,
-                       block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+                       block_rows: int | None = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """(username, idx, interarrival): differences of consecutive task arrivals."""
     t = _only(tasks, users).select("username", "jobid", "taskix", "arrive")
     t = ordered_index(t, ["username"], ["arrive", "jobid", "taskix"], idx_col="k",
@@ -186,7 +186,7 @@ def autocorrelation(series: DataFrame, value: str, max_lag: int = 100, block: in
 
 
 def normalized_arrival_process(jobs: DataFrame, users: DataFrame | None = None, lam: float = 1.0,
-                               block_rows: int = DEFAULT_BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+                               block_rows: int | None = DEFAULT_BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
     """Process frame of the normalized-arrivals form: increments after every
     row tied with the first arrival, scale c = lam * exact mean."""
     inc = arrival_increments(jobs, users, block_rows)
@@ -202,7 +202,7 @@ def normalized_arrival_process(jobs: DataFrame, users: DataFrame | None = None,
 
 
 def normalized_service_process(tasks: DataFrame, users: DataFrame | None = None, mu: float = 1.0,
-                               block_rows: int = DEFAULT_BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+                               block_rows: int | None = DEFAULT_BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
     """Process frame of the normalized-services form: sizes of task 0 of jobs
     with fail = 0 in (arrive, jobid, taskix) order, c = mu * exact mean."""
     t = _only(tasks, users).where((F.col("fail") == 0) & (F.col("taskix") == 0))

@@ -22,10 +22,10 @@ def heavy_users(jobs: DataFrame, threshold: int) -> DataFrame:
     return jobs_per_user(jobs).where(F.col("count") > F.lit(threshold))
 
 
-def ranked_heavy_users(jobs: DataFrame, threshold: int, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+def ranked_heavy_users(jobs: DataFrame, threshold: int, block_rows: int | None = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """(place, username, count): heavy users by falling count, place from 1 (ties:
-    the smaller name first). One row per heavy user is ordered, not one per job, in
-    blocks of about ``block_rows`` users; only the block table is read by one task."""
+    the smaller name first). One row per heavy user is ordered, not one per job, in range
+    partitions; only their number of rows, one a partition, is read by one task."""
     users = heavy_users(jobs, threshold).withColumn("fall", -F.col("count"))
     ranked = ordered_index(users, [], ["fall", "username"], block_rows=block_rows)
     return ranked.select((F.col("idx") + 1).cast("int").alias("place"), "username", "count")

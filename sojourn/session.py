@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
@@ -54,14 +56,48 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or d
 
 
+_SCOPE: ContextVar[list | None] = ContextVar("scratch_scope", default=None)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Paths that ``scratch_path`` gives inside the scope are removed at its end, also after an
+    error. What is to outlive it is written by ``keep(df)``, which the scope gives: a frame that belongs to
+    the scope around it, or to the application."""
+    outer, paths = _SCOPE.get(), []
+    token = _SCOPE.set(paths)
+
+    def keep(df):
+        inner = _SCOPE.set(outer)
+        try:
+            path = scratch_path(spark, "kept")
+        finally:
+            _SCOPE.reset(inner)
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield keep
+    finally:
+        _SCOPE.reset(token)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in paths:
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            fs = target.getFileSystem(conf)
+            fs.delete(target, True)
+            fs.cancelDeleteOnExit(target)
+
+
 def scratch_path(spark: SparkSession, what: str) -> str:
-    """A new path in the checkpoint folder, removed when the application ends."""
+    """A new path in the checkpoint folder, removed at the end of the scope, else of the application."""
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     target = jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(conf)
     fs.mkdirs(target)  # deleteOnExit only takes what exists
     fs.deleteOnExit(target)
+    if (scope := _SCOPE.get()) is not None:
+        scope.append(path)
     return path
 
 

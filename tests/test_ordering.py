@@ -65,3 +65,51 @@ def test_no_local_folder_without_a_local_master():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         ensure_checkpoint_dir(Session())
+
+
+def test_partitions_follow_bytes_and_the_input_is_evaluated_once(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from sojourn.functions import ordering
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counting(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    n = 30_000
+    rows = spark.range(n).select(F.concat(F.lit("u"), F.col("id") % 3).alias("g"), (F.col("id") * 7 % 1000).alias("t"), F.col("id").alias("j"))
+    rows = rows.mapInArrow(counting, rows.schema)
+    monkeypatch.setattr(ordering, "PARTITION_BYTES", 100_000)
+    width = ordering.row_bytes(rows.schema)
+    assert width == 8 + 28 + 8 + 8
+    dealt, parts = ordering.sorted_ranges(rows, ["g"], ["t", "j"])
+    assert parts == dealt.rdd.getNumPartitions() == -(-n * width // 100_000) and seen.value == n
+    out = ordered_index(rows, ["g"], ["t", "j"], prev_of="t", first_of="j", sum_col="t")
+    assert out.count() == n and seen.value == 2 * n  # once more, for this call
+    got = {(r.g, r.j): (r.idx, r.pre, r.prev, r.first) for r in out.collect()}
+    for u in range(3):
+        mine = sorted((k * 7 % 1000, k) for k in range(u, n, 3))
+        total, prev = 0, None
+        for i, (t, j) in enumerate(mine):
+            assert got[(f"u{u}", j)] == (i, total, prev, mine[0][1])
+            total, prev = total + t, t
+
+
+def test_a_scope_leaves_only_what_it_keeps(spark):
+    import os
+
+    from sojourn.functions.ordering import materialize
+    from sojourn.session import ensure_checkpoint_dir, scratch_scope
+
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    with scratch_scope(spark) as keep:
+        inner = materialize(spark.range(10))
+        with scratch_scope(spark) as keep_inner:
+            kept = keep_inner(materialize(inner.where("id > 3")))
+        assert kept.count() == 6
+        out = keep(kept)
+    assert out.count() == 6 and len(set(os.listdir(folder)) - before) == 1
