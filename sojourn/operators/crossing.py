@@ -23,12 +23,15 @@ step takes depends on two means only, so the thetas of the next steps are known
 advance: a pass evaluates the complete tree of the next ``depth`` steps and the two
 straight paths from the root ``CHAIN`` steps further (a search without a crossing
 walks one way for about 42 steps), then every state walks as far as its nodes were
-evaluated. The thetas visited are those of a step-by-step search. Window sums are
-written once, without mu (mu only scales a theta), in arrays of BLOCK sums;
-thetas that several mus share are evaluated once per (user, lag); each array is reduced
-to one partial sum per theta by NumPy, and partial sums are added by a plain
-aggregate: nothing of the size windows x thetas is ever a row. Users without a scale
-(only zero increments) have no state.
+evaluated. The thetas visited are those of a step-by-step search. What a mean needs of the data
+is the multiset of window sums, (user, lag, side, sum, multiplicity): it is written once, without
+mu (mu only scales a theta), from halo blocks of the prefix sums, in arrays of about BLOCK distinct sums.
+A pass never moves them: the open states (a few numbers each) are broadcast to the arrays,
+whose task makes the thetas, evaluates exp once per distinct sum and theta and
+returns one partial sum per theta; a plain aggregate adds these up. Nothing of the size windows x
+thetas is ever a row. States are searched in slices of users that fit the broadcast bound;
+the arrays are written in the same slices, so every slice reads its own. Users without a scale
+(only zero increments) have no state. All scratch of a search goes when it ends.
 """
 
 from __future__ import annotations
@@ -41,8 +44,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordering import compute_partitions, materialize
-from .lagsums import window_sums
+from ..functions.ordering import materialize
+from ..session import scratch_path, scratch_scope
+from .lagsums import BLOCK as HALO_BLOCK
+from .lagsums import halo_blocks
 
 # fixed values of the search
 LEFT = 1e-10
@@ -57,10 +62,12 @@ KEY = ["username", "mu", "l"]
 #: that the two straight paths go on (2 * CHAIN more). Work of a pass: window sums of a
 #: state times these thetas.
 DEPTH, CHAIN = 6, 45
-#: Window sums in one array.
+#: Distinct window sums in one array, about.
 BLOCK = 4096
-#: The thetas of a pass are broadcast up to this size, else joined by a shuffle.
-BROADCAST_BYTES = 16 << 20
+#: Bytes of a written partition of arrays.
+FILE_BYTES = 8 << 20
+#: States of one slice of a search, as a broadcast takes them: bytes in all, and of one.
+BROADCAST_BYTES, STATE_BYTES = 16 << 20, 128
 
 
 def _gt(a, b):
@@ -156,42 +163,83 @@ def bisect(states: DataFrame, step) -> DataFrame:
     return states
 
 
-def _sum_arrays(arr_proc: DataFrame, svc_proc: DataFrame, lags: Sequence[int], s_extra: int) -> DataFrame:
-    """(username, l, side, xs): window sums in arrays of at most BLOCK, written once.
-    Starts of a block are neighbours, so a user of any size is many arrays."""
-    a = window_sums(arr_proc, lags).select("username", F.col("w").alias("l"), F.lit(0).alias("side"), "idx", "xsum")
-    s = window_sums(svc_proc, [x + s_extra for x in lags]).select(
-        "username", (F.col("w") - s_extra).alias("l"), F.lit(1).alias("side"), "idx", "xsum")
-    both = a.unionByName(s).groupBy("username", "l", "side", F.expr(f"idx div {BLOCK}").alias("blk"))
-    return materialize(both.agg(F.collect_list(F.col("xsum").cast("double")).alias("xs")).drop("blk"))
-
-
-def _coefficients(depth: int, chain: int):
-    """Per (username, l): the distinct exponents per unit of raw sum, by side."""
-
-    def run(key, pdf):
-        arr, svc = set(), set()
-        for s in pdf.to_dict("records"):
-            for theta in tree_thetas(s["lt"], s["rt"], s["theta"], depth, chain).values():
-                arr.add(-theta / s["c"])
-                svc.add(theta / (s["mu"] * s["mean_raw"]))
-        return pd.DataFrame({"username": key[0], "l": key[1], "side": [0, 1], "coef": [sorted(arr), sorted(svc)]})
+def sum_multiset(arr_proc: DataFrame, arr_stats: DataFrame, svc_proc: DataFrame, svc_stats: DataFrame, lags: Sequence[int],
+                 s_extra: int, slices: int = 1, block: int = HALO_BLOCK) -> DataFrame:
+    """(username, l, side, xs, ms, slice): the distinct window sums of each user, lag and side (0
+    arrivals, 1 services) with their multiplicities, in arrays of about BLOCK. Every prefix row is
+    shuffled to at most two halo blocks, whatever the number of lags; a block sends its distinct sums on."""
+    extra = (0, s_extra)
+    halo = max(lags) + s_extra
+    block = max(int(block), halo)
+
+    def rows(proc, stats, side):
+        return proc.select("username", "idx", "pre").join(stats.select("username", "n"), "username").select(
+            "username", F.lit(side).alias("side"), "idx", "pre", "n")
+
+    def sums(key, pdf):
+        pdf = pdf.sort_values("idx")
+        idx, pre = pdf["idx"].to_numpy(), pdf["pre"].to_numpy(dtype=np.int64)
+        own = int(np.searchsorted(idx, (int(key[2]) + 1) * block))
+        chunks = -(-int(pdf["n"].iloc[0]) // BLOCK)
+        out = []
+        for l in lags:
+            w = l + extra[int(key[1])]
+            k = min(own, len(pre) - w)
+            if k > 0:
+                x, m = np.unique(pre[w:w + k] - pre[:k], return_counts=True)
+                part = ((x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(chunks)
+                out.append(pd.DataFrame({"username": key[0], "l": l, "side": int(key[1]), "part": part.astype(np.int64), "x": x, "m": m}))
+        return pd.concat(out) if out else pd.DataFrame(columns=["username", "l", "side", "part", "x", "m"])
+
+    both = rows(arr_proc, arr_stats, 0).unionByName(rows(svc_proc, svc_stats, 1))
+    found = halo_blocks(both, block, halo).groupBy("username", "side", "blk").applyInPandas(
+        sums, "username string, l int, side int, part long, x long, m long")
+    spark = both.sparkSession
+    windows = sum(int(st.agg(F.sum("n")).first()[0] or 0) for st in (arr_stats, svc_stats)) * len(lags)
+    files = max(-(-16 * windows // FILE_BYTES), min(-(-windows // BLOCK), spark.sparkContext.defaultParallelism))
+    key = ["username", "l", "side", "part"]
+    merged = found.repartition(max(1, files), *key).groupBy(*key, "x").agg(F.sum("m").alias("m"))  # one exchange for both aggregates
+    arrays = merged.groupBy(*key).agg(F.collect_list(F.struct(F.col("x").cast("double").alias("x"), "m")).alias("z")).select(
+        "username", "l", "side", F.col("z.x").alias("xs"), F.col("z.m").alias("ms"), _slice(slices))
+    path = scratch_path(spark, "sums")
+    arrays.write.mode("overwrite").partitionBy("slice").parquet(path)
+    return spark.read.schema(arrays.schema).parquet(path)
+
+
+def _slice(slices: int):
+    return F.pmod(F.xxhash64("username"), F.lit(slices)).cast("int").alias("slice")
+
+
+def coefficients(states: list[dict], depth: int, chain: int) -> tuple[list[float], list[float]]:
+    """The distinct exponents per unit of raw sum of the next steps' thetas: arrivals, services."""
+    arr, svc = set(), set()
+    for s in states:
+        for theta in tree_thetas(s["lt"], s["rt"], s["theta"], depth, chain).values():
+            arr.add(-theta / s["c"])
+            svc.add(theta / (s["mu"] * s["mean_raw"]))
+    return sorted(arr), sorted(svc)
+
+
+def _partial(depth: int, chain: int):
+    """Partial sums of m exp(coef * x) over each array, one per coefficient."""
+
+    def run(batches):
+        known: dict[tuple, tuple] = {}
+        for pdf in batches:
+            coefs, sums = [], []
+            for user, l, side, xs, ms, states in zip(pdf["username"], pdf["l"], pdf["side"], pdf["xs"], pdf["ms"], pdf["states"]):
+                if (user, l) not in known:
+                    known = {(user, l): coefficients([r if isinstance(r, dict) else r.asDict() for r in states], depth, chain)}
+                x, m, c = np.asarray(xs), np.asarray(ms, dtype=np.float64), np.asarray(known[user, l][side])
+                with np.errstate(over="ignore", under="ignore"):
+                    sums.append(np.concatenate([np.exp(np.outer(c[k:k + 64], x)) @ m for k in range(0, len(c), 64)]))
+                coefs.append(c)
+            yield pd.DataFrame({"username": pdf["username"], "l": pdf["l"], "side": pdf["side"], "coef": coefs,
+                                "sums": sums, "n": [int(np.sum(m)) for m in pdf["ms"]]})
 
     return run
 
 
-def _partial(batches):
-    """Partial sums of exp(coef * x) over each array, one per coefficient."""
-    for pdf in batches:
-        sums = []
-        for xs, coef in zip(pdf["xs"], pdf["coef"]):
-            x, c = np.asarray(xs), np.asarray(coef)
-            with np.errstate(over="ignore", under="ignore"):
-                sums.append(np.concatenate([np.exp(np.outer(c[k:k + 64], x)).sum(axis=1) for k in range(0, len(c), 64)]))
-        yield pd.DataFrame({"username": pdf["username"], "l": pdf["l"], "side": pdf["side"], "coef": pdf["coef"],
-                            "sums": sums, "n": [len(x) for x in pdf["xs"]]})
-
-
 def _walker(depth: int, chain: int, variant: str):
     def run(key, states, means):
         table = {(side, coef): total / n for side, coef, total, n in
@@ -232,24 +280,31 @@ def crossing_theta(
         raise ValueError(variant)
     lags = [int(x) for x in lags]
     right = RIGHT_LAG if variant == "lag" else RIGHT_SINGLE
-    arrays = _sum_arrays(arr_proc, svc_proc, lags, 1 if variant == "lag" else 0)
-    spread = compute_partitions(arrays.sparkSession, arrays.count())
-
+    with scratch_scope(arr_proc.sparkSession) as keep:
+        states = materialize(initial_states(arr_stats, svc_stats, lags, mus, right))
+        slices = max(1, -(-states.count() * STATE_BYTES // BROADCAST_BYTES))
+        arrays = sum_multiset(arr_proc, arr_stats, svc_proc, svc_stats, lags, 1 if variant == "lag" else 0, slices)
+        done = None
+        for k in range(slices):
+            one = bisect(states.where(_slice(slices) == k), _passes(arrays.where(F.col("slice") == k), depth, chain, variant))
+            done = one if done is None else done.unionByName(one)
+        return keep(_result(done))
+
+
+def _passes(arrays: DataFrame, depth: int, chain: int, variant: str):
     def step(states: DataFrame, n: int) -> DataFrame:
-        coef = states.groupBy("username", "l").applyInPandas(
-            _coefficients(depth, chain), "username string, l int, side int, coef array<double>")
-        if 16 * n * (2 ** depth + 2 * chain) <= BROADCAST_BYTES:
-            coef = F.broadcast(coef)
-        # one array is small in bytes and heavy in exp: an explicit count keeps AQE from packing them
-        joined = arrays.repartition(spread).join(coef, ["username", "l", "side"])
-        parts = joined.mapInPandas(_partial, "username string, l int, side int, coef array<double>, sums array<double>, n long")
+        needed = ("mu", "lt", "rt", "theta", "c", "mean_raw")
+        asked = states.groupBy("username", "l").agg(F.collect_list(F.struct(*needed)).alias("states"))  # one a mu
+        joined = arrays.join(F.broadcast(asked), ["username", "l"])  # n states of at most one slice
+        parts = joined.select("username", "l", "side", "xs", "ms", "states").mapInPandas(
+            _partial(depth, chain), "username string, l int, side int, coef array<double>, sums array<double>, n long")
         flat = parts.select("username", "l", "side", "n", F.explode(F.arrays_zip("coef", "sums")).alias("z"))
         means = flat.groupBy("username", "l", "side", F.col("z.coef").alias("coef")).agg(
             F.sum("z.sums").alias("total"), F.sum("n").alias("n"))
         return states.groupBy("username", "l").cogroup(means.groupBy("username", "l")).applyInPandas(
             _walker(depth, chain, variant), STATE)
 
-    return _result(bisect(initial_states(arr_stats, svc_stats, lags, mus, right), step))
+    return step
 
 
 SLOPE_MIN_LAGS = 10
@@ -265,12 +320,13 @@ def crossing_theta_slope(
     arrival and service log-MGF curves over lags l .. l + window (curves cut at
     their first infinite value); fewer than 10 valid lags on either side moves
     the right end. Same bracket and stopping rules as ``variant="lag"``. A pass calls
-    the MGF kernel once per lag and process, for all open states together."""
-    from .mgf import kernel_plan, mgf_curves
+    the MGF kernel once per process, for all lags and open states together."""
+    from .mgf import curves_of_ranges, kernel_plan
 
     lags, window = [int(x) for x in lags], int(window)
-    plans = {(kind, l): kernel_plan(stats, kind, l + window)
-             for kind, stats in (("arrival", arr_stats), ("service", svc_stats)) for l in lags} if method == "kernel" else {}
+    ranges = {l: (l, l + window) for l in lags}
+    plans = {kind: kernel_plan(stats, kind, max(lags) + window)
+             for kind, stats in (("arrival", arr_stats), ("service", svc_stats))} if method == "kernel" else {}
 
     def nodes_of(pdfs):
         for pdf in pdfs:
@@ -283,16 +339,11 @@ def crossing_theta_slope(
 
     def slopes(nodes: DataFrame, kind: str) -> DataFrame:
         proc, stats, scale = (arr_proc, arr_stats, "ca") if kind == "arrival" else (svc_proc, svc_stats, "cs")
-        out = None
-        for l in lags:
-            th = nodes.where(F.col("l") == l).select("username", "tkey", "theta", F.col(scale).alias("c"))
-            curve = mgf_curves(proc, stats, th, kind=kind, min_l=l, max_l=l + window, semantics=semantics, method=method,
-                               plan=plans.get((kind, l)))
-            one = curve.groupBy("username", "tkey").agg(
-                F.count(F.lit(1)).alias("n"), F.regr_slope(F.col("logmgf"), F.col("lag").cast("double")).alias("slope")
-            ).select("username", F.lit(l).alias("l"), F.lit(kind).alias("kind"), "tkey", "n", "slope")
-            out = one if out is None else out.unionByName(one)
-        return out
+        th = nodes.select("username", F.col("l").alias("tag"), "tkey", "theta", F.col(scale).alias("c"))
+        curve = curves_of_ranges(proc, stats, th, ranges, kind=kind, semantics=semantics, method=method, plan=plans.get(kind))
+        return curve.groupBy("username", "tag", "tkey").agg(
+            F.count(F.lit(1)).alias("n"), F.regr_slope(F.col("logmgf"), F.col("lag").cast("double")).alias("slope")
+        ).select("username", F.col("tag").alias("l"), F.lit(kind).alias("kind"), "tkey", "n", "slope")
 
     def walker(key, states, found):
         table = {(kind, k): (n, slope) for kind, k, n, slope in zip(found["kind"], found["tkey"], found["n"], found["slope"])}
@@ -313,4 +364,5 @@ def crossing_theta_slope(
         found = slopes(nodes, "arrival").unionByName(slopes(nodes, "service"))
         return states.groupBy("username", "l").cogroup(found.groupBy("username", "l")).applyInPandas(walker, STATE)
 
-    return _result(bisect(initial_states(arr_stats, svc_stats, lags, mus, RIGHT_LAG), step))
+    with scratch_scope(arr_proc.sparkSession) as keep:
+        return keep(_result(bisect(initial_states(arr_stats, svc_stats, lags, mus, RIGHT_LAG), step)))

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ordering import compute_partitions
 
-KERNEL_SCHEMA = "username string, tkey long, lag int, s double, cnt long"
+KERNEL_SCHEMA = "username string, tag int, tkey long, lag int, s double, cnt long"
 DEFAULT_MGF_BLOCK = 32768
 MIN_MGF_BLOCK = 8192
 
@@ -77,47 +77,49 @@ def _starts(kind: str, max_l: int) -> int:
     return max_l if kind == "arrival" else max_l + 1
 
 
-def _kernel(kind: str, semantics: str, min_l: int, max_l: int, block: int):
+def _kernel(kind: str, semantics: str, ranges: dict[int, tuple[int, int]], block: int):
+    """Partial sums of one block: of every theta over the lags of its tag's range, and over the
+    starts that this range allows."""
     a, b, use_r0 = _offsets(kind, semantics)
+    none = pd.DataFrame({"username": pd.Series([], dtype=object), "tag": pd.Series([], dtype="int32"),
+                         "tkey": pd.Series([], dtype="int64"), "lag": pd.Series([], dtype="int32"),
+                         "s": pd.Series([], dtype="float64"), "cnt": pd.Series([], dtype="int64")})
 
     def run(key, rows: pd.DataFrame, ths: pd.DataFrame) -> pd.DataFrame:
         if rows.empty or ths.empty:
-            return pd.DataFrame({"username": pd.Series([], dtype=object), "tkey": pd.Series([], dtype="int64"),
-                                 "lag": pd.Series([], dtype="int32"), "s": pd.Series([], dtype="float64"),
-                                 "cnt": pd.Series([], dtype="int64")})
+            return none
         user, blk = key[0], int(key[1])
         rows = rows.sort_values("idx")
         base = int(rows["idx"].iloc[0])
         pre = rows["pre"].to_numpy(dtype=np.int64)
-        m = int(rows["m"].iloc[0])
-        r0 = int(rows["r0"].iloc[0]) if use_r0 else 0
-        lo, hi = blk * block, min(blk * block + block, m)
-        if hi <= lo:
-            return run(key, rows.iloc[0:0], ths)
-        st = np.arange(lo, hi, dtype=np.int64) - base
-        coef = ths["theta"].to_numpy(dtype=np.float64) / ths["c"].to_numpy(dtype=np.float64)
-        tkeys = ths["tkey"].to_numpy(dtype=np.int64)
-        nt, lags = len(coef), list(range(min_l, max_l))
-        sums = np.empty((len(lags), nt))
         raw = np.diff(pre).astype(np.float64)
-        first = (pre[st + min_l + b] - pre[st + a] + r0).astype(np.float64)
-        with np.errstate(over="ignore", under="ignore", invalid="ignore"):
-            for t, k in enumerate(coef):
-                # exp once per row and theta; the next lag's terms are products with one more row
-                grow = np.exp(k * raw)
-                term = np.exp(k * first)
-                sums[0, t] = term.sum()
-                for j in range(1, len(lags)):
-                    at = st[0] + lags[j] + b - 1
-                    term *= grow[at:at + len(st)]
-                    sums[j, t] = term.sum()
-        return pd.DataFrame({
-            "username": user,
-            "tkey": np.tile(tkeys, len(lags)),
-            "lag": np.repeat(np.asarray(lags, dtype=np.int32), nt),
-            "s": sums.reshape(-1),
-            "cnt": np.int64(hi - lo),
-        })
+        n = int(rows["n"].iloc[0])
+        r0 = int(rows["r0"].iloc[0]) if use_r0 else 0
+        out = []
+        for tag, mine in ths.groupby("tag"):
+            min_l, max_l = ranges[int(tag)]
+            lo, hi = blk * block, min(blk * block + block, n - _starts(kind, max_l))
+            if hi <= lo:
+                continue
+            st = np.arange(lo, hi, dtype=np.int64) - base
+            coef = mine["theta"].to_numpy(dtype=np.float64) / mine["c"].to_numpy(dtype=np.float64)
+            nt, lags = len(coef), list(range(min_l, max_l))
+            sums = np.empty((len(lags), nt))
+            first = (pre[st + min_l + b] - pre[st + a] + r0).astype(np.float64)
+            with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+                for t, k in enumerate(coef):
+                    # exp once per row and theta; the next lag's terms are products with one more row
+                    grow = np.exp(k * raw)
+                    term = np.exp(k * first)
+                    sums[0, t] = term.sum()
+                    for j in range(1, len(lags)):
+                        at = st[0] + lags[j] + b - 1
+                        term *= grow[at:at + len(st)]
+                        sums[j, t] = term.sum()
+            out.append(pd.DataFrame({
+                "username": user, "tag": np.int32(tag), "tkey": np.tile(mine["tkey"].to_numpy(dtype=np.int64), len(lags)),
+                "lag": np.repeat(np.asarray(lags, dtype=np.int32), nt), "s": sums.reshape(-1), "cnt": np.int64(hi - lo)}))
+        return pd.concat(out) if out else none
 
     return run
 
@@ -137,29 +139,30 @@ def kernel_plan(stats: DataFrame, kind: str, max_l: int, block: int | None = Non
     return block, compute_partitions(stats.sparkSession, total // block + users)
 
 
-def _partial_sums_kernel(proc, stats, th, kind, semantics, min_l, max_l, plan):
-    halo = max_l + 2
-    users = stats.select("username", (F.col("n") - _starts(kind, max_l)).alias("m"), "r0").where(F.col("m") >= 1)
+def _partial_sums_kernel(proc, stats, th, kind, semantics, ranges, plan):
+    halo = max(max_l for _, max_l in ranges.values()) + 2
+    fewest = min(_starts(kind, max_l) for _, max_l in ranges.values())
+    users = stats.select("username", (F.col("n") - fewest).alias("m"), "n", "r0").where(F.col("m") >= 1)
     block, n_parts = plan
     nb = F.ceil(F.col("m") / F.lit(block)).cast("long")
     k = F.col("idx")
     first_b = F.greatest(F.lit(0).cast("long"), F.ceil((k - block - halo + 1) / F.lit(block)).cast("long"))
     last_b = F.least(F.floor(k / F.lit(block)).cast("long"), nb - 1)
     rows = proc.select("username", "idx", "pre").join(users, "username").where(first_b <= last_b).select(
-        "username", F.explode(F.sequence(first_b, last_b)).alias("blk"), "idx", "pre", "m", "r0"
+        "username", F.explode(F.sequence(first_b, last_b)).alias("blk"), "idx", "pre", "n", "r0"
     )
     blocks = users.select("username", F.explode(F.sequence(F.lit(0).cast("long"), nb - 1)).alias("blk"))
     # fresh key attributes on the theta side: both sides descend from ``stats``
     tb = blocks.join(th, "username").select(
-        F.col("username").alias("_u"), F.col("blk").alias("_b"), "tkey", "theta", "c"
+        F.col("username").alias("_u"), F.col("blk").alias("_b"), "tag", "tkey", "theta", "c"
     )
-    fn = _kernel(kind, semantics, min_l, max_l, block)
+    fn = _kernel(kind, semantics, ranges, block)
     # Each (user, block) group is small in bytes but heavy in work: an
     # explicit partition count keeps AQE from packing many groups per task.
     rows = rows.repartition(n_parts, "username", "blk")
     tb = tb.repartition(n_parts, "_u", "_b")
     part = rows.groupBy("username", "blk").cogroup(tb.groupBy("_u", "_b")).applyInPandas(fn, KERNEL_SCHEMA)
-    return part.groupBy("username", "tkey", "lag").agg(F.sum("s").alias("s"), F.sum("cnt").alias("cnt"))
+    return part.groupBy("username", "tag", "tkey", "lag").agg(F.sum("s").alias("s"), F.sum("cnt").alias("cnt"))
 
 
 def _partial_sums_join(proc, stats, th, kind, semantics, min_l, max_l):
@@ -203,24 +206,40 @@ def mgf_curves(
     """
     if kind not in ("arrival", "service"):
         raise ValueError(kind)
-    th = theta_frame(stats, thetas)
+    th = theta_frame(stats, thetas).withColumn("tag", F.lit(0))
     if "c" not in th.columns:
         th = th.join(stats.select("username", "c"), "username")
-    th = th.select("username", "tkey", _signed(F.col("theta"), kind).alias("theta"), "c")
+    return curves_of_ranges(proc, stats, th, {0: (min_l, max_l)}, kind=kind, semantics=semantics, method=method,
+                            plan=plan or (kernel_plan(stats, kind, max_l, block_rows) if method == "kernel" else None)).drop("tag")
+
+
+def curves_of_ranges(proc: DataFrame, stats: DataFrame, th: DataFrame, ranges: dict[int, tuple[int, int]], *, kind: str,
+                     semantics: str = "reference", method: str = "kernel", plan: tuple[int, int] | None = None) -> DataFrame:
+    """(username, tag, tkey, theta, lag, mgf, logmgf) of several lag ranges in one kernel call:
+    ``ranges`` gives each tag's (min_l, max_l), ``th`` (username, tag, tkey, theta, c) its thetas. A
+    curve is that of ``mgf_curves`` over its own range, with the starts that range allows."""
+    th = th.select("username", F.col("tag").cast("int").alias("tag"), "tkey", _signed(F.col("theta"), kind).alias("theta"), "c")
     if method == "kernel":
-        part = _partial_sums_kernel(proc, stats, th, kind, semantics, min_l, max_l,
-                                    plan or kernel_plan(stats, kind, max_l, block_rows))
+        most = max(max_l for _, max_l in ranges.values())
+        part = _partial_sums_kernel(proc, stats, th, kind, semantics, ranges, plan or kernel_plan(stats, kind, most))
     elif method == "join":
-        part = _partial_sums_join(proc, stats, th, kind, semantics, min_l, max_l)
+        part = None
+        for tag, (min_l, max_l) in ranges.items():
+            one = _partial_sums_join(proc, stats, th.where(F.col("tag") == tag), kind, semantics, min_l, max_l)
+            one = one.withColumn("tag", F.lit(tag))
+            part = one if part is None else part.unionByName(one)
     else:
         raise ValueError(method)
-    cur = part.join(th.drop("c"), ["username", "tkey"]).select(
-        "username", "tkey", "theta", "lag", (F.col("s") / F.col("cnt")).alias("mgf")
+    cur = part.join(th.drop("c"), ["username", "tag", "tkey"]).select(
+        "username", "tag", "tkey", "theta", "lag", (F.col("s") / F.col("cnt")).alias("mgf")
     )
     bad = (F.col("mgf") == 0) | (F.col("mgf") == F.lit(float("inf"))) | F.isnan("mgf")
-    first_bad = F.min(F.when(bad, F.col("lag"))).over(Window.partitionBy("username", "tkey"))
+    first_bad = F.min(F.when(bad, F.col("lag"))).over(Window.partitionBy("username", "tag", "tkey"))
     cut = 1 if semantics == "reference" else 0
-    cur = cur.withColumn("_b", F.coalesce(first_bad, F.lit(max_l)))
+    end = F.lit(0)
+    for tag, (_, max_l) in ranges.items():
+        end = F.when(F.col("tag") == tag, max_l).otherwise(end)
+    cur = cur.withColumn("_b", F.coalesce(first_bad, end))
     return cur.where(F.col("lag") < F.col("_b") - cut).select(
-        "username", "tkey", "theta", "lag", "mgf", F.try_divide(F.log("mgf"), F.col("theta")).alias("logmgf")
+        "username", "tag", "tkey", "theta", "lag", "mgf", F.try_divide(F.log("mgf"), F.col("theta")).alias("logmgf")
     )

@@ -102,3 +102,66 @@ def test_bound_report_with_a_poison_user(spark):
     assert [(r.username, r.mu) for r in both] == [(r.username, r.mu) for r in one]
     assert all(x == pytest.approx(y, rel=1e-9) for a, b in zip(both, one) for x, y in zip(a[1:], b[1:]))
     assert "zero" not in {r.username for r in both}
+
+
+def test_multiset_of_window_sums(spark):
+    """Each array's sums with their multiplicities are all window sums, at any block size."""
+    from collections import Counter
+
+    from sojourn.operators.crossing import sum_multiset
+
+    rng = random.Random(2)
+    arr = {"u0": [rng.randrange(1, 4) for _ in range(500)], "u1": [rng.randrange(1, 4) for _ in range(30)]}
+    svc = {"u0": [rng.randrange(1, 3) for _ in range(400)], "u1": [7] * 6}
+    ap, ast = process(spark, arr, {u: 1.0 for u in arr})
+    sp, sst = process(spark, svc)
+    for block in (25, 64, 1 << 14):
+        got = {}
+        for r in sum_multiset(ap, ast, sp, sst, (1, 5, 24), 1, slices=2, block=block).collect():
+            c = got.setdefault((r.username, r.l, r.side), Counter())
+            assert not set(c) & set(r.xs) and len(set(r.xs)) == len(r.xs)
+            c.update(dict(zip(r.xs, r.ms)))
+        want = {}
+        for side, raws, extra in ((0, arr, 0), (1, svc, 1)):
+            for u, raw in raws.items():
+                for l in (1, 5, 24):
+                    w = l + extra
+                    # as prefix sums are given for positions 0..n-1, the last start is n - 1 - w
+                    sums = Counter(float(sum(raw[i:i + w])) for i in range(len(raw) - w))
+                    if sums:
+                        want[(u, l, side)] = sums
+        assert got == want
+
+
+def test_a_pass_does_not_move_the_sums_and_a_search_leaves_only_its_result(spark, monkeypatch):
+    import os
+
+    from sojourn.operators import crossing as cr
+    from sojourn.session import ensure_checkpoint_dir
+
+    rng = random.Random(6)
+    arr = {f"u{k}": [rng.randrange(50, 150) for _ in range(60)] for k in range(3)}
+    svc = {u: [rng.randrange(10, 100) for _ in range(60)] for u in arr}
+    ap, ast = process(spark, arr, {u: sum(v) // len(v) * 1.0 for u, v in arr.items()})
+    sp, sst = process(spark, svc)
+    arrays = cr.sum_multiset(ap, ast, sp, sst, (1, 5), 1)
+    states = cr.initial_states(ast, sst, (1, 5), (1.5,), cr.RIGHT_LAG)
+    plan = cr._passes(arrays, 3, 5, "lag")(states, 6)._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = lambda line: next(k for k, c in enumerate(line) if c.isalpha())
+    at = next(k for k, line in enumerate(plan) if "Scan parquet" in line and "xs#" in line)
+    above, now = [], depth(plan[at])
+    for line in reversed(plan[:at]):
+        if line.strip() and depth(line) < now:
+            above.append(line)
+            now = depth(line)
+    joined = next(k for k, line in enumerate(above) if "MapInPandas" in line)
+    assert any("BroadcastHashJoin" in line for line in above[:joined])
+    assert not any("Exchange" in line for line in above[:joined])
+
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    one = sorted(map(tuple, cr.crossing_theta(ap, ast, sp, sst, (1, 5), (1.5, 3.0)).collect()))
+    before = set(os.listdir(folder))
+    monkeypatch.setattr(cr, "BROADCAST_BYTES", 4 * cr.STATE_BYTES)  # three slices
+    out = cr.crossing_theta(ap, ast, sp, sst, (1, 5), (1.5, 3.0))
+    assert len(set(os.listdir(folder)) - before) == 1
+    assert sorted(map(tuple, out.collect())) == one
