@@ -202,11 +202,17 @@ def document_paths(docs: DataFrame, per_dir: int = 1000) -> DataFrame:
     return docs.select("doc_id", shelf.alias("path"), "text")
 
 
-def documents_sql(templates: dict[str, str] = TEMPLATES, per_dir: int = 1000) -> str:
-    """The same scan of ``documents`` in DuckDB's SQL, without anchors."""
-    values = ", ".join(f"({k}, '{n}', '{templates[n]}')" for k, n in enumerate(sorted(templates)))
+def documents_sql(templates: dict[str, str] = TEMPLATES | TEXTS, per_dir: int = 1000) -> str:
+    """The same scan of ``documents`` in DuckDB's SQL, without anchors: every passage is
+    compared with every template."""
+    quoted = lambda x: x.replace("'", "''")
+    values = ", ".join(f"({k}, '{n.split('#')[0]}', '{quoted(templates[n])}')" for k, n in enumerate(sorted(templates)))
     low = f"translate(%s, '{UPPER}', '{LOWER}')"
     split = lambda x: f"[w for w in string_split_regex({low % x}, '[^a-z0-9]+') if w <> '']"
+    windows = " ".join(f"""
+        union all
+        select key, {size} * 4294967296 + k as pos, array_to_string(p[k:k + {size - 1}], chr(10)) as passage
+        from (select key, p, unnest(range(1, len(p) - {size - 2})) as k from lines)""" for size in WINDOWS)
     return f"""
 with tpl(ord, licence, notice) as (values {values}),
 tterm as (select ord, licence, unnest({split('notice')}) as term from tpl),
@@ -215,23 +221,24 @@ base as (select doc_id, coalesce(source, '') || '/' || (doc_id // {per_dir})::va
                 coalesce(text, '') as text from documents),
 files as (select doc_id, path, text, row_number() over () as key from base),
 n as (select count(*)::double as n from files),
-df as (select term, count(*)::double as df from (select distinct key, unnest({split('text')}) as term from files)
-       where term in (select term from ttf) group by term),
-idf as (select term, ln((n + 1) / (coalesce(df, 0) + 1)) + 1 as idf
-        from (select distinct term from ttf) left join df using (term), n),
-tvec as (select ord, licence, term, tf * idf as w from ttf join idf using (term)),
+df as (select term, count(*)::double as df from (select unnest(list_distinct({split('text')})) as term from files) group by term),
+idf as (select term, ln((n + 1) / (df + 1)) + 1 as idf from df, n),
+tvec as (select ord, licence, term, tf * coalesce(idf, (select ln(n + 1) + 1 from n)) as w from ttf left join idf using (term)),
 tnorm as (select ord, licence, sqrt(sum(w * w)) as norm from tvec group by all),
+lines as (select key, string_split(text, chr(10)) as p from files),
 cut as (select key, -1 as pos, text as passage from files
         union all
         select key, pos, passage from (
           select key, unnest(p) as passage, unnest(range(len(p))) as pos
-          from (select key, string_split(regexp_replace(text, '([.!?;])[ \\t\\n\\r\\f]+', '\\1' || chr(10), 'g'), chr(10)) as p from files))),
+          from (select key, string_split(regexp_replace(text, '([.!?;])[ \\t\\n\\r\\f]+', '\\1' || chr(10), 'g'), chr(10)) as p from files)){windows}),
 tf as (select key, pos, term, count(*)::double as tf from (select key, pos, unnest({split('passage')}) as term from cut) group by all),
-w as (select key, pos, term, tf * coalesce(idf, (select ln(n + 1) + 1 from n)) as w from tf left join idf using (term)),
+w as (select key, pos, term, tf * idf as w from tf join idf using (term)),
 sq as (select key, pos, sum(w * w) as square from w group by all),
 dot as (select key, pos, ord, licence, sum(w.w * tvec.w) as dot from w join tvec using (term) group by all),
 cosine as (select key, pos < 0 as whole, licence, ord, round(dot / sqrt(square) / norm, 9) as score
-           from dot join sq using (key, pos) join tnorm using (ord, licence)),
+           from dot join sq using (key, pos) join tnorm using (ord, licence)
+           union all
+           select key, false, regexp_extract(text, '{SPDX}', 1), -1, 1.0 from files where regexp_matches(text, '{SPDX}')),
 best as (select * from (select *, row_number() over (partition by key, whole order by score desc, ord) as r from cosine
          where score >= case when whole then {WHOLE} else {PASSAGE} end) where r = 1),
 own as (select key, path, doc_id, regexp_extract(path, '^(.*)/[^/]*$', 1) as dir, h.licence as hl, h.score as hs, a.licence as al, a.score as as_
