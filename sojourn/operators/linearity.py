@@ -8,8 +8,9 @@ r2:   least-squares fit of the whole valid curve; 0.0 when it has <= 10 lags.
 span: slope of a fit over every window of w lags (window starts 0 ..
       len-w-1), min and max slope, and atan(max) - atan(min);
       (0, 0, 0) when the curve has fewer than w + 10 lags.
-Both are ``regr_*`` aggregates; the sliding one is a ``regr_slope`` window
-over one curve (at most max_l rows per partition).
+r2 is a ``regr_r2`` aggregate. The sliding fits come from prefix moments: running sums of x, y,
+xy and x^2, centred per curve, whose difference at a window's ends gives its slope. One curve (at
+most max_l rows) is one window partition, read once.
 """
 
 from __future__ import annotations
@@ -57,13 +58,17 @@ def linearity_span(proc: DataFrame, stats: DataFrame, kind: str, max_l: int = RE
     c = _curves(proc, stats, kind, max_l, semantics, curves)
     part = Window.partitionBy("username", "tkey")
     ordered = part.orderBy("lag")
-    s = c.select(
-        "username", "tkey", "theta",
-        F.count(F.lit(1)).over(part).alias("_len"),
-        (F.row_number().over(ordered) - 1).alias("_pos"),
-        F.regr_slope(F.col("logmgf"), F.col("lag").cast("double")).over(ordered.rowsBetween(0, w - 1)).alias("_b"),
-    )
-    full = F.col("_pos") < F.col("_len") - w
+    x, y = F.col("lag").cast("double"), F.col("logmgf")
+    s = c.select("username", "tkey", "theta", "lag", F.count(F.lit(1)).over(part).alias("_len"),
+                 (F.row_number().over(ordered) - 1).alias("_pos"),
+                 (x - F.avg(x).over(part)).alias("_x"), (y - F.avg(y).over(part)).alias("_y"))
+    moments = {"_sx": F.col("_x"), "_sy": F.col("_y"), "_sxy": F.col("_x") * F.col("_y"), "_sxx": F.col("_x") * F.col("_x")}
+    upto = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    s = s.select("username", "tkey", "theta", "lag", "_len", "_pos", *(F.sum(v).over(upto).alias(k) for k, v in moments.items()))
+    s = s.select("username", "tkey", "theta", "_len", "_pos",
+                 *((F.col(k) - F.lag(k, w, 0.0).over(ordered)).alias(k) for k in moments))  # of the window that ends here
+    s = s.withColumn("_b", F.expr(f"try_divide({w} * _sxy - _sx * _sy, {w} * _sxx - _sx * _sx)"))
+    full = (F.col("_pos") >= w - 1) & (F.col("_pos") < F.col("_len") - 1)
     agg = s.groupBy("username", "tkey", "theta").agg(
         F.max("_len").alias("_len"),
         F.min(F.when(full, F.col("_b"))).alias("_min"),

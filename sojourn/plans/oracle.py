@@ -399,13 +399,15 @@ ns_p AS (
 
 
 SLOPE_LAGS, SLOPE_MUS, SLOPE_WINDOW = (1, 20), (1.2, 2.0), 20
+DEFAULT_MUS = (1.2, 1.4, 1.6, 2.0, 3.0, 4.0, 5.0, 6.0)
+GRID_THETAS = tuple(t * 0.98 ** i for i in range(11) for t in (0.1, 0.2, 0.3))
 
 
-def slope_cte() -> tuple[str, ...]:
+def slope_cte(slope_lags=SLOPE_LAGS, slope_mus=SLOPE_MUS) -> tuple[str, ...]:
     """Recursive CTE ``sl_final`` (username, mu, l, theta, found): one bisection step per
     recursion level; the rates are ``regr_slope`` of the naive log-MGF curves at that theta."""
-    lags = ", ".join(f"({x})" for x in SLOPE_LAGS)
-    mus = ", ".join(f"(CAST({m} AS DOUBLE))" for m in SLOPE_MUS)
+    lags = ", ".join(f"({x})" for x in slope_lags)
+    mus = ", ".join(f"(CAST({m} AS DOUBLE))" for m in slope_mus)
     sums = f"""
 sl_l AS (SELECT l, CAST(l + o.range AS INTEGER) AS lag, l + {SLOPE_WINDOW} AS top
          FROM (VALUES {lags}) t(l) CROSS JOIN range(0, {SLOPE_WINDOW}) o),
@@ -464,8 +466,10 @@ def crossing_sql() -> dict[str, str]:
     sql = with_ctes(*ANALYSIS, wa, rec, final=final)
     wa1, rec1 = crossing_cte("na_p", "ns_p", "single_window")
     sql1 = with_ctes(*ANALYSIS, NORM_PROC, wa1, rec1, final=final)
-    slope = with_ctes(*ANALYSIS, *slope_cte(), final="SELECT username, mu, l, round(ln(theta), 6) AS ln_theta, found FROM sl_final")
-    return {"crossing_theta_slope": slope.replace("WITH ", "WITH RECURSIVE ", 1),
+    slope = lambda *grid: with_ctes(*ANALYSIS, *slope_cte(*grid), final=(
+        "SELECT username, mu, l, round(ln(theta), 6) AS ln_theta, found FROM sl_final")).replace("WITH ", "WITH RECURSIVE ", 1)
+    return {"crossing_theta_slope": slope(),
+            "crossing_theta_slope_grid": slope(CROSS_LAGS, DEFAULT_MUS),
             "crossing_theta": sql.replace("WITH ", "WITH RECURSIVE ", 1),
             "crossing_theta_single_window": sql1.replace("WITH ", "WITH RECURSIVE ", 1)}
 
@@ -605,6 +609,12 @@ def envelope_sql() -> dict[str, str]:
 fixed_cand AS (
   SELECT h.username, m.mu, 0 AS cand, CAST(0.3 AS DOUBLE) AS theta
   FROM heavy h CROSS JOIN (VALUES (CAST(1.2 AS DOUBLE)), (CAST(2.0 AS DOUBLE))) m(mu)
+)"""
+    grid = f"""
+grid_cand AS (
+  SELECT h.username, m.mu, k.cand, k.theta
+  FROM heavy h CROSS JOIN (VALUES {', '.join(f'(CAST({m} AS DOUBLE))' for m in DEFAULT_MUS)}) m(mu)
+  CROSS JOIN (VALUES {', '.join(f'({k}, CAST({t!r} AS DOUBLE))' for k, t in enumerate(GRID_THETAS))}) k(cand, theta)
 )"""
     env_cols = f"""
 SELECT username, mu, s_line, a_line, round(sigmaa, 6) AS sigmaa, round(rhoa, 6) AS rhoa,
@@ -636,6 +646,10 @@ SELECT username, mu, round(ln(b.theta), 6) AS ln_theta, round(b.tau1, 6) AS tau1
                                              envelope_cte("documented"), final=env_cols),
         "tau_quantiles": with_ctes(*ANALYSIS, fixed, cand_curves_cte("fixed_cand"), envelope_cte(), tau_cte(), final="""
 SELECT username, mu, s_line, a_line, round(tau1, 6) AS tau1, round(tauk, 6) AS tauk FROM taus"""),
+        "envelope_grid": with_ctes(*ANALYSIS, grid, cand_curves_cte("grid_cand"), envelope_cte(),
+                                   final=env_cols.replace("mu, s_line", "mu, cand, s_line", 1)),
+        "tau_grid": with_ctes(*ANALYSIS, grid, cand_curves_cte("grid_cand"), envelope_cte(), tau_cte(), final="""
+SELECT username, mu, cand, s_line, a_line, round(tau1, 6) AS tau1, round(tauk, 6) AS tauk FROM taus"""),
         "bound_report": report("reference"),
         "files_bound_report": report("reference"),
         "bound_report_documented": report("documented"),

@@ -298,19 +298,22 @@ def crossing_queries() -> dict[str, Query]:
         out = cr.crossing_theta(ap, ast, sp, sst, CROSS_LAGS, pr.DEFAULT_MUS, variant="single_window")
         return out.select("username", "mu", "l", F.round(F.log("theta"), R6).alias("ln_theta"), "found")
 
-    def slope(s, d):
+    def slope(s, d, lags=SLOPE_LAGS, mus=SLOPE_MUS):
         jobs, tasks, users = analysis_inputs(s, d)
         ap, ast = pr.arrival_process(jobs, users)
         sp, sst = pr.service_process(tasks, users)
-        out = cr.crossing_theta_slope(ap, ast, sp, sst, SLOPE_LAGS, SLOPE_MUS, SLOPE_WINDOW)
+        out = cr.crossing_theta_slope(ap, ast, sp, sst, lags, mus, SLOPE_WINDOW)
         return out.select("username", "mu", "l", F.round(F.log("theta"), R6).alias("ln_theta"), "found")
 
     return {"crossing_theta": lag_variant, "crossing_theta_single_window": single_window,
-            "crossing_theta_slope": slope}
+            "crossing_theta_slope": slope,
+            "crossing_theta_slope_grid": lambda s, d: slope(s, d, CROSS_LAGS, pr.DEFAULT_MUS)}
 
 
 ENV_THETA = 0.3
 ENV_MUS = (1.2, 2.0)
+#: 33 thetas in the shape of the candidates: three, and each times 0.98**i.
+GRID_THETAS = tuple(t * 0.98 ** i for i in range(11) for t in (0.1, 0.2, 0.3))
 
 
 def _fixed_candidates(users, theta=ENV_THETA, mus=ENV_MUS):
@@ -320,6 +323,17 @@ def _fixed_candidates(users, theta=ENV_THETA, mus=ENV_MUS):
     return users.select("username", mu, F.lit(0).alias("cand"), F.lit(float(theta)).alias("theta"))
 
 
+def _grid_candidates(users):
+    """GRID_THETAS for every user at every mu."""
+    from pyspark.sql import functions as F
+
+    from ..operators.process import DEFAULT_MUS
+
+    mu = F.explode(F.array(*[F.lit(float(m)) for m in DEFAULT_MUS])).alias("mu")
+    return users.select("username", mu).select("username", "mu", F.posexplode(
+        F.array(*[F.lit(t) for t in GRID_THETAS])).alias("cand", "theta"))
+
+
 def envelope_queries() -> dict[str, Query]:
     from pyspark.sql import functions as F
 
@@ -344,14 +358,18 @@ def envelope_queries() -> dict[str, Query]:
         curves = ev.candidate_curves(_fixed_candidates(users), ap, ast, sp, sst, MAX_L, semantics)
         return ev.envelope_fit(curves, semantics)
 
-    def env_cols(df):
-        return df.select("username", "mu", "s_line", "a_line",
+    def grid_env(s, d):
+        users, (ap, ast), (sp, sst) = inputs(s, d)
+        return ev.envelope_fit(ev.candidate_curves(_grid_candidates(users), ap, ast, sp, sst, MAX_L))
+
+    def env_cols(df, *more):
+        return df.select("username", "mu", *more, "s_line", "a_line",
                          *[F.round(c, R6).alias(c) for c in ("sigmaa", "rhoa", "sigmas", "rhos")],
                          F.round(bd.ieee_ln(F.col("alpha")), R6).alias("ln_alpha"))
 
-    def taus(s, d):
-        t = bd.tau_quantiles(fixed_env(s, d))
-        return t.select("username", "mu", "s_line", "a_line", F.round("tau1", R6).alias("tau1"),
+    def taus(env, *more):
+        t = bd.tau_quantiles(env)
+        return t.select("username", "mu", *more, "s_line", "a_line", F.round("tau1", R6).alias("tau1"),
                         F.round("tauk", R6).alias("tauk"))
 
     def report(semantics="reference"):
@@ -374,7 +392,9 @@ def envelope_queries() -> dict[str, Query]:
         "theta_candidates": cands,
         "envelope_fit": lambda s, d: env_cols(fixed_env(s, d)),
         "envelope_fit_documented": lambda s, d: env_cols(fixed_env(s, d, "documented")),
-        "tau_quantiles": taus,
+        "tau_quantiles": lambda s, d: taus(fixed_env(s, d)),
+        "envelope_grid": lambda s, d: env_cols(grid_env(s, d), "cand"),
+        "tau_grid": lambda s, d: taus(grid_env(s, d), "cand"),
         "bound_report": report(),
         "bound_report_documented": report("documented"),
         "envelope_candidates": cand_env,
