@@ -84,6 +84,7 @@ def report_from_files(spark, task_paths, job_paths, **options) -> DataFrame:
     from ..sources import csv_events
     from . import metadata as md
 
-    jobs = md.job_lifecycle_meta(csv_events.read_job_events(spark, job_paths)).where("fail = 0")
-    tasks = md.task_lifecycle_meta(csv_events.read_task_events(spark, task_paths))
+    once = csv_events.read_once
+    jobs = md.job_lifecycle_meta(once(spark, csv_events.read_job_events, job_paths)).where("fail = 0")
+    tasks = md.task_lifecycle_meta(once(spark, csv_events.read_task_events, task_paths))
     return bound_report(jobs, tasks, **options)

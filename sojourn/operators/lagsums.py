@@ -2,11 +2,9 @@
 
 With pre[i] = raw[0] + ... + raw[i-1] (the process frame's ``pre``), the sum
 of w consecutive increments starting at i is pre[i+w] - pre[i]: an exact
-integer, divided by the user's scale c only at the end. For a few widths, pairs
-(i, i+w) come from an equi-join on (username, idx), which hash-partitions a large user
-over all tasks. For the whole lag matrix, rows are dealt to blocks of neighbouring
-positions with a halo (``halo_blocks``): at most two copies of a row are shuffled,
-however many lags there are.
+integer, divided by the user's scale c only at the end. Rows are dealt to blocks of neighbouring
+positions with a halo (``halo_blocks``), which spreads a large user over all tasks: at most two
+copies of a row are shuffled, however many widths or lags there are.
 """
 
 from __future__ import annotations
@@ -19,16 +17,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def window_sums(proc: DataFrame, widths: Sequence[int]) -> DataFrame:
+def window_sums(proc: DataFrame, widths: Sequence[int], block: int | None = None) -> DataFrame:
     """(username, w, idx, xsum): raw sums of ``w`` terms from ``idx``, for
     every start with a full window (idx + w <= n - 1 as a prefix index)."""
-    ws = F.explode(F.array(*[F.lit(int(w)) for w in widths])).alias("w")
-    ahead = proc.select("username", ws, "idx", F.col("pre").alias("_pre_w")).select(
-        "username", "w", (F.col("idx") - F.col("w")).alias("idx"), "_pre_w"
-    ).where(F.col("idx") >= 0)
-    return proc.select("username", "idx", "pre").join(ahead, ["username", "idx"]).select(
-        "username", "w", "idx", (F.col("_pre_w") - F.col("pre")).alias("xsum")
-    )
+    widths = [int(w) for w in widths]
+    block = max(int(block or BLOCK), max(widths))
+
+    def run(key, rows):
+        rows = rows.sort_values("idx")
+        idx, pre = rows["idx"].to_numpy(), rows["pre"].to_numpy(dtype=np.int64)
+        own = int(np.searchsorted(idx, (int(key[1]) + 1) * block))
+        starts = [max(0, min(own, len(pre) - w)) for w in widths]
+        return pd.DataFrame({"username": np.full(sum(starts), key[0], dtype=object),
+                             "w": np.repeat(np.array(widths, dtype=np.int32), starts),
+                             "idx": np.concatenate([idx[:k] for k in starts]),
+                             "xsum": np.concatenate([pre[w:w + k] - pre[:k] for w, k in zip(widths, starts)])})
+
+    return halo_blocks(proc.select("username", "idx", "pre"), block, max(widths)).groupBy("username", "blk").applyInPandas(
+        run, "username string, w int, idx long, xsum long")
 
 
 def sliding_sum(proc: DataFrame, stats: DataFrame, l: int) -> DataFrame:

@@ -163,7 +163,8 @@ def autocorrelation(series: DataFrame, value: str, max_lag: int = 100, block: in
 
     acf(k) = sum_t (x_t - m)(x_{t+k} - m) / sum_t (x_t - m)^2, m the user's
     mean. Positions are dealt to blocks with a halo of ``max_lag`` rows; each block
-    gives one product sum per lag.
+    gives one product sum per lag, all of them from one FFT correlation of its own rows with
+    its rows and halo.
     """
     from .lagsums import BLOCK, halo_blocks
 
@@ -175,9 +176,10 @@ def autocorrelation(series: DataFrame, value: str, max_lag: int = 100, block: in
         rows = rows.sort_values("idx")
         y, n = rows["y"].to_numpy(), int(rows["_n"].iloc[0])
         m = min((int(key[1]) + 1) * block, n) - int(rows["idx"].iloc[0])  # rows of this block itself
-        lags = [k for k in range(max_lag + 1) if len(y) > k]
-        s = [float(y[:min(m, len(y) - k)] @ y[k:k + min(m, len(y) - k)]) for k in lags]
-        return pd.DataFrame({"username": key[0], "lag": np.array(lags, dtype=np.int32), "s": s})
+        lags = np.arange(min(max_lag + 1, len(y)), dtype=np.int32)
+        size = 1 << int(m + len(y)).bit_length()  # long enough that nothing wraps around
+        s = np.fft.irfft(np.conj(np.fft.rfft(y[:m], size)) * np.fft.rfft(y, size), size)[:len(lags)]
+        return pd.DataFrame({"username": key[0], "lag": lags, "s": s})
 
     sums = halo_blocks(c, block, max_lag).groupBy("username", "blk").applyInPandas(
         run, "username string, lag int, s double").groupBy("username", "lag").agg(F.sum("s").alias("_s"))

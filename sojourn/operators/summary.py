@@ -1,9 +1,9 @@
 """Trace summary: table profile (row counts) and an equal-width histogram.
 
 The histogram has ``buckets`` equal-width buckets over [min, max] of the
-value, the last one closed; a constant column gives one bucket. min and max
-are scalar subqueries (computed once, inlined as literals), bucket counts a
-partial aggregate; empty buckets are filled from a ``range(buckets)`` frame.
+value, the last one closed; a constant column gives one bucket. The input is read once, for a
+table of (value, count), written; min and max (scalar subqueries) and the bucket counts come
+from that table. Empty buckets are filled from a ``range(buckets)`` frame.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ordering import materialize
 from ..sources.schema import SUBMIT
 from .lifecycle import event_type_counts, job_lifecycle, task_lifecycle
 from .metadata import job_lifecycle_meta, task_lifecycle_meta
@@ -22,6 +23,7 @@ def histogram(df: DataFrame, col: str, buckets: int = 5) -> DataFrame:
     """(bucket int, lo double, hi double, count bigint), buckets 0..n-1."""
     spark = df.sparkSession
     v = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull())
+    v = materialize(v.groupBy("v").agg(F.count(F.lit(1)).alias("n")))
     lo = v.agg(F.min("v")).scalar()
     hi = v.agg(F.max("v")).scalar()
     span = hi - lo
@@ -29,7 +31,7 @@ def histogram(df: DataFrame, col: str, buckets: int = 5) -> DataFrame:
     b = F.when(span == 0, F.lit(0)).otherwise(
         F.least(F.floor((F.col("v") - lo) / span * F.lit(float(buckets))).cast("int"), F.lit(buckets - 1))
     )
-    counts = v.groupBy(b.alias("bucket")).agg(F.count(F.lit(1)).alias("count"))
+    counts = v.groupBy(b.alias("bucket")).agg(F.sum("n").alias("count"))
     width = span / F.lit(float(buckets))
     grid = spark.range(buckets).select(F.col("id").cast("int").alias("bucket")).where(F.col("bucket") < nb)
     return grid.join(counts, "bucket", "left").select(
@@ -77,7 +79,8 @@ def trace_summary(spark: SparkSession, task_events: DataFrame, job_events: DataF
 
 
 def summary_from_files(spark: SparkSession, task_paths, job_paths) -> dict[str, DataFrame]:
-    """``trace_summary`` of task and job event logs given as CSV paths, globs or lists."""
-    from ..sources import csv_events
+    """``trace_summary`` of task and job event logs given as CSV paths, globs or lists, each read
+    once."""
+    from ..sources import csv_events as ce
 
-    return trace_summary(spark, csv_events.read_task_events(spark, task_paths), csv_events.read_job_events(spark, job_paths))
+    return trace_summary(spark, ce.read_once(spark, ce.read_task_events, task_paths), ce.read_once(spark, ce.read_job_events, job_paths))

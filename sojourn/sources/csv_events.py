@@ -8,9 +8,9 @@ as a string and checked here, so the kept rows are the same for any
 projection. Empty fields are NULL. Declared key fields stay nullable;
 ``require_keys=True`` drops rows whose key is NULL.
 
-gzip files are not splittable (one task per file); the first key-based
-operator (the lifecycle fold) shuffles by key anyway, so no extra
-repartition is added here.
+gzip files are not splittable (one task per file). ``read_once`` reads every file a single
+time, for uses that need the events more than once: the parsed events are written and read back, and where a
+file that cannot be split is longer than SPLIT_BYTES, its rows are dealt to all tasks first.
 """
 
 from __future__ import annotations
@@ -24,6 +24,9 @@ from pyspark.sql import types as T
 from .schema import JOB_DROPPED, JOB_EVENT_FIELDS, TASK_EVENT_FIELDS
 
 CORRUPT = "_corrupt_record"
+#: Longest file that one task reads and writes by itself, if it cannot be split.
+SPLIT_BYTES = 64 << 20
+NOT_SPLIT = (".gz", ".deflate", ".snappy", ".lz4", ".zst", ".xz")
 
 
 def _read(spark: SparkSession, paths, fields, keys: Sequence[str], require_keys: bool) -> DataFrame:
@@ -69,6 +72,33 @@ def read_job_events(spark: SparkSession, paths, require_keys: bool = False) -> D
     return df.drop(*JOB_DROPPED)
 
 
+def file_lengths(spark: SparkSession, paths) -> dict[str, int]:
+    """Length of every file under the paths, globs or list, from one listing each."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out: dict[str, int] = {}
+    for one in [paths] if isinstance(paths, str) else list(paths):
+        path = jvm.org.apache.hadoop.fs.Path(one)
+        fs = path.getFileSystem(conf)
+        for status in fs.globStatus(path) or []:
+            files = fs.listFiles(status.getPath(), True)
+            while files.hasNext():
+                f = files.next()
+                out[f.getPath().toString()] = f.getLen()
+    return out
+
+
+def read_once(spark: SparkSession, read, paths) -> DataFrame:
+    """``read(spark, paths)``, evaluated once and written. Rows of long files that cannot be split are
+    dealt by (job, time), so that neither the file nor a job with very many rows stays in one task."""
+    from ..functions.ordering import materialize
+
+    events = read(spark, paths)
+    lengths = file_lengths(spark, paths)
+    if any(n > SPLIT_BYTES for name, n in lengths.items() if name.endswith(NOT_SPLIT)):
+        events = events.repartition("jobid", "timestamp")
+    return materialize(events)
+
+
 def write_events_csv(df: DataFrame, path: str, fields) -> None:
     """Write events as headerless gzip CSV in trace format (NULL for nulls)."""
     cols = [

@@ -36,3 +36,35 @@ def test_autocorrelation_lag_one(spark):
     den = sum((x - m) ** 2 for x in xs)
     for k in (1, 2, 3):
         assert got[k] == pytest.approx(sum((xs[t] - m) * (xs[t + k] - m) for t in range(len(xs) - k)) / den)
+
+
+def test_autocorrelation_of_many_lags_equals_the_dot_products(spark):
+    import numpy as np
+    import pytest
+
+    from sojourn.operators.process import autocorrelation
+
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 1000, 12_000)
+    series = spark.createDataFrame([("u", int(k), int(v)) for k, v in enumerate(x)] + [("short", k, k * k) for k in range(40)],
+                                   "username string, idx long, interarrival long")
+    got = {(r.username, r.lag): r.acf for r in autocorrelation(series, "interarrival", 5000, block=5500).collect()}
+    y = x - x.mean()
+    assert len(got) == 5000 + 39
+    for k in (1, 2, 777, 4999, 5000):
+        assert got[("u", k)] == pytest.approx(y[:-k] @ y[k:] / (y @ y), abs=1e-12)
+    z = np.arange(40.0) ** 2
+    z -= z.mean()
+    assert got[("short", 39)] == pytest.approx(z[0] * z[39] / (z @ z), abs=1e-12)
+
+
+def test_window_sums_of_several_widths_at_any_block(spark):
+    from sojourn.operators.lagsums import window_sums
+
+    raw = [3, 1, 4, 1, 5, 9, 2, 6, 5, 3, 5, 8, 9, 7]
+    rows = [("u", k, sum(raw[:k])) for k in range(len(raw))] + [("v", k, k) for k in range(3)]
+    proc = spark.createDataFrame(rows, "username string, idx long, pre long")
+    want = {(u, w, i, p[i + w] - p[i]) for u, p in (("u", [r[2] for r in rows if r[0] == "u"]), ("v", [0, 1, 2]))
+            for w in (1, 2, 5) for i in range(len(p) - w)}
+    for block in (5, 6, 100):
+        assert {tuple(r) for r in window_sums(proc, (1, 2, 5), block).collect()} == want

@@ -62,3 +62,25 @@ def test_reader_takes_lists_and_globs(spark):
     with gzip.open(c, "wt") as f:
         f.write("3,,3,0,1,0,u,0,0,0.1,0.1,0.1,0\n")
     assert sorted(r.jobid for r in read_task_events(spark, os.path.join(d, "part-*.csv.gz")).collect()) == [1, 3]
+
+
+def test_long_files_that_cannot_be_split_are_read_once_and_dealt(spark, tmp_path, monkeypatch):
+    from sojourn.operators.summary import summary_from_files
+    from sojourn.sources import csv_events as ce
+    from sojourn.sources.schema import JOB_SCHEMA_KEPT, TASK_SCHEMA
+
+    te = spark.createDataFrame([(5 + k, None, k, 0, 1, e, "u", 0, 0, 0.1, 0.1, 0.1, 0) for k in range(500) for e in (0, 1, 4)], TASK_SCHEMA)
+    je = spark.createDataFrame([(5, None, 1, 0, "u", 0), (20, None, 1, 4, "u", 0)], JOB_SCHEMA_KEPT)
+    ce.write_task_events_csv(te.coalesce(1), str(tmp_path / "t"))
+    ce.write_job_events_csv(je.coalesce(1), str(tmp_path / "j"))
+    assert len([n for n in ce.file_lengths(spark, str(tmp_path / "t")) if n.endswith(".gz")]) == 1
+    assert ce.file_lengths(spark, [str(tmp_path / "t" / "*.gz"), str(tmp_path / "none*")])
+    monkeypatch.setattr(ce, "SPLIT_BYTES", 100)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # few rows: else joined to one file again
+    try:
+        events = ce.read_once(spark, ce.read_task_events, str(tmp_path / "t"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(events.inputFiles()) > 1 and sorted(map(str, events.collect())) == sorted(map(str, te.collect()))
+    for frame in summary_from_files(spark, str(tmp_path / "t"), str(tmp_path / "j")).values():
+        assert "csv" not in frame._jdf.queryExecution().executedPlan().toString().lower()
