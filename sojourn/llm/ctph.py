@@ -10,9 +10,9 @@ first): 1 - (insertions + deletions) / (both lengths), the edit distance being
 taken bit-parallel; 0 without a common run of MIN_RUN signs; 1 if equal.
 
 ``with_edits`` also builds each text's edited form, which needs the next text in
-descending id. Ids are cut into blocks at sampled quantiles; a text goes to its
-block, and the first text of a block also to the block before it: one shuffle of the
-texts, no window over the table.
+descending id. The texts are range partitioned and sorted on (id, text): one shuffle, no window over
+the table. Each row meets the row after it in its partition's stream; a partition's last
+row meets the first of the next partition, in a table of two rows a partition.
 
 Edge cases. Null or empty text: empty, fingerprint ``3::``. Null id: sorts after all
 ids. Repeated ids: ordered by text; each row is returned. One row: its own next.
@@ -26,16 +26,14 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, keyed_text, small_batches
+from .common import arrow_schema, keyed_text, small_batches, written
 
 WINDOW, SIGNATURE, MIN_RUN = 7, 64, 3
 SIGNS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-#: Rows of a block of neighbouring ids.
-BLOCK_ROWS = 1000
 
 
 def rolling(data: bytes) -> np.ndarray:
@@ -127,69 +125,62 @@ def likeness(x: str, y: str) -> float:
 LAST = -(1 << 63)  # where null ids sort
 
 
+RESULT = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+          "near_edited double, near_next double")
+NAMES = [c.split()[0] for c in RESULT.split(", ")]
+
+
+def edited_rows(rows: list[tuple]) -> list[tuple]:
+    """Result rows of (id, text, fingerprint, next text, next fingerprint)."""
+    edited = [text[:len(text) - len(text) // 2] + after[:len(text) // 2] for _, text, _, after, _ in rows]
+    changed = fingerprints(edited)
+    return [(doc, len(text), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), own, c, likeness(own, c), likeness(own, near))
+            for (doc, text, own, _, near), e, c in zip(rows, edited, changed)]
+
+
 def with_edits(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next) of every row of ``docs``."""
-    spark = docs.sparkSession
-    texts = keyed_text(docs).withColumn("key", F.coalesce("doc_id", F.lit(LAST)))
-
-    # blocks of ids, and where the first text of each block is also needed
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"))
-    blocks = max(1, -(-ids.count() // BLOCK_ROWS))
-    cuts = np.unique(np.array(ids.where(F.col("key") > LAST).approxQuantile(
-        "key", [k / blocks for k in range(1, blocks)], 0.25 / blocks), dtype=np.float64)) if blocks > 1 else np.empty(0)
-    shared = spark.sparkContext.broadcast(cuts)  # one number for BLOCK_ROWS rows
-
-    @F.pandas_udf("int")
-    def block_of(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(shared.value, key.to_numpy().astype(np.float64), side="right").astype(np.int32))
-
-    heads = sorted((r["block"], r["key"]) for r in ids.select(block_of("key").alias("block"), "key")
-                   .groupBy("block").agg(F.max("key").alias("key")).collect())  # one row a block
-    targets = [(key, heads[(k + 1) % len(heads)][0]) for k, (_, key) in enumerate(heads)]
-    also = spark.createDataFrame(targets, "key long, target int")
-
-    placed = texts.join(F.broadcast(also), "key", "left").withColumn("block", block_of("key"))
-    placed = placed.select("doc_id", "key", "text", F.explode(F.when(
-        F.col("target").isNull(), F.array(F.struct(F.col("block").alias("block"), F.lit(0).alias("copy")))).otherwise(
-        F.array(F.struct(F.col("block").alias("block"), F.lit(0).alias("copy")),
-                F.struct(F.col("target").alias("block"), F.lit(1).alias("copy"))))).alias("to"))
-    placed = placed.select("doc_id", "key", "text", "to.block", "to.copy")
-    dealt = placed.repartition("block").sortWithinPartitions("block", "copy", F.desc("key"), "text").select(
-        "doc_id", "block", "copy", "text")
-
-    schema = T._parse_datatype_string("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-                                      "near_edited double, near_next double")
+    texts = keyed_text(docs).withColumn("key", F.coalesce("doc_id", F.lit(LAST))).withColumn("head", F.substring("text", 1, 64))
+    dealt = texts.repartitionByRange(F.desc("key"), "head").sortWithinPartitions(F.desc("key"), "text").select("doc_id", "text")
+    schema = T._parse_datatype_string(RESULT + ", part long, edge string, text string")
 
     def run(batches):
-        """Rows come sorted by block, own rows before copies; each own row meets the row after it."""
+        """Rows in order; ``edge`` marks the partition's first row and its last, which has no result yet."""
         import pyarrow as pa
         import pyarrow.compute  # noqa: F401
+        from pyspark import TaskContext
 
-        types = arrow_schema(schema)
-        held = None  # (doc_id, text, fingerprint) still to meet its next, and its block
+        types, part, held = arrow_schema(schema), TaskContext.get().partitionId(), None
+        edge = lambda kind, row: (row[0], *[None] * (len(NAMES) - 1), part, kind, row[1])
         for batch in small_batches(batches):
-            doc, block, copy, own = (batch.column(k).to_pylist() for k in range(4))
-            rows = []  # (held row, index of the next text)
-            edited = []
-            prints = fingerprints(own)
-            for k in range(len(own)):
-                if held is not None and held[3] == block[k]:
-                    half = len(held[1]) // 2
-                    edited.append(held[1][:len(held[1]) - half] + own[k][:half])
-                    rows.append((held, k))
-                held = None if copy[k] else (doc[k], own[k], prints[k], block[k])
-            if not rows:
+            doc, own = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            if not own:
                 continue
-            changed = fingerprints(edited)
-            yield pa.RecordBatch.from_arrays([
-                pa.array([h[0] for h, _ in rows], pa.int64()),
-                pa.array([len(h[1]) for h, _ in rows], pa.int64()),
-                pa.array([hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest() for e in edited], pa.string()),
-                pa.array([h[2] for h, _ in rows], pa.string()),
-                pa.array(changed, pa.string()),
-                pa.array([likeness(h[2], c) for (h, _), c in zip(rows, changed)], pa.float64()),
-                pa.array([likeness(h[2], prints[k]) for h, k in rows], pa.float64()),
-            ], schema=types)
-
-    return dealt.mapInArrow(run, schema)
+            prints, out, rows = fingerprints(own), [], []
+            if held is None:
+                out.append(edge("first", (doc[0], own[0])))
+            for row in zip(doc, own, prints):
+                if held is not None:
+                    rows.append((*held, row[1], row[2]))
+                held = row
+            out += [(*r, part, None, None) for r in edited_rows(rows)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), types)] if out else
+                                             [pa.array([], t.type) for t in types], schema=types)
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip(edge("last", held), types)], schema=types)
+
+    found = written(dealt.mapInArrow(run, schema), "edits")
+    order = Window.orderBy("part")  # two rows a partition
+    last = found.where("edge = 'last'").select("doc_id", "text", F.row_number().over(order).alias("k"),
+                                               F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))
+    first = found.where("edge = 'first'").select(F.col("text").alias("after"), F.row_number().over(order).alias("k1"))
+    ends = last.join(first, F.col("k1") == F.col("k") % F.col("n") + 1).select("doc_id", "text", "after")
+
+    def finish(batches):
+        for pdf in batches:
+            for doc, text, after in zip(pdf["doc_id"], pdf["text"], pdf["after"]):  # few rows, long texts one by one
+                row = edited_rows([(None if pd.isna(doc) else int(doc), text, *fingerprints([text]), after, *fingerprints([after]))])[0]
+                yield pd.DataFrame([row], columns=NAMES).astype({"doc_id": "Int64"})
+
+    return found.where("edge is null").select(*NAMES).unionByName(ends.mapInPandas(finish, RESULT))

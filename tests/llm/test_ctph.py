@@ -46,9 +46,17 @@ def test_likeness_follows_the_shared_part():
     assert ctph.fingerprints([a, b]) == [ctph.fingerprints([a])[0], ctph.fingerprints([b])[0]]
 
 
-@pytest.mark.parametrize("rows", [1000, 2])
-def test_edited_texts(spark, monkeypatch, rows):
-    monkeypatch.setattr(ctph, "BLOCK_ROWS", rows)
+@pytest.mark.parametrize("joined", ["true", "false"])
+def test_edited_texts(spark, joined):
+    """In one partition, and in several (their borders, and empty ones)."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", joined)
+    try:
+        check_edited_texts(spark)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def check_edited_texts(spark):
     source = [*odd_rows(), *((100 + k, f"text number {k} " * k) for k in range(20))]
     got = ctph.with_edits(docs_frame(spark, source).repartition(3)).collect()
     order = sorted(((i, t or "") for i, t in source), key=lambda r: (-r[0] if r[0] is not None else 1 << 63, r[1]))
