@@ -14,7 +14,8 @@ for the lines after t, and the marginal is sigmoid(forward + backward).
 
 Edge cases. Null or empty text: one empty line, scored like any other. Null
 id or label: never in the sample; scored, not held out. Repeated rows: each is
-scored. Several labels of one id: the smallest counts. Without any usable label the
+scored; of several texts of one id the smallest is learned from. Several labels of one id: the
+smallest counts. Every line learns its document's label, so the transition scores mostly say "stay". Without any usable label the
 score is 0.5. Empty table: no rows. Extra columns are ignored.
 """
 
@@ -27,10 +28,11 @@ from pyspark.sql import functions as F
 from .common import filter_rows, keyed_text, map_batches
 from .text_arrays import code_points, letters, sums, uppers
 
-#: Bounds of the training sample: documents, and lines of one document.
-SAMPLE_DOCS, SAMPLE_LINES = 4000, 256
 #: Training cuts chains into pieces of so many lines.
 CHAIN = 32
+#: Bounds of the training sample: documents, and pieces of one document (those with the
+#: smallest hash of id and place, from the whole text).
+SAMPLE_DOCS, SAMPLE_PIECES = 4000, 8
 FEATURES = 13
 
 
@@ -171,6 +173,15 @@ def fold(folds: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds, F.lit(-1))
 
 
+def pieces(doc_id: int, lines: int) -> list[int]:
+    """The pieces of CHAIN lines of a document that training reads, in order."""
+    k = np.arange(-(-lines // CHAIN), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        h = (k + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) ^ np.int64(doc_id).view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return sorted(np.argsort(h, kind="stable")[:SAMPLE_PIECES].tolist())
+
+
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0) -> dict | None:
     """Train on at most SAMPLE_DOCS labelled documents outside the held-out
     fold: those with the smallest hash of their id."""
@@ -183,14 +194,16 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0) -
         return None
     wanted = docs.sparkSession.createDataFrame([(k,) for k in ids], "doc_id long")
     texts = docs.join(F.broadcast(wanted), "doc_id", "left_semi")  # at most SAMPLE_DOCS ids
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))  # of an id's rows, one
 
     def make():
         def work(batch):
+            ids = batch.column(0).to_pylist()
             x, _, per_text = line_features(batch.column(1).to_pylist())
             x = with_neighbours(x, per_text)
             at = np.cumsum(per_text) - per_text
-            keep = np.minimum(per_text, SAMPLE_LINES)
-            return {"doc_id": batch.column(0).to_pylist(), "lines": [x[a:a + k].tobytes() for a, k in zip(at, keep)]}
+            return {"doc_id": ids, "lines": [b"".join(x[a + CHAIN * k:a + min(n, CHAIN * (k + 1))].tobytes() for k in pieces(i, n))
+                                             for i, a, n in zip(ids, at, per_text)]}
 
         return work
 

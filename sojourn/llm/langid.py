@@ -9,7 +9,7 @@ one dot product per machine over the whole text.
 
 Edge cases. Null text, or text without any letter: ``und``, score 0. Null id: not
 held out (its fold is unknown), not learned from. Null or empty lang: not learned
-from. Repeated rows: each is scored. A language outside FAMILIES is a family of
+from. Repeated rows: each is scored; of an id's rows one is learned from. A language outside FAMILIES is a family of
 its own. Only one language learned: always that, score 1. None learned: ``und``.
 Empty table: no rows. Extra columns are ignored.
 """
@@ -171,7 +171,9 @@ def fit(docs: DataFrame, folds: int = 3, held_out: int = 1) -> dict | None:
 
         return work
 
-    rows = map_batches(known.where(wanted), make, "lang string, row binary").collect()  # bounded by the sample
+    # of an id's rows one: the sample is bounded by ids
+    one = known.where(wanted).groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("r")).select("doc_id", "r.text", "r.lang")
+    rows = map_batches(one, make, "lang string, row binary").collect()
     rows.sort(key=lambda r: (r["lang"], bytes(r["row"])))
     vectors = [(np.frombuffer(b[:len(b) // 2], "<i4"), np.frombuffer(b[len(b) // 2:], "<f4").astype(float))
                for b in (bytes(r["row"]) for r in rows)]

@@ -64,3 +64,36 @@ def test_odd_rows(spark):
     assert all(0 <= r["score"] <= 1 and r["held_out"] is not None for r in rows)
     assert q.score(docs_frame(spark, []), labels).collect() == []
     assert {r["score"] for r in q.score(docs_frame(spark, odd_rows()), labels.limit(0)).collect()} == {0.5}
+
+
+def test_training_reads_pieces_of_the_whole_text():
+    assert q.pieces(7, 100) == [0, 1, 2, 3] and q.pieces(7, 1) == [0]
+    chosen = [q.pieces(i, 32 * 100) for i in range(40)]
+    assert all(len(set(c)) == q.SAMPLE_PIECES and c == sorted(c) for c in chosen)
+    assert 40 < np.mean([k for c in chosen for k in c]) < 60  # no prefix
+
+
+def test_long_texts_and_repeated_ids_keep_the_sample_bounded(spark, monkeypatch):
+    seen = {}
+
+    def train(x, y, chains, *more):
+        seen.update(lines=len(x), chains=len(chains), labels=np.bincount(y).tolist())
+        return {"mean": x.mean(0), "std": x.std(0) + 1, "w": np.zeros(x.shape[1] + 1), "t": np.zeros((2, 2))}
+
+    monkeypatch.setattr(q, "train", train)
+    long = "\n".join(f"line {k} of the text" for k in range(1000))
+    docs = [(1, long)] + [(2, f"one line {k % 3}") for k in range(10_000)] + [(4, "bad\nbad")]
+    labels = spark.createDataFrame([(1, 1), (2, 1), (4, 0)], "doc_id long, quality int")
+    assert {i for i in (1, 2, 4) if zlib.crc32(str(i).encode()) % 5} == {1, 2, 4}
+    assert q.score(docs_frame(spark, docs), labels).count() == len(docs)
+    assert seen["labels"][0] == 2 and seen["lines"] <= q.SAMPLE_PIECES * q.CHAIN + 1 + 2 and seen["lines"] > 200
+
+
+def test_accepted_of_odd_rows_and_no_rows(spark):
+    docs, labels = corpus(spark)
+    odd = docs_frame(spark, odd_rows())
+    kept = q.accepted(odd, labels)
+    assert kept.columns == odd.columns
+    want = [r["doc_id"] for r in q.score(odd, labels).where("predicted = 1").collect()]
+    assert sorted(map(str, (r["doc_id"] for r in kept.collect()))) == sorted(map(str, want))
+    assert q.accepted(docs_frame(spark, []), labels).count() == 0

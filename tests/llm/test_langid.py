@@ -63,3 +63,14 @@ def test_nothing_to_learn(spark):
     assert langid.identify(docs_frame(spark, [])).collect() == []
     rows = langid.identify(docs_frame(spark, odd_rows(), lang=None)).collect()
     assert {r["lang_pred"] for r in rows} == {"und"} and len(rows) == len(odd_rows())
+
+
+def test_an_id_repeated_in_most_rows_is_learned_from_once(spark, monkeypatch):
+    seen = []
+    train = langid.train_model
+    monkeypatch.setattr(langid, "train_model", lambda rows, langs: seen.append(len(rows)) or train(rows, langs))
+    docs = corpus(spark)
+    some = docs.where("doc_id = 3").limit(1)
+    many = docs.unionAll(some.crossJoin(spark.range(3000)).select(docs.columns))
+    langid.fit(many)
+    assert seen[0] <= docs.count()

@@ -44,3 +44,15 @@ def test_run_packs_what_is_left(spark):
     for r in rows:
         per_doc[r["doc_id"], r["doc_tokens"]] += r["length"]
     assert all(total == n for (_, n), total in per_doc.items())
+
+
+def test_the_language_stage_drops_languages_that_were_not_learned(spark):
+    other = {-1: "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+             -2: "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza.",
+             -3: "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.",
+             -4: "Все люди рождаются свободными и равными в своем достоинстве и правах."}
+    docs = table(spark, SF, "documents")
+    rows = spark.createDataFrame([(k, t, None, "s", len(t)) for k, t in other.items()], docs.schema)
+    kept = {r["doc_id"] for r in cp.language_stage(spark, docs.unionAll(rows), SF).collect()}
+    assert kept == {r["doc_id"] for r in cp.language_stage(spark, docs, SF).collect()}
+    assert len(kept) >= docs.count() - 2
