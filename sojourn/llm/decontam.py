@@ -7,7 +7,8 @@ By the q-gram lemma such a stretch shares at least m - q + 1 - k * q character
 q-grams with the item, and their diagonals (place in the text minus place in the
 item) differ by at most k. So shared q-grams are counted in overlapping bands of
 2w diagonals (w: a power of two over k); bands that reach the bound are kept and
-verified by alignment within the band.
+verified by alignment within the band, all bands of a batch in one matrix: a phrase that many items
+share passes the bound of all of them.
 
 The items are the stated query set: they go to the tasks in blocks of
 BLOCK_CHARS characters, each block against all texts, without any shuffle.
@@ -20,6 +21,8 @@ tables: no rows. Extra columns are ignored (``clean`` returns them untouched).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +34,8 @@ Q = 10
 EDIT_RATE = 0.08
 #: Characters of items sent to every task at once.
 BLOCK_CHARS = 4_000_000
+#: Cells of one alignment step, about.
+ALIGN_CELLS = 1 << 19
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 BITMAP_BITS = 21
 
@@ -61,30 +66,31 @@ def gram_codes(cp: np.ndarray, q: int) -> np.ndarray:
             size *= 2
 
 
-def align(item: np.ndarray, text: np.ndarray, lo: int, width: int, limit: int) -> tuple[int, int, int] | None:
-    """Least edits of ``item`` against a stretch of ``text`` on the diagonals
-    [lo, lo + width): (edits, start, end), the earliest start on ties; None
-    beyond ``limit``. Each cell holds edits and start in one integer."""
-    m, n = len(item), len(text)
+def align(items: np.ndarray, m: np.ndarray, cp: np.ndarray, start: np.ndarray, n: np.ndarray, lo: np.ndarray, width: int
+          ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row the least edits of an item (``items[row, :m]``) against a stretch of a text
+    (``cp[start:start + n]``) on the diagonals [lo, lo + width): (edits, start, end), the earliest
+    start on ties. Each cell holds edits and start in one integer."""
+    most = int(m.max())
     one = np.int64(1) << 40
-    far = one * (m + n + 1)
-    d = np.arange(lo, lo + width)
-    inside = (d >= 0) & (d <= n)
-    cell = np.where(inside, d, far)
+    far = one * (most + int(n.max()) + 1)
+    n = n[:, None]
+    d = lo[:, None] + np.arange(width)
+    cell = np.where((d >= 0) & (d <= n), d, far)
     steps = np.arange(width, dtype=np.int64) * one
-    padded = np.full(width + m + 1, np.uint32(0xFFFFFFFF))
-    src = np.arange(lo, lo + width + m + 1)
-    ok = (src >= 0) & (src < n)
-    padded[ok] = text[src[ok]]
-    for i in range(1, m + 1):
-        new = cell + np.where(padded[i - 1:i - 1 + width] == item[i - 1], 0, one)  # text place i - 1 + d
-        new[:-1] = np.minimum(new[:-1], cell[1:] + one)
-        new = np.where((d + i >= 0) & (d + i <= n), new, far)
-        cell = np.minimum.accumulate(new - steps) + steps
-        cell = np.where((d + i >= 0) & (d + i <= n), cell, far)
-    best = int(np.argmin(cell))
-    edits, start = int(cell[best] >> 40), int(cell[best] & (one - 1))
-    return (edits, start, m + lo + best) if edits <= limit else None
+    src = lo[:, None] + np.arange(width + most)
+    inside = (src >= 0) & (src < n)
+    padded = np.where(inside, cp[np.where(inside, start[:, None] + src, 0)], np.uint32(0xFFFFFFFF))
+    for i in range(1, most + 1):
+        new = cell + np.where(padded[:, i - 1:i - 1 + width] == items[:, i - 1:i], 0, one)  # text place i - 1 + d
+        new[:, :-1] = np.minimum(new[:, :-1], cell[:, 1:] + one)
+        there = (d + i >= 0) & (d + i <= n)
+        new = np.where(there, new, far)
+        new = np.where(there, np.minimum.accumulate(new - steps, axis=1) + steps, far)
+        cell = np.where((i <= m)[:, None], new, cell)
+    best = cell.argmin(axis=1)
+    value = cell[np.arange(len(cell)), best]
+    return value >> 40, value & (one - 1), m + lo + best
 
 
 class Matcher:
@@ -153,33 +159,38 @@ class Matcher:
         heads = np.flatnonzero(new)
         size = np.add.reduceat(fresh.astype(np.int64), heads) if len(heads) else heads
         heads = heads[size >= self.bound[i[heads]]]
-        for x, n, b in zip(t[heads].tolist(), i[heads].tolist(), b[heads].tolist()):
-            if best.get((x, n), (1,))[0] == 0:
-                continue
-            _, item_text, item_cp = self.items[n]
-            lo, width = (b << int(self.shift[n])) - (1 << 20), 2 << int(self.shift[n])
-            left, right = max(0, lo), min(len(texts[x]), lo + width + len(item_text))
-            stretch = texts[x][left:right]
-            if (k := stretch.find(item_text)) >= 0:
-                found = (0, left + k, left + k + len(item_text))
-            else:
-                got = align(item_cp, code_points(stretch), lo - left, width, int(self.k[n]))
-                if got is None:
-                    continue
-                found = (got[0], left + got[1], left + got[2])
-            if (x, n) not in best or found < best[x, n]:
-                best[x, n] = found
+        sizes = np.array([len(x) for x in texts], dtype=np.int64)
+        for shift in np.unique(self.shift[i[heads]]).tolist():
+            same = heads[self.shift[i[heads]] == shift]
+            same = same[np.argsort(self.m[i[same]], kind="stable")]  # items of like length together
+            width = 2 << shift
+            at = 0
+            while at < len(same):
+                rows = max(1, ALIGN_CELLS // (width + int(self.m[i[same[min(at + 4095, len(same) - 1)]]])))
+                some = same[at:at + min(rows, 4096)]
+                at += len(some)
+                x, n, lo = t[some], i[some], (b[some] << shift) - (1 << 20)
+                items = np.full((len(some), int(self.m[n].max())), np.uint32(0xFFFFFFFE))
+                for k, one in enumerate(n.tolist()):
+                    items[k, :self.m[one]] = self.items[one][2]
+                edits, first, last = align(items, self.m[n], cp, starts[x], sizes[x], lo, width)
+                good = np.flatnonzero(edits <= self.k[n])
+                for pair, found in zip(zip(x[good].tolist(), n[good].tolist()),
+                                       zip(edits[good].tolist(), first[good].tolist(), last[good].tolist())):
+                    if pair not in best or found < best[pair]:
+                        best[pair] = found
         return [(x, n, s, e, d) for (x, n), (d, s, e) in sorted(best.items())]
 
 
-def blocks_of(benchmark: DataFrame) -> list[list[tuple]]:
-    """The items (id, normalised text) in blocks of about BLOCK_CHARS characters."""
+def blocks_of(benchmark: DataFrame) -> Iterator[list[tuple]]:
+    """The items (id, normalised text) in blocks of about BLOCK_CHARS characters, one at a time."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     items = items.where(F.col("text").isNotNull())
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-total // BLOCK_CHARS))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [[(r["item_id"], normalise(r["text"])) for r in items.where(part == k).collect()] for k in range(n)]
+    for k in range(n):
+        yield [(r["item_id"], normalise(r["text"])) for r in items.where(part == k).collect()]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = EDIT_RATE) -> DataFrame:

@@ -81,3 +81,18 @@ def test_empty_tables(spark):
     assert d.contaminated(docs_frame(spark, []), bench(spark, [(1, ITEM)])).collect() == []
     assert d.contaminated(docs_frame(spark, odd_rows()), bench(spark, [])).collect() == []
     assert d.clean(docs_frame(spark, odd_rows()), bench(spark, [])).count() == len(odd_rows())
+
+
+def test_a_phrase_that_all_items_share_takes_seconds():
+    """Templated items pass every count; only those that occur are found."""
+    import time
+
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    head = "which of the following sentences is true here"
+    items = [(k, f"{head} {word(9)} {word(8)} {word(9)} {word(8)}") for k in range(4000)]
+    texts = [f"{word(30)} {head} {word(12)} {word(20)} {word(30)}" for _ in range(99)] + [f"xx {items[77][1][:-3]} yy"]
+    m = d.Matcher([(k, d.normalise(t)) for k, t in items])
+    begun = time.time()
+    assert [(r[0], m.items[r[1]][0], r[4]) for r in m.find(texts)] == [(99, 77, least_edits(items[77][1], texts[-1]))]
+    assert time.time() - begun < 60
