@@ -5,8 +5,11 @@ whose transitions carry emitted-token counts. A text up to CHUNK code points is
 read at once. A longer one is cut into chunks that tasks read apart: each gives
 its state map (what the chunk does to the state it starts in, and the tokens it
 emits), and maps compose, FAN at a time, in a parallel prefix scan whose number
-of rounds is the logarithm of the longest text. A map over a stretch without white space
-is kept as that stretch until the state before it is known.
+of rounds is the logarithm of the longest text. A map holds the signs up to the first
+place from which on the state is known whatever came before: white space, a border of the
+pre-tokenizer, a border that no token reaches over, or a place where all encodings of the
+letters before it meet. Only a stretch without any such place (one letter repeated) is kept
+as it is until the state before it is known.
 
 Edge cases. Null or empty text: 0 bytes, 0 tokens. Null id: kept. Repeated rows:
 each is counted. Special strings inside a text count as one token each, the
@@ -95,12 +98,12 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, chunk: int
             maps = [t.chunk_map(x) for x in own]
             return {"doc_id": batch.column(0), "row": batch.column(1), "k": batch.column(2),
                     "n_bytes": [len(x.encode("utf-8", "surrogatepass")) for x in own],
-                    "head": [m[0] for m in maps], "resets": [m[1] for m in maps], "count": [m[2] for m in maps],
+                    "head": [m[0] for m in maps], "how": [m[1] for m in maps], "count": [m[2] for m in maps],
                     "state": [m[3] for m in maps]}
 
         return work
 
-    schema = "doc_id long, row string, k long, n_bytes long, head string, resets boolean, count long, state string"
+    schema = "doc_id long, row string, k long, n_bytes long, head string, how int, count long, state string"
     chunks = map_batches(texts.where(~short), make_cuts, "doc_id long, row string, k long, text string")
     maps = written(map_batches(chunks.repartition("row", "k"), make_maps, schema), "maps")
 
@@ -109,12 +112,12 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, chunk: int
 
         t, whole = transducer(tokenizer), None
         pdf = pdf.sort_values("k")
-        for m in zip(pdf["head"], pdf["resets"].astype(bool), pdf["count"].astype(int), pdf["state"]):
+        for m in zip(pdf["head"], pdf["how"].astype(int), pdf["count"].astype(int), pdf["state"]):
             whole = m if whole is None else t.compose(whole, m)
         out = pdf.iloc[:1].copy()
         out["k"] = out["k"] // FAN
         out["n_bytes"] = pdf["n_bytes"].sum()
-        out["head"], out["resets"], out["count"], out["state"] = whole
+        out["head"], out["how"], out["count"], out["state"] = whole
         return out
 
     last = maps.agg(F.max("k")).first()[0] or 0
@@ -136,5 +139,5 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, chunk: int
         return work
 
     composed = map_batches(maps.withColumnRenamed("head", "text").select(
-        "doc_id", "row", "k", "n_bytes", "text", "resets", "count", "state"), make_ends, "doc_id long, n_bytes long, n_tokens long")
+        "doc_id", "row", "k", "n_bytes", "text", "how", "count", "state"), make_ends, "doc_id long, n_bytes long, n_tokens long")
     return at_once.unionAll(composed).withColumn("over_limit", F.col("n_tokens") > limit)

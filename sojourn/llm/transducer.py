@@ -28,6 +28,9 @@ MAX_STATES, MAX_WORDS, MAX_WORD_CHARS = 150_000, 300_000, 48
 FEW = 32
 INFINITE = float("inf")
 START = 0
+#: How a chunk forgets the state before it: never, by ending the word after its head, or by the
+#: head itself, after which the state is the same whatever came before.
+NEVER, ENDS, KNOWN = 0, 1, 2
 #: The contractions that the pre-tokenizer's pattern tries first.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 #: Signs that never open a contraction.
@@ -64,10 +67,13 @@ class Transducer:
         self.rank: dict[tuple[int, int], int] = {}
         spelled: dict[int, tuple] = {t: (s,) for t, s in symbol.items()}
         stands_alone = dict.fromkeys(spelled, True)
+        #: Pairs of symbols that stand side by side in some token: every one of them was merged once.
+        self.side_by_side: set[tuple[int, int]] = set()
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = (vocab[x] for x in (pair if isinstance(pair, list) else pair.split(" ")))
             t = vocab[pair[0] + pair[1] if isinstance(pair, list) else pair.replace(" ", "")]
             self.rank[a, b] = rank
+            self.side_by_side.add((spelled[a][-1], spelled[b][0]))
             if t not in spelled:
                 self.made[t], self.left[t], self.right[t] = rank, a, b
                 spelled[t] = spelled[a] + spelled[b]
@@ -84,6 +90,7 @@ class Transducer:
                     self.token.append(-1)
                 node = self.trie[node][s]
             self.token[node] = t
+        self.longest = max(map(len, spelled.values()))
         from tokenizers import Tokenizer
 
         self.cutter, self.kinds = Tokenizer.from_file(path).pre_tokenizer, {}
@@ -152,8 +159,9 @@ class Transducer:
             self.alike[node, before] = known
         return known
 
-    def _push(self, frontier: tuple, symbol: int) -> tuple[tuple, int]:
-        """Frontier after one more symbol, and the change of the token count."""
+    def _push(self, frontier: tuple, symbol: int, within: bool = False) -> tuple[tuple, int]:
+        """Frontier after one more symbol, and the change of the token count. ``within``: the
+        frontier lacks what began earlier, so an encoding may have no token that ends here."""
         trie, token, open_, last, count = self.trie, self.token, [], -1, 0
         for node, before, rel in frontier:
             child = trie[node].get(symbol)
@@ -163,7 +171,9 @@ class Transducer:
                 last, count = t, rel + 1
             if trie[child] and (before := self._alike(child, before)) is not None:
                 open_.append((child, before, rel))
-        assert last >= 0, "every byte is a token, so some token always ends here"
+        if last < 0:
+            assert within, "every byte is a token, so some token always ends here"
+            return tuple(open_), 0
         return (*((c, b, rel - count) for c, b, rel in open_), (0, last, 0)), count
 
     FRESH = ((0, -1, 0),)
@@ -202,6 +212,12 @@ class Transducer:
             pending = b
         return frontier, pending, count
 
+    def _parts(self, pending: int, c: str) -> bool:
+        """No token reaches over the border between byte ``pending`` and the sign c: what
+        stands on both sides is encoded by itself."""
+        first = c.encode("utf-8", "surrogatepass")[0]
+        return (pending, first) not in self.side_by_side and (pending, 256 + first) not in self.side_by_side
+
     def _whole(self, word: str) -> int:
         frontier, pending, count = self._read(self.FRESH, -1, word)
         return count + self._push(frontier, 256 + pending)[1]
@@ -227,8 +243,12 @@ class Transducer:
             return (kind, frontier, pending), count
         if mode in ("L", "O"):
             if kind == mode:
+                done = 0
+                if self._parts(pending, c):
+                    frontier, done = self.FRESH, self._push(frontier, pending)[1]
+                    pending = -1
                 frontier, pending, count = self._read(frontier, pending, c)
-                return (mode, frontier, pending), count
+                return (mode, frontier, pending), done + count
             done = self._close(key)
             to, count = self._move(self.keys[START], c)
             return to, done + count
@@ -319,34 +339,131 @@ class Transducer:
         parts = self.special.split(text)
         return sum(self.count_words(self.normalise(p)) for p in parts[::2]) + len(parts) // 2
 
-    def chunk_map(self, text: str) -> tuple[str, bool, int, str]:
-        """What a chunk does to any state: (head, resets, count, key).
+    def _forgets(self, before: str, c: str) -> bool:
+        """Whether the state after ``before`` and c is that after c at a word's start,
+        whatever came before: a word ends between them, or no token reaches over."""
+        a, b = self._kind(before), self._kind(c)
+        if a == "N" or b == "N":
+            return True
+        if before == "'":
+            return False  # it may open a contraction
+        if a != b:
+            return True
+        if c == "'" or b == "L" and c.isascii():
+            return False  # such a letter may end a contraction
+        return self._parts(before.encode("utf-8", "surrogatepass")[-1], c)
+
+    def _meets(self, letters: str) -> tuple[int, tuple] | None:
+        """For letters within a word of which the begin is unknown: (signs read, key) from
+        which on all encodings are the same; None if they never meet.
+
+        For each end of a prefix: the tokens that may be the last of its encoding, those
+        that may follow a token that may be the last before them. Where only one is left at
+        ``longest`` ends in a row, and the encodings that these end go back to one common
+        place, the frontier follows from what stands after that place."""
+        data = letters.encode("utf-8", "surrogatepass")
+        signs, ends = 0, {}  # number of signs up to each byte that ends one
+        for k in range(len(data)):
+            if k + 1 == len(data) or data[k + 1] & 0xC0 != 0x80:
+                signs += 1
+                ends[k + 1] = signs
+        reach = self.longest
+        found: dict[int, list[tuple[int, int]]] = {}  # end -> (begin, token)
+        last: dict[int, list[int] | None] = {}        # end -> tokens; None: any
+        back: dict[int, int] = {}                     # end -> begin of the only token
+        since = 0                                     # all ends from here on have one token
+        for at in range(len(data)):
+            here = found.pop(at, [])
+            if at < reach:
+                last[at], since = None, at + 1
+            else:
+                may = [(b, t) for b, t in here if last[b] is None or any(self._follows(p, t) for p in last[b])]
+                last[at] = [t for _, t in may]
+                if len(may) == 1:
+                    back[at] = may[0][0]
+                else:
+                    since = at + 1
+            last.pop(at - reach - 1, None)
+            if at - since > reach and at % reach == 0 and at + 1 in ends:
+                open_ = set(range(at - reach, at + 1))
+                while len(open_) > 1 and (k := max(open_)) in back and back[k] >= since:
+                    open_.remove(k)
+                    open_.add(back[k])
+                if len(open_) == 1 and (a := open_.pop()) >= since:
+                    token = next(t for t, n in self._ending(data, a) if a - n == back[a])
+                    frontier = ((0, token, 0),)
+                    for b in data[a:at]:
+                        frontier, _ = self._push(frontier, b, within=True)
+                    return ends[at + 1], ("L", frontier, data[at])
+            node = 0
+            for e in range(at, min(at + reach, len(data))):
+                node = self.trie[node].get(data[e], -1)
+                if node < 0:
+                    break
+                if self.token[node] >= 0:
+                    found.setdefault(e + 1, []).append((at, self.token[node]))
+        return None
+
+    def _ending(self, data: bytes, end: int):
+        """(token, length) of the tokens that end at ``end``."""
+        for n in range(1, min(self.longest, end) + 1):
+            node = 0
+            for b in data[end - n:end]:
+                node = self.trie[node].get(b, -1)
+                if node < 0:
+                    break
+            if node > 0 and self.token[node] >= 0:
+                yield self.token[node], n
+
+    def _stretch(self, word: str) -> tuple[str, int, int, str]:
+        """The map of signs without white space."""
+        at, key = 0, None
+        for k in range(1, len(word)):
+            if self._forgets(word[k - 1], word[k]):
+                at, key = k + 1, self._move(self.keys[START], word[k])[0]
+                break
+        if key is None or at > 8 * self.longest:
+            begin = 2 if word[0] == "'" else 1  # a contraction may end, or a word begin, before it
+            letters = word[begin:at or len(word)]
+            if letters and all(self._kind(c) == "L" for c in letters) and (met := self._meets(letters)):
+                at, key = begin + met[0], met[1]
+        if key is None:
+            return word, NEVER, 0, ""
+        if len(self.keys) > MAX_STATES:
+            self._clear()
+        state, count = self.run(self.state(key), word[at:])
+        return word[:at], KNOWN, count, self._dump(state)
 
-        ``head`` is what stands before the first white space or special string,
-        to be read from the state before the chunk; if the chunk ``resets``, then
-        come ``count`` tokens, and the state ``key``, whatever came before."""
+    def chunk_map(self, text: str) -> tuple[str, int, int, str]:
+        """What a chunk does to any state: (head, how, count, key).
+
+        ``head`` is to be read from the state before the chunk: what stands before the
+        first white space or special string (``how`` is ENDS: there the word ends), or
+        before that the signs up to a place from which on the state is KNOWN. Then come
+        ``count`` tokens, and the state ``key``, whatever came before."""
         parts = self.special.split(text)
-        whole = ("", False, 0, "")
+        whole = ("", NEVER, 0, "")
+        start = self._dump(START)
         for k, part in enumerate(parts):
             if k % 2:
-                whole = self.compose(whole, ("", True, 1, self._dump(START)))
+                whole = self.compose(whole, ("", ENDS, 1, start))
                 continue
             words = self.normalise(part)
-            lead = bool(words) and bool(SPACES.match(part))
+            lead = not words or bool(SPACES.match(part))
             trail = bool(words) and bool(SPACES.match(part[-1]))
-            if not words:
-                one = ("", bool(part), 0, self._dump(START) if part else "")
-            elif not lead and not trail and len(words) == 1:
-                one = (words[0], False, 0, "")
-            else:
-                head = "" if lead else words.pop(0)
-                tail = "" if trail or not words else words.pop()
+            if lead and part:
+                whole = self.compose(whole, ("", ENDS, 0, start))
+            elif words:
+                whole = self.compose(whole, self._stretch(words.pop(0)))
+                if words or trail:
+                    whole = self.compose(whole, ("", ENDS, 0, start))
+            if words:
+                tail = "" if trail else words.pop()
                 if len(self.keys) > MAX_STATES:
                     self._clear()
                 state, count = self.run(START, tail)
                 key = self._dump(state)  # before other words may clear the table
-                one = (head, True, self.count_words(words) + count, key)
-            whole = self.compose(whole, one)
+                whole = self.compose(whole, ("", ENDS, self.count_words(words) + count, key))
         return whole
 
     def _dump(self, state: int) -> str:
@@ -356,20 +473,20 @@ class Transducer:
         mode, frontier, pending = json.loads(key)
         return self.state((mode, tuple(map(tuple, frontier)), pending))
 
-    def compose(self, a: tuple, b: tuple) -> tuple[str, bool, int, str]:
-        """The map that does a, then b. Associative; ("", False, 0, "") is neutral."""
-        if not a[1]:
+    def compose(self, a: tuple, b: tuple) -> tuple[str, int, int, str]:
+        """The map that does a, then b. Associative; ("", NEVER, 0, "") is neutral."""
+        if a[1] == NEVER:
             return a[0] + b[0], b[1], a[2] + b[2], b[3]
         if len(self.keys) > MAX_STATES:
             self._clear()
         state, count = self.run(self._load(a[3]), b[0])
-        if b[1]:
-            return a[0], True, a[2] + count + self.end(state) + b[2], b[3]
-        return a[0], True, a[2] + count, self._dump(state)
+        if b[1] != NEVER:
+            return a[0], a[1], a[2] + count + (self.end(state) if b[1] == ENDS else 0) + b[2], b[3]
+        return a[0], a[1], a[2] + count, self._dump(state)
 
     def finish(self, m: tuple) -> int:
         """Tokens of a whole text whose map is m."""
-        _, _, count, key = self.compose(("", True, 0, self._dump(START)), m)
+        _, _, count, key = self.compose(("", ENDS, 0, self._dump(START)), m)
         return count + self.end(self._load(key))
 
 

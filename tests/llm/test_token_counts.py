@@ -41,6 +41,55 @@ def test_chunk_maps_compose_in_any_grouping(library):
         assert t.finish(maps[0]) == len(library.encode(text, add_special_tokens=False).ids), repr(text)
 
 
+def long_stretches(n):
+    rng = random.Random(7)
+    yield "cjk", "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(n))
+    yield "kana", "".join(chr(rng.randrange(0x3041, 0x3096)) for _ in range(n))
+    yield "greek", "".join(chr(rng.randrange(0x3B1, 0x3C9)) for _ in range(n))
+    yield "base64", "".join(rng.choice("ABCDEFGHIJabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
+    yield "letters", "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    yield "dna", "".join(rng.choice("acgt") for _ in range(n))
+    yield "prose", "".join(rng.choice(["the", "ing", "and", "ation", "co", "er", "x"]) for _ in range(n // 3))
+    yield "signs", "".join(rng.choice("!?.,-=*#'\"~") for _ in range(n))
+
+
+@pytest.mark.parametrize("chunk", [1000, 3001])
+def test_maps_without_white_space_are_bounded(library, chunk):
+    t, rng = transducer(tokenizer()), random.Random(8)
+    for name, text in long_stretches(12_000):
+        ends = token_counts.cuts_of(text, t.specials, chunk)
+        maps = [t.chunk_map(text[a:b]) for a, b in zip([0, *ends], ends)]
+        assert max(len(m[0]) for m in maps if m[1]) <= 600, name
+        assert all(m[1] for m in maps[:-1]), name
+        while len(maps) > 1:
+            k = rng.randrange(len(maps) - 1)
+            maps[k:k + 2] = [t.compose(maps[k], maps[k + 1])]
+        assert len(maps[0][0]) <= 600, name
+        assert t.finish(maps[0]) == len(library.encode(text, add_special_tokens=False).ids), name
+
+
+def test_million_signs_without_white_space(library):
+    t, rng = transducer(tokenizer()), random.Random(9)
+    text = "".join(chr(rng.randrange(0x4E00, 0x4F00)) for _ in range(1_000_000))
+    ends = token_counts.cuts_of(text, t.specials, token_counts.CHUNK)
+    maps = [t.chunk_map(text[a:b]) for a, b in zip([0, *ends], ends)]
+    assert max(len(m[0]) for m in maps) <= 600
+    whole = maps[0]
+    for m in maps[1:]:
+        whole = t.compose(whole, m)
+    assert t.finish(whole) == len(library.encode(text, add_special_tokens=False).ids)
+
+
+def test_one_letter_repeated(library):
+    t = transducer(tokenizer())
+    for text in ("a" * 5000, "'" * 3000, "ab" * 2500, "'s" * 2000, "'r" * 2000, "é" * 2000):
+        ends = token_counts.cuts_of(text, t.specials, 700)
+        whole = ("", 0, 0, "")
+        for a, b in zip([0, *ends], ends):
+            whole = t.compose(whole, t.chunk_map(text[a:b]))
+        assert t.finish(whole) == len(library.encode(text, add_special_tokens=False).ids), text[:2]
+
+
 def test_bounded_tables_do_not_change_counts(library, monkeypatch):
     from sojourn.llm import transducer as module
 
