@@ -145,15 +145,17 @@ def envelope_fit(curves: DataFrame, semantics: str = "reference") -> DataFrame:
         F.when(F.col("kind") == kind, F.struct("p", "f")))), lambda x: x["f"]).alias(f"f{kind.lower()}")
     whole = curves.groupBy(*key, "theta").agg(points("A"), points("S"))
 
+    names = ["username", "mu", "cand", "theta", *(c.split()[0] for c in LINES.split(", ")), "line_rhos"]
+
     def run(batches):
         for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                found = lines_of(np.asarray(row.fa, dtype=np.float64), np.asarray(row.fs, dtype=np.float64), semantics)
-                if found is not None:
-                    out.append(pd.DataFrame({"username": row.username, "mu": row.mu, "cand": row.cand, "theta": row.theta, **found}))
-            if out:
-                yield pd.concat(out)
+            found = [lines_of(np.asarray(fa, dtype=np.float64), np.asarray(fs, dtype=np.float64), semantics)
+                     for fa, fs in zip(pdf["fa"], pdf["fs"])]
+            at = [k for k, lines in enumerate(found) if lines is not None]
+            if at:
+                own = pdf.iloc[np.repeat(at, NUM_LINES * NUM_LINES)]
+                lines = {c: np.concatenate([found[k][c] for k in at]) for c in names[4:]}
+                yield pd.DataFrame({**{c: own[c].to_numpy() for c in names[:4]}, **lines})
 
     env = whole.mapInPandas(run, f"username string, mu double, cand int, theta double, {LINES}, line_rhos double")
     th = F.col("theta")

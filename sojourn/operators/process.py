@@ -56,7 +56,9 @@ def arrival_increments(jobs: DataFrame, users: DataFrame | None = None,
 
 
 def _with_scale(inc: DataFrame, scale: float, exact_mean: bool) -> tuple[DataFrame, DataFrame]:
-    """``inc`` comes from ``ordered_index``, which has written it."""
+    """``inc`` comes from ``ordered_index``, which has written it. The constants (one row a user) are
+    written too: evaluated once, however many frames join them, and of known size, so that while
+    they are small a join with them moves no row of the process."""
     st = inc.groupBy("username").agg(
         F.count(F.lit(1)).alias("n"), F.sum("raw").alias("_s"),
         F.max_by("raw", "idx").alias("_last"), F.min_by("raw", "idx").alias("r0"),
@@ -65,7 +67,7 @@ def _with_scale(inc: DataFrame, scale: float, exact_mean: bool) -> tuple[DataFra
         c = F.lit(scale) * (F.col("_s") / F.col("n"))
     else:
         c = F.lit(scale) * F.expr("_s div n").cast("double")
-    st = st.select("username", "n", c.alias("c"), "r0", (F.col("_s") / F.col("n")).alias("mean_raw"))
+    st = materialize(st.select("username", "n", c.alias("c"), "r0", (F.col("_s") / F.col("n")).alias("mean_raw")))
     proc = inc.join(st.select("username", "c"), "username").select(
         "username", "idx", "raw", F.expr("try_divide(raw, c)").alias("x"), "pre"
     )
@@ -198,7 +200,7 @@ def normalized_arrival_process(jobs: DataFrame, users: DataFrame | None = None,
         "username", (F.col("idx") - F.col("_i0")).alias("idx"), "raw", (F.col("pre") - F.col("_p0")).alias("pre")))
     st = proc.groupBy("username").agg(F.count(F.lit(1)).alias("n"), F.avg("raw").alias("mean_raw"),
                                       F.min_by("raw", "idx").alias("r0"))
-    st = st.select("username", "n", (F.lit(float(lam)) * F.col("mean_raw")).alias("c"), "r0", "mean_raw")
+    st = materialize(st.select("username", "n", (F.lit(float(lam)) * F.col("mean_raw")).alias("c"), "r0", "mean_raw"))
     return proc.join(st.select("username", "c"), "username").select(
         "username", "idx", "raw", F.try_divide(F.col("raw"), F.col("c")).alias("x"), "pre"), _scaled(st)
 
@@ -214,6 +216,6 @@ def normalized_service_process(tasks: DataFrame, users: DataFrame | None = None,
     proc = materialize(t.select("username", "idx", F.col("size").alias("raw"), "pre"))
     st = proc.groupBy("username").agg(F.count(F.lit(1)).alias("n"), F.avg("raw").alias("mean_raw"),
                                       F.min_by("raw", "idx").alias("r0"))
-    st = st.select("username", "n", (F.lit(float(mu)) * F.col("mean_raw")).alias("c"), "r0", "mean_raw")
+    st = materialize(st.select("username", "n", (F.lit(float(mu)) * F.col("mean_raw")).alias("c"), "r0", "mean_raw"))
     return proc.join(st.select("username", "c"), "username").select(
         "username", "idx", "raw", F.try_divide(F.col("raw"), F.col("c")).alias("x"), "pre"), _scaled(st)
