@@ -1,4 +1,6 @@
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -74,3 +76,62 @@ def test_an_id_repeated_in_most_rows_is_learned_from_once(spark, monkeypatch):
     many = docs.unionAll(some.crossJoin(spark.range(3000)).select(docs.columns))
     langid.fit(many)
     assert seen[0] <= docs.count()
+
+
+def plain_prediction(text, model):
+    """One text at a time: its gram frequencies, a dot product a machine, duels counted in dictionaries."""
+    h, use, _ = langid.trigrams([text])
+    counts = Counter(h[use].tolist())
+    if not any(c.isalpha() for c in text):
+        return "und", 0.0
+    total = sum(counts.values())
+    margin = {duel: float(w[-1]) + sum(float(w[g]) * langid.SCALE * n / total for g, n in counts.items())
+              for duel, w in zip(model["duels"], model["w"])}
+
+    def winner(level, names):
+        if len(names) == 1:
+            return names[0], 1.0
+        won, prob = Counter(), Counter()
+        for (of, i, j), m in margin.items():
+            if of == level:
+                p = 1 / (1 + math.exp(-3 * m))
+                won[i if m >= 0 else j] += 1
+                prob[i] += p / (len(names) - 1)
+                prob[j] += (1 - p) / (len(names) - 1)
+        best = max(won, key=lambda k: won[k])
+        assert sum(n == won[best] for n in won.values()) == 1  # the sample has no tie
+        return names[best], prob[best]
+
+    family, p = winner(None, model["families"])
+    lang, q = winner(family, model["langs"][family])
+    return lang, p * q
+
+
+def test_predictions_equal_one_text_at_a_time(spark):
+    rows = corpus(spark, 80).collect()
+    vectors = []
+    for r in rows:
+        h, use, _ = langid.trigrams([r["text"]])
+        k, n = np.unique(h[use], return_counts=True)
+        vectors.append((k, n * langid.SCALE / n.sum()))
+    model = langid.train_model(vectors, [r["lang"] for r in rows])
+    texts = [r["text"] for r in rows[:30]] + ["the und que los", "x", "ünï 漢字", "", "12 34", "der " * 3000, "The AND Thing"]
+    lang, score = langid.predict(texts, model)
+    for t, got, s in zip(texts, lang, score):
+        want, p = plain_prediction(t, model)
+        assert got == want and abs(s - p) < 1e-3, t[:40]
+
+
+def test_solver_reaches_the_optimum():
+    """The weights of the squared-hinge machine leave no slope of its own objective."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 8))
+    y = np.where(x[:, 0] + 0.5 * rng.normal(size=60) > 0.4, 1, -1)
+    c = 1.0
+    w = langid.train_svm([(np.arange(8), r) for r in x], y, 8, c=c, epochs=4000)
+    share = {s: (y == s).sum() for s in (1, -1)}
+    weight = np.array([1 / (2 * (0.5 / (c * 60 / (2 * share[s])))) for s in y.tolist()])
+    one = np.hstack([x, np.ones((60, 1))])
+    slack = np.maximum(0, 1 - y * (one @ w))
+    slope = w - 2 * (weight * slack * y) @ one
+    assert np.abs(slope).max() < 1e-3

@@ -4,7 +4,9 @@ from collections import defaultdict
 
 import corpus_pipeline as cp
 from sojourn.llm import crf_quality, decontam, langid, simhash
-from sojourn.llm.common import table
+from sojourn.llm.common import table, written
+
+from .helpers import docs_frame, odd_rows
 
 SF = "/root/testdata/sf0.001"
 
@@ -56,3 +58,22 @@ def test_the_language_stage_drops_languages_that_were_not_learned(spark):
     kept = {r["doc_id"] for r in cp.language_stage(spark, docs.unionAll(rows), SF).collect()}
     assert kept == {r["doc_id"] for r in cp.language_stage(spark, docs, SF).collect()}
     assert len(kept) >= docs.count() - 2
+
+
+def test_odd_rows_and_clashing_columns_go_through_all_stages(spark):
+    odd = docs_frame(spark, [*odd_rows(), (None, "some words of a text without an id that is a little longer")])
+    docs = table(spark, SF, "documents").unionByName(odd, allowMissingColumns=True)
+    clean = {r["doc_id"] for r in cp.run(spark, SF).collect()}
+    for _, f in cp.STAGES[:-1]:
+        before = docs.columns
+        docs = written(f(spark, docs, SF), "odd")
+        assert docs.columns == before
+    rows = cp.STAGES[-1][1](spark, docs, SF).collect()
+    assert clean - {r["doc_id"] for r in rows} <= {i for i, _ in odd_rows()}  # a row of the same id may stand for it
+
+
+def test_empty_table_goes_through_all_stages(spark):
+    docs = table(spark, SF, "documents").where("false")
+    for _, f in cp.STAGES:
+        docs = f(spark, docs, SF)
+    assert docs.collect() == []
