@@ -1,6 +1,12 @@
 """Corpus pipeline: documents -> quality -> language -> near-dedup ->
 decontamination -> packed sequences. Every stage works on all rows that the one
-before it kept and calls one operator of ``sojourn.llm``."""
+before it kept and calls one operator of ``sojourn.llm``.
+
+Edge cases. Null text: read as empty; a text without any letter has no language and
+goes. Null id: kept like any other row (SimHash keeps a class's smallest id, a null
+only where a class has no other; its piece has a null doc_id). Repeated rows: equal
+texts, so one stays. Extra columns, whatever their names: carried by all stages but
+packing. Empty table: every stage gives no rows."""
 
 from __future__ import annotations
 
