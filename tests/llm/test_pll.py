@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 
 from sojourn.llm import pll
@@ -98,3 +100,31 @@ def test_word_within_its_bucket_counts(spark, monkeypatch):
     share = {w: np.log(c / 8) for w, c in n.items()}
     want = {0: 0, 1: share["wazb"], 2: share["xazb"], 3: 2 * share["xazb"], 4: share["yazb"], 5: 0, 6: 3 * share["xazb"]}
     assert within.keys() == want.keys() and all(abs(within[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_whole_scores_equal_one_token_at_a_time(spark, monkeypatch):
+    """Weights that are not trained, so that nothing is near zero; every token by itself."""
+    rng = np.random.default_rng(5)
+    vector = rng.normal(scale=0.3, size=pll.SIZE).astype(np.float32)
+    monkeypatch.setattr(pll, "fit", lambda encoded: vector)
+    vocabulary = [f"w{k}" for k in range(150)] + ["".join(rng.choice(list("abcxyz"), 5)) for _ in range(250)] + ["12", "$$", "Été,"]
+    texts = [" ".join(rng.choice(vocabulary, rng.integers(0, 60))) for _ in range(60)] + ["", "a", "w1 W1 w1"]
+    rows = list(enumerate(texts)) + [(100, None), (3, texts[3])]
+    docs = docs_frame(spark, rows)
+    frequent = pll.vocabulary(pll.keyed_text(docs))
+    assert len(frequent) == pll.WORDS < len({w for t in texts for w in t.lower().split()})
+    words, p = pll.Words(frequent), pll.unpack(vector.astype(np.float64))
+
+    class_of = lambda text: list(pll.encode([text], words)[0])
+    of_word, of_class = Counter(), Counter()
+    for _, t in rows:
+        of_word.update((t or "").lower().split())
+        of_class.update(class_of(t or ""))
+    for r in pll.score(docs).collect():
+        text = next(t for i, t in rows if i == r["doc_id"]) or ""
+        ids, want = [0, 0, *class_of(text), 0, 0], 0.0
+        for i, word in enumerate(text.lower().split(), 2):
+            h = np.tanh(p["b"] + sum(p["e"][k][ids[i + o]] for k, o in enumerate((-2, -1, 1, 2))))
+            q = h @ p["w"] + p["c"]
+            want += q[ids[i]] - np.log(np.exp(q).sum()) + np.log(of_word[word] / of_class[ids[i]])
+        assert abs(r["log_prob"] - want) <= 1e-4 * max(1, abs(want)), text[:40]
