@@ -1,6 +1,7 @@
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from sojourn.llm import pll
 
@@ -102,11 +103,14 @@ def test_word_within_its_bucket_counts(spark, monkeypatch):
     assert within.keys() == want.keys() and all(abs(within[k] - want[k]) < 1e-9 for k in want)
 
 
-def test_whole_scores_equal_one_token_at_a_time(spark, monkeypatch):
+@pytest.mark.parametrize("leaf,depth", [(64, 0), (1, 2)])
+def test_whole_scores_equal_one_token_at_a_time(spark, monkeypatch, leaf, depth):
     """Weights that are not trained, so that nothing is near zero; every token by itself."""
+    monkeypatch.setattr(pll, "LEAF", leaf)
     rng = np.random.default_rng(5)
     vector = rng.normal(scale=0.3, size=pll.SIZE).astype(np.float32)
-    monkeypatch.setattr(pll, "fit", lambda encoded: vector)
+    nodes = rng.normal(scale=0.5, size=(pll.BUCKETS << depth, pll.HIDDEN)).astype(np.float32) if depth else np.zeros((0, 16), np.float32)
+    monkeypatch.setattr(pll, "fit", lambda encoded, totals: np.concatenate((vector, nodes.ravel())))
     vocabulary = [f"w{k}" for k in range(150)] + ["".join(rng.choice(list("abcxyz"), 5)) for _ in range(250)] + ["12", "$$", "Été,"]
     texts = [" ".join(rng.choice(vocabulary, rng.integers(0, 60))) for _ in range(60)] + ["", "a", "w1 W1 w1"]
     rows = list(enumerate(texts)) + [(100, None), (3, texts[3])]
@@ -116,15 +120,91 @@ def test_whole_scores_equal_one_token_at_a_time(spark, monkeypatch):
     words, p = pll.Words(frequent), pll.unpack(vector.astype(np.float64))
 
     class_of = lambda text: list(pll.encode([text], words)[0])
-    of_word, of_class = Counter(), Counter()
+    code = {w: int(pll.codes_of(pll.words_in([w])[0], depth)[0]) for _, t in rows for w in (t or "").lower().split()}
+    assert not depth or len(set(code.values())) == 1 << depth == 1 << pll.depth_of(len(code))
+    of_word, below = Counter(), Counter()  # tokens of each word; and below each node, by class and the bits that lead to it
     for _, t in rows:
         of_word.update((t or "").lower().split())
-        of_class.update(class_of(t or ""))
+        for w, c in zip((t or "").lower().split(), class_of(t or "")):
+            below.update((c, f"{code[w]:0{depth}b}"[:k]) for k in range(depth + 1))
+
+    def in_class(word, c, h):
+        """log P(word | class, hidden values)."""
+        if c <= pll.WORDS:
+            return 0.0
+        out, bits = 0.0, f"{code[word]:0{depth}b}" if depth else ""
+        for k, bit in enumerate(bits):
+            zero, one = below[c, bits[:k] + "0"], below[c, bits[:k] + "1"]
+            odds = np.log(one / zero) if one and zero else 30.0 if one else -30.0
+            z = odds + h @ nodes[((c - 1 - pll.WORDS) << depth) + int("1" + bits[:k], 2)].astype(np.float64)
+            out -= np.log1p(np.exp(-z if bit == "1" else z))
+        return out + np.log(of_word[word] / below[c, bits])
+
     for r in pll.score(docs).collect():
         text = next(t for i, t in rows if i == r["doc_id"]) or ""
         ids, want = [0, 0, *class_of(text), 0, 0], 0.0
         for i, word in enumerate(text.lower().split(), 2):
             h = np.tanh(p["b"] + sum(p["e"][k][ids[i + o]] for k, o in enumerate((-2, -1, 1, 2))))
             q = h @ p["w"] + p["c"]
-            want += q[ids[i]] - np.log(np.exp(q).sum()) + np.log(of_word[word] / of_class[ids[i]])
+            want += q[ids[i]] - np.log(np.exp(q).sum()) + in_class(word, ids[i], h)
         assert abs(r["log_prob"] - want) <= 1e-4 * max(1, abs(want)), text[:40]
+
+
+def test_trees_are_a_distribution_and_untrained_give_shares():
+    rng = np.random.default_rng(2)
+    totals = rng.integers(0, 5, pll.BUCKETS * 8)
+    totals[8:12] = 0  # half a tree without tokens
+    weights = rng.normal(size=(len(totals), pll.HIDDEN)).astype(np.float32)
+    codes = np.arange(8, dtype=np.uint8)
+    for bucket in (0, 1, 2, pll.BUCKETS - 1):
+        ids, share = np.full(8, 1 + pll.WORDS + bucket, np.uint8), totals[8 * bucket:8 * bucket + 8]
+        for trees, h in ((pll.Trees(totals, weights), rng.normal(size=(1, pll.HIDDEN))), (pll.Trees(totals, 0 * weights), np.ones((1, pll.HIDDEN)))):
+            which, rows, right = trees.paths(ids, codes, np.arange(8))
+            assert which.tolist() == list(range(8))
+            p = np.exp(trees.log_probs(np.repeat(h, 8, 0).astype(np.float32), rows, right))
+            assert abs(p.sum() - 1) < 1e-5
+        assert np.allclose(p, share / share.sum(), atol=1e-5)
+    assert pll.Trees(totals, weights).paths(np.array([0, 5, pll.WORDS]), codes, np.arange(3))[0].size == 0
+
+
+def test_gradient_with_trees_by_differences():
+    rng = np.random.default_rng(3)
+    ids, at = rng.integers(1, pll.VOCABULARY, 60).astype(np.uint8), np.arange(2, 58)
+    codes = np.where(ids > pll.WORDS, rng.integers(0, 4, 60), 0).astype(np.uint8)
+    totals = rng.integers(1, 9, pll.BUCKETS * 4)
+    nodes = rng.normal(scale=0.5, size=(len(totals), pll.HIDDEN)).astype(np.float32)
+    vector = np.concatenate((pll.fresh(), nodes.ravel()))
+
+    def loss(v):
+        return -pll.log_probs(pll.unpack(v), ids, at, pll.Trees(totals, v[pll.SIZE:]), codes).mean()
+
+    def slope(k):
+        up, down = vector.astype(np.float64), vector.astype(np.float64)
+        up[k] += 1e-4
+        down[k] -= 1e-4
+        return (loss(up) - loss(down)) / 2e-4
+
+    learner = pll.Learner(vector, totals)
+    learner.learn(ids, at, codes)
+    g = learner.m / 0.1
+    for k in rng.choice(np.flatnonzero(np.abs(g) > 1e-3), 12, replace=False):
+        assert abs(slope(k) - g[k]) < 1e-3
+    moved = nodes - learner.trees.weights
+    met = np.flatnonzero(np.abs(moved).sum(1))
+    assert 0 < len(met) < len(nodes)
+    for row in rng.choice(met, 6, replace=False):  # a node's first step is along its gradient, 0.1 long
+        want = np.array([slope(pll.SIZE + row * pll.HIDDEN + k) for k in range(pll.HIDDEN)])
+        assert np.allclose(moved[row], 0.1 * want / np.linalg.norm(want), atol=2e-3)
+
+
+def test_window_tells_words_of_a_bucket_apart(spark, monkeypatch):
+    """Words of one bucket, each after a word of its own: trained trees know which one comes."""
+    monkeypatch.setattr(pll, "LEAF", 1)
+    monkeypatch.setattr(pll, "WORDS", 2)
+    monkeypatch.setattr(pll, "depth_of", lambda distinct: 4)
+    h, bucket, _ = pll.words_in(["wazb xazb"])
+    assert bucket[0] == bucket[1] and (codes := pll.codes_of(h, 4))[0] != codes[1]
+    rows = [(i, "left wazb right xazb " * (40 + i % 7)) for i in range(900)]
+    rows += [(1000, "left wazb right xazb " * 5), (1001, "left xazb right wazb " * 5)]
+    got = {r["doc_id"]: r["mean_log_prob"] for r in pll.score(docs_frame(spark, rows)).where("doc_id >= 1000").collect()}
+    assert got[1000] > got[1001] + 0.2
