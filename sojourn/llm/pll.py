@@ -262,13 +262,15 @@ def hidden(p: dict, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
 def log_probs(p: dict, ids: np.ndarray, at: np.ndarray, trees: Trees | None = None, codes: np.ndarray | None = None) -> np.ndarray:
     """Log-probability of the class (with trees: of the leaf) of the token at each place, given both sides."""
     out = np.empty(len(at))
+    bounded = (np.abs(p["w"]).sum(0) + np.abs(p["c"])).max() <= 60  # hidden values lie in [-1, 1]
     for s in range(0, len(at), STEP):
         here = at[s:s + STEP]
         h = hidden(p, ids, here)
         logit = h @ p["w"]
         logit += p["c"]
         true = logit[np.arange(len(here)), ids[here]]
-        np.clip(logit, -60, 60, out=logit)
+        if not bounded:
+            np.clip(logit, -60, 60, out=logit)
         out[s:s + STEP] = np.clip(true, -60, 60) - np.log(np.exp(logit, out=logit).sum(1))
         if trees is not None and trees.depth:
             which, rows, right = trees.paths(ids, codes, here)
@@ -276,6 +278,14 @@ def log_probs(p: dict, ids: np.ndarray, at: np.ndarray, trees: Trees | None = No
     return out
 
 
+def summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct rows, sum of the values of each); much faster than np.add.at."""
+    order = np.argsort(rows)
+    rows = rows[order]
+    first = np.flatnonzero(np.diff(rows, prepend=-1))
+    return rows[first], np.add.reduceat(values[order], first, axis=0)
+
+
 class Learner:
     """Adam on masked positions, from given weights; the trees' nodes, of which a batch meets few, by Adagrad."""
 
@@ -287,7 +297,7 @@ class Learner:
     def weights(self) -> np.ndarray:
         return self.x if self.trees is None else np.concatenate((self.x, self.trees.weights.ravel()))
 
-    def learn(self, ids: np.ndarray, at: np.ndarray, codes: np.ndarray | None = None, rate: float = 0.02, batch: int = 128) -> None:
+    def learn(self, ids: np.ndarray, at: np.ndarray, codes: np.ndarray | None = None, rate: float = 0.05, batch: int = 512) -> None:
         p = unpack(self.x)
         for s in range(0, len(at), batch):
             here = at[s:s + batch]
@@ -307,7 +317,8 @@ class Learner:
             back *= 1 - h * h
             d["b"][:] = back.sum(0)
             for k, o in enumerate(OFFSETS):
-                np.add.at(d["e"][k], ids[here + o], back)
+                met, g_met = summed(ids[here + o].astype(np.int32), back)
+                d["e"][k][met] = g_met
             self.steps += 1
             self.m += 0.1 * (g - self.m)
             self.v += 0.01 * (g * g - self.v)
@@ -315,7 +326,7 @@ class Learner:
             self.x -= rate * (self.m / (1 - 0.9 ** k)) / (np.sqrt(self.v / (1 - 0.99 ** k)) + 1e-7)
 
     def learn_trees(self, ids: np.ndarray, here: np.ndarray, codes: np.ndarray, h: np.ndarray, back: np.ndarray,
-                    rate: float = 0.1) -> None:
+                    rate: float = 0.2) -> None:
         """One step of the nodes that a batch meets; adds their part of the hidden values' gradient to ``back``."""
         which, rows, right = self.trees.paths(ids, codes, here)
         if not len(which):
@@ -323,9 +334,7 @@ class Learner:
         own = h[which]
         off = (1 / (1 + np.exp(-np.clip(self.trees.logits(own, rows), -60, 60))) - right).astype(np.float32)
         back[which] += np.matmul(off[:, None, :], self.trees.weights[rows])[:, 0] / len(here)
-        nodes, at = np.unique(rows, return_inverse=True)
-        g = np.zeros((len(nodes), HIDDEN), np.float32)
-        np.add.at(g, at.ravel(), (off[:, :, None] * own[:, None, :]).reshape(-1, HIDDEN))
+        nodes, g = summed(rows.ravel(), (off[:, :, None] * own[:, None, :]).reshape(-1, HIDDEN))
         self.met[nodes] += (g * g).sum(1)
         self.trees.weights[nodes] -= rate * g / np.sqrt(self.met[nodes])[:, None]
 
