@@ -6,9 +6,12 @@ fingerprint goes to one shard per pair of bands (key: the bits of both); a
 BK-tree per shard - children keyed by their Hamming distance to the parent -
 finds all pairs, following only edges within the radius. Trees are built where
 their shard's rows are shuffled to, not broadcast: their total grows with the
-corpus. A shard of more than SHARD_ROWS is dealt into parts, and each pair of
-parts is searched by itself. Every shard returns a spanning star of what it
-linked; connected components over those links give the classes.
+corpus. Shards are counted before any row is shuffled to one. Within a shard of more
+than SHARD_ROWS a pair's differing bits lie outside the two bands, so it agrees on at
+least one of ``radius + 1`` bands of the other bits: such a shard is keyed again by each of
+these. What is still larger is dealt into parts, and each pair of parts is searched by
+itself. Every shard returns a spanning star of what it linked; connected components
+over those links give the classes.
 
 Edge cases. Null text or no word: fingerprint zero, linked like any other.
 Null id: fingerprinted; a class's id is its smallest non-null id, else null.
@@ -105,65 +108,67 @@ def star_links(tree_of: list[int], ask: list[int], radius: int) -> list[tuple[in
     return [(x, r) for x in list(parent) if (r := root(x)) != x]
 
 
-def band_keys(radius: int):
-    """Column: array of (band pair, its bits) for the signed fingerprint ``fp``."""
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def band_masks(radius: int) -> tuple[list[int], list[list[int]]]:
+    """(the bits of every pair of bands; for each, these bits with each band of the other bits)."""
     bands = radius + 2
     cuts = [64 * k // bands for k in range(bands + 1)]
     masks = [((1 << cuts[k + 1]) - 1) ^ ((1 << cuts[k]) - 1) for k in range(bands)]
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
-    return F.array(*(F.struct(F.lit(n).alias("band"), F.col("fp").bitwiseAND(F.lit(signed(masks[a] | masks[b]))).alias("key"))
-                     for n, (a, b) in enumerate(combinations(range(bands), 2))))
-
-
-def links_of(fps: DataFrame, radius: int) -> DataFrame:
-    """Distinct signed 64-bit ``fp`` -> (u, v) links whose components are those
-    of all pairs within ``radius`` bits."""
+    pairs = [a | b for a, b in combinations(masks, 2)]
+    finer = []
+    for pair in pairs:
+        rest = [k for k in range(64) if not pair >> k & 1]
+        ends = [len(rest) * k // (radius + 1) for k in range(radius + 2)]
+        finer.append([pair | sum(1 << k for k in rest[a:b]) for a, b in zip(ends, ends[1:])])
+    return pairs, finer
+
+
+def by_size(keyed: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(band, key, fp) -> (rows of shards of at most SHARD_ROWS; those of larger ones with their size ``n``, or
+    None). Sizes are counted with partial sums; the few large keys are joined by their written size."""
+    hot = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARD_ROWS)
+    hot = written(hot, "large")
+    if hot.isEmpty():
+        return keyed, None
+    return keyed.join(hot, ["band", "key"], "left_anti"), keyed.join(hot, ["band", "key"])
+
+
+def links_in_shards(keyed: DataFrame, radius: int) -> DataFrame:
+    """(u, v) links within shards (band, key) of at most SHARD_ROWS."""
     mask = (1 << 64) - 1
-    to_signed = lambda x: x - (1 << 64) if x >> 63 else x
-    keyed = fps.select("fp", F.explode(band_keys(radius)).alias("k")).select("k.band", "k.key", "fp")
 
-    def shards(batches):
-        """Rows come sorted by shard. Links of a shard, or its rows for the second round (band >= 0)."""
+    def search(batches):
+        """Rows come sorted by shard."""
         import pandas as pd
 
         held, held_key = [], None
 
-        def flush(rows, key):
-            if len(rows) < 2:
-                return None
-            links = star_links([x & mask for x in rows], [], radius)
-            return [(-1, 0, to_signed(a), to_signed(b)) for a, b in links]
+        def links():
+            return [(signed(a), signed(b)) for a, b in star_links([x & mask for x in held], [], radius)] if len(held) > 1 else []
 
-        large = False
         for pdf in batches:
             out = []
-            keys = list(zip(pdf["band"].tolist(), pdf["key"].tolist()))
-            for key, fp in zip(keys, pdf["fp"].tolist()):
+            for key, fp in zip(zip(pdf["band"].tolist(), pdf["key"].tolist()), pdf["fp"].tolist()):
                 if key != held_key:
-                    out += (flush(held, held_key) or []) if not large else []
-                    held, held_key, large = [], key, False
-                if large:
-                    out.append((*key, fp, 0))
-                    continue
+                    out += links()
+                    held, held_key = [], key
                 held.append(fp)
-                if len(held) > SHARD_ROWS:
-                    out += [(*key, x, 0) for x in held]
-                    held, large = [], True
             if out:
-                yield pd.DataFrame(out, columns=["band", "key", "u", "v"])
-        out = flush(held, held_key) if held and not large else None
-        if out:
-            yield pd.DataFrame(out, columns=["band", "key", "u", "v"])
-
-    first = written(keyed.repartition("band", "key").sortWithinPartitions("band", "key", "fp")
-                    .mapInPandas(shards, "band int, key long, u long, v long"), "shards")
-    links = first.where("band < 0").select("u", "v")
-
-    # Shards over SHARD_ROWS: parts i <= j of about that size, each pair a group of its own.
-    large = first.where("band >= 0").select("band", "key", F.col("u").alias("fp"))
-    parts = large.groupBy("band", "key").agg(F.ceil(F.count(F.lit(1)) / SHARD_ROWS).cast("int").alias("parts"))
-    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    pairs = (large.join(parts, ["band", "key"]).withColumn("own", own)
+                yield pd.DataFrame(out, columns=["u", "v"])
+        if out := links():
+            yield pd.DataFrame(out, columns=["u", "v"])
+
+    return keyed.repartition("band", "key").sortWithinPartitions("band", "key", "fp").mapInPandas(search, "u long, v long")
+
+
+def links_between_parts(large: DataFrame, radius: int) -> DataFrame:
+    """(u, v) links within larger shards: parts i <= j of about SHARD_ROWS, each pair a group of its own."""
+    mask = (1 << 64) - 1
+    parts = large.withColumn("parts", F.ceil(F.col("n") / SHARD_ROWS).cast("int"))
+    pairs = (parts.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
              .select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp"))
 
@@ -174,9 +179,28 @@ def links_of(fps: DataFrame, radius: int) -> DataFrame:
         tree = [x & mask for x in sorted(pdf.loc[pdf["own"] == i, "fp"].tolist())]
         ask = [] if i == j else [x & mask for x in sorted(pdf.loc[pdf["own"] == j, "fp"].tolist())]
         found = star_links(tree, ask, radius) if i == j or ask else []
-        return pd.DataFrame([(to_signed(a), to_signed(b)) for a, b in found], columns=["u", "v"]).astype("int64")
+        return pd.DataFrame([(signed(a), signed(b)) for a, b in found], columns=["u", "v"]).astype("int64")
+
+    return pairs.groupBy("band", "key", "i", "j").applyInPandas(search, "u long, v long")
 
-    return links.unionAll(pairs.groupBy("band", "key", "i", "j").applyInPandas(search, "u long, v long"))
+
+def links_of(fps: DataFrame, radius: int) -> DataFrame:
+    """Distinct signed 64-bit ``fp`` -> (u, v) links whose components are those
+    of all pairs within ``radius`` bits."""
+    pairs, finer = band_masks(radius)
+    fps = written(fps, "prints")  # counted, then searched
+    masks = F.array(*(F.lit(signed(m)) for m in pairs))
+    keyed = fps.select("fp", F.posexplode(masks).alias("band", "mask"))
+    small, large = by_size(keyed.select("band", F.col("mask").bitwiseAND(F.col("fp")).alias("key"), "fp"))
+    links = links_in_shards(small, radius)
+    if large is None:
+        return links
+    masks = F.array(*(F.array(*(F.lit(signed(m)) for m in ms)) for ms in finer))
+    keyed = large.select("fp", "band", F.posexplode(F.element_at(masks, F.col("band") + 1)).alias("third", "mask"))
+    small, large = by_size(keyed.select((F.col("band") * (radius + 1) + F.col("third")).alias("band"),
+                                        F.col("mask").bitwiseAND(F.col("fp")).alias("key"), "fp"))
+    links = links.unionAll(links_in_shards(small, radius))
+    return links if large is None else links.unionAll(links_between_parts(large, radius))
 
 
 def fingerprints(docs: DataFrame, shingle: int, seed: int) -> DataFrame:
@@ -212,13 +236,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, radius: i
 
 def keep_one(docs: DataFrame, shingle: int = 3, seed: int = 42, radius: int = 2) -> DataFrame:
     """One row of every class (that of the smallest id; of repeated rows one);
-    all columns. Rows are found again by id and hash of the text."""
+    all columns. Rows are found again by id and hash of the text; whole rows are shuffled once,
+    and of repeated rows one a task."""
     prints = fingerprints(docs, shingle, seed)
     kept = prints.join(classes(prints, radius), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.groupBy("fp", "doc_id").agg(F.min("th").alias("th"))
-    names = [own_name(docs, n) for n in ("_id", "_hash", "_kept_id", "_kept_hash")]
-    own = docs.withColumns({names[0]: F.col("doc_id").cast("long"),
-                            names[1]: F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
-    kept = kept.select(F.col("doc_id").alias(names[2]), F.col("th").alias(names[3]))
-    same = F.col(names[0]).eqNullSafe(F.col(names[2])) & (F.col(names[1]) == F.col(names[3]))
-    return own.join(kept, same, "left_semi").dropDuplicates(names[:2]).select(*docs.columns)
+    kept = kept.groupBy("fp", "doc_id").agg(F.min("th").alias("hash"))
+    key = own_name(docs, "_row")  # a struct is never null, so that a null id is a key like any other
+    kept = kept.select(F.struct(F.col("doc_id").alias("id"), "hash").alias(key))
+    own = docs.withColumn(key, F.struct(F.col("doc_id").cast("long").alias("id"),
+                                        F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("hash")))
+    return own.dropDuplicates([key]).join(kept, key, "left_semi").select(*docs.columns)

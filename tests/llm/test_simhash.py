@@ -1,4 +1,5 @@
 import random
+from itertools import combinations
 
 import pytest
 from xxhash import xxh64_intdigest
@@ -69,6 +70,42 @@ def test_links_of_near_values(spark, monkeypatch, shard_rows):
     assert {v: got.get(v, v) for v in values} == want
 
 
+@pytest.mark.parametrize("radius,shard_rows", [(2, 8), (2, 200), (1, 8), (3, 8)])
+def test_large_shards_lose_no_link(spark, monkeypatch, radius, shard_rows):
+    """Fingerprints that all agree on two bands or more: keyed again by a third, and what is still large dealt into parts."""
+    monkeypatch.setattr(simhash, "SHARD_ROWS", shard_rows)
+    rng = random.Random(radius)
+    top = rng.getrandbits(36) << 28
+    values = {simhash.signed(top | rng.getrandbits(12)) for _ in range(300)} | {simhash.signed(top | rng.getrandbits(28)) for _ in range(200)}
+    mask = (1 << 64) - 1
+    pairs = [(a, b) for a in values for b in values if a < b and ((a ^ b) & mask).bit_count() <= radius]
+    links = simhash.links_of(spark.createDataFrame([(v,) for v in values], "fp long"), radius)
+    got = {r["node"]: r["root"] for r in components(links).collect()}
+    want = plain_classes(values, pairs)
+    assert {v: got.get(v, v) for v in values} == want
+
+
+def test_third_bands_cover_all_near_pairs():
+    """Whatever at most ``radius`` bits differ outside a pair of bands, some mask keeps none of them."""
+    for radius in (1, 2, 3):
+        for pair, masks in zip(*simhash.band_masks(radius)):
+            rest = [k for k in range(64) if not pair >> k & 1]
+            assert all(m & pair == pair for m in masks) and sum(m ^ pair for m in masks) == ((1 << 64) - 1) ^ pair
+            for bits in combinations(rest, min(radius, 2)):
+                assert any(not any(m >> b & 1 for b in bits) for m in masks)
+
+
+def test_keep_one_shuffles_whole_rows_once(spark):
+    docs = docs_frame(spark, [(i, f"text number {i % 40} of some words") for i in range(400)])
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect())[:1] == [0]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = simhash.keep_one(docs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum("Exchange hashpartitioning(_row" in line for line in plan.splitlines()) == 2  # the rows and the kept keys
+
+
 def test_components_of_a_long_chain(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, 200), (200, 100), (7, 7)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
