@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -88,6 +89,96 @@ def test_host_windows_equal_brute_force(spark):
     assert any(want[k] != "\n\n".join(p) for k, p in enumerate(pages))
 
 
+NOTICE = "Sign up for the daily letter of this paper and read all that our editors wrote this week"
+
+
+def story(rng, n):
+    return " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+
+
+def test_template_inside_articles_goes_and_shared_prose_stays(spark):
+    rng = random.Random(7)
+    shared = story(rng, 30)
+
+    def page(*parts):
+        return "<nav>n</nav><article>" + "".join(f"<p>{t}</p>" for t in parts) + "</article>"
+
+    rows, want = [], {}
+    for k in range(9):  # every article bears the notice; three share a passage
+        own = [story(rng, 60)] + [shared] * (k < 3)
+        rows.append((k, f"https://news.example/{k}", page(*own, NOTICE)))
+        want[k] = "\n\n".join(own)
+    rows.append((20, "https://news.example/20", page(NOTICE)))  # nothing else, so it stays
+    want[20] = NOTICE
+    for k in range(30, 34):  # too few pages to tell a template
+        own = story(rng, 60)
+        rows.append((k, f"https://small.example/{k}", page(own, NOTICE)))
+        want[k] = f"{own}\n\n{NOTICE}"
+    copied = [story(rng, 40) for _ in range(4)]
+    for k in range(40, 46):  # most of the text is on all pages: copies of one article
+        own = story(rng, 10)
+        rows.append((k, f"https://copies.example/{k}", page(*copied, own)))
+        want[k] = "\n\n".join([*copied, own])
+    for k in range(60, 66):  # pages without a container whose articles others hold in one
+        own = story(rng, 60)
+        rows += [(k, f"https://print.example/{k}", f"<p>{own}<p>printed {k}"), (k + 10, f"https://print.example/{k}", page(own))]
+        want |= {k: f"{own}\n\nprinted {k}", k + 10: own}
+    rows.append(rows[0])
+    got = html_main.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == len(rows) and {r["page_id"]: r["text"] for r in got} == want
+
+
+def test_windows_of_all_pages_equal_brute_force(spark):
+    rng = random.Random(11)
+    shared = [" ".join(rng.choices("abcdefgh", k=rng.randint(5, 30))) for _ in range(5)]
+    rows, hosts = [], {}
+    for k in range(90):
+        parts = [" ".join(rng.choices("abcdefgh", k=rng.randint(20, 60))) for _ in range(rng.randint(1, 4))]
+        parts += [b for j, b in enumerate(shared) if rng.random() < (0.1, 0.4, 0.6, 0.8, 0.95)[j]]
+        rng.shuffle(parts)
+        told = k % 4 > 0
+        html = "".join(f"<p>{b}" for b in parts)
+        rows.append((k, f"https://h{k % 3}.example/{k}", f"<article>{html}</article>" if told else html))
+        hosts.setdefault(k % 3, []).append((k, parts, told))
+    want, removed = {}, {True: 0, False: 0}
+    for pages in hosts.values():
+        run = lambda p: [w for b in p for w in b.split(" ")]
+        on, free = {}, {}
+        for _, p, told in pages:
+            s = run(p)
+            for i in range(len(s) - html_main.RUN + 1):
+                for on_, counts in ((on, True), (free, not told)):
+                    if counts:
+                        on_.setdefault(tuple(s[i:i + html_main.RUN]), set()).add(tuple(p))
+        need = max(html_main.PAGES, math.ceil(html_main.SHARE * len({tuple(p) for _, p, _ in pages})))
+        for k, p, told in pages:
+            s = run(p)
+            at = [i for i in range(len(s) - html_main.RUN + 1) if len((on if told else free)[tuple(s[i:i + html_main.RUN])]) >= (need if told else 2)]
+            covered = {j for i in at for j in range(i, i + html_main.RUN)}
+            kept, begin = [], 0
+            for b in p:
+                n = len(b.split(" "))
+                if sum(j in covered for j in range(begin, begin + n)) / n < html_main.COVERED:
+                    kept.append(b)
+                begin += n
+            if not kept or told and len(s) - len(run(kept)) > html_main.MOST * len(s):
+                kept = p
+            removed[told] += kept != p
+            want[k] = "\n\n".join(kept)
+    got = html_main.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == want
+    assert min(removed.values()) > 5
+
+
+def test_equal_windows_have_equal_seeds():
+    rng = random.Random(3)
+    words = rng.choices("abcdef", k=400)
+    shared = words[100:100 + html_main.RUN]
+    one, two = html_main.hashed([" ".join(words)])[0], html_main.hashed([" ".join(["x", *shared, "y"])])[0]
+    assert html_main.seeds(one, "h")[100] == html_main.seeds(two, "h")[1] != html_main.seeds(two, "i")[1]
+    assert len(html_main.seeds(one, "h")) == len(words) - html_main.RUN + 1 and len(html_main.seeds(one[:11], "h")) == 0
+
+
 def test_container_with_most_text():
     card = "<article><p>card</article>"
     assert text(f"<main><p>a long story of main<p>and more of it{card}</main>") == "a long story of main\n\nand more of it\n\ncard"
